@@ -149,4 +149,7 @@ def with_derived(final_sql: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return final_sql
     ctes = ",\n".join(f"{n} AS ({defs[n]}\n)" for n in order)
+    body = final_sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{final_sql}"

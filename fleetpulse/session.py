@@ -49,6 +49,7 @@ def build_session(
     conf = dict(SCALE_CONF)
     conf.update(REQUIRED_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if extra:
