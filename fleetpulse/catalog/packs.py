@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleetpulse.catalog import register
+from fleetpulse.checks.oracle import register as register_cte
 from fleetpulse.plans import packs as K
 from fleetpulse.sources.raw import BENIGN_WAITS, CURATED_SETTINGS, RawSnapshots, register_oracle
 
@@ -120,7 +121,7 @@ def q_ha_databases(spark, sf_dir):
     return K.ha_databases(raw(spark, sf_dir))
 
 
-@register("instance_details", """
+K7_SQL = """
 SELECT o.instance_id, 'sqlserver' AS platform, o.server_name, o.product_version, 'RTM' AS product_level,
        'Enterprise Edition (64-bit)' AS edition, CAST(3 AS SMALLINT) AS engine_edition,
        'SQL_Latin1_General_CP1_CI_AS' AS collation_default, i.is_clustered, TRUE AS is_full_text_installed,
@@ -137,7 +138,11 @@ LEFT JOIN (SELECT instance_id, collected_at,
                   max(CASE WHEN name = 'max server memory (MB)' THEN value_in_use END) AS max_mem,
                   max(CASE WHEN name = 'max degree of parallelism' THEN value_in_use END) AS maxdop
            FROM raw_config GROUP BY ALL) c ON c.instance_id = o.instance_id AND c.collected_at = o.collected_at
-LEFT JOIN instances i ON i.instance_id = o.instance_id""")
+LEFT JOIN instances i ON i.instance_id = o.instance_id"""
+register_cte("o_instance_details", K7_SQL)
+
+
+@register("instance_details", K7_SQL)
 def q_instance_details(spark, sf_dir):
     return K.instance_details(raw(spark, sf_dir))
 

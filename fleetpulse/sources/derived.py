@@ -188,6 +188,14 @@ class DerivedLake:
             ))
         return _conform(snaps[0].unionByName(snaps[1]), S.DATABASES)
 
+    @cached_property
+    def instance_details(self) -> DataFrame:
+        """Per-snapshot instance properties (the K7 collection over raw snapshots)."""
+        from fleetpulse.plans.packs import instance_details
+        from fleetpulse.sources.raw import RawSnapshots
+
+        return instance_details(RawSnapshots(self.spark, self.sf_dir, lake=self))
+
     @cached_property
     def score_thresholds(self) -> DataFrame:
         return S.thresholds_df(self.spark)
