@@ -128,3 +128,17 @@ def second_round(c: str | Column) -> Column:
 
 def second_trunc(c: str | Column) -> Column:
     return F.date_trunc("second", col(c)).cast("timestamp_ntz")
+
+
+def utc_now():
+    """the current instant as a UTC wall-clock TIMESTAMP_NTZ (session zone is UTC)."""
+    return F.current_timestamp().cast("timestamp_ntz")
+
+
+def error_is_conflict(c: str | Column) -> Column:
+    """classify an error message as a commit conflict (case-insensitive regex)."""
+    return col(c).rlike("(?i)" + CONFLICT_PATTERN)
+
+
+# Message fragments that mark a commit conflict.
+CONFLICT_PATTERN = "conflict|serializ|concurrent|out of date|snapshot|transaction|retry"
