@@ -1 +1,317 @@
-"""Registered queries."""
+"""Registered ingest, source/sink and maintenance jobs. Jobs that write are
+checked by reading back what they wrote (a fresh folder under the shared
+checkpoint location per call)."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+import fleetpulse.catalog.packs  # noqa: F401  (raw oracle CTEs)
+from fleetpulse import schemas as S
+from fleetpulse.catalog import register
+from fleetpulse.functions.scalar import error_is_conflict
+from fleetpulse.operators import joins as J
+from fleetpulse.plans import ingest as I
+from fleetpulse.plans import scoring as V
+from fleetpulse.sources import manifest as M
+from fleetpulse.sources.derived import AS_OF, DerivedLake
+from fleetpulse.sources.raw import RawSnapshots
+
+STAMP_SQL = ("'sqlserver' AS platform, CAST(year(collected_at) AS SMALLINT) AS year, "
+             "CAST(month(collected_at) AS TINYINT) AS month, CAST(day(collected_at) AS TINYINT) AS day")
+
+
+def lake(spark, sf_dir) -> DerivedLake:
+    return DerivedLake(spark, sf_dir)
+
+
+def raw(spark, sf_dir) -> RawSnapshots:
+    return RawSnapshots(spark, sf_dir)
+
+
+_OK_CYCLES = "(SELECT DISTINCT instance_id, date_trunc('day', collected_at) AS collected_at FROM pings WHERE is_success)"
+_RESPONSIVE = f"""(SELECT l.* FROM raw_landed_cpu l
+   WHERE EXISTS (SELECT 1 FROM {_OK_CYCLES} c WHERE c.instance_id = l.instance_id AND c.collected_at = l.collected_at))"""
+_GOOD = """NOT ((engine_cpu_percent IS NOT NULL AND TRY_CAST(engine_cpu_percent AS SMALLINT) IS NULL)
+      OR (other_cpu_percent IS NOT NULL AND TRY_CAST(other_cpu_percent AS SMALLINT) IS NULL)
+      OR (system_idle_percent IS NOT NULL AND TRY_CAST(system_idle_percent AS SMALLINT) IS NULL))"""
+_STAGED = f"""
+SELECT instance_id, {STAMP_SQL}, collected_at,
+       TRY_CAST(engine_cpu_percent AS SMALLINT) AS engine_cpu_percent,
+       TRY_CAST(other_cpu_percent AS SMALLINT) AS other_cpu_percent,
+       TRY_CAST(system_idle_percent AS SMALLINT) AS system_idle_percent
+FROM {_RESPONSIVE} r WHERE {_GOOD}"""
+
+
+def _landed(spark, sf_dir):
+    return raw(spark, sf_dir).raw_landed_cpu.drop("row_id")
+
+
+@register("stamp_project", _STAGED)
+def q_stamp_project(spark, sf_dir):
+    """P1 (with P10, P3, P2): landed rows -> target rows in contract order."""
+    rows, _ = I.stage(_landed(spark, sf_dir), "metric_cpu", lake(spark, sf_dir).pings)
+    return rows
+
+
+@register("typed_coerce", f"""
+SELECT instance_id, collected_at, engine_cpu_percent, other_cpu_percent, system_idle_percent
+FROM {_RESPONSIVE} r WHERE NOT {_GOOD}""")
+def q_typed_coerce(spark, sf_dir):
+    """The quarantined rows (a non-NULL value that does not fit its type)."""
+    _, bad = I.stage(_landed(spark, sf_dir), "metric_cpu", lake(spark, sf_dir).pings)
+    return bad.select("instance_id", "collected_at", "engine_cpu_percent", "other_cpu_percent",
+                      "system_idle_percent")
+
+
+@register("partition_stamp", f"""
+SELECT DISTINCT instance_id, collected_at, {STAMP_SQL} FROM raw_attempts""")
+def q_partition_stamp(spark, sf_dir):
+    """One second-resolution stamp per cycle and its year/month/day."""
+    a = raw(spark, sf_dir).raw_attempts.select("instance_id", "collected_at")
+    return I.cycle_stamp(a).select("instance_id", "collected_at", "platform", "year", "month", "day").distinct()
+
+
+@register("collector_ingest", _STAGED)
+def q_collector_ingest(spark, sf_dir):
+    """Stage and append to the partitioned lake, then read the table back."""
+    root = I.scratch_path(spark, "lake")
+    path, _ = I.collector_ingest(spark, _landed(spark, sf_dir), "metric_cpu", lake(spark, sf_dir).pings, root)
+    return I.read_lake_table(spark, path, S.METRIC_CPU)
+
+
+@register("partitioned_append", "SELECT * FROM metric_sessions")
+def q_partitioned_append(spark, sf_dir):
+    """S3: append the same table in two batches (partitioned, ZSTD); read back whole."""
+    path = I.scratch_path(spark, "sessions")
+    s = lake(spark, sf_dir).metric_sessions
+    I.partitioned_append(s.filter(F.col("day") < 15), path, S.HOT_PARTITIONS)
+    I.partitioned_append(s.filter(F.col("day") >= 15), path, S.HOT_PARTITIONS)
+    return I.read_lake_table(spark, path, S.METRIC_SESSIONS)
+
+
+@register("lake_scan", "SELECT * FROM pings WHERE day >= 20 AND instance_id = 1003")
+def q_lake_scan(spark, sf_dir):
+    """Partition-pruned (day) and pushed-down (instance_id) scan of a written table."""
+    path = I.scratch_path(spark, "pings")
+    I.partitioned_append(lake(spark, sf_dir).pings, path, S.HOT_PARTITIONS)
+    t = I.read_lake_table(spark, path, S.PINGS)
+    return t.filter((F.col("day") >= 20) & (F.col("instance_id") == 1003))
+
+
+@register("ping_facts", f"""
+SELECT instance_id, {STAMP_SQL}, collected_at,
+       CASE WHEN ok THEN elapsed_ms ELSE 5000 END AS response_time_ms, ok AS is_success
+FROM raw_attempts""")
+def q_ping_facts(spark, sf_dir):
+    """T2."""
+    return I.ping_facts(raw(spark, sf_dir).raw_attempts)
+
+
+@register("error_rows", f"""
+SELECT instance_id, connect_target AS instance_fqn, {STAMP_SQL.split(',')[0]}, CAST(NULL AS VARCHAR) AS collector_name,
+       collected_at, CAST(year(collected_at) AS SMALLINT) AS year, CAST(month(collected_at) AS TINYINT) AS month,
+       CAST(day(collected_at) AS TINYINT) AS day, 'connect' AS error_type,
+       'connection failed: timeout expired' AS error_message
+FROM raw_attempts WHERE NOT ok
+UNION ALL
+SELECT r.instance_id, a.connect_target, 'sqlserver', r.collector_name, r.collected_at,
+       CAST(year(r.collected_at) AS SMALLINT), CAST(month(r.collected_at) AS TINYINT),
+       CAST(day(r.collected_at) AS TINYINT), 'query', min(r.error_message)
+FROM raw_results r JOIN raw_attempts a ON a.instance_id = r.instance_id AND a.collected_at = r.collected_at
+WHERE a.ok AND r.error_message IS NOT NULL
+GROUP BY r.instance_id, a.connect_target, r.collector_name, r.collected_at""")
+def q_error_rows(spark, sf_dir):
+    """T3."""
+    r = raw(spark, sf_dir)
+    return I.error_rows(r.raw_attempts, r.raw_results)
+
+
+_SUMMARY = """
+SELECT r.collector_name, r.collected_at, count(DISTINCT r.instance_id) AS instances,
+       CAST(sum(r.n_rows) AS INTEGER) AS rows_collected, count(r.error_message) AS errors,
+       max(r.duration_ms) AS duration_ms,
+       CASE WHEN count(r.error_message) > 0 THEN 'error' WHEN sum(r.n_rows) = 0 THEN 'empty' ELSE 'ok' END AS status
+FROM raw_results r
+WHERE EXISTS (SELECT 1 FROM raw_attempts a WHERE a.ok AND a.instance_id = r.instance_id
+              AND a.collected_at = r.collected_at)
+GROUP BY r.collector_name, r.collected_at"""
+
+
+@register("cycle_summary", _SUMMARY)
+def q_cycle_summary(spark, sf_dir):
+    """A12."""
+    r = raw(spark, sf_dir)
+    return I.cycle_summary(r.raw_attempts, r.raw_results)
+
+
+@register("collection_log", f"""
+SELECT CAST(NULL AS INTEGER) AS instance_id, {STAMP_SQL}, collector_name, collected_at, rows_collected,
+       duration_ms, status FROM ({_SUMMARY}) s""")
+def q_collection_log(spark, sf_dir):
+    """T4: write the log rows partitioned and read them back."""
+    r = raw(spark, sf_dir)
+    path = I.scratch_path(spark, "collection_log")
+    I.partitioned_append(I.collection_log(r.raw_attempts, r.raw_results), path, S.HOT_PARTITIONS)
+    return I.read_lake_table(spark, path, S.COLLECTION_LOG)
+
+
+@register("recent_errors", """
+SELECT instance_id, collector_name, collected_at, error_type, error_message FROM (
+  SELECT instance_id, connect_target AS instance_fqn, CAST(NULL AS VARCHAR) AS collector_name, collected_at,
+         'connect' AS error_type, 'connection failed: timeout expired' AS error_message
+  FROM raw_attempts WHERE NOT ok
+  UNION ALL
+  SELECT r.instance_id, a.connect_target, r.collector_name, r.collected_at, 'query', min(r.error_message)
+  FROM raw_results r JOIN raw_attempts a ON a.instance_id = r.instance_id AND a.collected_at = r.collected_at
+  WHERE a.ok AND r.error_message IS NOT NULL
+  GROUP BY r.instance_id, a.connect_target, r.collector_name, r.collected_at) e
+ORDER BY collected_at DESC, instance_id, collector_name NULLS FIRST LIMIT 100""")
+def q_recent_errors(spark, sf_dir):
+    """The newest 100 collection errors (top-k is the feature)."""
+    r = raw(spark, sf_dir)
+    e = I.error_rows(r.raw_attempts, r.raw_results)
+    return e.orderBy(F.col("collected_at").desc(), "instance_id", F.col("collector_name").asc_nulls_first()) \
+        .limit(100).select("instance_id", "collector_name", "collected_at", "error_type", "error_message")
+
+
+@register("error_class", """
+SELECT instance_id, collected_at, collector_name, error_message,
+       regexp_matches(error_message, '(?i)conflict|serializ|concurrent|out of date|snapshot|transaction|retry')
+         AS is_conflict
+FROM raw_results WHERE error_message IS NOT NULL""")
+def q_error_class(spark, sf_dir):
+    """classify error text as a commit conflict by regular expression."""
+    r = raw(spark, sf_dir).raw_results.filter(F.col("error_message").isNotNull())
+    return r.select("instance_id", "collected_at", "collector_name", "error_message",
+                    error_is_conflict("error_message").alias("is_conflict"))
+
+
+@register("active_fleet", """
+SELECT instance_id, instance_fqn AS connect_target, auth_mode, platform FROM instances
+WHERE status = 'a' AND platform = 'sqlserver' ORDER BY instance_id LIMIT 1000""")
+def q_active_fleet(spark, sf_dir):
+    """Active instances of one platform, ordered, limited (the limit is the feature)."""
+    i = lake(spark, sf_dir).instances
+    return i.filter((F.col("status") == "a") & (F.col("platform") == "sqlserver")).orderBy("instance_id") \
+        .limit(1000).select("instance_id", F.col("instance_fqn").alias("connect_target"), "auth_mode", "platform")
+
+
+@register("fleet_csv", """SELECT instance_id, connect_target FROM raw_attempts""")
+def q_fleet_csv(spark, sf_dir):
+    """Write a two-column CSV with a header and read it back with a schema."""
+    path = I.scratch_path(spark, "fleet_csv")
+    a = raw(spark, sf_dir).raw_attempts.select("instance_id", "connect_target")
+    I.write_csv(a, path)
+    return I.read_csv(spark, path, "instance_id int, connect_target string")
+
+
+@register("raw_stage", """
+SELECT instance_id, engine_cpu_percent, other_cpu_percent, system_idle_percent FROM raw_landed_cpu""")
+def q_raw_stage(spark, sf_dir):
+    """Landed JSON result rows read into a staging table typed by the manifest (query columns)."""
+    from pyspark.sql import types as T
+
+    path = I.scratch_path(spark, "landed")
+    _landed(spark, sf_dir).write.mode("overwrite").json(path)
+    schema = T.StructType([T.StructField("instance_id", T.IntegerType())] + [
+        T.StructField(c, T.StringType()) for c, _ in M.query_columns("metric_cpu")])
+    return spark.read.schema(schema).json(path)
+
+
+@register("file_stats")
+def q_file_stats(spark, sf_dir):
+    """Object count and total bytes under a written table (no SQL oracle: sizes depend on the writer)."""
+    path = I.scratch_path(spark, "pings_stats")
+    I.partitioned_append(lake(spark, sf_dir).pings, path, S.HOT_PARTITIONS)
+    return I.file_stats(spark, path)
+
+
+@register("series_rows", """
+SELECT 'bench-' || CAST(s_suppkey AS VARCHAR) AS instance_fqn FROM supplier
+WHERE 'bench-' || CAST(s_suppkey AS VARCHAR) NOT IN (SELECT instance_fqn FROM instances)""")
+def q_series_rows(spark, sf_dir):
+    """Generated labels inserted only if absent (left anti on the label)."""
+    lk = lake(spark, sf_dir)
+    gen = lk.base("supplier").select(F.concat(F.lit("bench-"), F.col("s_suppkey").cast("string")).alias("instance_fqn"))
+    return J.anti(gen, lk.instances, ["instance_fqn"])
+
+
+_REG_SRC = """(SELECT CAST(1000 + s_suppkey AS INTEGER) AS instance_id, upper(s_name) AS instance_fqn,
+        'sqlserver' AS platform, 'integrated' AS auth_mode, TIMESTAMP '2024-01-15 00:00:00' AS registered_at
+ FROM supplier WHERE s_suppkey % 2 = 1)"""
+
+
+@register("sync_dimension", f"""
+SELECT instance_id, instance_fqn, status FROM instances WHERE instance_id NOT IN (SELECT instance_id FROM {_REG_SRC})
+UNION ALL SELECT instance_id, instance_fqn, CAST(NULL AS VARCHAR) FROM {_REG_SRC}""")
+def q_sync_dimension(spark, sf_dir):
+    """Replace-by-key sync of the instance dimension, then overwrite the small table."""
+    lk = lake(spark, sf_dir)
+    path = I.scratch_path(spark, "instances")
+    lk.instances.write.mode("overwrite").parquet(path)
+    src = lk.base("supplier").filter(F.col("s_suppkey") % 2 == 1).select(
+        (F.lit(1000) + F.col("s_suppkey")).cast("int").alias("instance_id"),
+        F.upper("s_name").alias("instance_fqn"), F.lit("sqlserver").alias("platform"),
+        F.lit("integrated").alias("auth_mode"), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz").alias("registered_at"))
+    return I.sync_dimension(spark, path, src).select("instance_id", "instance_fqn", "status")
+
+
+@register("get_or_create_ids", """
+WITH reg AS (SELECT instance_id, instance_fqn, instance_fqn AS connect_target,
+                    CAST(NULL AS TIMESTAMP) AS updated_at FROM instances),
+lab AS (SELECT DISTINCT lower(c_name) AS instance_fqn, 'tcp:' || lower(c_name) AS connect_target FROM customer
+        UNION SELECT instance_fqn, 'tcp:' || instance_fqn FROM instances WHERE instance_id % 2 = 0),
+seen AS (SELECT r.instance_id, l.instance_fqn, l.connect_target, TIMESTAMP '2024-01-31 00:00:00' AS updated_at
+         FROM lab l JOIN reg r USING (instance_fqn)),
+new AS (SELECT (SELECT max(instance_id) FROM reg) + row_number() OVER (ORDER BY instance_fqn) AS instance_id,
+               instance_fqn, connect_target, TIMESTAMP '2024-01-31 00:00:00' AS updated_at
+        FROM lab WHERE instance_fqn NOT IN (SELECT instance_fqn FROM reg))
+SELECT instance_id, instance_fqn, connect_target, updated_at FROM reg
+WHERE instance_fqn NOT IN (SELECT instance_fqn FROM lab)
+UNION ALL SELECT * FROM seen UNION ALL SELECT CAST(instance_id AS INTEGER), instance_fqn, connect_target, updated_at FROM new""")
+def q_get_or_create_ids(spark, sf_dir):
+    """Seen labels keep their id; unseen labels get max+1.. in label order."""
+    lk = lake(spark, sf_dir)
+    reg = lk.instances.select("instance_id", "instance_fqn", F.col("instance_fqn").alias("connect_target"),
+                              F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    cust = lk.base("customer").select(F.lower("c_name").alias("instance_fqn"))
+    mine = lk.instances.filter(F.col("instance_id") % 2 == 0).select("instance_fqn")
+    labels = cust.unionByName(mine).distinct().select(
+        "instance_fqn", F.concat(F.lit("tcp:"), F.col("instance_fqn")).alias("connect_target"))
+    return I.get_or_create_ids(reg, labels, AS_OF)
+
+
+@register("compact_partitions", "SELECT * FROM pings")
+def q_compact_partitions(spark, sf_dir):
+    """Many small appends compacted to one sorted file per partition; rows unchanged."""
+    path = I.scratch_path(spark, "pings_small")
+    p = lake(spark, sf_dir).pings
+    for lo, hi in ((1, 11), (11, 21), (21, 32)):
+        I.partitioned_append(p.filter((F.col("day") >= lo) & (F.col("day") < hi)).repartition(4), path,
+                             S.HOT_PARTITIONS)
+    out = I.compact_partitions(spark, path, S.PINGS, S.HOT_PARTITIONS, I.scratch_path(spark, "pings_compact"),
+                               ["instance_id", "collected_at"])
+    return I.read_lake_table(spark, out, S.PINGS)
+
+
+@register("retention", "SELECT * FROM pings WHERE collected_at >= TIMESTAMP '2024-01-10 12:00:00'")
+def q_retention(spark, sf_dir):
+    """Expire rows older than a cutoff into a new table version."""
+    path = I.scratch_path(spark, "pings_ret")
+    I.partitioned_append(lake(spark, sf_dir).pings, path, S.HOT_PARTITIONS)
+    out = I.retention(spark, path, S.PINGS, S.HOT_PARTITIONS, "2024-01-10 12:00:00",
+                      I.scratch_path(spark, "pings_kept"))
+    return I.read_lake_table(spark, out, S.PINGS)
+
+
+@register("materialize_scores", "SELECT * FROM o_health_scores")
+def q_materialize_scores(spark, sf_dir):
+    """Health scores written with dynamic partition overwrite by (platform, year, month)."""
+    path = I.scratch_path(spark, "health_scores")
+    hs = V.health_scores(lake(spark, sf_dir), AS_OF)
+    I.overwrite_partitions(hs, path, S.SCORE_PARTITIONS)
+    I.overwrite_partitions(hs, path, S.SCORE_PARTITIONS)  # idempotent re-run replaces, not duplicates
+    return I.read_lake_table(spark, path, S.HEALTH_SCORES)

@@ -263,6 +263,38 @@ SELECT CAST(1000 + p_partkey % 10 AS INT) AS instance_id, {SNAP} AS collected_at
 FROM {{part}}""",
 }
 
+_collector_case = " ".join(
+    f"WHEN {i} THEN '{n}'" for i, n in enumerate((
+        "metric_cpu", "metric_memory_ple", "metric_sessions", "metric_database_io", "metric_blocking",
+        "databases", "instance_details", "ha_databases", "metric_wait_stats", "metric_perf_counters",
+        "config_settings", "trace_flags", "backup_status", "integrity_status", "ha_cluster_members",
+        "ha_availability_replicas", "mirroring_health")))
+
+RAW.update({
+    # One connection attempt per instance per daily cycle.
+    "raw_attempts": """
+SELECT instance_id, {dy:ts} AS collected_at, 'tcp:srv' || CAST(instance_id AS STRING) || ',1433' AS connect_target,
+       NOT (instance_id IN (1003, 1007) AND ts >= {ts:2024-01-29 00:00:00}) AND min(event_id) % 7 <> 3 AS ok,
+       CAST(max(event_id) % 900 + 20 AS INT) AS elapsed_ms
+FROM {ev} GROUP BY instance_id, {dy:ts}, NOT (instance_id IN (1003, 1007) AND ts >= {ts:2024-01-29 00:00:00})""",
+    # Result sets returned per (instance, cycle, collector): row count, duration, error text.
+    "raw_results": f"""
+SELECT instance_id, {{dy:ts}} AS collected_at,
+       CASE event_id % 17 {_collector_case} END AS collector_name,
+       CAST(event_id % 5 AS INT) AS n_rows, CAST(event_id % 1000 AS INT) AS duration_ms,
+       CASE WHEN event_id % 41 = 0 THEN 'Transaction (Process ID ' || CAST(event_id AS STRING) || ') was deadlocked'
+            WHEN event_id % 43 = 0 THEN 'Query timeout expired' END AS error_message
+FROM {{ev}}""",
+    # Landed metric_cpu result rows, values as text (as they arrive), with bad values.
+    "raw_landed_cpu": """
+SELECT instance_id, {dy:ts} AS collected_at, event_id AS row_id,
+       CASE WHEN event_id % 53 = 0 THEN NULL WHEN event_id % 101 = 0 THEN '40000'
+            ELSE CAST((event_id * 37) % 90 AS STRING) END AS engine_cpu_percent,
+       CASE WHEN event_id % 103 = 0 THEN 'n/a' ELSE CAST((event_id * 17) % 11 AS STRING) END AS other_cpu_percent,
+       CAST(100 - (event_id * 37) % 90 - (event_id * 17) % 11 AS STRING) AS system_idle_percent
+FROM {ev} WHERE event_type IN ('view', 'click')""",
+})
+
 _TABLE_REF = re.compile(r"\{([a-z_]+)\}")
 
 
@@ -290,6 +322,8 @@ def render(template: str, dialect: str) -> str:
             return f"TIMESTAMP_NTZ '{arg}'" if spark else f"TIMESTAMP '{arg}'"
         if name == "hr":
             return f"CAST(date_trunc('HOUR', {arg}) AS TIMESTAMP_NTZ)" if spark else f"date_trunc('hour', {arg})"
+        if name == "dy":
+            return f"CAST(date_trunc('DAY', {arg}) AS TIMESTAMP_NTZ)" if spark else f"date_trunc('day', {arg})"
         if name == "mon":
             return f"CAST(date_trunc('MONTH', {arg}) AS TIMESTAMP_NTZ)" if spark else f"date_trunc('month', {arg})"
         if name == "addh":
@@ -306,7 +340,7 @@ def render(template: str, dialect: str) -> str:
         raise KeyError(name)
 
     out = template.replace("{div}", "div" if spark else "//")
-    macro_re = re.compile(r"\{(ts|hr|mon|addh|addd|mkts):([^{}]*)\}")
+    macro_re = re.compile(r"\{(ts|hr|dy|mon|addh|addd|mkts):([^{}]*)\}")
     while True:
         new = macro_re.sub(macro, out)
         if new == out:
