@@ -39,3 +39,4 @@ def load_all() -> None:
     from fleetpulse.catalog import ingest  # noqa: F401
     from fleetpulse.catalog import benchops  # noqa: F401
     from fleetpulse.catalog import extras  # noqa: F401
+    from fleetpulse.catalog import streams  # noqa: F401
