@@ -295,6 +295,43 @@ SELECT instance_id, {dy:ts} AS collected_at, event_id AS row_id,
 FROM {ev} WHERE event_type IN ('view', 'click')""",
 })
 
+RAW.update({
+    # Catalog database counters before/after each benchmark run (cumulative).
+    "raw_pg_snapshots": """
+SELECT CAST(o_orderkey % 16 AS INT) AS run_id, phase,
+       CAST(count(*) AS BIGINT) AS xact_commit,
+       CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS xact_rollback,
+       CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS tup_inserted,
+       CAST(sum(o_custkey % 7) AS BIGINT) AS blks_read, CAST(sum(o_custkey % 113) AS BIGINT) AS blks_hit,
+       CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS BIGINT) AS deadlocks,
+       CAST(sum((o_orderkey % 4096) * 100) AS BIGINT) AS wal_bytes
+FROM (SELECT *, 'after' AS phase FROM {orders}
+      UNION ALL SELECT *, 'before' AS phase FROM {orders} WHERE o_orderdate < {ts:1998-06-01 00:00:00}) o
+GROUP BY 1, 2""",
+    # Activity rows seen by the sampler (one sample per run and hour).
+    "raw_activity": """
+SELECT CAST(l_orderkey % 16 AS INT) AS run_id, {addh:l_shipdate,l_linenumber} AS sample_at,
+       CASE l_returnflag WHEN 'A' THEN 'active' WHEN 'R' THEN 'idle in transaction' ELSE 'idle' END AS state,
+       CASE WHEN l_partkey % 5 = 0 THEN 'Lock' END AS wait_event_type,
+       CASE WHEN l_linestatus = 'O' THEN CAST(l_suppkey % 600 AS DOUBLE) + 0.125 END AS xact_age_sec
+FROM {lineitem}""",
+    # Benchmark runs: rows, commits, elapsed seconds, bytes written.
+    "raw_runs": """
+SELECT run_id, 'M' || CAST(run_id % 4 + 1 AS STRING) AS method, CAST(32 * (1 + run_id % 3) AS INT) AS flush,
+       CAST(24 AS INT) AS threads, CAST(CASE WHEN run_id % 2 = 0 THEN 10 ELSE 1000 END AS INT) AS inlining,
+       rows_written, commits,
+       CASE WHEN run_id = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(mx AS DOUBLE) / 10.0 END AS elapsed_sec, bytes_written
+FROM (SELECT CAST(o_orderkey % 16 AS INT) AS run_id, CAST(count(*) AS BIGINT) AS rows_written,
+             CAST(count(DISTINCT o_custkey % 64) AS BIGINT) AS commits, max(o_orderkey % 1000) AS mx,
+             CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS bytes_written
+      FROM {orders} GROUP BY 1) r""",
+    # Objects under each run's storage prefix.
+    "raw_objects": """
+SELECT CAST(p_partkey % 16 AS INT) AS run_id, 'obj-' || CAST(p_partkey AS STRING) AS object_key,
+       CAST(p_size * 1000 AS BIGINT) AS size_bytes
+FROM {part}""",
+})
+
 _TABLE_REF = re.compile(r"\{([a-z_]+)\}")
 
 
