@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+SQL: dict[str, str] = {}  # oracle SQL before the derived-table prefix is added
 
 
 def register(key: str, sql: str | None = None):
@@ -25,6 +26,7 @@ def register(key: str, sql: str | None = None):
         if sql is not None:
             from fleetpulse.checks.oracle import with_derived
 
+            SQL[key] = sql
             ORACLE[key] = with_derived(sql)
         return fn
 
