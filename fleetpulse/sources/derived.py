@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetpulse import schemas as S
-from fleetpulse.functions.scalar import stamp_columns, ts_lit
+from fleetpulse.functions.scalar import day_t, month_t, ts_lit, year_s
 from fleetpulse.sources.driver import read_table
 
 # Fixed values of the derivation (shared with the oracle SQL).
@@ -35,11 +35,26 @@ def _conform(df: DataFrame, schema) -> DataFrame:
 
 
 class DerivedLake:
-    """Lazily derived lake tables over one input folder."""
+    """Lazily derived lake tables over one input folder.
+
+    One instance per (session, folder) is shared (``DerivedLake(spark, dir)``
+    returns it), so plans are built once and repeated subtrees are identical.
+    """
+
+    _shared: dict = {}
+
+    def __new__(cls, spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+        inst = cls._shared.get(key)
+        if inst is None:
+            inst = super().__new__(cls)
+            inst.spark = spark
+            inst.sf_dir = sf_dir
+            cls._shared[key] = inst
+        return inst
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.sf_dir = sf_dir
+        pass
 
     def base(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -56,14 +71,17 @@ class DerivedLake:
         )
 
     def _stamped(self, df: DataFrame, schema, **cols) -> DataFrame:
-        out = df.select(
-            "*",
-            F.col("ts").alias("collected_at"),
-            *stamp_columns("ts"),
-        )
-        for k, v in cols.items():
-            out = out.withColumn(k, v)
-        return _conform(out, schema)
+        """Stamp columns from ``ts`` plus the given measures, in DDL order (one projection)."""
+        exprs = {
+            "collected_at": F.col("ts"), "platform": F.lit(S_PLATFORM),
+            "year": year_s("ts"), "month": month_t("ts"), "day": day_t("ts"),
+        }
+        exprs.update(cols)
+        out = []
+        for f in schema.fields:
+            e = exprs.get(f.name, F.col(f.name))
+            out.append(e.cast(f.dataType).alias(f.name))
+        return df.select(*out)
 
     @cached_property
     def pings(self) -> DataFrame:
