@@ -118,3 +118,90 @@ def dense_rank_global(df: DataFrame, order: Sequence[str], out: str = "rank") ->
         .withColumn(out, (F.col("_off") + F.col("_local")).cast("long"))
         .drop("_pid", "_local", "_off")
     )
+
+
+# --------------------------------------------------------------------------
+# Windows whose groups stay bounded when one key holds a large share of rows.
+#
+# A plain ``Window.partitionBy(key)`` puts every row of a key into one task.
+# Here each key's rows get a global ordinal (range partitioning + per-partition
+# offsets), are cut into blocks of ``block`` rows, and each block also receives
+# the few rows of the previous block its frame needs (a halo). Windows then run
+# per (key, block): no task holds more than ``block + halo`` rows of a key.
+
+DEFAULT_BLOCK = 1 << 16
+
+
+def key_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_ord") -> DataFrame:
+    """1-based position of each row within its key by ``order`` (must be a total order)."""
+    keys, order = list(keys), list(order)
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    pid = F.spark_partition_id()
+    pos = ranged.select(
+        "*", pid.alias("_pid"),
+        (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_pos"),
+    )
+    # Per (partition, key): first position and row count -> rows of the key in earlier partitions.
+    spans = pos.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("_pid", *keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (
+        pos.join(spans, ["_pid", *keys])
+        .withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("long"))
+        .drop("_pid", "_pos", "_first", "_off")
+    )
+
+
+def with_blocks(df: DataFrame, halo: int, block: int, ord_col: str = "_ord") -> DataFrame:
+    """Assign ``_blk`` and add the last ``halo`` rows of each block to the next one (``_halo`` true)."""
+    if halo >= block:
+        raise ValueError("halo must be smaller than block")
+    blk = F.floor((F.col(ord_col) - 1) / F.lit(block)).cast("long")
+    own = df.select("*", blk.alias("_blk"), F.lit(False).alias("_halo"))
+    if halo == 0:
+        return own
+    tail = df.filter(((F.col(ord_col) - 1) % F.lit(block)) >= F.lit(block - halo))
+    return own.unionByName(tail.select("*", (blk + 1).alias("_blk"), F.lit(True).alias("_halo")))
+
+
+def lag_bounded(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
+                prefix: str = "prev_", block: int = DEFAULT_BLOCK) -> DataFrame:
+    """``LAG(c, 1) OVER (PARTITION BY keys ORDER BY order)`` for several columns, with
+    groups of at most ``block + 1`` rows per task."""
+    keys = list(keys)
+    b = with_blocks(key_ordinal(df, keys, order), 1, block)
+    w = Window.partitionBy(*keys, "_blk").orderBy("_ord")
+    out = b.select("*", *[F.lag(c, 1).over(w).alias(f"{prefix}{c}") for c in columns])
+    return out.filter(~F.col("_halo")).drop("_halo", "_blk")
+
+
+def trailing_avg_bounded(df: DataFrame, keys: Sequence[str], n: int, value: str, out: str,
+                         block: int = DEFAULT_BLOCK, ord_col: str = "_ord") -> DataFrame:
+    """Average of ``value`` over the current and ``n-1`` preceding rows per key
+    (``df`` carries a key ordinal ``ord_col``)."""
+    b = with_blocks(df, n - 1, block, ord_col)
+    w = Window.partitionBy(*keys, "_blk").orderBy(ord_col).rowsBetween(-(n - 1), 0)
+    return b.select("*", F.avg(value).over(w).alias(out)).filter(~F.col("_halo")).drop("_halo", "_blk")
+
+
+def run_length_since(df: DataFrame, keys: Sequence[str], reset: str, out: str,
+                     block: int = DEFAULT_BLOCK, ord_col: str = "_ord") -> DataFrame:
+    """Rows since the last row where ``reset`` is true (0 on such a row), per key.
+
+    Gaps-and-islands with bounded groups: the last reset ordinal is a running
+    max inside each block, carried across blocks from a one-row-per-block table.
+    """
+    keys = list(keys)
+    b = with_blocks(df, 0, block, ord_col)
+    hit = F.when(F.col(reset), F.col(ord_col))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(ord_col).rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("_last_in", F.max(hit).over(inside))
+    per_block = b.groupBy(*keys, "_blk").agg(F.max(hit).alias("_blk_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_block.select(*keys, "_blk", F.max("_blk_last").over(earlier).alias("_carry"))
+    last = F.coalesce(F.col("_last_in"), F.col("_carry"), F.lit(0))
+    return (
+        b.join(carry, [*keys, "_blk"], "left")
+        .withColumn(out, (F.col(ord_col) - last).cast("long"))
+        .drop("_blk", "_halo", "_last_in", "_carry")
+    )

@@ -1,8 +1,9 @@
 """Read-side analytics the reference promises but does not implement.
 
 The semantics are this package's choice, reusing the lag/guard operators.
-Windows are keyed by (instance, series); rows per key are snapshots, which are
-bounded by the collection cadence and the time range scanned.
+Series windows (previous snapshot, failure runs, trailing averages) use the
+bounded-group operators: a key's history is cut into fixed-size blocks with a
+small halo, so one hot instance never lands whole in one task.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.scalar import epoch_seconds_between, nullif_zero
+from fleetpulse.operators.windows import DEFAULT_BLOCK, key_ordinal, lag_bounded, run_length_since, \
+    trailing_avg_bounded
 from fleetpulse.plans.scoring import as_of_col
 
 STALE_BACKUP_HOURS = 168
@@ -23,15 +26,16 @@ def _guarded(cur: str, prev: str, same_restart) -> F.Column:
     return F.when(same_restart & (p <= c), c - p).otherwise(F.lit(0)).cast("long")
 
 
-def wait_deltas(waits: DataFrame) -> DataFrame:
+def wait_deltas(waits: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """G1: per (instance, wait type) deltas between snapshots, reset-guarded by the counter
     and by a changed restart time; average wait per task and share of the snapshot's waits."""
-    w = Window.partitionBy("instance_id", "wait_type").orderBy("collected_at")
-    lagged = waits.select(
-        "instance_id", "wait_type", "collected_at", "last_restart_at", "wait_time_ms", "waiting_tasks_count",
-        F.lag("wait_time_ms").over(w).alias("prev_wait"), F.lag("waiting_tasks_count").over(w).alias("prev_tasks"),
-        F.lag("last_restart_at").over(w).alias("prev_restart"),
-    ).filter(F.col("prev_wait").isNotNull())
+    base = waits.select("instance_id", "wait_type", "collected_at", "last_restart_at", "wait_time_ms",
+                        "waiting_tasks_count")
+    lagged = lag_bounded(base, ["instance_id", "wait_type"], ["collected_at"],
+                         ["wait_time_ms", "waiting_tasks_count", "last_restart_at"], block=block)
+    lagged = lagged.withColumnsRenamed({"prev_wait_time_ms": "prev_wait", "prev_waiting_tasks_count": "prev_tasks",
+                                        "prev_last_restart_at": "prev_restart"}) \
+        .filter(F.col("prev_wait").isNotNull())
     same = F.col("prev_restart").eqNullSafe(F.col("last_restart_at"))
     d = lagged.select(
         "instance_id", "wait_type", "collected_at",
@@ -53,12 +57,13 @@ PERF_RATES = (
 )
 
 
-def perf_rates(perf: DataFrame) -> DataFrame:
+def perf_rates(perf: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Per-second rates from cumulative counters between consecutive snapshots."""
-    w = Window.partitionBy("instance_id").orderBy("collected_at")
-    cols = [F.lag("collected_at").over(w).alias("prev_at"), F.lag("last_restart_at").over(w).alias("prev_restart")]
-    cols += [F.lag(c).over(w).alias(f"prev_{c}") for c, _ in PERF_RATES]
-    lagged = perf.select("instance_id", "collected_at", "last_restart_at", *[c for c, _ in PERF_RATES], *cols) \
+    base = perf.select("instance_id", "collected_at", "last_restart_at", *[c for c, _ in PERF_RATES],
+                       F.col("collected_at").alias("at"), F.col("last_restart_at").alias("restart"))
+    lagged = lag_bounded(base, ["instance_id"], ["collected_at"],
+                         ["at", "restart"] + [c for c, _ in PERF_RATES], block=block)
+    lagged = lagged.withColumnsRenamed({"prev_at": "prev_at", "prev_restart": "prev_restart"}) \
         .filter(F.col("prev_at").isNotNull())
     secs = epoch_seconds_between("collected_at", "prev_at")
     same = F.col("prev_restart").eqNullSafe(F.col("last_restart_at"))
@@ -82,28 +87,23 @@ def backup_staleness(backups: DataFrame, as_of) -> DataFrame:
     )
 
 
-def config_drift(settings: DataFrame) -> DataFrame:
+def config_drift(settings: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Setting changes between consecutive snapshots (previous and new running value)."""
-    w = Window.partitionBy("instance_id", "setting_name").orderBy("collected_at")
-    lagged = settings.select("instance_id", "setting_name", "collected_at", "running_value",
-                             F.lag("running_value").over(w).alias("previous_value"),
-                             F.lag("collected_at").over(w).alias("_prev_at"))
+    base = settings.select("instance_id", "setting_name", "collected_at", "running_value",
+                           F.col("collected_at").alias("_at"))
+    lagged = lag_bounded(base, ["instance_id", "setting_name"], ["collected_at"], ["running_value", "_at"],
+                         block=block).withColumnsRenamed({"prev_running_value": "previous_value",
+                                                          "prev__at": "_prev_at"}).drop("_at", "_ord")
     return lagged.filter(F.col("_prev_at").isNotNull() & ~F.col("running_value").eqNullSafe(F.col("previous_value"))) \
         .drop("_prev_at")
 
 
-def ping_early_warning(pings: DataFrame) -> DataFrame:
+def ping_early_warning(pings: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Consecutive-failure run length (gaps and islands) and a trailing average
     response time over the last 12 pings; a run of 3+ failures marks offline."""
-    order = [F.col("collected_at"), F.col("response_time_ms"), F.col("is_success")]
-    w = Window.partitionBy("instance_id").orderBy(*order)
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    isl = pings.select(
-        "instance_id", "collected_at", "response_time_ms", "is_success",
-        F.sum(F.col("is_success").cast("int")).over(running).alias("_island"),
-        F.avg("response_time_ms").over(w.rowsBetween(-(TRAILING_PINGS - 1), 0)).alias("avg_response_12"),
-    )
-    wi = Window.partitionBy("instance_id", "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.sum((~F.col("is_success")).cast("int")).over(wi)
-    return isl.select("instance_id", "collected_at", "is_success", run.alias("failure_run"), "avg_response_12",
-                      (run >= OFFLINE_RUN).alias("is_offline"))
+    order = ["collected_at", "response_time_ms", "is_success"]
+    o = key_ordinal(pings.select("instance_id", *order), ["instance_id"], order)
+    o = trailing_avg_bounded(o, ["instance_id"], TRAILING_PINGS, "response_time_ms", "avg_response_12", block)
+    o = run_length_since(o, ["instance_id"], "is_success", "failure_run", block)
+    return o.select("instance_id", "collected_at", "is_success", "failure_run", "avg_response_12",
+                    (F.col("failure_run") >= OFFLINE_RUN).alias("is_offline"))
