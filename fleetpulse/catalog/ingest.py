@@ -292,8 +292,7 @@ def q_compact_partitions(spark, sf_dir):
     for lo, hi in ((1, 11), (11, 21), (21, 32)):
         I.partitioned_append(p.filter((F.col("day") >= lo) & (F.col("day") < hi)).repartition(4), path,
                              S.HOT_PARTITIONS)
-    out = I.compact_partitions(spark, path, S.PINGS, S.HOT_PARTITIONS, I.scratch_path(spark, "pings_compact"),
-                               ["instance_id", "collected_at"])
+    out = I.compact_partitions(spark, path, S.PINGS, S.HOT_PARTITIONS, I.scratch_path(spark, "pings_compact"))
     return I.read_lake_table(spark, out, S.PINGS)
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import fleetpulse.catalog.packs  # noqa: F401  (raw oracle CTEs)
+from fleetpulse import schemas as S
 from fleetpulse.catalog import register
 from fleetpulse.functions import scalar as X
 from fleetpulse.operators import joins as J
@@ -193,7 +194,7 @@ def q_insert_if_absent(spark, sf_dir):
     p = lake(spark, sf_dir).pings
     batch = p.filter(F.col("day") >= 20).unionByName(p.filter(F.col("day") >= 28))
     target = p.filter(F.col("day") < 25)
-    return J.insert_if_absent(batch, target, ["instance_id", "collected_at"])
+    return J.insert_if_absent(batch, target, ["instance_id", "collected_at"], S.HOT_PARTITIONS)
 
 
 _J9_SRC = """(SELECT CAST(1000 + s_suppkey AS INTEGER) AS instance_id, upper(s_name) AS instance_fqn,

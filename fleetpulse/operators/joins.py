@@ -42,16 +42,19 @@ def flag_left_join(keys: DataFrame, populations: dict[str, DataFrame], key: str)
     return out
 
 
-def insert_if_absent(batch: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+def insert_if_absent(batch: DataFrame, target: DataFrame, keys: Sequence[str],
+                     partition_cols: Sequence[str] = ()) -> DataFrame:
     """Rows of ``batch`` whose key is not in ``target`` (the rows an append adds).
 
     The batch is de-duplicated on the key first (stricter than MERGE, which does
-    not de-duplicate its source). When ``target`` is a partitioned table and the
-    key includes its partition columns, dynamic partition pruning limits the
-    target scan to the batch's partitions.
+    not de-duplicate its source). ``partition_cols`` are the target's folder
+    columns, which must be determined by the key (the stamp derived from
+    ``collected_at``); adding them to the join lets dynamic partition pruning
+    read only the folders the batch touches instead of the whole history.
     """
     keys = list(keys)
-    return anti(batch.dropDuplicates(keys), target, keys)
+    extra = [c for c in partition_cols if c in batch.columns and c in target.columns and c not in keys]
+    return anti(batch.dropDuplicates(keys), target, keys + extra)
 
 
 def replace_by_key(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:

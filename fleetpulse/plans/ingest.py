@@ -44,14 +44,37 @@ def read_lake_table(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).parquet(path)
 
 
-def partitioned_append(df: DataFrame, path: str, partitions: list[str], max_records_per_file: int = 0) -> None:
-    """S3: append ZSTD Parquet partitioned by ``partitions``.
+TARGET_FILE_BYTES = 128 * 1024 * 1024
+MAX_RECORDS_PER_FILE = 5_000_000
 
-    Rows are clustered by the partition columns first so each task writes few
-    files per partition (no small-file storm at scale).
+
+def cluster_for_write(df: DataFrame, partitions: list[str], num_partitions: int | None = None) -> DataFrame:
+    """Range-partition by the folder columns then ``instance_id``/``collected_at``.
+
+    Used by compaction: each task writes a contiguous key range, so it touches
+    few folders, files are sorted by instance (tight min/max statistics), and a
+    hot folder is split across many tasks instead of landing in one. (Range
+    bounds come from a sampling pass over the input, so this is applied to
+    stored Parquet, not to expensive upstream plans.)
+    """
+    sort_cols = [c for c in ("instance_id", "collected_at") if c in df.columns and c not in partitions]
+    cols = list(partitions) + sort_cols
+    if not cols:
+        return df
+    out = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
+    return out.sortWithinPartitions(*cols)
+
+
+def partitioned_append(df: DataFrame, path: str, partitions: list[str],
+                       max_records_per_file: int = MAX_RECORDS_PER_FILE) -> None:
+    """S3: append ZSTD Parquet partitioned by ``partitions``, bounded file size.
+
+    No shuffle: each task writes its own rows into the folders they belong to
+    (the writer sorts by folder columns inside the task), so a hot folder, such
+    as one collection cycle, is spread over all input tasks. File count is
+    folders x tasks per batch; compaction (T11) merges them later.
     """
-    out = df.repartition(*partitions) if partitions else df
-    w = out.write.mode("append").option("compression", "zstd")
+    w = df.write.mode("append").option("compression", "zstd")
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
     if partitions:
@@ -62,8 +85,9 @@ def partitioned_append(df: DataFrame, path: str, partitions: list[str], max_reco
 def overwrite_partitions(df: DataFrame, path: str, partitions: list[str]) -> None:
     """Dynamic partition overwrite (only partitions present in ``df`` are replaced)."""
     (
-        df.repartition(*partitions).write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(*partitions).parquet(path)
     )
 
@@ -221,7 +245,7 @@ def sync_dimension(spark: SparkSession, path: str, source: DataFrame, keys=("ins
     checkpoint_dir(spark)
     target = spark.read.schema(S.INSTANCES).parquet(path)
     merged = J.replace_by_key(target, source, list(keys)).checkpoint(eager=True)
-    merged.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    merged.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(S.INSTANCES).parquet(path)
 
 
@@ -249,15 +273,29 @@ def get_or_create_ids(registry: DataFrame, labels: DataFrame, as_of, first_id: i
 
 
 # ------------------------------------------------------------------ T11 / T12
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Total bytes under ``path`` (file-system metadata on the driver, no data read)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
 def compact_partitions(spark: SparkSession, path: str, schema: T.StructType, partitions: list[str],
-                       out_path: str, sort_within: list[str] | None = None) -> str:
-    """Rewrite a table so each partition is one file, sorted within by ``sort_within``
-    (min/max statistics on instance_id then skip row groups). Row set unchanged."""
+                       out_path: str, target_file_bytes: int = TARGET_FILE_BYTES) -> str:
+    """Rewrite many small files as few files of about ``target_file_bytes``.
+
+    The task count comes from the table's size, and range partitioning by the
+    folder columns then instance/time keeps each folder's rows in contiguous,
+    sorted files (tight min/max statistics). A hot folder is split across
+    tasks rather than funnelled into one. Row set unchanged.
+    """
+    n = max(1, -(-path_bytes(spark, path) // target_file_bytes))
     df = read_lake_table(spark, path, schema)
-    out = df.repartition(*partitions)
-    if sort_within:
-        out = out.sortWithinPartitions(*sort_within)
-    out.write.mode("overwrite").option("compression", "zstd").partitionBy(*partitions).parquet(out_path)
+    (
+        cluster_for_write(df, partitions, n).write.mode("overwrite").option("compression", "zstd")
+        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(*partitions).parquet(out_path)
+    )
     return out_path
 
 
@@ -277,15 +315,15 @@ def retention(spark: SparkSession, path: str, schema: T.StructType, partitions:
          >= F.to_date(c))
         & (F.col("collected_at") >= c)
     )
-    kept.repartition(*partitions).write.mode("overwrite").option("compression", "zstd") \
-        .partitionBy(*partitions).parquet(out_path)
+    kept.write.mode("overwrite").option("compression", "zstd") \
+        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(*partitions).parquet(out_path)
     return out_path
 
 
 # ------------------------------------------------------------------ S7 / S10 / S11
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header row."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header row (one part file per task; read back as a folder)."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -81,8 +81,7 @@ def test_compaction_reduces_files_keeps_rows(spark, scratch):
         I.partitioned_append(lk.pings.filter((F.col("day") >= d) & (F.col("day") < d + 10)).repartition(3),
                              src, S.HOT_PARTITIONS)
     before = I.file_stats(spark, src).first()
-    out = I.compact_partitions(spark, src, S.PINGS, S.HOT_PARTITIONS, os.path.join(scratch, "big"),
-                               ["instance_id", "collected_at"])
+    out = I.compact_partitions(spark, src, S.PINGS, S.HOT_PARTITIONS, os.path.join(scratch, "big"))
     after = I.file_stats(spark, out).first()
     assert after.objects <= before.objects
     a = I.read_lake_table(spark, src, S.PINGS)
