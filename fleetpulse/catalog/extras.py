@@ -45,7 +45,7 @@ def q_wait_deltas(spark, sf_dir):
 
 
 _RATES = ", ".join(
-    f"{_guard(c, 'prev_' + c)} / NULLIF(epoch(collected_at) - epoch(prev_at), 0) AS {out}"
+    f"{_guard(c, 'prev_' + c)} / NULLIF((epoch_us(collected_at) - epoch_us(prev_at)) / 1e6, 0) AS {out}"
     for c, out in G.PERF_RATES)
 _LAGS = ", ".join(f"lag({c}) OVER w AS prev_{c}" for c, _ in G.PERF_RATES)
 
@@ -54,7 +54,7 @@ _LAGS = ", ".join(f"lag({c}) OVER w AS prev_{c}" for c, _ in G.PERF_RATES)
 WITH g2 AS (
   SELECT *, lag(collected_at) OVER w AS prev_at, lag(last_restart_at) OVER w AS prev_restart, {_LAGS}
   FROM o_perf_wide WINDOW w AS (PARTITION BY instance_id ORDER BY collected_at))
-SELECT instance_id, collected_at, epoch(collected_at) - epoch(prev_at) AS seconds, {_RATES}
+SELECT instance_id, collected_at, (epoch_us(collected_at) - epoch_us(prev_at)) / 1e6 AS seconds, {_RATES}
 FROM g2 WHERE prev_at IS NOT NULL""")
 def q_perf_rates(spark, sf_dir):
     """Per-second rates between consecutive counter snapshots."""
@@ -63,8 +63,8 @@ def q_perf_rates(spark, sf_dir):
 
 @register("backup_staleness", f"""
 SELECT instance_id, database_id, database_name,
-       (epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_full_backup)) / 3600.0 AS hours_since_full,
-       coalesce((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_full_backup)) / 3600.0 > {G.STALE_BACKUP_HOURS},
+       (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_full_backup)) / 1e6 / CAST(3600 AS DOUBLE) AS hours_since_full,
+       coalesce((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_full_backup)) / 1e6 / CAST(3600 AS DOUBLE) > {G.STALE_BACKUP_HOURS},
                 TRUE) AS is_stale
 FROM o_backup_status
 QUALIFY row_number() OVER (PARTITION BY instance_id, database_id ORDER BY collected_at DESC) = 1""")

@@ -656,7 +656,7 @@ def q_format_round(spark, sf_dir):
 
 
 @register("epoch_diff", """
-SELECT instance_id, epoch(TIMESTAMP '2024-01-31 00:00:00' - last_success_at) AS seconds_since_success
+SELECT instance_id, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_success_at)) / 1e6 AS seconds_since_success
 FROM o_last_success""")
 def q_epoch_diff(spark, sf_dir):
     """seconds elapsed between two instants."""

@@ -297,10 +297,12 @@ def recent_failures(pings: DataFrame, as_of) -> DataFrame:
     ls = last_success(pings, as_of)
     lo4 = minus_days(as_of_col(as_of), FAILURE_WINDOW_DAYS)
     fails = ping_window(pings, as_of).filter(~F.col("is_success") & (F.col("collected_at") > lo4))
+    # last_success_at is one value per instance, so grouping by it as well
+    # carries it to the caller without a second scan and join.
     return (
         fails.join(ls, "instance_id")
         .filter(F.col("collected_at") > F.col("last_success_at"))
-        .groupBy("instance_id").agg(F.count(F.lit(1)).alias("failed_pings"))
+        .groupBy("instance_id", "last_success_at").agg(F.count(F.lit(1)).alias("failed_pings"))
         .filter(F.col("failed_pings") >= FAILED_PINGS_MIN)
     )
 
@@ -308,12 +310,9 @@ def recent_failures(pings: DataFrame, as_of) -> DataFrame:
 def unresponsive(lake, as_of) -> DataFrame:
     """Instances that stopped answering pings."""
     rf = recent_failures(lake.pings, as_of)
-    ls = last_success(lake.pings, as_of)
     inst = lake.instances.filter(F.col("status").isin(*ACTIVE_STATUSES)).select("instance_id")
-    return (
-        rf.join(inst, "instance_id")
-        .join(ls, "instance_id")
-        .select("instance_id", F.col("failed_pings").cast("long").alias("failed_pings"), "last_success_at")
+    return rf.join(inst, "instance_id").select(
+        "instance_id", F.col("failed_pings").cast("long").alias("failed_pings"), "last_success_at"
     )
 
 
