@@ -17,6 +17,8 @@ Plan shape at scale:
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,29 @@ FAILURE_WINDOW_DAYS = 4
 INDEXES = ("cpu", "memory", "read_latency", "write_latency", "blocker")
 
 
+def reuse_plan(fn):
+    """Memoize a lake-level plan per (lake, as_of, options).
+
+    DataFrames are immutable lazy plans, so queries that share a sub-plan (the
+    scoring chain feeds the roll-up, the high-IRC check and the flagship) build
+    it once per session; Python-side construction and eager analysis are paid
+    once. Calls with DataFrame arguments or a Column ``as_of`` are not memoized.
+    """
+
+    @functools.wraps(fn)
+    def wrapper(lake, as_of, *args, **kwargs):
+        plain = all(v is None or isinstance(v, (bool, int, str)) for v in kwargs.values())
+        if args or isinstance(as_of, Column) or not plain:
+            return fn(lake, as_of, *args, **kwargs)
+        store = lake.__dict__.setdefault("_plan_memo", {})
+        key = (fn.__name__, as_of, tuple(sorted(kwargs.items())))
+        if key not in store:
+            store[key] = fn(lake, as_of, **kwargs)
+        return store[key]
+
+    return wrapper
+
+
 def as_of_col(as_of) -> Column:
     return as_of if isinstance(as_of, Column) else ts_lit(as_of)
 
@@ -76,10 +101,37 @@ def eligible_databases(databases: DataFrame, instances: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- V3 .. V7
+def partition_date(df: DataFrame):
+    """The folder date of a lake row, from its ``year/month/day`` partition columns."""
+    if not {"year", "month", "day"} <= set(df.columns):
+        return None
+    return F.make_date(F.col("year").cast("int"), F.col("month").cast("int"), F.col("day").cast("int"))
+
+
+def time_bound(df: DataFrame, lo=None, hi=None, lo_strict: bool = True) -> DataFrame:
+    """Bound ``collected_at`` to (lo, hi) and add the implied folder-date bounds.
+
+    The folder predicate is redundant for the result but lets a partitioned
+    lake skip whole ``year/month/day`` folders (it references only partition
+    columns); the ``collected_at`` predicate is pushed to Parquet statistics.
+    """
+    t = F.col("collected_at")
+    d = partition_date(df)
+    if lo is not None:
+        df = df.filter(t > lo if lo_strict else t >= lo)
+        if d is not None:
+            df = df.filter(d >= F.to_date(lo))
+    if hi is not None:
+        df = df.filter(t < hi)
+        if d is not None:
+            df = df.filter(d <= F.to_date(hi))
+    return df
+
+
 def _bounded(df: DataFrame, as_of, bound: bool) -> DataFrame:
     # date_trunc('hour', t) < H  <=>  t < H when H is on the hour: a pushable,
     # statistics-friendly form of the closed-hour cut.
-    return df.filter(F.col("collected_at") < closed_hour_cut(as_of)) if bound else df
+    return time_bound(df, hi=closed_hour_cut(as_of)) if bound else df
 
 
 def cpu_hourly(metric_cpu: DataFrame, as_of=None) -> DataFrame:
@@ -193,6 +245,7 @@ def threshold_scalars(score_thresholds: DataFrame) -> Column:
     return piv.select(F.struct(*piv.columns).alias("th")).scalar()
 
 
+@reuse_plan
 def health_base(lake, as_of) -> DataFrame:
     """V10 base: eligible databases x CPU hours (J2), four left joins (J3), P7."""
     ed = eligible_databases(lake.databases, lake.instances)
@@ -201,11 +254,15 @@ def health_base(lake, as_of) -> DataFrame:
     ses = sessions_hourly(lake.metric_sessions, as_of)
     io = io_latency_hourly(lake.metric_database_io, as_of)
     blk = blocking_hourly(lake.metric_blocking, as_of)
-    base = (
+    # Instance-level measures are joined at instance-hour grain, before the
+    # fan-out to databases multiplies the rows; per-database ones after it.
+    inst_hr = (
         cpu.filter(F.col("coll_hr") < closed_hour_cut(as_of))
-        .join(ed, "instance_id")
         .join(mem, ["instance_id", "coll_hr"], "left")
         .join(ses, ["instance_id", "coll_hr"], "left")
+    )
+    base = (
+        inst_hr.join(ed, "instance_id")
         .join(io, ["instance_id", "database_id", "coll_hr"], "left")
         .join(blk, ["instance_id", "database_id", "coll_hr"], "left")
     )
@@ -261,11 +318,13 @@ def score(base: DataFrame, score_thresholds: DataFrame) -> DataFrame:
     return scored.withColumn("irc_index", irc).select(*HEALTH_COLUMNS)
 
 
+@reuse_plan
 def health_scores(lake, as_of) -> DataFrame:
     """One scored row per (instance, eligible database, closed hour)."""
     return score(health_base(lake, as_of), lake.score_thresholds)
 
 
+@reuse_plan
 def health_scores_instance(lake, as_of, scores: DataFrame | None = None) -> DataFrame:
     """V11 (A5): worst database wins, per instance-hour."""
     hs = scores if scores is not None else health_scores(lake, as_of)
@@ -281,7 +340,7 @@ def health_scores_instance(lake, as_of, scores: DataFrame | None = None) -> Data
 def ping_window(pings: DataFrame, as_of) -> DataFrame:
     """Pings strictly newer than ``as_of - 28 days``."""
     lo = minus_days(as_of_col(as_of), PING_ENVELOPE_DAYS)
-    return pings.filter(F.col("collected_at") > lo).select("instance_id", "collected_at", "is_success")
+    return time_bound(pings, lo=lo).select("instance_id", "collected_at", "is_success")
 
 
 def last_success(pings: DataFrame, as_of) -> DataFrame:
@@ -307,6 +366,7 @@ def recent_failures(pings: DataFrame, as_of) -> DataFrame:
     )
 
 
+@reuse_plan
 def unresponsive(lake, as_of) -> DataFrame:
     """Instances that stopped answering pings."""
     rf = recent_failures(lake.pings, as_of)
@@ -316,12 +376,31 @@ def unresponsive(lake, as_of) -> DataFrame:
     )
 
 
+IRC_SLOTS = 16  # irc_index is 0..10, so (hour, index) packs into one long
+
+
+@reuse_plan
 def latest_health(lake, as_of, rollup: DataFrame | None = None) -> DataFrame:
-    """W1 over V11: the most recent scored hour per instance."""
-    hsi = rollup if rollup is not None else health_scores_instance(lake, as_of)
-    return latest_per_key(hsi.select("instance_id", "coll_hr", "irc_index"), ["instance_id"], ["coll_hr"])
+    """W1 over V11: the most recent scored hour per instance and its worst index.
+
+    Without a given roll-up this is one aggregation over the scores: the
+    worst-database index of the newest hour is the maximum of (hour, index) in
+    lexicographic order, packed as ``micros(hour) * 16 + index`` so the
+    aggregate keeps fixed-width buffers (hash aggregate, map-side combine).
+    """
+    if rollup is not None:
+        return latest_per_key(rollup.select("instance_id", "coll_hr", "irc_index"), ["instance_id"], ["coll_hr"])
+    hs = health_scores(lake, as_of)
+    packed = F.unix_micros(F.col("coll_hr").cast("timestamp")) * IRC_SLOTS + F.col("irc_index").cast("long")
+    best = hs.groupBy("instance_id").agg(F.max(packed).alias("_p"))
+    return best.select(
+        "instance_id",
+        F.timestamp_micros(F.floor(F.col("_p") / IRC_SLOTS).cast("long")).cast("timestamp_ntz").alias("coll_hr"),
+        (F.col("_p") % IRC_SLOTS).cast("tinyint").alias("irc_index"),
+    )
 
 
+@reuse_plan
 def high_irc(lake, as_of, rollup: DataFrame | None = None) -> DataFrame:
     """Latest hour's irc_index >= 2."""
     return latest_health(lake, as_of, rollup).filter(F.col("irc_index") >= HIGH_IRC_MIN).select(
@@ -343,6 +422,7 @@ def worst_first(df: DataFrame) -> DataFrame:
     )
 
 
+@reuse_plan
 def problematic_instances(lake, as_of, ordered: bool = True) -> DataFrame:
     """Unresponsive OR high-IRC instances, flagged, worst first.
 
