@@ -256,7 +256,8 @@ def q_sync_dimension(spark, sf_dir):
         (F.lit(1000) + F.col("s_suppkey")).cast("int").alias("instance_id"),
         F.upper("s_name").alias("instance_fqn"), F.lit("sqlserver").alias("platform"),
         F.lit("integrated").alias("auth_mode"), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz").alias("registered_at"))
-    return I.sync_dimension(spark, path, src).select("instance_id", "instance_fqn", "status")
+    out = I.sync_dimension(spark, path, src, I.scratch_path(spark, "instances_v2"))
+    return spark.read.schema(S.INSTANCES).parquet(out).select("instance_id", "instance_fqn", "status")
 
 
 @register("get_or_create_ids", """
@@ -314,3 +315,13 @@ def q_materialize_scores(spark, sf_dir):
     I.overwrite_partitions(hs, path, S.SCORE_PARTITIONS)
     I.overwrite_partitions(hs, path, S.SCORE_PARTITIONS)  # idempotent re-run replaces, not duplicates
     return I.read_lake_table(spark, path, S.HEALTH_SCORES)
+
+
+@register("problematic_from_lake", "SELECT * FROM o_problematic")
+def q_problematic_from_lake(spark, sf_dir):
+    """S1 + S3 + V14: the flagship over a stored, partitioned lake (folders pruned by the
+    year/month/day predicates that accompany every time bound)."""
+    from fleetpulse.sources.lake import materialize
+
+    stored = materialize(lake(spark, sf_dir), I.scratch_path(spark, "lake"))
+    return V.problematic_instances(stored, AS_OF)

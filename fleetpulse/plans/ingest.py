@@ -236,17 +236,20 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 # ------------------------------------------------------------------ T9 / T10
-def sync_dimension(spark: SparkSession, path: str, source: DataFrame, keys=("instance_id",)) -> DataFrame:
-    """Replace-by-key the small dimension at ``path`` from ``source`` and overwrite it.
-
-    The merged result is checkpointed (lineage cut in the shared checkpoint
-    folder) before the overwrite, so the job does not read the files it replaces.
+def sync_dimension(spark: SparkSession, path: str, source: DataFrame, out_path: str,
+                   keys=("instance_id",)) -> str:
+    """Replace-by-key the small dimension at ``path`` from ``source``.
+
+    The merged table is written as a new version at ``out_path`` and the caller
+    moves its pointer there: a job lost mid-write leaves the current version
+    intact (an in-place overwrite would delete it first). Lineage is cut with
+    ``checkpoint()`` in the shared checkpoint folder.
     """
     checkpoint_dir(spark)
     target = spark.read.schema(S.INSTANCES).parquet(path)
     merged = J.replace_by_key(target, source, list(keys)).checkpoint(eager=True)
-    merged.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(S.INSTANCES).parquet(path)
+    merged.write.mode("errorifexists").option("compression", "zstd").parquet(out_path)
+    return out_path
 
 
 def get_or_create_ids(registry: DataFrame, labels: DataFrame, as_of, first_id: int = 1000) -> DataFrame:

@@ -68,3 +68,23 @@ def test_windows_are_partitioned(spark, key):
             # every window has a non-empty partition spec: "Window [exprs], [partition], [order]"
             parts = re.findall(r"\], \[([^\]]*)\]", ln)
             assert parts and parts[0].strip(), ln
+
+
+def test_stored_lake_prunes_folders(spark, scratch):
+    import os
+
+    from fleetpulse.plans import scoring as V
+    from fleetpulse.sources.derived import DerivedLake
+    from fleetpulse.sources.lake import materialize
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")  # keep scan paths in the plan text
+    stored = materialize(DerivedLake(spark, SF), os.path.join(scratch, "lake"))
+    plan = _plan(V.problematic_instances(stored, "2024-01-31 00:00:00"))
+    fact_scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "/common/metric_" in ln]
+    assert fact_scans
+    for ln in fact_scans:
+        assert "PartitionFilters: [" in ln and "make_date" in ln, ln
+        assert "LessThan(collected_at" in ln, ln
+    ping_scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "/common/pings" in ln]
+    assert ping_scans and all("make_date" in ln and "GreaterThan(collected_at" in ln for ln in ping_scans)
+    assert V.problematic_instances(stored, "2024-01-31 00:00:00").count() >= 1
