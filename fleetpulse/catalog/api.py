@@ -86,7 +86,7 @@ LEFT JOIN (SELECT instance_id, count(DISTINCT database_id) AS database_count FRO
 @register("instance_detail", _DETAIL_SQL)
 def q_instance_detail(spark, sf_dir):
     """Q3 for the whole fleet (one row per instance)."""
-    return Q.instance_detail(lake(spark, sf_dir))
+    return Q.instance_detail(lake(spark, sf_dir), as_of=AS_OF)
 
 
 @register("latest_one", """

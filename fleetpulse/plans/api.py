@@ -13,7 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.scalar import minus_hours
+from fleetpulse.functions.scalar import minus_days, minus_hours
+from fleetpulse.operators import joins as J
 from fleetpulse.operators.windows import latest_per_key
 from fleetpulse.plans import scoring as V
 
@@ -45,6 +46,9 @@ def problematic_topk(lake, as_of, limit: int = DEFAULT_TOPK) -> DataFrame:
     return V.problematic_instances(lake, as_of).limit(int(limit))
 
 
+RECENT_DAYS = 2
+
+
 def _latest(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
     out = latest_per_key(
         df.select("instance_id", "collected_at", *cols), ["instance_id"], ["collected_at"], tiebreak=cols
@@ -52,22 +56,45 @@ def _latest(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
     return out.select("instance_id", F.col("collected_at").alias(f"{prefix}_collected_at"), *cols)
 
 
-def instance_detail(lake, instance_fqn: str | None = None) -> DataFrame:
+def latest_recent_first(df: DataFrame, cols: list[str], prefix: str, instances: DataFrame, as_of,
+                        days: int = RECENT_DAYS) -> DataFrame:
+    """O3: newest row per instance, reading the last ``days`` first.
+
+    An instance with any row newer than ``as_of - days`` has its newest row
+    there, so only instances without one fall back to their full history
+    (semi-join on that small set). The recent scan is folder-pruned on a stored
+    lake; when every instance reported recently the fallback's build side is
+    empty and AQE removes that branch.
+    """
+    lo = minus_days(V.as_of_col(as_of), days)
+    recent = _latest(V.time_bound(df, lo=lo), cols, prefix)
+    missing = J.anti(instances.select("instance_id"), recent, ["instance_id"])
+    older = _latest(J.semi(df, missing, ["instance_id"]), cols, prefix)
+    return recent.unionByName(older)
+
+
+def instance_detail(lake, instance_fqn: str | None = None, as_of=None) -> DataFrame:
     """Q3: latest details, CPU, non-NULL PLE and sessions, and distinct database count.
 
-    Fleet-wide: every instance gets one row (``O3`` latest-one per instance via
-    ``max_by``); passing ``instance_fqn`` filters to that label. An unknown label
-    yields an empty result (the caller reports "no instance").
+    Fleet-wide: every instance gets one row; passing ``instance_fqn`` filters to
+    that label. An unknown label yields an empty result (the caller reports
+    "no instance"). With ``as_of`` the latest rows are found recent-window first.
     """
     inst = lake.instances.select("instance_id", "instance_fqn")
     if instance_fqn is not None:
         inst = inst.filter(F.col("instance_fqn") == instance_fqn)
-    det = _latest(lake.instance_details, ["server_name", "product_version", "logical_cpu_count",
-                                          "physical_memory_mb"], "details")
-    cpu = _latest(lake.metric_cpu, ["engine_cpu_percent", "other_cpu_percent", "system_idle_percent"], "cpu")
-    mem = _latest(lake.metric_memory.filter(F.col("page_residency_seconds").isNotNull()),
-                  ["page_residency_seconds"], "memory")
-    ses = _latest(lake.metric_sessions, ["active_sessions"], "sessions")
+
+    def latest(df, cols, prefix):
+        if as_of is None:
+            return _latest(df, cols, prefix)
+        return latest_recent_first(df, cols, prefix, inst, as_of)
+
+    det = latest(lake.instance_details, ["server_name", "product_version", "logical_cpu_count",
+                                         "physical_memory_mb"], "details")
+    cpu = latest(lake.metric_cpu, ["engine_cpu_percent", "other_cpu_percent", "system_idle_percent"], "cpu")
+    mem = latest(lake.metric_memory.filter(F.col("page_residency_seconds").isNotNull()),
+                 ["page_residency_seconds"], "memory")
+    ses = latest(lake.metric_sessions, ["active_sessions"], "sessions")
     dbs = lake.databases.groupBy("instance_id").agg(F.countDistinct("database_id").alias("database_count"))
     return (
         inst.join(det, "instance_id", "left")

@@ -278,10 +278,13 @@ def get_or_create_ids(registry: DataFrame, labels: DataFrame, as_of, first_id: i
 # ------------------------------------------------------------------ T11 / T12
 def path_bytes(spark: SparkSession, path: str) -> int:
     """Total bytes under ``path`` (file-system metadata on the driver, no data read)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return int(fs.getContentSummary(p).getLength())
+    except Exception:  # no JVM handle (Spark Connect): sum the file sizes with a small job
+        return int(file_stats(spark, path).first()["total_bytes"] or 0)
 
 
 def compact_partitions(spark: SparkSession, path: str, schema: T.StructType, partitions: list[str],

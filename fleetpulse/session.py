@@ -68,15 +68,36 @@ def apply_required(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+def session_key(spark: SparkSession) -> str:
+    """A stable id for memo tables (works for classic and Connect sessions)."""
+    try:
+        return f"{spark.sparkContext.applicationId}:{id(spark)}"
+    except Exception:  # Spark Connect has no SparkContext
+        return f"connect:{id(spark)}"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
     Only when the session has none (local tests) is a private scratch folder set.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        try:
+            configured = spark.sparkContext.getCheckpointDir()
+        except Exception:
+            configured = None
     if configured:
+        try:
+            if not spark.sparkContext.getCheckpointDir():
+                spark.sparkContext.setCheckpointDir(configured)
+        except Exception:
+            pass
         return configured
     local = tempfile.mkdtemp(prefix="fleetpulse-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(local)
+    try:
+        spark.sparkContext.setCheckpointDir(local)
+    except Exception:
+        pass
     spark.conf.set("spark.checkpoint.dir", local)
     return local

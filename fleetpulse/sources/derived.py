@@ -44,7 +44,9 @@ class DerivedLake:
     _shared: dict = {}
 
     def __new__(cls, spark: SparkSession, sf_dir: str):
-        key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+        from fleetpulse.session import session_key
+
+        key = (session_key(spark), sf_dir)
         inst = cls._shared.get(key)
         if inst is None:
             inst = super().__new__(cls)

@@ -19,7 +19,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. The DataFrame is reused within a session: the footer and
     listing work is done once, and identical scans let Spark reuse exchanges."""
     path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (spark.sparkContext.applicationId + ":" + str(id(spark)), path)
+    from fleetpulse.session import session_key
+
+    key = (session_key(spark), path)
     df = _READS.get(key)
     if df is None:
         df = _READS[key] = spark.read.parquet(path)

@@ -136,7 +136,7 @@ def test_entry_smoke(spark):
     assert unresponsive == {1003, 1007}
 
 
-KEYS = ["problematic_instances", "health_scores", "io_latency_hourly", "top_waits", "backup_status",
+KEYS = ["problematic_instances", "health_scores", "io_latency_hourly", "top_waits", "backup_status", "dedup_stream",
         "instance_detail", "collector_ingest", "hourly_stream", "counter_delta_stream", "wait_deltas",
         "ping_early_warning", "scorecard", "get_or_create_ids", "flush_chunks"]
 
