@@ -138,7 +138,7 @@ def q_label_lookup_join(spark, sf_dir):
     return lk.metric_sessions.join(inst, "instance_id").select("collected_at", "active_sessions")
 
 
-@register("run_query", RUN_QUERY_SQL.replace("count(*)", "count(*)"))
+@register("run_query", RUN_QUERY_SQL)
 def q_run_query(spark, sf_dir):
     """Bounded read-only SQL over the registered lake views (limit 5000)."""
     lk = lake(spark, sf_dir)

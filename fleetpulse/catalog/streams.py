@@ -29,7 +29,7 @@ def q_hourly_stream(spark, sf_dir):
     src = I.scratch_path(spark, "cpu_src")
     I.partitioned_append(lake(spark, sf_dir).metric_cpu, src, S.HOT_PARTITIONS)
     work = I.scratch_path(spark, "cpu_stream")
-    out = J.hourly_cpu_stream(J.read_stream(spark, src, S.METRIC_CPU, files_per_trigger=8), DELAY)
+    out = J.hourly_cpu_stream(J.read_stream(spark, src, S.METRIC_CPU, files_per_trigger=16), DELAY)
     J.run_available_now(out, os.path.join(work, "out"), os.path.join(work, "checkpoint"))
     return spark.read.parquet(os.path.join(work, "out"))
 

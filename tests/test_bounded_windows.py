@@ -55,3 +55,25 @@ def test_run_length_carries_across_blocks(spark):
     assert [got[(2, i)] for i in range(4)] == [1, 2, 3, 4]
     avg = {(r.k, r.t): r.a for r in trailing_avg_bounded(o, ["k"], 3, "t", "a", block=4).collect()}
     assert avg[(1, 4)] == 3.0 and avg[(1, 0)] == 0.0 and avg[(1, 1)] == 0.5
+
+
+def test_hot_key_is_split_across_tasks(spark):
+    """One key with a third of all rows: its ordinals come from several range
+    partitions and each window block holds at most ``block`` of its rows."""
+    from fleetpulse.operators.windows import with_blocks
+
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("k"),
+        F.col("id").alias("t"),
+    )
+    # premise: range partitioning spreads the hot key over several tasks
+    ranged = df.repartitionByRange(8, "k", "t").filter("k = 0")
+    assert ranged.select(F.spark_partition_id()).distinct().count() > 1
+    o = key_ordinal(df, ["k"], ["t"])
+    hot = o.filter("k = 0")
+    # ordinals stitched across those tasks are exactly 1..n/3, in time order
+    assert hot.agg(F.min("_ord"), F.max("_ord"), F.countDistinct("_ord")).first() == (1, n // 3, n // 3)
+    assert hot.filter(F.col("_ord") != F.col("t") / 3 + 1).count() == 0
+    blocks = with_blocks(hot, 1, 1000).groupBy("_blk").count()
+    assert blocks.agg(F.max("count")).first()[0] <= 1001
