@@ -78,7 +78,7 @@ def manifest_json() -> dict:
     for name, target, level, cadence, timeout, enabled, _ in COLLECTORS:
         entry = {
             "name": name, "target_table": target, "level": level, "cadence": cadence,
-            "timeout_seconds": timeout, "query": f"queries/{name}.sql",
+            "timeout_seconds": timeout, "query": f"{name}.sql",
             "schema": [{"name": c, "type": t.simpleString().upper(), "source": s} for c, t, s in contract(name)],
         }
         if enabled is not None:

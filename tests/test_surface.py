@@ -38,7 +38,7 @@ def test_topk_and_history_bounds(spark):
 
 
 def test_manifest_roundtrip_and_selection(spark, scratch):
-    path = M.write_manifest(os.path.join(scratch, "collections.json"))
+    path = M.write_manifest(os.path.join(scratch, "manifest.json"))
     flat = M.read_manifest(spark, path)
     per = {r.collector_name: r.n for r in flat.groupBy("collector_name").agg(F.count("*").alias("n")).collect()}
     assert len(per) == 17
