@@ -83,6 +83,18 @@ def all_nonzero(columns: Sequence[str]) -> Column:
     return cond
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint rows whose partition ids/positions two later passes must agree on.
+
+    Writes to the shared ``spark.checkpoint.dir`` (reliable across executor
+    loss); never a local checkpoint.
+    """
+    from fleetpulse.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def chunk_ids(df: DataFrame, order: Sequence[str], size: int, out: str = "chunk_id") -> DataFrame:
     """Split rows ordered by ``order`` into chunks of ``size`` (last may be short).
 
@@ -101,18 +113,20 @@ def dense_rank_global(df: DataFrame, order: Sequence[str], out: str = "rank") ->
     ``order`` must be a total order (append a unique tiebreak if needed).
     """
     sorted_df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    with_pid = sorted_df.withColumn("_pid", F.spark_partition_id())
-    # Pass 1: per-partition counts -> exclusive running offsets (one row per partition).
-    counts = with_pid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    pid = F.spark_partition_id()
+    # Position inside the partition: the monotonic id is (partition index << 33)
+    # + row index. The annotated rows are checkpointed once so both passes see
+    # the same range bounds (each exchange would otherwise sample its own).
+    local = _materialize(sorted_df.select(
+        "*", pid.alias("_pid"),
+        (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33) + 1).alias("_local"),
+    ))
+    # Per-partition counts -> exclusive running offsets (one row per partition).
+    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
     ).fillna(0, subset=["_off"])
-    # Pass 2: position inside the partition. The monotonic id is
-    # (partition index << 33) + row index, so the row index needs no window.
-    local = with_pid.withColumn(
-        "_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33) + 1
-    )
     return (
         local.join(F.broadcast(offsets), "_pid")
         .withColumn(out, (F.col("_off") + F.col("_local")).cast("long"))
@@ -137,10 +151,10 @@ def key_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     keys, order = list(keys), list(order)
     ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     pid = F.spark_partition_id()
-    pos = ranged.select(
+    pos = _materialize(ranged.select(
         "*", pid.alias("_pid"),
         (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_pos"),
-    )
+    ))
     # Per (partition, key): first position and row count -> rows of the key in earlier partitions.
     spans = pos.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -110,6 +110,13 @@ class CounterDeltaSink:
         return os.path.join(self.state_root, best) if best else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # written to two places below; computed once
+        try:
+            self._apply(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _apply(self, batch: DataFrame, batch_id: int) -> None:
         cur = batch.withColumn("_new", F.lit(True))
         prev_path = self._latest_state(batch_id)
         if prev_path:
