@@ -4,7 +4,6 @@ checkpoint location per call)."""
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import functions as F
 
@@ -325,3 +324,33 @@ def q_problematic_from_lake(spark, sf_dir):
 
     stored = materialize(lake(spark, sf_dir), I.scratch_path(spark, "lake"))
     return V.problematic_instances(stored, AS_OF)
+
+
+_MANIFEST_SQL = "(VALUES " + ", ".join(
+    f"('{n}', '{cad}')" for n, _t, _l, cad, _to, en, _c in M.COLLECTORS if en is not False
+) + ") m(collector_name, cadence)"
+
+
+@register("cycle_summary_run", f"""
+WITH run AS (SELECT max(collected_at) AS run_at FROM raw_attempts),
+s AS ({_SUMMARY})
+SELECT m.collector_name, coalesce(s.collected_at, (SELECT run_at FROM run)) AS collected_at,
+       CAST(coalesce(s.instances, 0) AS BIGINT) AS instances, CAST(coalesce(s.rows_collected, 0) AS INTEGER) AS rows_collected,
+       CAST(coalesce(s.errors, 0) AS BIGINT) AS errors, s.duration_ms, coalesce(s.status, 'empty') AS status
+FROM {_MANIFEST_SQL}
+LEFT JOIN s ON s.collector_name = m.collector_name AND s.collected_at = (SELECT run_at FROM run)""")
+def q_cycle_summary_run(spark, sf_dir):
+    """A12 one-run form: the newest cycle, every manifest collector listed."""
+    r = raw(spark, sf_dir)
+    return I.cycle_summary_for(spark, r.raw_attempts, r.raw_results)
+
+
+@register("cadence_tiers", f"""
+SELECT m.cadence, count(DISTINCT s.collector_name) AS collectors, sum(s.rows_collected) AS rows_collected,
+       sum(s.errors) AS errors
+FROM ({_SUMMARY}) s JOIN {_MANIFEST_SQL} ON m.collector_name = s.collector_name
+GROUP BY m.cadence""")
+def q_cadence_tiers(spark, sf_dir):
+    """One tier per cadence over enabled collectors, applied to the cycles' results."""
+    r = raw(spark, sf_dir)
+    return I.cadence_tiers(spark, r.raw_attempts, r.raw_results)

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import functions as F
 
 import fleetpulse.catalog.scoring  # noqa: F401  (scoring oracle CTEs)
 from fleetpulse import schemas as S

@@ -208,21 +208,41 @@ def cycle_summary(attempts: DataFrame, results: DataFrame) -> DataFrame:
     return agg.withColumn("status", status)
 
 
-def cycle_summary_for(spark: SparkSession, attempts: DataFrame, results: DataFrame, cycle: str) -> DataFrame:
-    """A12 for one run: every manifest collector appears (no rows -> ``empty``)."""
+def cycle_summary_for(spark: SparkSession, attempts: DataFrame, results: DataFrame, cycle=None) -> DataFrame:
+    """A12 for one run: every manifest collector appears (no rows -> ``empty``).
+
+    ``cycle`` defaults to the newest cycle in ``attempts`` (a scalar subquery).
+    The manifest is a fixed table of 17 collectors, so its join is bounded.
+    """
     from fleetpulse.functions.scalar import ts_lit
 
-    one = cycle_summary(attempts.filter(F.col("collected_at") == ts_lit(cycle)),
-                        results.filter(F.col("collected_at") == ts_lit(cycle)))
-    names = M.collectors_df(spark).select("collector_name", ts_lit(cycle).alias("collected_at"))
-    out = names.join(one, ["collector_name", "collected_at"], "left")
+    at = attempts.select(F.max("collected_at")).scalar() if cycle is None else ts_lit(cycle)
+    one = cycle_summary(attempts.filter(F.col("collected_at") == at),
+                        results.filter(F.col("collected_at") == at))
+    names = M.collectors_df(spark).select("collector_name")
+    out = names.join(one, "collector_name", "left")
     return out.select(
-        "collector_name", "collected_at", F.coalesce("instances", F.lit(0)).alias("instances"),
-        F.coalesce("rows_collected", F.lit(0)).alias("rows_collected"), F.coalesce("errors", F.lit(0)).alias("errors"),
+        "collector_name", F.coalesce("collected_at", at).alias("collected_at"),
+        F.coalesce("instances", F.lit(0)).cast("long").alias("instances"),
+        F.coalesce("rows_collected", F.lit(0)).alias("rows_collected"),
+        F.coalesce("errors", F.lit(0)).cast("long").alias("errors"),
         "duration_ms", F.coalesce("status", F.lit("empty")).alias("status"),
     )
 
 
+def cadence_tiers(spark: SparkSession, attempts: DataFrame, results: DataFrame) -> DataFrame:
+    """T5 / P9 applied to data: per cadence tier of enabled collectors, the
+    collectors that ran and the rows they returned from responsive instances."""
+    tiers = M.collectors_df(spark).filter(F.coalesce(F.col("enabled"), F.lit(True))) \
+        .select("collector_name", "cadence")
+    s = cycle_summary(attempts, results).join(tiers, "collector_name")
+    return s.groupBy("cadence").agg(
+        F.countDistinct("collector_name").alias("collectors"),
+        F.sum("rows_collected").alias("rows_collected"),
+        F.sum("errors").alias("errors"),
+    )
+
+
 def collection_log(attempts: DataFrame, results: DataFrame) -> DataFrame:
     """T4: one log row per collector per cycle with ``instance_id`` NULL."""
     s = cycle_summary(attempts, results)
