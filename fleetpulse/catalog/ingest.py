@@ -354,3 +354,14 @@ def q_cadence_tiers(spark, sf_dir):
     """One tier per cadence over enabled collectors, applied to the cycles' results."""
     r = raw(spark, sf_dir)
     return I.cadence_tiers(spark, r.raw_attempts, r.raw_results)
+
+
+@register("problematic_from_scores", "SELECT * FROM o_problematic")
+def q_problematic_from_scores(spark, sf_dir):
+    """T13 + V14: scores materialized once (partitioned by month), then the flagship
+    reads them recent-window first instead of recomputing the scoring chain."""
+    path = I.scratch_path(spark, "health_scores")
+    lk = lake(spark, sf_dir)
+    I.overwrite_partitions(V.health_scores(lk, AS_OF), path, S.SCORE_PARTITIONS)
+    scores = I.read_lake_table(spark, path, S.HEALTH_SCORES)
+    return V.problematic_from_scores(lk, scores, AS_OF)

@@ -422,18 +422,14 @@ def worst_first(df: DataFrame) -> DataFrame:
     )
 
 
-@reuse_plan
-def problematic_instances(lake, as_of, ordered: bool = True) -> DataFrame:
-    """Unresponsive OR high-IRC instances, flagged, worst first.
-
-    ``UNION`` of the two key sets followed by two left joins equals one full
-    outer join of the two (both are unique by instance_id), which plans the
-    scoring subtree once.
-    """
-    u = unresponsive(lake, as_of).withColumn("_u", F.lit(True))
-    h = high_irc(lake, as_of).withColumn("_h", F.lit(True))
+def assemble_problematic(unresponsive_df: DataFrame, high_irc_df: DataFrame, instances: DataFrame,
+                         ordered: bool = True) -> DataFrame:
+    """V14 assembly: the two populations (each unique by instance) as one full
+    outer join (equal to their UNION followed by two left joins), flagged."""
+    u = unresponsive_df.withColumn("_u", F.lit(True))
+    h = high_irc_df.withColumn("_h", F.lit(True))
     both = u.join(h, "instance_id", "full")
-    inst = lake.instances.select("instance_id", "instance_fqn", "platform", "environment", "status")
+    inst = instances.select("instance_id", "instance_fqn", "platform", "environment", "status")
     out = both.join(inst, "instance_id").select(
         "instance_id", "instance_fqn", "platform", "environment", "status",
         F.col("_u").isNotNull().alias("is_unresponsive"),
@@ -442,3 +438,56 @@ def problematic_instances(lake, as_of, ordered: bool = True) -> DataFrame:
         F.coalesce(F.col("irc_index"), F.lit(0).cast("tinyint")).alias("irc_index"),
     )
     return worst_first(out) if ordered else out
+
+
+@reuse_plan
+def problematic_instances(lake, as_of, ordered: bool = True) -> DataFrame:
+    """Unresponsive OR high-IRC instances, flagged, worst first.
+
+    ``UNION`` of the two key sets followed by two left joins equals one full
+    outer join of the two (both are unique by instance_id), which plans the
+    scoring subtree once.
+    """
+    return assemble_problematic(unresponsive(lake, as_of), high_irc(lake, as_of), lake.instances, ordered)
+
+
+RECENT_SCORE_DAYS = 2
+
+
+def _packed_latest(scores: DataFrame) -> DataFrame:
+    packed = F.unix_micros(F.col("coll_hr").cast("timestamp")) * IRC_SLOTS + F.col("irc_index").cast("long")
+    best = scores.groupBy("instance_id").agg(F.max(packed).alias("_p"))
+    return best.select(
+        "instance_id",
+        F.timestamp_micros(F.floor(F.col("_p") / IRC_SLOTS).cast("long")).cast("timestamp_ntz").alias("coll_hr"),
+        (F.col("_p") % IRC_SLOTS).cast("tinyint").alias("irc_index"),
+    )
+
+
+def latest_health_from_scores(scores: DataFrame, instances: DataFrame, as_of,
+                              days: int = RECENT_SCORE_DAYS) -> DataFrame:
+    """V13 input from the materialized ``health_scores`` table.
+
+    Recent window first: an instance scored after ``as_of - days`` has its
+    latest hour there, and the month folders before that are pruned; only
+    instances without a recent score read their older months (semi-join on
+    that small set, removed by AQE when empty). Exact.
+    """
+    lo = minus_days(as_of_col(as_of), days)
+    recent = scores.filter(F.col("coll_hr") >= lo)
+    if {"year", "month"} <= set(scores.columns):
+        month = F.make_date(F.col("year").cast("int"), F.col("month").cast("int"), F.lit(1))
+        recent = recent.filter(month >= F.trunc(F.to_date(lo), "MM"))
+    hit = _packed_latest(recent)
+    missing = instances.select("instance_id").join(hit, "instance_id", "left_anti")
+    older = _packed_latest(scores.join(missing, "instance_id", "left_semi"))
+    return hit.unionByName(older)
+
+
+def problematic_from_scores(lake, scores: DataFrame, as_of, ordered: bool = True) -> DataFrame:
+    """V14 at scale: unresponsive from the 28-day ping window, high IRC from the
+    materialized scores instead of recomputing the whole scoring chain."""
+    h = latest_health_from_scores(scores, lake.instances, as_of).filter(
+        F.col("irc_index") >= HIGH_IRC_MIN).select(
+        "instance_id", F.col("coll_hr").alias("latest_coll_hr"), "irc_index")
+    return assemble_problematic(unresponsive(lake, as_of), h, lake.instances, ordered)

@@ -146,3 +146,14 @@ def test_half_even_rounding_of_averages(spark):
     r = V.health_scores(lake, AS_OF).filter(F.hour("coll_hr") == 10).collect()
     assert r[0].sql_cpu == 2
     assert fx.CPU  # fixture constants stay importable
+
+
+def test_latest_health_from_scores_fallback_matches(spark):
+    """Scores older than the recent window are found through the exact fallback."""
+    lake = golden_lake(spark)
+    scores = V.health_scores(lake, AS_OF)
+    late = "2026-06-10 00:00:00"  # two weeks later: nothing in the 2-day window
+    got = V.latest_health_from_scores(scores, lake.instances, late).collect()
+    assert [(r.instance_id, r.coll_hr.hour, r.irc_index) for r in got] == [(1000, 12, 8)]
+    p = V.problematic_from_scores(lake, scores, late).collect()
+    assert len(p) == 1 and p[0].irc_index == 8 and p[0].is_high_irc
