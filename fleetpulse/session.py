@@ -36,6 +36,16 @@ SCALE_CONF = {
 }
 
 
+# Settings for a cluster run (not used for local tests, which pass a small
+# shuffle-partition count): start shuffles wide and let AQE coalesce them to
+# ~128 MB, since AQE can merge partitions but never split ordinary ones.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+}
+
+
 def build_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
@@ -47,6 +57,8 @@ def build_session(
     if master:
         builder = builder.master(master)
     conf = dict(SCALE_CONF)
+    if shuffle_partitions is None:
+        conf.update(CLUSTER_CONF)
     conf.update(REQUIRED_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"

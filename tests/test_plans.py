@@ -88,3 +88,14 @@ def test_stored_lake_prunes_folders(spark, scratch):
     ping_scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "/common/pings" in ln]
     assert ping_scans and all("make_date" in ln and "GreaterThan(collected_at" in ln for ln in ping_scans)
     assert V.problematic_instances(stored, "2024-01-31 00:00:00").count() >= 1
+
+
+def test_top_n_limits_groups_before_the_shuffle(spark):
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # inspect the static plan
+    try:
+        plan = _plan(entry.queries()["top_waits"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "WindowGroupLimit" in plan and "Partial" in plan
