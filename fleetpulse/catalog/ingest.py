@@ -193,9 +193,9 @@ SELECT instance_id, instance_fqn AS connect_target, auth_mode, platform FROM ins
 WHERE status = 'a' AND platform = 'sqlserver' ORDER BY instance_id LIMIT 1000""")
 def q_active_fleet(spark, sf_dir):
     """Active instances of one platform, ordered, limited (the limit is the feature)."""
-    i = lake(spark, sf_dir).instances
-    return i.filter((F.col("status") == "a") & (F.col("platform") == "sqlserver")).orderBy("instance_id") \
-        .limit(1000).select("instance_id", F.col("instance_fqn").alias("connect_target"), "auth_mode", "platform")
+    from fleetpulse.plans.api import active_fleet
+
+    return active_fleet(lake(spark, sf_dir).instances, "sqlserver", limit=1000)
 
 
 @register("fleet_csv", """SELECT instance_id, connect_target FROM raw_attempts""")
