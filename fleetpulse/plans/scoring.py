@@ -245,22 +245,13 @@ def threshold_scalars(score_thresholds: DataFrame) -> Column:
     return piv.select(F.struct(*piv.columns).alias("th")).scalar()
 
 
-@reuse_plan
-def health_base(lake, as_of) -> DataFrame:
-    """V10 base: eligible databases x CPU hours (J2), four left joins (J3), P7."""
-    ed = eligible_databases(lake.databases, lake.instances)
-    cpu = cpu_hourly(lake.metric_cpu, as_of)
-    mem = memory_hourly(lake.metric_memory, as_of)
-    ses = sessions_hourly(lake.metric_sessions, as_of)
-    io = io_latency_hourly(lake.metric_database_io, as_of)
-    blk = blocking_hourly(lake.metric_blocking, as_of)
-    # Instance-level measures are joined at instance-hour grain, before the
-    # fan-out to databases multiplies the rows; per-database ones after it.
-    inst_hr = (
-        cpu.filter(F.col("coll_hr") < closed_hour_cut(as_of))
-        .join(mem, ["instance_id", "coll_hr"], "left")
-        .join(ses, ["instance_id", "coll_hr"], "left")
-    )
+def join_health_base(ed: DataFrame, cpu: DataFrame, mem: DataFrame, ses: DataFrame, io: DataFrame,
+                     blk: DataFrame) -> DataFrame:
+    """V10 base from its hourly components: eligible databases x CPU hours (J2),
+    four left joins (J3). Instance-level measures are joined at instance-hour
+    grain, before the fan-out to databases multiplies the rows; per-database
+    ones after it."""
+    inst_hr = cpu.join(mem, ["instance_id", "coll_hr"], "left").join(ses, ["instance_id", "coll_hr"], "left")
     base = (
         inst_hr.join(ed, "instance_id")
         .join(io, ["instance_id", "database_id", "coll_hr"], "left")
@@ -277,6 +268,17 @@ def health_base(lake, as_of) -> DataFrame:
     )
 
 
+@reuse_plan
+def health_base(lake, as_of) -> DataFrame:
+    """V10 base over all history up to the closed-hour cut."""
+    cpu = cpu_hourly(lake.metric_cpu, as_of).filter(F.col("coll_hr") < closed_hour_cut(as_of))
+    return join_health_base(
+        eligible_databases(lake.databases, lake.instances), cpu,
+        memory_hourly(lake.metric_memory, as_of), sessions_hourly(lake.metric_sessions, as_of),
+        io_latency_hourly(lake.metric_database_io, as_of), blocking_hourly(lake.metric_blocking, as_of),
+    )
+
+
 HEALTH_COLUMNS = [
     "instance_id", "database_id", "platform", "coll_hr", "year", "month", "sql_cpu", "idl_cpu",
     "oth_cpu", "ple_sec", "read_latency_ms", "write_latency_ms", "max_blocking_sessions",
@@ -451,6 +453,56 @@ def problematic_instances(lake, as_of, ordered: bool = True) -> DataFrame:
     return assemble_problematic(unresponsive(lake, as_of), high_irc(lake, as_of), lake.instances, ordered)
 
 
+# ------------------------------------------------------- incremental scoring
+IO_KEYS = ["instance_id", "database_id"]
+
+
+def io_latency_seeded(buckets: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """V6 steps 2-4 over new hourly buckets, with the lag seeded from ``state``
+    (the last bucket per (instance, database) before them). Returns the latency
+    rows of the new buckets and the next state. The window sees one state row
+    plus the new hours per key, so its groups stay small.
+    """
+    cur = buckets.withColumn("_new", F.lit(True))
+    both = cur.unionByName(state.withColumn("_new", F.lit(False))) if state is not None else cur
+    lagged = lag_with_default(both, IO_KEYS, "coll_hr", IO_NAMES, 0)
+    deltas = lagged.filter(F.col("_new") & all_nonzero([f"lag_{c}" for c in IO_NAMES])).select(
+        *IO_KEYS, "coll_hr", *[reset_guarded_delta(c, f"lag_{c}").alias(c) for c in IO_NAMES])
+    latency = deltas.filter((F.col("num_of_reads") != 0) & (F.col("num_of_writes") != 0)).select(
+        *IO_KEYS, "coll_hr",
+        floor_ratio("io_wait_read_ms", "num_of_reads").alias("read_latency_ms"),
+        floor_ratio("io_wait_write_ms", "num_of_writes").alias("write_latency_ms"),
+    )
+    next_state = latest_per_key(both.drop("_new"), IO_KEYS, ["coll_hr"])
+    return latency, next_state
+
+
+def score_increment(lake, start, end, io_state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """T13 incremental: scores for the closed hours in ``[start, end)`` (both on
+    the hour) and the next IO state.
+
+    Only rows collected in the window are read (folder-pruned on a stored lake);
+    the one dependency on earlier data, the previous IO bucket of each
+    (instance, database), comes from ``io_state``. Running back-to-back windows
+    from the first data onward reproduces the full ``health_scores`` view for
+    those hours (eligibility is evaluated at run time).
+    """
+    lo, hi = as_of_col(start), as_of_col(end)
+
+    def window(df):
+        return time_bound(df, lo=lo, hi=hi, lo_strict=False)
+
+    cpu = cpu_hourly(window(lake.metric_cpu))
+    buckets = io_bucketed(window(lake.metric_database_io))
+    io, next_state = io_latency_seeded(buckets, io_state)
+    base = join_health_base(
+        eligible_databases(lake.databases, lake.instances), cpu,
+        memory_hourly(window(lake.metric_memory)), sessions_hourly(window(lake.metric_sessions)),
+        io, blocking_hourly(window(lake.metric_blocking)),
+    )
+    return score(base, lake.score_thresholds), next_state
+
+
 RECENT_SCORE_DAYS = 2
 
 
