@@ -9,7 +9,9 @@ stays off.
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -81,35 +83,23 @@ def apply_required(spark: SparkSession) -> None:
 
 
 def session_key(spark: SparkSession) -> str:
-    """A stable id for memo tables (works for classic and Connect sessions)."""
-    try:
-        return f"{spark.sparkContext.applicationId}:{id(spark)}"
-    except Exception:  # Spark Connect has no SparkContext
-        return f"connect:{id(spark)}"
+    """A stable id for memo tables."""
+    return f"{spark.sparkContext.applicationId}:{id(spark)}"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a private scratch folder set.
+    Only a local session without one (as in tests) gets a scratch folder, removed at exit; a cluster session without
+    one is an error, since a folder of one machine would be missing on the others.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        try:
-            configured = spark.sparkContext.getCheckpointDir()
-        except Exception:
-            configured = None
-    if configured:
-        try:
-            if not spark.sparkContext.getCheckpointDir():
-                spark.sparkContext.setCheckpointDir(configured)
-        except Exception:
-            pass
-        return configured
-    local = tempfile.mkdtemp(prefix="fleetpulse-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    try:
-        spark.sparkContext.setCheckpointDir(local)
-    except Exception:
-        pass
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="fleetpulse-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
