@@ -29,7 +29,7 @@ WINDOW = 3
 FIT_ROWS = 8_000
 BINS = 64
 MAX_RULES, MAX_CONDITIONS = 8, 3
-LEAST_PRECISION, LEAST_COVER = 0.95, 10
+LEAST_PRECISION, LEAST_COVER = 0.95, 4
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Ratios over which rules are learned; thresholds lie midway between neighbouring quantiles of labelled rows.
