@@ -151,7 +151,7 @@ def q_json_rows(spark, sf_dir):
     """Rows rendered as JSON text (no SQL oracle for the text form)."""
     lk = lake(spark, sf_dir)
     df = lk.metric_database_io.select(
-        "instance_id", "collected_at", (F.col("num_of_bytes_read") * F.lit(1 << 40)).alias("big_bytes"),
+        "instance_id", "collected_at", (F.col("num_of_bytes_read") + F.lit(1 << 53)).alias("big_bytes"),
         "num_of_reads",
     )
     return Q.json_rows(df)

@@ -44,6 +44,11 @@ SELECT instance_id, {STAMP_SQL}, collected_at,
 FROM {_RESPONSIVE} r WHERE {_GOOD}"""
 
 
+def _cycle_pings(spark, sf_dir):
+    """The fixture's cycles are daily and stamped at midnight, so its pings take that stamp."""
+    return lake(spark, sf_dir).pings.withColumn("collected_at", F.date_trunc("day", "collected_at").cast("timestamp_ntz"))
+
+
 def _landed(spark, sf_dir):
     return raw(spark, sf_dir).raw_landed_cpu.drop("row_id")
 
@@ -51,7 +56,7 @@ def _landed(spark, sf_dir):
 @register("stamp_project", _STAGED)
 def q_stamp_project(spark, sf_dir):
     """P1 (with P10, P3, P2): landed rows -> target rows in contract order."""
-    rows, _ = I.stage(_landed(spark, sf_dir), "metric_cpu", lake(spark, sf_dir).pings)
+    rows, _ = I.stage(_landed(spark, sf_dir), "metric_cpu", _cycle_pings(spark, sf_dir))
     return rows
 
 
@@ -60,7 +65,7 @@ SELECT instance_id, collected_at, engine_cpu_percent, other_cpu_percent, system_
 FROM {_RESPONSIVE} r WHERE NOT {_GOOD}""")
 def q_typed_coerce(spark, sf_dir):
     """The quarantined rows (a non-NULL value that does not fit its type)."""
-    _, bad = I.stage(_landed(spark, sf_dir), "metric_cpu", lake(spark, sf_dir).pings)
+    _, bad = I.stage(_landed(spark, sf_dir), "metric_cpu", _cycle_pings(spark, sf_dir))
     return bad.select("instance_id", "collected_at", "engine_cpu_percent", "other_cpu_percent",
                       "system_idle_percent")
 
@@ -77,7 +82,7 @@ def q_partition_stamp(spark, sf_dir):
 def q_collector_ingest(spark, sf_dir):
     """Stage and append to the partitioned lake, then read the table back."""
     root = I.scratch_path(spark, "lake")
-    path, _ = I.collector_ingest(spark, _landed(spark, sf_dir), "metric_cpu", lake(spark, sf_dir).pings, root)
+    path, _ = I.collector_ingest(spark, _landed(spark, sf_dir), "metric_cpu", _cycle_pings(spark, sf_dir), root)
     return I.read_lake_table(spark, path, S.METRIC_CPU)
 
 
@@ -190,12 +195,12 @@ def q_error_class(spark, sf_dir):
 
 @register("active_fleet", """
 SELECT instance_id, instance_fqn AS connect_target, auth_mode, platform FROM instances
-WHERE status = 'a' AND platform = 'sqlserver' ORDER BY instance_id LIMIT 1000""")
+WHERE status = 'a' AND platform = 'sqlserver' ORDER BY instance_id LIMIT 100000""")
 def q_active_fleet(spark, sf_dir):
     """Active instances of one platform, ordered, limited (the limit is the feature)."""
     from fleetpulse.plans.api import active_fleet
 
-    return active_fleet(lake(spark, sf_dir).instances, "sqlserver", limit=1000)
+    return active_fleet(lake(spark, sf_dir).instances, "sqlserver")
 
 
 @register("fleet_csv", """SELECT instance_id, connect_target FROM raw_attempts""")

@@ -160,12 +160,19 @@ def key_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("_pid", *keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (
-        pos.join(spans, ["_pid", *keys])
+        null_safe_join(pos, spans, ["_pid", *keys])
         .withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("long"))
         .drop("_pid", "_pos", "_first", "_off")
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL equals NULL, as in a window's groups; the left side's keys are kept."""
+    own = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    met = left.join(own, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how)
+    return met.drop(*(f"_r_{k}" for k in keys))
+
+
 def with_blocks(df: DataFrame, halo: int, block: int, ord_col: str = "_ord") -> DataFrame:
     """Assign ``_blk`` and add the last ``halo`` rows of each block to the next one (``_halo`` true)."""
     if halo >= block:
@@ -215,7 +222,7 @@ def run_length_since(df: DataFrame, keys: Sequence[str], reset: str, out: str,
     carry = per_block.select(*keys, "_blk", F.max("_blk_last").over(earlier).alias("_carry"))
     last = F.coalesce(F.col("_last_in"), F.col("_carry"), F.lit(0))
     return (
-        b.join(carry, [*keys, "_blk"], "left")
+        null_safe_join(b, carry, [*keys, "_blk"], "left")
         .withColumn(out, (F.col(ord_col) - last).cast("long"))
         .drop("_blk", "_halo", "_last_in", "_carry")
     )

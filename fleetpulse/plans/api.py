@@ -39,7 +39,7 @@ def list_instances(instances: DataFrame, platform: str | None = None) -> DataFra
     ).orderBy("instance_fqn")
 
 
-def active_fleet(instances: DataFrame, platform: str, ids=None, limit: int = 10_000) -> DataFrame:
+def active_fleet(instances: DataFrame, platform: str, ids=None, limit: int = 100_000) -> DataFrame:
     """Active instances of one platform (optionally an id list), ordered, limited.
 
     Collection uses status ``a`` only, while scoring accepts ``a`` and ``b`` (D12).
@@ -79,6 +79,7 @@ def latest_recent_first(df: DataFrame, cols: list[str], prefix: str, instances:
     empty and AQE removes that branch.
     """
     lo = minus_days(V.as_of_col(as_of), days)
+    df = df.filter(F.col("collected_at") <= V.as_of_col(as_of))
     recent = _latest(V.time_bound(df, lo=lo), cols, prefix)
     missing = J.anti(instances.select("instance_id"), recent, ["instance_id"])
     older = _latest(J.semi(df, missing, ["instance_id"]), cols, prefix)
@@ -132,7 +133,7 @@ def metric_history(lake, instance_fqn: str, metric: str, hours: int, as_of) -> D
     m = getattr(lake, table)
     return (
         m.join(inst, "instance_id")
-        .filter(F.col("collected_at") >= lo)
+        .filter((F.col("collected_at") >= lo) & (F.col("collected_at") <= V.as_of_col(as_of)))
         .select("collected_at", *cols)
         .orderBy("collected_at")
     )
@@ -155,7 +156,8 @@ def run_query(spark: SparkSession, sql: str, limit: int = DEFAULT_ROWS) -> DataF
     """Run one read-only query over the registered views, bounded by LIMIT."""
     if not 1 <= int(limit) <= MAX_ROWS:
         raise ValueError(f"limit must be in 1..{MAX_ROWS}")
-    return spark.sql(check_query_text(sql)).limit(int(limit))
+    # As a subquery, so that a statement that writes (INSERT behind a WITH) does not parse.
+    return spark.sql(f"SELECT * FROM (\n{check_query_text(sql)}\n) AS q LIMIT {int(limit)}")
 
 
 def register_views(spark: SparkSession, lake, names) -> None:
@@ -175,7 +177,7 @@ def json_rows(df: DataFrame) -> DataFrame:
         if f.dataType.typeName() == "long":
             val = (
                 F.when(c.isNull(), F.lit("null"))
-                .when(F.abs(c) > F.lit(limit), F.concat(F.lit('"'), c.cast("string"), F.lit('"')))
+                .when((c > F.lit(limit)) | (c < F.lit(-limit)), F.concat(F.lit('"'), c.cast("string"), F.lit('"')))
                 .otherwise(c.cast("string"))
             )
             parts.append(F.concat(F.lit(f'"{f.name}":'), val))

@@ -137,29 +137,35 @@ def stamp_project(df: DataFrame, collector: str) -> DataFrame:
 
 
 def successful_cycles(pings: DataFrame) -> DataFrame:
-    """The (instance, cycle day) pairs whose ping succeeded."""
+    """The (instance, cycle stamp) pairs whose ping succeeded; a cycle's ping and rows share its stamp to the second."""
     return pings.filter("is_success").select(
-        "instance_id", F.date_trunc("day", "collected_at").cast("timestamp_ntz").alias("collected_at")
+        "instance_id", F.date_trunc("second", "collected_at").cast("timestamp_ntz").alias("_cycle")
     ).distinct()
 
 
 def stage(landed: DataFrame, collector: str, pings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """T1 plan up to the write: P10 -> P3 -> P2 -> P1. Returns ``(rows, quarantined)``."""
-    responsive = J.semi(landed, successful_cycles(pings), ["instance_id", "collected_at"])
+    cycles = landed.withColumn("_cycle", F.date_trunc("second", "collected_at").cast("timestamp_ntz"))
+    responsive = J.semi(cycles, successful_cycles(pings), ["instance_id", "_cycle"]).drop("_cycle")
     good, bad = typed_coerce(responsive, M.query_columns(collector))
     return stamp_project(cycle_stamp(good), collector), bad
 
 
 def collector_ingest(spark: SparkSession, landed: DataFrame, collector: str, pings: DataFrame,
                      lake_root: str) -> tuple[str, DataFrame]:
-    """Land one collector's results into its partitioned table; returns (table path, quarantine)."""
+    """Land one collector's results into its partitioned table; returns (table path, quarantine).
+
+    Rows that fail coercion are appended under ``<lake_root>/quarantine/<collector>``.
+    """
     rows, bad = stage(landed, collector, pings)
     row = next(c for c in M.COLLECTORS if c[0] == collector)
     ns, table = row[1].split(".")
     path = os.path.join(lake_root, ns, table)
     partitions = S.TABLES[(ns, table)][1]
     partitioned_append(rows, path, partitions)
-    return path, bad
+    held = os.path.join(lake_root, "quarantine", collector)
+    bad.write.mode("append").parquet(held)
+    return path, spark.read.schema(bad.schema).parquet(held)
 
 
 # ------------------------------------------------------------------ T2-T4

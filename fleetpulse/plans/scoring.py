@@ -340,8 +340,9 @@ def health_scores_instance(lake, as_of, scores: DataFrame | None = None) -> Data
 
 # ------------------------------------------------------------ V12 .. V14
 def ping_window(pings: DataFrame, as_of) -> DataFrame:
-    """Pings strictly newer than ``as_of - 28 days``."""
+    """Pings strictly newer than ``as_of - 28 days``, none after ``as_of``."""
     lo = minus_days(as_of_col(as_of), PING_ENVELOPE_DAYS)
+    pings = pings.filter(F.col("collected_at") <= as_of_col(as_of))
     return time_bound(pings, lo=lo).select("instance_id", "collected_at", "is_success")
 
 
@@ -526,6 +527,7 @@ def latest_health_from_scores(scores: DataFrame, instances: DataFrame, as_of,
     that small set, removed by AQE when empty). Exact.
     """
     lo = minus_days(as_of_col(as_of), days)
+    scores = scores.filter(F.col("coll_hr") < closed_hour_cut(as_of))
     recent = scores.filter(F.col("coll_hr") >= lo)
     if {"year", "month"} <= set(scores.columns):
         month = F.make_date(F.col("year").cast("int"), F.col("month").cast("int"), F.lit(1))

@@ -26,6 +26,51 @@ def test_run_query_gates(spark):
         Q.check_query_text("SELECT ';' AS x")  # a literal ';' rejects the query (kept behaviour)
 
 
+def test_run_query_cannot_write(spark):
+    from pyspark.errors import ParseException
+
+    with pytest.raises(ParseException):
+        Q.run_query(spark, "WITH s AS (SELECT 7 AS a) INSERT INTO tgt SELECT a FROM s")
+
+
+def test_json_rows_of_extreme_longs(spark):
+    df = spark.createDataFrame([(-(2**63),), (2**53 - 1,), (2**53,), (None,)], "x long")
+    assert [r.json for r in Q.json_rows(df).collect()] == [
+        '{"x":"-9223372036854775808"}', '{"x":9007199254740991}', '{"x":"9007199254740992"}', '{"x":null}']
+
+
+def test_cycles_off_midnight_are_staged(spark, scratch):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 2, 10, 5)
+    pings = spark.createDataFrame([(1, at, True), (2, at, False)], "instance_id int, collected_at timestamp_ntz, is_success boolean")
+    landed = spark.createDataFrame(
+        [(1, at, "7", "1", "92"), (1, at, "x", "1", "92"), (2, at, "7", "1", "92")],
+        "instance_id int, collected_at timestamp_ntz, engine_cpu_percent string, other_cpu_percent string, system_idle_percent string")
+    path, bad = I.collector_ingest(spark, landed, "metric_cpu", pings, scratch)
+    assert I.read_lake_table(spark, path, S.METRIC_CPU).count() == 1 and bad.count() == 1
+
+
+def test_null_keys_keep_their_rows(spark):
+    from fleetpulse.operators.windows import key_ordinal, lag_bounded, run_length_since
+
+    df = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (None, 1, 7), (None, 2, 8)], "k int, t int, v int")
+    got = {(r.k, r.t): r.prev_v for r in lag_bounded(df, ["k"], ["t"], ["v"]).collect()}
+    assert got == {(1, 1): None, (1, 2): 5, (None, 1): None, (None, 2): 7}
+    runs = run_length_since(key_ordinal(df, ["k"], ["t"]).withColumn("hit", F.col("t") == 1), ["k"], "hit", "n", block=1)
+    assert {(r.k, r.t): r.n for r in runs.collect()} == {(1, 1): 0, (1, 2): 1, (None, 1): 0, (None, 2): 1}
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from fleetpulse.session import checkpoint_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
 def test_topk_and_history_bounds(spark):
     lk = DerivedLake(spark, SF)
     with pytest.raises(ValueError):
