@@ -20,8 +20,8 @@ DERIVED: dict[str, str] = {}
 
 DERIVED["ev"] = """
 SELECT event_id, ts, user_id, event_type, value,
-       CAST(1000 + user_id % 10 AS INTEGER) AS instance_id,
-       CAST(4 + floor(user_id / 10) % 15 AS INTEGER) AS database_id,
+       CAST(1000 + floor(user_id * 2 / 3) AS INTEGER) AS instance_id,
+       CAST(4 + event_id % 15 AS INTEGER) AS database_id,
        CAST(floor((day(ts) - 1) / 10) AS INTEGER) AS ep
 FROM events"""
 
@@ -29,7 +29,7 @@ DERIVED["pings"] = f"""
 SELECT {_STAMP},
        CAST(CASE WHEN event_type = 'error' THEN 5000 ELSE CAST(floor(value) AS INTEGER) END AS INTEGER)
            AS response_time_ms,
-       NOT (event_type = 'error' OR (instance_id IN (1003, 1007) AND ts >= TIMESTAMP '2024-01-29 00:00:00'))
+       NOT (event_type = 'error' OR (instance_id % 50 IN (3, 7) AND ts >= TIMESTAMP '2024-01-28 00:00:00'))
            AS is_success
 FROM ev"""
 
@@ -83,18 +83,18 @@ FROM ev WHERE event_type = 'error'"""
 DERIVED["instances"] = """
 SELECT CAST(1000 + s_suppkey AS INTEGER) AS instance_id, lower(s_name) AS instance_fqn,
        lower(s_name) AS instance_name, 'sqlserver' AS platform,
-       CASE WHEN s_suppkey = 8 THEN 'Q' ELSE 'P' END AS environment,
-       CASE WHEN s_suppkey = 9 THEN 'x' WHEN s_suppkey = 4 THEN 'b' ELSE 'a' END AS status,
+       CASE WHEN s_suppkey % 10 = 8 THEN 'Q' ELSE 'P' END AS environment,
+       CASE WHEN s_suppkey % 10 = 9 THEN 'x' WHEN s_suppkey % 10 = 4 THEN 'b' ELSE 'a' END AS status,
        'standard' AS category, '16.0' AS engine_version, (s_suppkey % 3 = 0) AS is_clustered,
        FALSE AS dmz, 'corp' AS domain, 'integrated' AS auth_mode,
        TIMESTAMP '2023-12-01 00:00:00' AS registered_at, CAST(NULL AS TIMESTAMP) AS updated_at
-FROM supplier WHERE s_suppkey < 10"""
+FROM supplier"""
 
 DERIVED["databases"] = """
 SELECT k.instance_id, k.database_id, 'sqlserver' AS platform,
        (CASE WHEN k.database_id = 4 THEN 'msdb'
              WHEN k.database_id = 6 AND k.instance_id % 2 = 0 THEN 'uhtdba'
-             WHEN k.database_id = 7 AND k.instance_id = 1005 THEN 'model'
+             WHEN k.database_id = 7 AND k.instance_id % 10 = 5 THEN 'model'
              ELSE 'db_' || CAST(k.database_id AS VARCHAR) END)
          || CASE WHEN s.snap = 2 AND k.database_id >= 10 THEN '_v2' ELSE '' END AS database_name,
        TIMESTAMP '2023-06-01 00:00:00' AS create_date, CAST(160 AS SMALLINT) AS compatibility_level,

@@ -23,8 +23,9 @@ from fleetpulse.sources.driver import read_table
 
 # Fixed values of the derivation (shared with the oracle SQL).
 AS_OF = "2024-01-31 00:00:00"
-OUTAGE_INSTANCES = (1003, 1007)
-OUTAGE_FROM = "2024-01-29 00:00:00"
+#: Remainders by 50 of the instances that stop answering.
+OUTAGE_INSTANCES = (3, 7)
+OUTAGE_FROM = "2024-01-28 00:00:00"
 SNAPSHOTS = ("2024-01-01 00:00:00", "2024-01-15 00:00:00")
 REGISTERED_AT = "2023-12-01 00:00:00"
 
@@ -67,8 +68,8 @@ class DerivedLake:
         e = self.base("events")
         return e.select(
             "event_id", "ts", "user_id", "event_type", "value",
-            (F.lit(1000) + F.col("user_id") % 10).cast("int").alias("instance_id"),
-            (F.lit(4) + F.floor(F.col("user_id") / 10) % 15).cast("int").alias("database_id"),
+            (F.lit(1000) + F.floor(F.col("user_id") * 2 / 3)).cast("int").alias("instance_id"),
+            (F.lit(4) + F.col("event_id") % 15).cast("int").alias("database_id"),
             F.floor((F.dayofmonth("ts") - 1) / 10).cast("int").alias("ep"),
         )
 
@@ -88,7 +89,7 @@ class DerivedLake:
     @cached_property
     def pings(self) -> DataFrame:
         failed = (F.col("event_type") == "error") | (
-            F.col("instance_id").isin(*OUTAGE_INSTANCES) & (F.col("ts") >= ts_lit(OUTAGE_FROM))
+            (F.col("instance_id") % 50).isin(*OUTAGE_INSTANCES) & (F.col("ts") >= ts_lit(OUTAGE_FROM))
         )
         return self._stamped(
             self.ev, S.PINGS,
@@ -160,16 +161,16 @@ class DerivedLake:
     # ------------------------------------------------------------ dimensions
     @cached_property
     def instances(self) -> DataFrame:
-        s = self.base("supplier").filter(F.col("s_suppkey") < 10)
-        k = F.col("s_suppkey")
+        s = self.base("supplier")
+        k, kind = F.col("s_suppkey"), F.col("s_suppkey") % 10
         fqn = F.lower("s_name")
         df = s.select(
             (F.lit(1000) + k).alias("instance_id"),
             fqn.alias("instance_fqn"),
             fqn.alias("instance_name"),
             F.lit(S_PLATFORM).alias("platform"),
-            F.when(k == 8, "Q").otherwise("P").alias("environment"),
-            F.when(k == 9, "x").when(k == 4, "b").otherwise("a").alias("status"),
+            F.when(kind == 8, "Q").otherwise("P").alias("environment"),
+            F.when(kind == 9, "x").when(kind == 4, "b").otherwise("a").alias("status"),
             F.lit("standard").alias("category"),
             F.lit("16.0").alias("engine_version"),
             (k % 3 == 0).alias("is_clustered"),
@@ -188,7 +189,7 @@ class DerivedLake:
         base_name = (
             F.when(db == 4, "msdb")
             .when((db == 6) & (inst % 2 == 0), "uhtdba")
-            .when((db == 7) & (inst == 1005), "model")
+            .when((db == 7) & (inst % 10 == 5), "model")
             .otherwise(F.concat(F.lit("db_"), db.cast("string")))
         )
         snaps = []

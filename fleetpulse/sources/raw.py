@@ -66,7 +66,7 @@ _setting_case = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(CURATED_SE
 RAW: dict[str, str] = {
     # sys.dm_os_wait_stats per instance and month (cumulative counters).
     "raw_waits": """
-SELECT CAST(1000 + l_suppkey % 10 AS INT) AS instance_id, {mon:l_shipdate} AS collected_at,
+SELECT CAST(1000 + l_suppkey AS INT) AS instance_id, {mon:l_shipdate} AS collected_at,
        CASE l_partkey % 40 WHEN 0 THEN 'SLEEP_TASK' WHEN 1 THEN 'WAITFOR' WHEN 2 THEN 'CHECKPOINT_QUEUE'
             ELSE 'WAIT_' || CAST(l_partkey % 40 AS STRING) END AS wait_type,
        CAST(COUNT(*) - 1 AS BIGINT) AS waiting_tasks_count,
@@ -77,7 +77,7 @@ FROM {lineitem}
 GROUP BY 1, 2, 3""",
     # tempdb create date per instance = last restart.
     "raw_tempdb": """
-SELECT instance_id, {addd:registered_at,instance_id - 1000} AS create_date FROM {instances}""",
+SELECT instance_id, {addd:registered_at,instance_id % 60} AS create_date FROM {instances}""",
     # Scheduler-monitor ring buffer records (XML text), one cycle per instance-hour.
     "raw_ring": """
 SELECT instance_id, {hr:ts} AS collected_at, 'RING_BUFFER_SCHEDULER_MONITOR' AS ring_buffer_type,
@@ -90,7 +90,7 @@ SELECT instance_id, {hr:ts} AS collected_at, 'RING_BUFFER_SCHEDULER_MONITOR' AS
 FROM {ev} WHERE event_type = 'view'""",
     # sys.dm_os_performance_counters per instance and month.
     "raw_counters": """
-SELECT CAST(1000 + l_suppkey % 10 AS INT) AS instance_id, {mon:l_shipdate} AS collected_at,
+SELECT CAST(1000 + l_suppkey AS INT) AS instance_id, {mon:l_shipdate} AS collected_at,
        CASE l_linenumber WHEN 1 THEN 'SQLServer:SQL Statistics' WHEN 2 THEN 'SQLServer:SQL Statistics'
             WHEN 3 THEN 'SQLServer:Buffer Manager' WHEN 4 THEN 'SQLServer:Buffer Manager'
             WHEN 5 THEN 'SQLServer:Locks' WHEN 6 THEN 'SQLServer:Access Methods'
@@ -122,9 +122,9 @@ SELECT instance_id, {hr:ts} AS collected_at, event_id AS session_id,
 FROM {ev} WHERE event_type = 'error'""",
     # sys.databases per instance (one catalog snapshot).
     "raw_sysdb": f"""
-SELECT CAST(1000 + p_partkey % 10 AS INT) AS instance_id, {SNAP} AS collected_at,
-       CAST(p_partkey {{div}} 10 AS INT) AS database_id,
-       CASE WHEN p_partkey {{div}} 10 = 2 THEN 'tempdb' ELSE 'db_' || CAST(p_partkey {{div}} 10 AS STRING) END AS name,
+SELECT CAST(1000 + p_partkey {{div}} 20 AS INT) AS instance_id, {SNAP} AS collected_at,
+       CAST(p_partkey % 20 AS INT) AS database_id,
+       CASE WHEN p_partkey % 20 = 2 THEN 'tempdb' ELSE 'db_' || CAST(p_partkey % 20 AS STRING) END AS name,
        CASE WHEN p_partkey % 23 = 5 THEN 1 END AS source_database_id,
        {{addd:{{ts:2023-01-01 00:00:00}},p_partkey % 365}} AS create_date,
        CAST(150 + (p_partkey % 3) * 10 AS INT) AS compatibility_level,
@@ -144,14 +144,14 @@ SELECT CAST(r_regionkey AS INT) AS sid,
 FROM {region}""",
     # sys.master_files, one row per (instance, database, file).
     "raw_files": """
-SELECT CAST(1000 + l_partkey % 10 AS INT) AS instance_id, CAST(l_partkey {div} 10 AS INT) AS database_id,
+SELECT CAST(1000 + l_partkey {div} 20 AS INT) AS instance_id, CAST(l_partkey % 20 AS INT) AS database_id,
        CAST(l_linenumber AS INT) AS file_id, CAST(l_linenumber % 3 AS INT) AS type,
        CASE l_linenumber % 3 WHEN 0 THEN 'ROWS' WHEN 1 THEN 'LOG' ELSE 'FULLTEXT' END AS type_desc,
        CAST(SUM(CAST(floor(l_quantity) AS BIGINT) * 129) AS BIGINT) AS size
 FROM {lineitem} GROUP BY 1, 2, 3, 4, 5""",
     # sys.dm_io_virtual_file_stats, cumulative per file.
     "raw_vfs": """
-SELECT CAST(1000 + l_partkey % 10 AS INT) AS instance_id, CAST(l_partkey {div} 10 AS INT) AS database_id,
+SELECT CAST(1000 + l_partkey {div} 20 AS INT) AS instance_id, CAST(l_partkey % 20 AS INT) AS database_id,
        CAST(l_linenumber AS INT) AS file_id,
        CAST(SUM(l_orderkey % 1000) AS BIGINT) AS num_of_reads,
        CAST(SUM((l_orderkey % 1000) * 8192) AS BIGINT) AS num_of_bytes_read,
@@ -164,8 +164,8 @@ SELECT CAST(1000 + l_partkey % 10 AS INT) AS instance_id, CAST(l_partkey {div} 1
 FROM {lineitem} WHERE l_returnflag <> 'N' GROUP BY 1, 2, 3""",
     # msdb.dbo.backupset.
     "raw_backupset": """
-SELECT CAST(1000 + o_custkey % 10 AS INT) AS instance_id,
-       'db_' || CAST(o_custkey % 20 AS STRING) AS database_name,
+SELECT CAST(1000 + o_custkey {div} 15 AS INT) AS instance_id,
+       'db_' || CAST(o_custkey % 15 AS STRING) AS database_name,
        CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'I' ELSE 'L' END AS type,
        o_orderdate AS backup_finish_date,
        CAST(floor(o_totalprice) AS BIGINT) AS backup_size,
@@ -173,13 +173,13 @@ SELECT CAST(1000 + o_custkey % 10 AS INT) AS instance_id,
 FROM {orders}""",
     # msdb.dbo.suspect_pages.
     "raw_suspect": """
-SELECT CAST(1000 + l_partkey % 10 AS INT) AS instance_id, CAST(l_partkey {div} 10 AS INT) AS database_id,
+SELECT CAST(1000 + l_partkey {div} 20 AS INT) AS instance_id, CAST(l_partkey % 20 AS INT) AS database_id,
        l_orderkey AS page_id
 FROM {lineitem} WHERE l_returnflag = 'R' AND l_linestatus = 'F'""",
     # sys.configurations snapshots: 12 curated names plus 8 others.
     "raw_config": f"""
-SELECT CAST(1000 + (p_partkey {{div}} 20) % 10 AS INT) AS instance_id,
-       {{addh:{{ts:2024-01-01 00:00:00}},p_partkey {{div}} 200}} AS collected_at,
+SELECT CAST(1000 + 2 * (p_partkey {{div}} 40) AS INT) AS instance_id,
+       {{addh:{{ts:2024-01-01 00:00:00}},p_partkey {{div}} 20 % 2}} AS collected_at,
        CASE p_partkey % 20 {_setting_case}
             ELSE 'other setting ' || CAST(p_partkey % 20 AS STRING) END AS name,
        CAST(p_size AS BIGINT) AS value,
@@ -188,20 +188,20 @@ SELECT CAST(1000 + (p_partkey {{div}} 20) % 10 AS INT) AS instance_id,
 FROM {{part}}""",
     # sys.dm_os_sys_info snapshots.
     "raw_osinfo": """
-SELECT CAST(1000 + s_suppkey % 10 AS INT) AS instance_id,
-       {addh:{ts:2024-01-01 00:00:00},s_suppkey {div} 10} AS collected_at,
-       CAST(4 * (1 + s_suppkey % 8) AS INT) AS cpu_count,
-       CAST(CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 2 END AS INT) AS hyperthread_ratio,
-       CAST((16 + s_suppkey % 48) * 1048576 + s_suppkey * 37 AS BIGINT) AS physical_memory_kb,
-       {mkts:(s_suppkey % 50) + CASE WHEN s_suppkey % 2 = 0 THEN 0.25 ELSE 0.75 END} AS sqlserver_start_time,
-       'SRV' || CAST(1000 + s_suppkey % 10 AS STRING) AS server_name,
-       '16.0.' || CAST(4000 + s_suppkey % 100 AS STRING) AS product_version
-FROM {supplier}""",
+SELECT CAST(1000 + p_partkey {div} 20 AS INT) AS instance_id,
+       {addh:{ts:2024-01-01 00:00:00},p_partkey % 20} AS collected_at,
+       CAST(4 * (1 + p_partkey % 8) AS INT) AS cpu_count,
+       CAST(CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 2 END AS INT) AS hyperthread_ratio,
+       CAST((16 + p_partkey % 48) * 1048576 + p_partkey * 37 AS BIGINT) AS physical_memory_kb,
+       {mkts:(p_partkey % 50) + CASE WHEN p_partkey % 2 = 0 THEN 0.25 ELSE 0.75 END} AS sqlserver_start_time,
+       'SRV' || CAST(1000 + p_partkey {div} 20 AS STRING) AS server_name,
+       '16.0.' || CAST(4000 + p_partkey % 100 AS STRING) AS product_version
+FROM {part}""",
     # Availability groups (global ids).
     "raw_ag_groups": """
 SELECT CAST(r_regionkey AS INT) AS group_id, 'ag_' || lower(replace(r_name, ' ', '_')) AS name FROM {region}""",
     "raw_ag_replicas": f"""
-SELECT CAST(1000 + s_suppkey % 10 AS INT) AS instance_id, {SNAP} AS collected_at,
+SELECT CAST(1000 + 5 * (s_suppkey {{div}} 5) AS INT) AS instance_id, {SNAP} AS collected_at,
        CAST(s_suppkey AS INT) AS replica_id, CAST(s_nationkey % 5 AS INT) AS group_id,
        'node' || CAST(s_suppkey AS STRING) AS replica_server_name,
        CASE WHEN s_suppkey % 2 = 0 THEN 'SYNCHRONOUS_COMMIT' ELSE 'ASYNCHRONOUS_COMMIT' END AS availability_mode_desc,
@@ -209,20 +209,20 @@ SELECT CAST(1000 + s_suppkey % 10 AS INT) AS instance_id, {SNAP} AS collected_at
        CASE WHEN s_suppkey % 3 = 0 THEN 'AUTOMATIC' ELSE 'MANUAL' END AS seeding_mode_desc
 FROM {{supplier}}""",
     "raw_ag_replica_states": """
-SELECT CAST(1000 + s_suppkey % 10 AS INT) AS instance_id, CAST(s_suppkey AS INT) AS replica_id,
-       CASE WHEN s_suppkey < 10 THEN 'PRIMARY' ELSE 'SECONDARY' END AS role_desc,
+SELECT CAST(1000 + 5 * (s_suppkey {div} 5) AS INT) AS instance_id, CAST(s_suppkey AS INT) AS replica_id,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'PRIMARY' ELSE 'SECONDARY' END AS role_desc,
        CASE WHEN s_suppkey % 9 = 0 THEN 'OFFLINE' ELSE 'ONLINE' END AS operational_state_desc,
        CASE WHEN s_suppkey % 7 = 0 THEN 'DISCONNECTED' ELSE 'CONNECTED' END AS connected_state_desc,
        'ONLINE' AS recovery_health_desc,
        CASE s_suppkey % 3 WHEN 0 THEN 'HEALTHY' WHEN 1 THEN 'PARTIALLY_HEALTHY' ELSE 'NOT_HEALTHY' END
            AS synchronization_health_desc,
-       (s_suppkey < 10) AS is_local,
+       (s_suppkey % 5 = 0) AS is_local,
        CAST(CASE WHEN s_suppkey % 7 = 0 THEN 35206 END AS INT) AS last_connect_error_number,
        CASE WHEN s_suppkey % 7 = 0 THEN {ts:2024-01-30 12:00:00} END AS last_connect_error_timestamp
 FROM {supplier} WHERE s_suppkey % 4 <> 3""",
     "raw_ag_db_states": """
-SELECT CAST(1000 + p_partkey % 10 AS INT) AS instance_id, CAST(p_partkey {div} 10 AS INT) AS database_id,
-       CAST(p_partkey % 100 AS INT) AS replica_id, CAST(p_size % 5 AS INT) AS group_id,
+SELECT CAST(1000 + 5 * (p_partkey {div} 100) AS INT) AS instance_id, CAST(p_partkey % 20 AS INT) AS database_id,
+       CAST(p_partkey {div} 20 AS INT) AS replica_id, CAST(p_size % 5 AS INT) AS group_id,
        CAST(p_partkey AS BIGINT) AS group_database_id, (p_partkey % 3 <> 0) AS is_local,
        CASE WHEN p_size % 2 = 0 THEN 'SYNCHRONIZED' ELSE 'SYNCHRONIZING' END AS synchronization_state_desc,
        CASE WHEN p_size % 7 = 0 THEN 'NOT_HEALTHY' ELSE 'HEALTHY' END AS synchronization_health_desc,
@@ -230,7 +230,7 @@ SELECT CAST(1000 + p_partkey % 10 AS INT) AS instance_id, CAST(p_partkey {div} 1
        CAST(p_size * 10 AS BIGINT) AS log_send_queue_size, CAST(p_size * 3 AS BIGINT) AS redo_queue_size
 FROM {part}""",
     "raw_ag_db_cluster_states": """
-SELECT CAST(1000 + p_partkey % 10 AS INT) AS instance_id, CAST(p_partkey % 100 AS INT) AS replica_id,
+SELECT CAST(1000 + 5 * (p_partkey {div} 100) AS INT) AS instance_id, CAST(p_partkey {div} 20 AS INT) AS replica_id,
        CAST(p_partkey AS BIGINT) AS group_database_id, (p_size % 3 <> 0) AS is_failover_ready
 FROM {part} WHERE p_partkey % 4 <> 0""",
     "raw_cluster": f"""
@@ -238,14 +238,14 @@ SELECT instance_id, {SNAP} AS collected_at, 'wsfc_' || instance_fqn AS cluster_n
        'NODE_MAJORITY' AS quorum_type_desc, 'NORMAL_QUORUM' AS quorum_state_desc
 FROM {{instances}} WHERE is_clustered""",
     "raw_cluster_members": f"""
-SELECT CAST(1000 + s_suppkey % 10 AS INT) AS instance_id, {SNAP} AS collected_at,
+SELECT CAST(1000 + 5 * (s_suppkey {{div}} 5) AS INT) AS instance_id, {SNAP} AS collected_at,
        'node' || CAST(s_suppkey AS STRING) AS member_name, 'CLUSTER_NODE' AS member_type_desc,
        CASE WHEN s_suppkey % 5 = 0 THEN 'DOWN' ELSE 'UP' END AS member_state_desc,
        CAST(s_suppkey % 2 AS INT) AS number_of_quorum_votes
 FROM {{supplier}}""",
     "raw_mirroring": f"""
-SELECT CAST(1000 + p_partkey % 10 AS INT) AS instance_id, {SNAP} AS collected_at,
-       CAST(p_partkey {{div}} 10 AS INT) AS database_id,
+SELECT CAST(1000 + p_partkey {{div}} 20 AS INT) AS instance_id, {SNAP} AS collected_at,
+       CAST(p_partkey % 20 AS INT) AS database_id,
        CASE WHEN p_partkey % 9 = 0 THEN 'guid-' || CAST(p_partkey AS STRING) END AS mirroring_guid,
        CASE WHEN p_size % 2 = 0 THEN 'SYNCHRONIZED' ELSE 'SUSPENDED' END AS mirroring_state_desc,
        CASE WHEN p_partkey % 2 = 0 THEN 'PRINCIPAL' ELSE 'MIRROR' END AS mirroring_role_desc,
@@ -256,8 +256,8 @@ SELECT CAST(1000 + p_partkey % 10 AS INT) AS instance_id, {SNAP} AS collected_at
        CAST(p_size * 100 AS INT) AS mirroring_redo_queue
 FROM {{part}}""",
     "raw_trace": f"""
-SELECT CAST(1000 + p_partkey % 10 AS INT) AS instance_id, {SNAP} AS collected_at,
-       CAST(p_partkey {{div}} 10 AS INT) AS trace_flag, CAST(p_partkey % 2 AS INT) AS status,
+SELECT CAST(1000 + p_partkey {{div}} 20 AS INT) AS instance_id, {SNAP} AS collected_at,
+       CAST(p_partkey % 20 AS INT) AS trace_flag, CAST(p_partkey % 2 AS INT) AS status,
        CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS INT) AS global,
        CAST(0 AS INT) AS session
 FROM {{part}}""",
@@ -274,9 +274,9 @@ RAW.update({
     # One connection attempt per instance per daily cycle.
     "raw_attempts": """
 SELECT instance_id, {dy:ts} AS collected_at, 'tcp:srv' || CAST(instance_id AS STRING) || ',1433' AS connect_target,
-       NOT (instance_id IN (1003, 1007) AND ts >= {ts:2024-01-29 00:00:00}) AND min(event_id) % 7 <> 3 AS ok,
+       NOT (instance_id % 50 IN (3, 7) AND ts >= {ts:2024-01-28 00:00:00}) AND min(event_id) % 7 <> 3 AS ok,
        CAST(max(event_id) % 900 + 20 AS INT) AS elapsed_ms
-FROM {ev} GROUP BY instance_id, {dy:ts}, NOT (instance_id IN (1003, 1007) AND ts >= {ts:2024-01-29 00:00:00})""",
+FROM {ev} GROUP BY instance_id, {dy:ts}, NOT (instance_id % 50 IN (3, 7) AND ts >= {ts:2024-01-28 00:00:00})""",
     # Result sets returned per (instance, cycle, collector): row count, duration, error text.
     "raw_results": f"""
 SELECT instance_id, {{dy:ts}} AS collected_at,
@@ -298,7 +298,7 @@ FROM {ev} WHERE event_type IN ('view', 'click')""",
 RAW.update({
     # Catalog database counters before/after each benchmark run (cumulative).
     "raw_pg_snapshots": """
-SELECT CAST(o_orderkey % 16 AS INT) AS run_id, phase,
+SELECT CAST(o_orderkey {div} 1000 AS INT) AS run_id, phase,
        CAST(count(*) AS BIGINT) AS xact_commit,
        CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS xact_rollback,
        CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS tup_inserted,
@@ -310,7 +310,7 @@ FROM (SELECT *, 'after' AS phase FROM {orders}
 GROUP BY 1, 2""",
     # Activity rows seen by the sampler (one sample per run and hour).
     "raw_activity": """
-SELECT CAST(l_orderkey % 16 AS INT) AS run_id, {addh:l_shipdate,l_linenumber} AS sample_at,
+SELECT CAST(l_orderkey {div} 1000 AS INT) AS run_id, {addh:l_shipdate,l_linenumber} AS sample_at,
        CASE l_returnflag WHEN 'A' THEN 'active' WHEN 'R' THEN 'idle in transaction' ELSE 'idle' END AS state,
        CASE WHEN l_partkey % 5 = 0 THEN 'Lock' END AS wait_event_type,
        CASE WHEN l_linestatus = 'O' THEN CAST(l_suppkey % 600 AS DOUBLE) + 0.125 END AS xact_age_sec
@@ -321,13 +321,13 @@ SELECT run_id, 'M' || CAST(run_id % 4 + 1 AS STRING) AS method, CAST(32 * (1 + r
        CAST(24 AS INT) AS threads, CAST(CASE WHEN run_id % 2 = 0 THEN 10 ELSE 1000 END AS INT) AS inlining,
        rows_written, commits,
        CASE WHEN run_id = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(mx AS DOUBLE) / 10.0 END AS elapsed_sec, bytes_written
-FROM (SELECT CAST(o_orderkey % 16 AS INT) AS run_id, CAST(count(*) AS BIGINT) AS rows_written,
-             CAST(count(DISTINCT o_custkey % 64) AS BIGINT) AS commits, max(o_orderkey % 1000) AS mx,
+FROM (SELECT CAST(o_orderkey {div} 1000 AS INT) AS run_id, CAST(count(*) AS BIGINT) AS rows_written,
+             CAST(count(DISTINCT o_custkey % 64) AS BIGINT) AS commits, max(o_custkey % 1000) AS mx,
              CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS bytes_written
       FROM {orders} GROUP BY 1) r""",
     # Objects under each run's storage prefix.
     "raw_objects": """
-SELECT CAST(p_partkey % 16 AS INT) AS run_id, 'obj-' || CAST(p_partkey AS STRING) AS object_key,
+SELECT CAST(p_partkey {div} 100 AS INT) AS run_id, 'obj-' || CAST(p_partkey AS STRING) AS object_key,
        CAST(p_size * 1000 AS BIGINT) AS size_bytes
 FROM {part}""",
 })
