@@ -41,7 +41,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 tokens."""
     prepare(spark)
     model = hilbert_pack.read_model(public_tokenizers.path("byte_bpe_50k.json"))
-    return hilbert_pack.pack(docs, model, public_tokenizers.PATTERN)
+    return hilbert_pack.pack(docs, model, public_tokenizers.PATTERN, added=True)
 
 
 STAGES = [

@@ -7,15 +7,18 @@ cuts the stream every ``size`` tokens. What is left at a task's end is cut into
 tasks need not know of each other and a lost one can be repeated alone.
 
 Defined cases: null text counts as empty and gives the end id alone; a null document id is kept; rows that repeat are
-packed each; very long texts are cut like any other; an empty table gives no pieces; other columns are not read.
+packed each; very long texts are cut like any other; an empty table gives no pieces; other columns are not read. With
+``added`` the string of an added token ('<|endoftext|>') in a text gives that token's id, as the tokenizers library has it
+by default; without, it is ordinary text (the library's ``encode_special_tokens``).
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,22 +104,43 @@ def read_model(path: str) -> str:
         return f.read()
 
 
-_encoders: dict[str, tiktoken.Encoding] = {}
+_encoders: dict[str, tuple[tiktoken.Encoding, dict[str, int]]] = {}
 
 
-def encoder(model: str, pattern: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a tokenizers description: its ids are the merge ranks."""
+def _held(model: str, pattern: str) -> tuple[tiktoken.Encoding, dict[str, int]]:
+    """The byte-level BPE of a tokenizers description (its ids are the merge ranks) and its added tokens."""
     name = hashlib.sha256((model + pattern).encode()).hexdigest()
     if name not in _encoders:
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         held = json.loads(model)
-        special = {t["content"] for t in held.get("added_tokens", [])}
+        tokens = held.get("added_tokens", [])
+        if any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in or look at their surroundings are not supported")
+        special = {t["content"]: t["id"] for t in tokens}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in held["model"]["vocab"].items() if t not in special}
         _encoders.clear()
-        _encoders[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encoders[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), special
     return _encoders[name]
 
 
+def encoder(model: str, pattern: str, added: bool = False) -> Callable[[str], list[int]]:
+    """Text -> ids; with ``added``, texts are split at the added tokens (leftmost, then longest) and those give their ids."""
+    bpe, special = _held(model, pattern)
+    if not added or not special:
+        return bpe.encode_ordinary
+    split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split
+
+    def encode(text: str) -> list[int]:
+        parts = split(text)
+        ids = bpe.encode_ordinary(parts[0])
+        for token, rest in zip(parts[1::2], parts[2::2]):
+            ids.append(special[token])
+            ids += bpe.encode_ordinary(rest)
+        return ids
+
+    return encode
+
+
 class _Stream:
     """Cuts documents laid end to end into sequences of one task."""
 
@@ -166,11 +190,18 @@ class _Stream:
 
 
 def pack(
-    docs: DataFrame, model: str, pattern: str, *, size: int = 1024, doc: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    model: str,
+    pattern: str,
+    *,
+    size: int = 1024,
+    doc: str = "doc_id",
+    text: str = "text",
+    added: bool = False,
 ) -> DataFrame:
     """Pieces of at most ``size`` tokens of all documents (each ended by ``END_ID``), packed along the curve.
 
-    ``model`` is the JSON of a byte-level BPE, ``pattern`` its split pattern.
+    ``model`` is the JSON of a byte-level BPE, ``pattern`` its split pattern; ``added`` has texts' added tokens recognised.
     """
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     keyed = with_curve_key(rows, "text", "curve")
@@ -180,7 +211,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(model, pattern).encode_ordinary
+        encode = encoder(model, pattern, added)
         stream = _Stream(size, TaskContext.get().partitionId() << 32)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 

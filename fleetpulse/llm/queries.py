@@ -58,7 +58,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens along a Hilbert curve."""
     model = hilbert_pack.read_model(public_tokenizers.path("byte_bpe_50k.json"))
-    return hilbert_pack.pack(read(spark, sf_dir, "documents"), model, public_tokenizers.PATTERN)
+    return hilbert_pack.pack(read(spark, sf_dir, "documents"), model, public_tokenizers.PATTERN, added=True)
 
 
 OP4_SQL = r"""

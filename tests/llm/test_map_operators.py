@@ -115,6 +115,28 @@ def test_pack_pieces(docs, spark):
     assert hilbert_pack.pack(docs.limit(0), model, P.PATTERN).count() == 0
 
 
+def test_pack_gives_added_tokens_their_ids(spark, tmp_path):
+    import zlib
+
+    import corpus_pipeline
+
+    from fleetpulse.llm import queries
+
+    mark = "<|endoftext|>"
+    rows = [f"hi {mark} there", mark, f" {mark}{mark}  \n{mark} x ", f"<|end{mark}oftext|>", "<|endoftext |>", f"tail \n\n{mark}", "", None]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {i: [*own.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(rows)}
+    assert want[0] == [5303, 220, 50256, 612, 0]
+    for pieces in (queries.QUERIES["op3_hilbert_pack"](spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, SF)):
+        got = pieces.collect()
+        assert {p.doc_id for p in got} == set(want)
+        for p in got:
+            ids = want[p.doc_id]
+            assert (p.doc_tokens, p.ids_crc32) == (len(ids), zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()))
+
+
 roles = st.sampled_from(["user", "assistant", "system", "", "a\nb", "<|im_end|>\n"])
 texts = st.text(alphabet=st.sampled_from(list("\\n<|>[]/INSTim_endstart \n")), max_size=30) | st.sampled_from(chat_layouts.CONTROL)
 
