@@ -7,14 +7,15 @@ ends at the dive, where a window sums to zero; the text of the lines between is
 (``article``, ``main``, ``role=main`` or ``itemprop=articleBody``), lines outside it count as empty and any text is a
 surge; elsewhere the threshold is a share of the page's fullest window, at most ``SURGE`` characters.
 
-Defined cases: null or empty html gives an empty text; unclosed elements end with the page or where their kind must
-end; character references are decoded as HTML5 has it; white space (as HTML has it, and no-break spaces) becomes one space.
+Defined cases: null or empty html gives an empty text; unclosed elements end where HTML has
+their kind end (at the next of their kind, a block after ``p``), with an element around them, or with the page; character references are decoded as HTML5 has it; white space (as HTML has it, and no-break spaces) becomes one space.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILERPLATE = frozenset(
     "head nav header footer aside form menu button select option svg math object audio video canvas dialog figure".split()
 )
-ENDED_BY_BLOCK = frozenset("p li dt dd option tr td th".split())
+#: Opening tag -> (open elements it ends, elements it does not look beyond). Any block but these ends an open ``p``.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "table"}),
+    **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl", "table"})),
+    **dict.fromkeys(("option", "optgroup"), ({"option"}, {"select"})),
+    **dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table"})),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})),
+}
+ENDS_P = ({"p"}, {"button", "object", "table", "td", "th"})
+INSIDE_P = (INLINE | VOID | set("button select option optgroup svg math object audio video canvas".split())) - {"hr"}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side-bar aside nav navbar "
@@ -72,12 +83,62 @@ def _verdict(name: str, attrs: str) -> str:
     return "main" if name in ("article", "main") or role == "main" or said.get("itemprop") == "articlebody" else ""
 
 
+class _Open:
+    """Stack of the open elements' names."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.held: Counter[str] = Counter()
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.held[name] += 1
+
+    def cut(self, at: int) -> None:
+        for name in self.names[at:]:
+            self.held[name] -= 1
+        del self.names[at:]
+
+    def _lowest(self, ends: set[str], stops: set[str], at: int) -> int:
+        if any(map(self.held.get, ends)):
+            for i in range(len(self.names) - 1, -1, -1):
+                if self.names[i] in ends:
+                    at = min(at, i)
+                elif self.names[i] in stops:
+                    break
+        return at
+
+    def ended_by(self, name: str) -> int:
+        """Height of the stack that an opening tag leaves: elements whose end tag may be left out end before it."""
+        at = len(self.names)
+        if at and self.names[-1] == "head" and name not in VOID:
+            return at - 1
+        if name not in INSIDE_P:
+            at = self._lowest(*ENDS_P, at)
+        return self._lowest(*ENDS[name], at) if name in ENDS else at
+
+    def closed_by(self, name: str, skip: int) -> int:
+        """Height of the stack that an end tag leaves; ``skip`` is the place of the skipped element, or -1."""
+        n = len(self.names)
+        if not self.held[name]:
+            return n
+        stops = ENDS[name][1] if name in ENDS else ()
+        for i in range(n - 1, -1, -1):
+            if self.names[i] == name:
+                return i
+            if name in INLINE and self.names[i] not in INLINE:  # does not close the block it stands in
+                return skip if skip >= 0 and self.names[skip] == name else n
+            if self.names[i] in stops:
+                return n
+        return n
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters inside links, inside the article) of every line; boilerplate lines are empty."""
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
-    linked, in_link, main = 0, 0, 0
-    skip, skip_name = 0, ""
+    linked, in_link = 0, 0
+    stack, skip = _Open(), -1
     open_main: list[str] = []
     at = 0
 
@@ -89,7 +150,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         linked = 0
 
     for m in _TOKEN.finditer(page):
-        if not skip and m.start() > at:
+        if skip < 0 and m.start() > at:
             part = page[at : m.start()]
             text.append(part)
             if in_link:
@@ -99,35 +160,35 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         close = bool(m["close"])
-        if skip:
-            if name == skip_name:
-                skip += -1 if close else name not in VOID and not m["attrs"].endswith("/")
-            elif skip_name in ENDED_BY_BLOCK and not close and name not in INLINE and name not in VOID:
-                skip = 0
-            if skip:
-                continue
-            if name == skip_name and close:
-                out.append(("", 0, bool(open_main)))
-                continue
+        opens = not close and name not in VOID and not m["attrs"].endswith("/")
+        height = stack.closed_by(name, skip) if close else stack.ended_by(name)
+        ended = height <= skip
+        stack.cut(height)
+        if ended:
+            skip = -1
+            out.append(("", 0, bool(open_main)))
+        if skip >= 0:
+            if opens:
+                stack.push(name)
+            continue
         if name == "a":
             in_link = 0 if close else 1
-        if name not in INLINE:
+        if name not in INLINE and not ended:
             flush()
-        if close:
-            if name in open_main:
-                while open_main and open_main.pop() != name:
-                    pass
-            continue
-        if name in VOID or m["attrs"].endswith("/"):
+        if close and name in open_main:
+            while open_main and open_main.pop() != name:
+                pass
+        if not opens:
             continue
         verdict = _verdict(name, m["attrs"])
         if verdict == "out":
             if name in INLINE:
                 flush()
-            skip, skip_name = 1, name
+            skip = len(stack.names)
         elif verdict == "main":
             open_main.append(name)
-    if not skip and at < len(page):
+        stack.push(name)
+    if skip < 0 and at < len(page):
         text.append(page[at:])
     flush()
     return out

@@ -80,6 +80,16 @@ def test_line_blocks(spark):
     assert {r.text for r in line_blocks.main_text(odd).collect()} == {""}
 
 
+def test_line_blocks_unclosed_boilerplate_ends():
+    extract = line_blocks.extract
+    assert extract("<article><p class=ad>Buy<p>One.</p><p>Two.</p></article>") == "One. Two."
+    assert extract("<article><div><p class=notice>x</div><p>Article</article>") == "Article" == extract("<article><div><p class=notice>x</div>Article</article>")
+    assert extract("<main><ul><li class=ad>Buy<ul><li>now</ul> or<li>One<li>Two</ul></main>") == "One Two"
+    assert extract("<main><table><tr><td class=ad>Buy<td>One<tr class=ad><td>Buy<tr><td>Two</table></main>") == "One Two"
+    assert extract("<main><dl><dt class=ad>Buy<dd>One<dt>Two</dl><b><div class=ad>Buy</b> now</div>Three</main>") == "One Two Three"
+    assert extract("<main><p><span class=ad>Buy</p><p>One</main>") == "One" == extract("<head><title>t</title><body><main>One")
+
+
 def test_hilbert_curve_steps_by_one_cell():
     grid = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     keys = hilbert_pack.hilbert(grid, 3)
