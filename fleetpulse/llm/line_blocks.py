@@ -1,7 +1,8 @@
 """HTML extraction by line-block distribution (operator 2).
 
 Markup is stripped to lines: one line per block element. Text under containers that never hold an article (by element,
-role, or class and id words) leaves an empty line, as scripts and styles do. Text lengths, links counted out, are summed
+role, or a whole class or id name) leaves an empty line, as scripts and styles do; a name alone never drops an article or
+what holds one. Where only a part of a name hints at boilerplate (``has-sidebar``), text counts by a share. Text lengths, links counted out, are summed
 over sliding windows of ``WINDOW`` lines. A stretch begins at the surge, where a window's sum rises to the threshold, and
 ends at the dive, where a window sums to zero; the text of the lines between is kept. Where the page names its article
 (``article``, ``main``, ``role=main`` or ``itemprop=articleBody``), lines outside it count as empty and any text is a
@@ -17,6 +18,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ WINDOW = 3
 SURGE = 80
 SURGE_SHARE = 0.2
 LINK_SHARE = 0.5
+#: What a character counts whose container is weakly hinted at as boilerplate.
+WEAK_SHARE = 0.5
 
 #: Element names of HTML by their role here.
 RAW_TEXT = "script|style|textarea|title|xmp|iframe|noembed|noframes|template|noscript"
@@ -67,7 +71,8 @@ _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
 def _verdict(name: str, attrs: str) -> str:
-    """'out' for a container of boilerplate, 'main' for the article's, '' for others."""
+    """'out' for a container of boilerplate, 'main' for the article's, 'hint' and 'weak' for what a whole class or id name
+    and a part of one say, '' for others."""
     said: dict[str, str] = {}
     if attrs.strip():
         for m in _ATTR.finditer(attrs):
@@ -77,10 +82,14 @@ def _verdict(name: str, attrs: str) -> str:
         return "out"
     if "display:none" in said.get("style", "").replace(" ", ""):
         return "out"
-    marks = {w for k in ("class", "id") for x in said.get(k, "").split() for w in (x, *_HINT.findall(x))}
-    if name not in ("html", "body") and marks & HINTS:
-        return "out"
-    return "main" if name in ("article", "main") or role == "main" or said.get("itemprop") == "articlebody" else ""
+    if name in ("article", "main") or role == "main" or said.get("itemprop") == "articlebody":
+        return "main"
+    marks = {x for k in ("class", "id") for x in said.get(k, "").split()}
+    if name in ("html", "body") or not marks:
+        return ""
+    if marks & HINTS:
+        return "hint"
+    return "weak" if any(w in HINTS for x in marks for w in _HINT.findall(x)) else ""
 
 
 class _Open:
@@ -133,22 +142,40 @@ class _Open:
         return n
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, inside the article) of every line; boilerplate lines are empty."""
-    out: list[tuple[str, int, bool]] = []
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters inside links
+    inside: bool  # inside the article
+    weak: bool  # a part of a class or id name around it hints at boilerplate
+
+
+def lines(page: str) -> list[Line]:
+    """Every line of the page; boilerplate lines are empty."""
+    out: list[Line] = []
     text: list[str] = []
     linked, in_link = 0, 0
     stack, skip = _Open(), -1
     open_main: list[str] = []
+    hinted: list[tuple[int, int, int]] = []  # (place in the stack, first line, in a link) of containers without an article yet
+    weak: list[int] = []
     at = 0
 
     def flush() -> None:
         nonlocal linked
         line = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
-        out.append((line, min(linked, len(line)), bool(open_main)))
+        out.append(Line(line, min(linked, len(line)), bool(open_main), bool(weak)))
         text.clear()
         linked = 0
 
+    def close_hinted(height: int) -> None:
+        nonlocal in_link
+        while weak and weak[-1] >= height:
+            weak.pop()
+        while hinted and hinted[-1][0] >= height:
+            _, first, in_link = hinted.pop()
+            del out[first:]
+            out.append(Line("", 0, bool(open_main), False))
+
     for m in _TOKEN.finditer(page):
         if skip < 0 and m.start() > at:
             part = page[at : m.start()]
@@ -163,10 +190,14 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         opens = not close and name not in VOID and not m["attrs"].endswith("/")
         height = stack.closed_by(name, skip) if close else stack.ended_by(name)
         ended = height <= skip
+        if (weak and weak[-1] >= height) or (hinted and hinted[-1][0] >= height):
+            if not ended and skip < 0:
+                flush()
+            close_hinted(height)
         stack.cut(height)
         if ended:
             skip = -1
-            out.append(("", 0, bool(open_main)))
+            out.append(Line("", 0, bool(open_main), bool(weak)))
         if skip >= 0:
             if opens:
                 stack.push(name)
@@ -181,33 +212,39 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if not opens:
             continue
         verdict = _verdict(name, m["attrs"])
+        if verdict in ("out", "hint") and name in INLINE:
+            flush()
         if verdict == "out":
-            if name in INLINE:
-                flush()
             skip = len(stack.names)
         elif verdict == "main":
             open_main.append(name)
+            hinted.clear()  # a hint never drops what holds an article
+        elif verdict == "hint":
+            hinted.append((len(stack.names), len(out), in_link))
+        elif verdict == "weak" and name not in INLINE:
+            weak.append(len(stack.names))
         stack.push(name)
     if skip < 0 and at < len(page):
         text.append(page[at:])
     flush()
+    close_hinted(0)
     return out
 
 
 def extract(page: str | None) -> str:
     """The main text of one page."""
     found = lines(page or "")
-    named = any(inside and line for line, _, inside in found)
+    named = any(x.inside and x.text for x in found)
     sizes = []
-    for line, linked, inside in found:
+    for line, linked, inside, weak in found:
         wanted = inside if named else linked < LINK_SHARE * max(1, len(line))
-        sizes.append(len(line) if wanted else 0)
+        sizes.append(len(line) * (WEAK_SHARE if weak and not named else 1) if wanted else 0)
     n = len(sizes)
     if not any(sizes):
         return ""
     total = np.concatenate(([0], np.cumsum(sizes)))
     block = total[np.minimum(np.arange(n) + WINDOW, n)] - total[:-1]
-    surge = 1 if named else max(1, min(SURGE, SURGE_SHARE * block.max()))
+    surge = 1 if named else min(SURGE, SURGE_SHARE * block.max())
     kept, going = [], False
     for i in range(n):
         if not going and block[i] >= surge and sizes[i]:
@@ -215,7 +252,7 @@ def extract(page: str | None) -> str:
         elif going and block[i] == 0:
             going = False
         if going and sizes[i]:
-            kept.append(found[i][0])
+            kept.append(found[i].text)
     return " ".join(kept)
 
 

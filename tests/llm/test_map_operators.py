@@ -90,6 +90,20 @@ def test_line_blocks_unclosed_boilerplate_ends():
     assert extract("<main><p><span class=ad>Buy</p><p>One</main>") == "One" == extract("<head><title>t</title><body><main>One")
 
 
+def test_line_blocks_hints_never_drop_an_article():
+    extract = line_blocks.extract
+    for names in ("class=content-sidebar-wrap", "class='has-sidebar x'", "id=comments-open", "class=with-share", "class=layout_ad_free", "class=entry-related", "class=sidebar"):
+        assert extract(f"<body><div {names}><div><article><p>One.</p></article></div></div>") == "One.", names
+        assert extract(f"<body><article {names}><p>One.</p></article>") == "One." == extract(f"<main {names}>One.</main>"), names
+    for names in ("class=content-sidebar-wrap", "class=layout_ad_free"):
+        assert extract(f"<body><div {names}><p>One.</p></div>") == "One.", names
+    for names in ("class=sidebar", "class='x ad'", "id=comments"):
+        assert extract(f"<article>One<div {names}><p>Buy<div>now</div></div><p>Two</article>") == "One Two", names
+        assert extract(f"<article>One <span {names}>Buy</span> Two</article>") == "One Two", names
+    assert extract("<article>One</article><div class=ad><p>Buy") == "One" and extract("<p class=ad>Buy<p>One") == "One"
+    assert extract("<div class=ad><a href=x>Buy</div><p>One t<b class=top-ad>w</b>o") == "One two"
+
+
 def test_hilbert_curve_steps_by_one_cell():
     grid = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     keys = hilbert_pack.hilbert(grid, 3)
