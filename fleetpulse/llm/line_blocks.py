@@ -4,9 +4,10 @@ Markup is stripped to lines: one line per block element. Text under containers t
 role, or a whole class or id name) leaves an empty line, as scripts and styles do; a name alone never drops an article or
 what holds one. Where only a part of a name hints at boilerplate (``has-sidebar``), text counts by a share. Text lengths, links counted out, are summed
 over sliding windows of ``WINDOW`` lines. A stretch begins at the surge, where a window's sum rises to the threshold, and
-ends at the dive, where a window sums to zero; the text of the lines between is kept. Where the page names its article
-(``article``, ``main``, ``role=main`` or ``itemprop=articleBody``), lines outside it count as empty and any text is a
-surge; elsewhere the threshold is a share of the page's fullest window, at most ``SURGE`` characters.
+ends at the dive, where a window sums to zero; the text of the lines between is kept. The threshold is a share
+of the page's fullest window, at most ``SURGE`` characters. Where the page names its article (``article``, ``main``,
+``role=main`` or ``itemprop=articleBody``) and no window outside is fuller than the fullest inside, the lines inside are
+the text; a named element that is only a teaser is a line block like others.
 
 Defined cases: null or empty html gives an empty text; unclosed elements end where HTML has
 their kind end (at the next of their kind, a block after ``p``), with an element around them, or with the page; character references are decoded as HTML5 has it; white space (as HTML has it, and no-break spaces) becomes one space.
@@ -231,28 +232,36 @@ def lines(page: str) -> list[Line]:
     return out
 
 
+def _windows(sizes: list[float]) -> np.ndarray:
+    """Sum of every line's size and the next ones', ``WINDOW`` in all."""
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    n = len(sizes)
+    return total[np.minimum(np.arange(n) + WINDOW, n)] - total[:-1]
+
+
+def _size(x: Line) -> float:
+    return 0 if x.linked >= LINK_SHARE * max(1, len(x.text)) else len(x.text) * (WEAK_SHARE if x.weak else 1)
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
     found = lines(page or "")
-    named = any(x.inside and x.text for x in found)
-    sizes = []
-    for line, linked, inside, weak in found:
-        wanted = inside if named else linked < LINK_SHARE * max(1, len(line))
-        sizes.append(len(line) * (WEAK_SHARE if weak and not named else 1) if wanted else 0)
-    n = len(sizes)
+    article = [len(x.text) if x.inside else 0 for x in found]
+    if any(article) and _windows(article).max() >= _windows([0 if x.inside else _size(x) for x in found]).max():
+        return " ".join(x.text for x in found if x.inside and x.text)
+    sizes = [_size(x) for x in found]
     if not any(sizes):
         return ""
-    total = np.concatenate(([0], np.cumsum(sizes)))
-    block = total[np.minimum(np.arange(n) + WINDOW, n)] - total[:-1]
-    surge = 1 if named else min(SURGE, SURGE_SHARE * block.max())
+    block = _windows(sizes)
+    surge = min(SURGE, SURGE_SHARE * block.max())
     kept, going = [], False
-    for i in range(n):
+    for i, x in enumerate(found):
         if not going and block[i] >= surge and sizes[i]:
             going = True
         elif going and block[i] == 0:
             going = False
         if going and sizes[i]:
-            kept.append(found[i].text)
+            kept.append(x.text)
     return " ".join(kept)
 
 

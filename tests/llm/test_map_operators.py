@@ -104,6 +104,18 @@ def test_line_blocks_hints_never_drop_an_article():
     assert extract("<div class=ad><a href=x>Buy</div><p>One t<b class=top-ad>w</b>o") == "One two"
 
 
+def test_line_blocks_teaser_is_not_the_article():
+    extract = line_blocks.extract
+    long = [" ".join([w] * 60) for w in ("one", "two", "three")]
+    body = "".join(f"<p>{x}</p>" for x in long)
+    teaser = "<article class=card><h3>Teaser</h3><p>Read this too.</p></article>"
+    for page in (f"<div>{body}</div>{teaser}", f"{teaser}<div>{body}</div>", f"<div><p>{long[0]}</p>{teaser}<p>{long[1]}</p><p>{long[2]}</p></div>"):
+        got = extract(page)
+        assert all(x in got for x in long), page
+    assert extract(f"<main>{body}</main><div><p>Other text outside.</p></div>") == " ".join(long)
+    assert extract(f"<main>{body}</main><ul><li><a href=x>{long[0] * 3}</a></ul>") == " ".join(long)
+
+
 def test_hilbert_curve_steps_by_one_cell():
     grid = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     keys = hilbert_pack.hilbert(grid, 3)
