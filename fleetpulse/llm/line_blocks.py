@@ -3,8 +3,11 @@
 Markup is stripped to lines: one line per block element. Text under containers that never hold an article (by element,
 role, or a whole class or id name) leaves an empty line, as scripts and styles do; a name alone never drops an article or
 what holds one. Where only a part of a name hints at boilerplate (``has-sidebar``), text counts by a share. Text lengths, links counted out, are summed
-over sliding windows of ``WINDOW`` lines. A stretch begins at the surge, where a window's sum rises to the threshold, and
-ends at the dive, where a window sums to zero; the text of the lines between is kept. The threshold is a share
+over sliding windows of ``WINDOW`` lines that hold text. A stretch begins at the surge, where a window's sum rises to the
+threshold, and ends at the dive, which is the next container of boilerplate; the text of the lines between is kept, but
+for lines half in links. Of the others those are kept that belong to kept lines (``_between``). What is lost: linked lines
+before the first and after the last kept line or in a container of their own, and blocks below the threshold that have a
+container of their own and precede the surge or stand between containers of boilerplate. The threshold is a share
 of the page's fullest window, at most ``SURGE`` characters. Where the page names its article (``article``, ``main``,
 ``role=main`` or ``itemprop=articleBody``) and no window outside is fuller than the fullest inside, the lines inside are
 the text; a named element that is only a teaser is a line block like others.
@@ -43,6 +46,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILERPLATE = frozenset(
     "head nav header footer aside form menu button select option svg math object audio video canvas dialog figure".split()
 )
+#: Elements whose text belongs to the container around them.
+TRANSPARENT = frozenset(
+    "html body p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd pre blockquote table caption thead tbody tfoot tr td th".split()
+)
 #: Opening tag -> (open elements it ends, elements it does not look beyond). Any block but these ends an open ``p``.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "table"}),
@@ -148,10 +155,12 @@ class Line(NamedTuple):
     linked: int  # characters inside links
     inside: bool  # inside the article
     weak: bool  # a part of a class or id name around it hints at boilerplate
+    parent: int  # number of the container around it, 0 for the page
+    broken: bool = False  # stands for a container of boilerplate
 
 
 def lines(page: str) -> list[Line]:
-    """Every line of the page; boilerplate lines are empty."""
+    """Every line of the page; a container of boilerplate gives an empty one."""
     out: list[Line] = []
     text: list[str] = []
     linked, in_link = 0, 0
@@ -159,23 +168,29 @@ def lines(page: str) -> list[Line]:
     open_main: list[str] = []
     hinted: list[tuple[int, int, int]] = []  # (place in the stack, first line, in a link) of containers without an article yet
     weak: list[int] = []
-    at = 0
+    parents: list[tuple[int, int]] = []  # (place in the stack, number)
+    containers = at = 0
 
     def flush() -> None:
         nonlocal linked
         line = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
-        out.append(Line(line, min(linked, len(line)), bool(open_main), bool(weak)))
+        out.append(Line(line, min(linked, len(line)), bool(open_main), bool(weak), parents[-1][1] if parents else 0))
         text.clear()
         linked = 0
 
-    def close_hinted(height: int) -> None:
+    def boilerplate() -> None:
+        out.append(Line("", 0, bool(open_main), False, 0, True))
+
+    def close(height: int) -> None:
         nonlocal in_link
+        while parents and parents[-1][0] >= height:
+            parents.pop()
         while weak and weak[-1] >= height:
             weak.pop()
         while hinted and hinted[-1][0] >= height:
             _, first, in_link = hinted.pop()
             del out[first:]
-            out.append(Line("", 0, bool(open_main), False))
+            boilerplate()
 
     for m in _TOKEN.finditer(page):
         if skip < 0 and m.start() > at:
@@ -187,27 +202,24 @@ def lines(page: str) -> list[Line]:
         name = (m["name"] or "").lower()
         if not name:
             continue
-        close = bool(m["close"])
-        opens = not close and name not in VOID and not m["attrs"].endswith("/")
-        height = stack.closed_by(name, skip) if close else stack.ended_by(name)
-        ended = height <= skip
-        if (weak and weak[-1] >= height) or (hinted and hinted[-1][0] >= height):
-            if not ended and skip < 0:
-                flush()
-            close_hinted(height)
-        stack.cut(height)
-        if ended:
+        closes = bool(m["close"])
+        opens = not closes and name not in VOID and not m["attrs"].endswith("/")
+        height = stack.closed_by(name, skip) if closes else stack.ended_by(name)
+        if skip < 0 and (name not in INLINE or (hinted and hinted[-1][0] >= height)):
+            flush()
+        if height <= skip:
             skip = -1
-            out.append(Line("", 0, bool(open_main), bool(weak)))
+            boilerplate()
+        if height < len(stack.names):
+            close(height)
+            stack.cut(height)
         if skip >= 0:
             if opens:
                 stack.push(name)
             continue
         if name == "a":
-            in_link = 0 if close else 1
-        if name not in INLINE and not ended:
-            flush()
-        if close and name in open_main:
+            in_link = 0 if closes else 1
+        if closes and name in open_main:
             while open_main and open_main.pop() != name:
                 pass
         if not opens:
@@ -224,11 +236,14 @@ def lines(page: str) -> list[Line]:
             hinted.append((len(stack.names), len(out), in_link))
         elif verdict == "weak" and name not in INLINE:
             weak.append(len(stack.names))
+        if name not in INLINE and name not in TRANSPARENT:
+            containers += 1
+            parents.append((len(stack.names), containers))
         stack.push(name)
     if skip < 0 and at < len(page):
         text.append(page[at:])
     flush()
-    close_hinted(0)
+    close(0)
     return out
 
 
@@ -245,24 +260,48 @@ def _size(x: Line) -> float:
 
 def extract(page: str | None) -> str:
     """The main text of one page."""
-    found = lines(page or "")
+    found = [x for x in lines(page or "") if x.text or x.broken]
     article = [len(x.text) if x.inside else 0 for x in found]
     if any(article) and _windows(article).max() >= _windows([0 if x.inside else _size(x) for x in found]).max():
         return " ".join(x.text for x in found if x.inside and x.text)
-    sizes = [_size(x) for x in found]
+    blocks: list[list[Line]] = [[]]
+    for x in found:
+        if x.broken:
+            blocks.append([])
+        else:
+            blocks[-1].append(x)
+    rows = [x for own in blocks for x in own]
+    sizes = [_size(x) for x in rows]
     if not any(sizes):
         return ""
-    block = _windows(sizes)
-    surge = min(SURGE, SURGE_SHARE * block.max())
-    kept, going = [], False
-    for i, x in enumerate(found):
-        if not going and block[i] >= surge and sizes[i]:
-            going = True
-        elif going and block[i] == 0:
-            going = False
-        if going and sizes[i]:
-            kept.append(x.text)
-    return " ".join(kept)
+    at = np.cumsum([0, *map(len, blocks)])
+    sums = [_windows(sizes[i:j]) for i, j in zip(at, at[1:])]
+    surge = min(SURGE, SURGE_SHARE * max(x.max() for x in sums if len(x)))
+    kept = []
+    for own, i in zip(sums, at):
+        going = False
+        for k, window in enumerate(own, i):
+            going = going or (window >= surge and sizes[k] > 0)
+            kept.append(going and sizes[k] > 0)
+    return " ".join(x.text for x, k in zip(rows, _between(rows, sizes, kept)) if k)
+
+
+def _between(rows: list[Line], sizes: list[float], kept: list[bool]) -> list[bool]:
+    """``kept`` with the lines that belong to kept ones: linked or short lines between two of one parent, or in the parent
+    of either; short lines in the parent of the next kept line before or after."""
+    last, before = None, []
+    for x, k in zip(rows, kept):
+        last = x.parent if k else last
+        before.append(last)
+    out, after = list(kept), None
+    for i in range(len(rows) - 1, -1, -1):
+        if kept[i]:
+            after = rows[i].parent
+            continue
+        both = before[i] is not None and after is not None
+        beside = rows[i].parent in (before[i], after)
+        out[i] = (both and before[i] == after) or (beside and (both or sizes[i] > 0))
+    return out
 
 
 def main_text(pages: DataFrame, *, html: str = "html", text: str = "text", chars: str = "n_chars") -> DataFrame:

@@ -116,6 +116,19 @@ def test_line_blocks_teaser_is_not_the_article():
     assert extract(f"<main>{body}</main><ul><li><a href=x>{long[0] * 3}</a></ul>") == " ".join(long)
 
 
+def test_line_blocks_keeps_short_and_linked_lines_between():
+    extract = line_blocks.extract
+    a, b = " ".join(["one"] * 60), " ".join(["two"] * 60)
+    assert extract(f"<div><p>{a}</p></div><div><p>Sh is.</p></div><div><p>{b}</p></div>") == f"{a} Sh is. {b}"
+    assert extract(f"<div><div><div><h2>Head</h2></div></div></div><div><p>{a}</p></div>") == f"Head {a}"
+    assert extract(f"<div><p>{a}</p></div><div><div><p>End.</p></div></div>") == f"{a} End."
+    links = "".join(f"<li><a href=x>Ref {i}</a></li>" for i in range(5))
+    refs = " ".join(f"Ref {i}" for i in range(5))
+    assert extract(f"<div><p>{a}</p><ul>{links}</ul><p>{b}</p></div>") == f"{a} {refs} {b}"
+    assert extract(f"<ul>{links}</ul><div><p>{a}</p></div><div><ul>{links}</ul></div><div><p>{b}</p></div><ul>{links}</ul>") == f"{a} {b}"
+    assert extract(f"<h1>Title</h1><div class=ad>Buy</div><p>{a}</p><nav>x</nav><p>Sh is.</p><nav>x</nav><p>{b}</p>") == f"Title {a} Sh is. {b}"
+
+
 def test_hilbert_curve_steps_by_one_cell():
     grid = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     keys = hilbert_pack.hilbert(grid, 3)
