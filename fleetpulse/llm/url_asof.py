@@ -10,7 +10,7 @@ interval by an equality join whose hot side Spark can split. No list is broadcas
 
 Defined cases: a null or unparsable URL, a null fetch time and an uncovered URL have no decision (null, not blocked);
 entries with a null pattern or date are ignored, other actions than ``allow`` block; of entries of one pattern and date a
-block wins; other columns are kept; an empty list blocks nothing.
+block wins; hosts are compared in lower case, segments (as paths are) in their own; other columns are kept; an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -41,10 +41,16 @@ def patterns(url: Column) -> Column:
     return F.when(name != "", F.array_distinct(F.concat(domains, site))).otherwise(F.array().cast("array<string>"))
 
 
+def _folded(pattern: Column) -> Column:
+    """A list pattern with its host in lower case; a segment keeps its own, as in ``patterns``."""
+    name = F.regexp_extract(pattern, "^[^/]*", 0)
+    return F.concat(F.lower(name), F.substring(pattern, F.length(name) + 1, F.length(pattern)))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, blocked, valid_from, valid_to): at most one interval of a pattern holds at a time."""
     dated = entries.where(F.col("pattern").isNotNull() & F.col("listed_at").isNotNull())
-    single = dated.groupBy(F.lower("pattern").alias("pattern"), F.col("listed_at").alias("valid_from")).agg(
+    single = dated.groupBy(_folded(F.col("pattern")).alias("pattern"), F.col("listed_at").alias("valid_from")).agg(
         F.max(F.coalesce(F.col("action") != "allow", F.lit(True))).alias("blocked")
     )
     nxt = F.lead("valid_from").over(Window.partitionBy("pattern").orderBy("valid_from"))

@@ -129,6 +129,19 @@ def test_url_filters(spark):
     assert url_asof.decide(captures.limit(0), entries).count() == 0
 
 
+def test_url_filters_mixed_case_segments(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    urls = ["http://Example.com/Ads/1", "http://example.com/ads/1", "http://example.com/News", "http://example.com/%C3%89t%c3%a9?q=1", "http://example.com/x"]
+    captures = spark.createDataFrame([(i, u, day(5)) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp")
+    entries = spark.createDataFrame(
+        [("Example.COM/Ads", "block", day(1)), ("example.com/News", "block", day(1)), ("EXAMPLE.com", "allow", day(1)), ("example.com/%C3%89t%c3%a9", "block", day(1))],
+        "pattern string, action string, listed_at timestamp",
+    )
+    got = {r.page_id: (r.pattern, r.blocked) for r in url_asof.decide(captures, entries).collect()}
+    host = ("example.com", False)
+    assert got == {0: ("example.com/Ads", True), 1: host, 2: ("example.com/News", True), 3: ("example.com/%C3%89t%c3%a9", True), 4: host}
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
