@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.llm import circulant_minhash, decision_list, hilbert_pack
-from fleetpulse.llm.common import prepare, read
+from fleetpulse.llm.common import WORD_PATTERN, prepare, read
 from fleetpulse.llm.queries import identify_documents
 from fleetpulse.session import checkpoint_dir
 
@@ -31,10 +31,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest id, of each group of near-duplicates."""
+    """One row of each group of near-duplicates: the one of smallest id (null last), then smallest text.
+
+    Rows count as documents of their own, also where their ids repeat or are null: of rows with one text one stays, of
+    different texts under one id each is judged by itself. Texts without words link with nothing; of such rows equal in id
+    and text one stays. Between rows of one id and text the other columns decide.
+    """
     prepare(spark)
-    dropped = circulant_minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    odd = docs.groupBy("doc_id").count().where(F.col("doc_id").isNull() | (F.col("count") > 1))
+    if odd.isEmpty():
+        dropped = circulant_minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    key, tie = "near_dedup_key", "near_dedup_tie"  # places in the order of rows; equal rows are spread over tasks
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text"), F.to_json(F.struct(F.lit(0).alias(key), *rest)), F.col(tie)]
+    spread = docs.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    keyed = spread.drop(tie).withColumn(key, F.monotonically_increasing_id()).checkpoint()
+    judged = circulant_minhash.near_duplicates(keyed, key=key)
+    wordless = keyed.where(~F.coalesce("text", F.lit("")).rlike(WORD_PATTERN)).groupBy("doc_id", "text").agg(F.min(key).alias(key))
+    left = judged.where(F.col("kept") & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias(key)).union(wordless.select(key))
+    return keyed.join(left, key, "left_semi").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

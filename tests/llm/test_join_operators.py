@@ -181,6 +181,23 @@ def test_stages(spark):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in left.collect()}
 
 
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as cp
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(1, a, "en"), (2, a + " z", "en"), (2, b, "en"), (3, c, "fr"), (3, c, "en"), (3, c, "en"), (None, b, "en"), (None, d + " z", "en"),
+            (None, d, "en"), (4, "", "en"), (4, "", "en"), (4, None, "en"), (5, " ", "en"), (None, "", "en"), (None, "", "en"), (0, c + " z", "en")]
+    want = [(0, c + " z", "en"), (1, a, "en"), (2, b, "en"), (4, "", "en"), (4, None, "en"), (5, " ", "en"), (None, "", "en"), (None, d, "en")]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        got = [tuple(r) for r in cp.near_dedup(spark, docs, SF).collect()]
+        assert collections.Counter(got) == collections.Counter(want)
+    twice = spark.createDataFrame([(3, c, "fr"), (3, c, "en"), (3, c, "en")], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in cp.near_dedup(spark, twice, SF).collect()] == [(3, c, "en")]
+    plain = spark.createDataFrame([(2, a, "en"), (1, a + " z", "en"), (3, "", "en")], docs.schema)
+    assert {r.doc_id for r in cp.near_dedup(spark, plain, SF).collect()} == {1, 3}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, name):
     from fleetpulse.checks.compare import compare, duck_connect
