@@ -13,10 +13,13 @@ from fleetpulse.llm import (
     bpe,
     chat_layouts,
     circulant_minhash,
+    collision_knn,
     decision_list,
     hilbert_pack,
     language_fusion,
     line_blocks,
+    strassen_negatives,
+    turn_repair,
     url_asof,
     wordpiece_counts,
 )
@@ -238,3 +241,114 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
         training="declared",
     )
     return found.select("page_id", "url", "declared", "language", "probability", F.col("language_kept").alias("kept"))
+
+
+@query("op11_collision_knn")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest rows found of every row whose id is divisible by 100."""
+    return collision_knn.nearest(read(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
+def _repair_sql() -> str:
+    """Least suffixes (nine digits of cost, then the audit) of every row and state, from the last row to the first."""
+    way = lambda k, cost, letter: f"printf('%09d', substr({k}, 1, 9)::BIGINT + {cost}) || '{letter}' || substr({k}, 10)"
+    open_ = {0: ("u", 2), 1: ("u", 2), 2: ("a", 3), 3: ("u", 2)}
+    none = "'999999999'"
+
+    def row(s: int) -> str:
+        initial, after = open_[s]
+        kept = [f"CASE WHEN NOT must AND i = '{initial}' THEN {way(f'r.v{after}', 'late', 'K')} ELSE {none} END"]
+        if s == 0:
+            kept.append(f"CASE WHEN NOT must AND i = 's' THEN {way('r.v1', 'late', 'K')} ELSE {none} END")
+        given = f"CASE WHEN NOT must THEN {way(f'r.v{after}', '3 + late', 'R')} ELSE {none} END"
+        return f"least({way(f'r.v{s}', 4, 'D')}, {given}, {', '.join(kept)})"
+
+    def closed(names: list[str]) -> list[str]:
+        return [f"least({names[s]}, {way(names[open_[s][1]], 3, 'I')})" for s in range(4)]
+
+    first = ", ".join(f"{row(s)} AS b{s}" for s in range(4))
+    second = ", ".join(f"{x} AS c{s}" for s, x in enumerate(closed([f"b{s}" for s in range(4)])))
+    third = ", ".join(f"{x} AS v{s}" for s, x in enumerate(closed([f"c{s}" for s in range(4)])))
+    return f"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_reduce(list_concat([4294967295], list_transform(
+           string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+             lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc FROM conversations),
+d AS (SELECT *, xor(crc, 4294967295) % 20 AS damage FROM named),
+hit AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN damage = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE damage <> 0),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k,
+         count(*) OVER (PARTITION BY conv_id) AS n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM hit),
+f AS (
+  SELECT *, CASE WHEN t = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                 WHEN t[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, role[1] AS i,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) || role[1] NOT IN ('su', 'ua', 'au') AS bad FROM n),
+g AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late FROM f),
+r AS (
+  SELECT conv_id, max(n) + 1 AS k, '000000000' AS v0, '000000006II' AS v1, '000000003I' AS v2, '000000000' AS v3 FROM g GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, k, {third} FROM (SELECT conv_id, k, b0, b1, b2, b3, {second} FROM (
+    SELECT g.conv_id, g.k, {first} FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.k = r.k - 1))),
+best AS (SELECT conv_id, substr(v0, 1, 9)::BIGINT AS cost, substr(v0, 10) AS audit FROM r WHERE k = 1),
+steps AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM best),
+edits AS (
+  SELECT conv_id, p, audit[p] AS edit, p - (length(a) - length(replace(a, 'D', ''))) AS e, p - (length(a) - length(replace(a, 'I', ''))) AS k,
+         length(audit) - (length(audit) - length(replace(audit, 'D', ''))) AS turns FROM (SELECT *, audit[1:p] AS a FROM steps)),
+out AS (
+  SELECT edits.conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN g.role WHEN e % 2 <> turns % 2 THEN 'user' ELSE 'assistant' END
+           || ':' || CASE WHEN edit = 'I' THEN '' ELSE g.text END, chr(10) ORDER BY p)) AS h
+  FROM edits LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM edits.conv_id AND g.k = edits.k WHERE edit <> 'D' GROUP BY 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal
+  FROM g GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN out ON out.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+OP12_SQL = _repair_sql()
+
+
+@query("op12_turn_repair", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage and cheapest repair of every conversation."""
+    return turn_repair.report(read(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         list_sum(list_transform(list_zip(a.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@query("op13_strassen_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row whose id is divisible by 100; where the id is divisible by 7 the label is the next one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return strassen_negatives.mine(read(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label=label)
