@@ -68,7 +68,7 @@ _DETAIL_CTES = ",\n".join([
     _latest_sql("q3_ses", "metric_sessions", ["active_sessions"], "sessions"),
 ])
 
-_DETAIL_SQL = f"""WITH {_DETAIL_CTES}
+DETAIL_SQL = f"""WITH {_DETAIL_CTES}
 SELECT i.instance_id, i.instance_fqn,
        d.details_collected_at, d.server_name, d.product_version, d.logical_cpu_count, d.physical_memory_mb,
        c.cpu_collected_at, c.engine_cpu_percent, c.other_cpu_percent, c.system_idle_percent,
@@ -83,7 +83,7 @@ LEFT JOIN (SELECT instance_id, count(DISTINCT database_id) AS database_count FRO
   USING (instance_id)"""
 
 
-@register("instance_detail", _DETAIL_SQL)
+@register("instance_detail", DETAIL_SQL)
 def q_instance_detail(spark, sf_dir):
     """Q3 for the whole fleet (one row per instance)."""
     return Q.instance_detail(lake(spark, sf_dir), as_of=AS_OF)

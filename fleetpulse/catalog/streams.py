@@ -35,28 +35,23 @@ def q_hourly_stream(spark, sf_dir):
 
 @register("dedup_stream", "SELECT DISTINCT * FROM pings")
 def q_dedup_stream(spark, sf_dir):
-    """The same batch landed twice; de-duplicated within the watermark (31 days)."""
+    """The same batch landed twice; every key is added once, however late it comes again."""
     src = I.scratch_path(spark, "pings_src")
     p = lake(spark, sf_dir).pings
     I.partitioned_append(p, src, S.HOT_PARTITIONS)
     I.partitioned_append(p, src, S.HOT_PARTITIONS)
     work = I.scratch_path(spark, "pings_stream")
-    out = J.dedup_stream(J.read_stream(spark, src, S.PINGS, files_per_trigger=16),
-                         ["instance_id", "collected_at"], "31 days")
-    J.run_available_now(out, os.path.join(work, "out"), os.path.join(work, "checkpoint"))
-    return spark.read.schema(S.PINGS).parquet(os.path.join(work, "out"))
+    sink = J.DedupSink(spark, work, S.PINGS, ["instance_id", "collected_at"], S.HOT_PARTITIONS)
+    J.run_sink(J.read_stream(spark, src, S.PINGS, files_per_trigger=32), sink, os.path.join(work, "checkpoint"))
+    return sink.rows()
 
 
 @register("counter_delta_stream", """
 SELECT * FROM o_io_latency
 WHERE coll_hr + INTERVAL 1 HOUR <= (SELECT max(collected_at) FROM metric_database_io) - INTERVAL 10 MINUTE""")
 def q_counter_delta_stream(spark, sf_dir):
-    """IO latency across micro-batches (foreachBatch + per-key state table)."""
+    """IO latency across micro-batches (foreachBatch, newest bucket per key as state)."""
     src = I.scratch_path(spark, "io_src")
     I.partitioned_append(lake(spark, sf_dir).metric_database_io, src, S.HOT_PARTITIONS)
-    work = I.scratch_path(spark, "io_stream")
-    out = os.path.join(work, "out")
-    J.counter_delta_stream(spark, J.read_stream(spark, src, S.METRIC_DATABASE_IO, files_per_trigger=8),
-                           out, work, DELAY)
-    return spark.read.parquet(out).drop("batch_id").select(
-        "instance_id", "database_id", "coll_hr", "read_latency_ms", "write_latency_ms")
+    stream = J.read_stream(spark, src, S.METRIC_DATABASE_IO, files_per_trigger=8)
+    return J.counter_delta_stream(spark, stream, I.scratch_path(spark, "io_stream"), DELAY).latencies()

@@ -42,19 +42,70 @@ def flag_left_join(keys: DataFrame, populations: dict[str, DataFrame], key: str)
     return out
 
 
+#: Bits of the key filter of J8: a table of at most BITS / 64 rows of 16 bytes (16 MB), so it may be broadcast.
+KEY_FILTER_BITS = 1 << 26
+
+
+def in_folders(target: DataFrame, batch: DataFrame, folders: Sequence[str]) -> DataFrame:
+    """Rows of ``target`` in the folders that ``batch`` touches.
+
+    The batch's distinct folder values (as many as it has folders) are one scalar subquery over partition columns, which
+    Spark evaluates before it lists the scan's files.
+    """
+    folders = list(folders)
+    touched = batch.select(F.collect_set(F.struct(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in folders]))).scalar()
+    return target.filter(F.array_contains(touched, F.struct(*folders)))
+
+
+def may_contain(target: DataFrame, batch: DataFrame, keys: Sequence[str], bits: int = KEY_FILTER_BITS) -> DataFrame:
+    """Rows of ``target`` whose key may be in ``batch``: a one-hash Bloom filter, as a table of 64-bit words.
+
+    Every key of the batch sets one of ``bits`` bits. The words that have a bit set are at most ``bits / 64`` rows,
+    whatever the batch's size, so the target meets them in a broadcast join at its scan and most of its rows go no
+    further. No match is lost; a foreign row passes with probability (keys / bits).
+    """
+    def slot(df: DataFrame):
+        return F.pmod(F.xxhash64(*[F.col(k).cast(target.schema[k].dataType) for k in keys]), F.lit(bits))
+
+    set_bits = batch.select(slot(batch).alias("_s"))
+    words = set_bits.groupBy(F.shiftright("_s", 6).alias("_w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_s") % 64).cast("int"))).alias("_m"))
+    marked = target.withColumns({"_s": slot(target), "_w": F.shiftright(slot(target), 6)})
+    hit = F.call_function("shiftrightunsigned", F.col("_m"), (F.col("_s") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return marked.join(F.broadcast(words), "_w").filter(hit).select(*target.columns)
+
+
 def insert_if_absent(batch: DataFrame, target: DataFrame, keys: Sequence[str],
-                     partition_cols: Sequence[str] = ()) -> DataFrame:
+                     partition_cols: Sequence[str] = (), bits: int = KEY_FILTER_BITS) -> DataFrame:
     """Rows of ``batch`` whose key is not in ``target`` (the rows an append adds).
 
     The batch is de-duplicated on the key first (stricter than MERGE, which does
     not de-duplicate its source). ``partition_cols`` are the target's folder
     columns, which must be determined by the key (the stamp derived from
-    ``collected_at``); adding them to the join lets dynamic partition pruning
-    read only the folders the batch touches instead of the whole history.
+    ``collected_at``): only the folders the batch touches are listed and read.
+    Of these, only rows that pass a filter of the batch's keys go into the exact
+    anti-join, so what is shuffled follows the batch, not the target.
     """
     keys = list(keys)
     extra = [c for c in partition_cols if c in batch.columns and c in target.columns and c not in keys]
-    return anti(batch.dropDuplicates(keys), target, keys + extra)
+    near = in_folders(target, batch, extra) if extra else target
+    return anti(batch.dropDuplicates(keys), may_contain(near, batch, keys, bits), keys)
+
+
+def upsert(target: DataFrame, source: DataFrame, key: str, insert: dict, update: dict) -> DataFrame:
+    """Column-wise upsert on one key, in one full join: ``insert`` maps columns to the values of new rows, ``update`` to
+    the new values of rows that exist (other columns keep theirs). Expressions name the source's columns as ``s.<name>``
+    and the target's as ``t.<name>``; the source holds each key once."""
+    t, s = target.alias("t"), source.alias("s")
+    both = t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full")
+    new, seen = F.col(f"t.{key}").isNull(), F.col(f"s.{key}").isNotNull()
+    out = []
+    for f in target.schema.fields:
+        old = F.col(f"t.{f.name}")
+        value = F.when(new, insert.get(f.name, F.lit(None)))
+        value = value.when(seen, update[f.name]) if f.name in update else value
+        out.append(value.otherwise(old).cast(f.dataType).alias(f.name))
+    return both.select(*out)
 
 
 def replace_by_key(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -39,16 +39,15 @@ def list_instances(instances: DataFrame, platform: str | None = None) -> DataFra
     ).orderBy("instance_fqn")
 
 
-def active_fleet(instances: DataFrame, platform: str, ids=None, limit: int = 100_000) -> DataFrame:
-    """Active instances of one platform (optionally an id list), ordered, limited.
+def active_fleet(registry: DataFrame, platform: str, ids=None, limit: int = 100_000) -> DataFrame:
+    """The registry's active instances of one platform (optionally an id list), ordered, limited.
 
     Collection uses status ``a`` only, while scoring accepts ``a`` and ``b`` (D12).
     """
-    df = instances.filter((F.col("status") == "a") & (F.col("platform") == platform))
+    df = registry.filter((F.col("status") == "a") & (F.col("platform") == platform))
     if ids:
         df = df.filter(F.col("instance_id").isin(*[int(i) for i in ids]))
-    return df.orderBy("instance_id").limit(int(limit)).select(
-        "instance_id", F.col("instance_fqn").alias("connect_target"), "auth_mode", "platform")
+    return df.orderBy("instance_id").limit(int(limit)).select("instance_id", "connect_target", "auth_mode", "platform")
 
 
 def problematic_topk(lake, as_of, limit: int = DEFAULT_TOPK) -> DataFrame:

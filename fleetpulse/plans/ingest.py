@@ -44,27 +44,9 @@ def read_lake_table(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).parquet(path)
 
 
-TARGET_FILE_BYTES = 128 * 1024 * 1024
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
-def cluster_for_write(df: DataFrame, partitions: list[str], num_partitions: int | None = None) -> DataFrame:
-    """Range-partition by the folder columns then ``instance_id``/``collected_at``.
-
-    Used by compaction: each task writes a contiguous key range, so it touches
-    few folders, files are sorted by instance (tight min/max statistics), and a
-    hot folder is split across many tasks instead of landing in one. (Range
-    bounds come from a sampling pass over the input, so this is applied to
-    stored Parquet, not to expensive upstream plans.)
-    """
-    sort_cols = [c for c in ("instance_id", "collected_at") if c in df.columns and c not in partitions]
-    cols = list(partitions) + sort_cols
-    if not cols:
-        return df
-    out = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
-    return out.sortWithinPartitions(*cols)
-
-
 def partitioned_append(df: DataFrame, path: str, partitions: list[str],
                        max_records_per_file: int = MAX_RECORDS_PER_FILE) -> None:
     """S3: append ZSTD Parquet partitioned by ``partitions``, bounded file size.
@@ -152,10 +134,11 @@ def stage(landed: DataFrame, collector: str, pings: DataFrame) -> tuple[DataFram
 
 
 def collector_ingest(spark: SparkSession, landed: DataFrame, collector: str, pings: DataFrame,
-                     lake_root: str) -> tuple[str, DataFrame]:
-    """Land one collector's results into its partitioned table; returns (table path, quarantine).
+                     lake_root: str, run: str | None = None) -> tuple[str, DataFrame]:
+    """Land one collector's results into its partitioned table; returns (table path, this run's quarantine).
 
-    Rows that fail coercion are appended under ``<lake_root>/quarantine/<collector>``.
+    Rows that fail coercion go to ``<lake_root>/quarantine/<collector>/run=<run>``, which a rerun of the same run
+    replaces. The rows are a plain append: ``streaming.ingest`` commits rows, quarantine and errors exactly once.
     """
     rows, bad = stage(landed, collector, pings)
     row = next(c for c in M.COLLECTORS if c[0] == collector)
@@ -163,8 +146,8 @@ def collector_ingest(spark: SparkSession, landed: DataFrame, collector: str, pin
     path = os.path.join(lake_root, ns, table)
     partitions = S.TABLES[(ns, table)][1]
     partitioned_append(rows, path, partitions)
-    held = os.path.join(lake_root, "quarantine", collector)
-    bad.write.mode("append").parquet(held)
+    held = os.path.join(lake_root, "quarantine", collector, f"run={run or uuid.uuid4().hex}")
+    bad.write.mode("overwrite").parquet(held)
     return path, spark.read.schema(bad.schema).parquet(held)
 
 
@@ -268,88 +251,83 @@ def sync_dimension(spark: SparkSession, path: str, source: DataFrame, out_path:
 
     The merged table is written as a new version at ``out_path`` and the caller
     moves its pointer there: a job lost mid-write leaves the current version
-    intact (an in-place overwrite would delete it first). Lineage is cut with
-    ``checkpoint()`` in the shared checkpoint folder.
+    intact (an in-place overwrite would delete it first).
     """
-    checkpoint_dir(spark)
     target = spark.read.schema(S.INSTANCES).parquet(path)
-    merged = J.replace_by_key(target, source, list(keys)).checkpoint(eager=True)
+    merged = J.replace_by_key(target, source, list(keys))
     merged.write.mode("errorifexists").option("compression", "zstd").parquet(out_path)
     return out_path
 
 
+#: Values of a new registry row that its label does not give (fixed values).
+REGISTRY_DEFAULTS = {"platform": "sqlserver", "auth_mode": "integrated", "environment": "P", "status": "a"}
+
+
 def get_or_create_ids(registry: DataFrame, labels: DataFrame, as_of, first_id: int = 1000) -> DataFrame:
-    """Integer ids for labels; unseen labels get ``max(id)+1..`` in label order.
+    """The registry after a get-or-create of ``labels``.
 
-    ``registry``: (instance_id, instance_fqn, connect_target, updated_at);
-    ``labels``: (instance_fqn, connect_target). A seen label keeps its id and
-    refreshes connect_target/updated_at. New ids are dense from a global rank of
-    the new labels (range-partitioned two-pass offsets, no single-task window).
+    ``labels`` has (instance_fqn, connect_target) and any of the other attributes; a missing or NULL one takes its
+    default (the name: the label). A label that exists keeps its id and all attributes but ``connect_target``, which is
+    refreshed with ``updated_at``; a new one gets ``max(id)+1..`` in label order. Of rows with one label the least
+    counts. New ids are dense from a global rank of the new labels (range-partitioned two-pass offsets, no
+    single-task window).
     """
     from fleetpulse.plans.scoring import as_of_col
 
-    lab = labels.dropDuplicates(["instance_fqn"])
-    seen = lab.join(registry.select("instance_id", "instance_fqn"), "instance_fqn").select(
-        "instance_id", "instance_fqn", "connect_target", as_of_col(as_of).alias("updated_at"))
-    new = J.anti(lab, registry, ["instance_fqn"])
+    given = [f.name for f in registry.schema.fields if f.name in labels.columns and f.name != "instance_fqn"]
+    least = labels.filter(F.col("instance_fqn").isNotNull()).groupBy("instance_fqn").agg(F.min(F.struct(*given)).alias("_l"))
+    lab = least.select("instance_fqn", *(F.col(f"_l.{c}").alias(c) for c in given))
     base = registry.select(F.coalesce(F.max("instance_id"), F.lit(first_id - 1))).scalar()
-    ranked = dense_rank_global(new, ["instance_fqn"], "_r")
-    minted = ranked.select((base + F.col("_r")).cast("int").alias("instance_id"), "instance_fqn",
-                           "connect_target", as_of_col(as_of).alias("updated_at"))
-    untouched = J.anti(registry, lab, ["instance_fqn"]).select(
-        "instance_id", "instance_fqn", "connect_target", "updated_at")
-    return untouched.unionByName(seen).unionByName(minted)
-
-
-# ------------------------------------------------------------------ T11 / T12
-def path_bytes(spark: SparkSession, path: str) -> int:
-    """Total bytes under ``path`` (file-system metadata on the driver, no data read)."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return int(fs.getContentSummary(p).getLength())
-    except Exception:  # no JVM handle (Spark Connect): sum the file sizes with a small job
-        return int(file_stats(spark, path).first()["total_bytes"] or 0)
-
-
-def compact_partitions(spark: SparkSession, path: str, schema: T.StructType, partitions: list[str],
-                       out_path: str, target_file_bytes: int = TARGET_FILE_BYTES) -> str:
-    """Rewrite many small files as few files of about ``target_file_bytes``.
-
-    The task count comes from the table's size, and range partitioning by the
-    folder columns then instance/time keeps each folder's rows in contiguous,
-    sorted files (tight min/max statistics). A hot folder is split across
-    tasks rather than funnelled into one. Row set unchanged.
-    """
-    n = max(1, -(-path_bytes(spark, path) // target_file_bytes))
-    df = read_lake_table(spark, path, schema)
-    (
-        cluster_for_write(df, partitions, n).write.mode("overwrite").option("compression", "zstd")
-        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(*partitions).parquet(out_path)
-    )
-    return out_path
+    ranked = dense_rank_global(J.anti(lab, registry, ["instance_fqn"]), ["instance_fqn"], "_r").select("instance_fqn", "_r")
+    source = lab.join(ranked, "instance_fqn", "left")
+
+    def attribute(name: str):
+        value = F.col(f"s.{name}") if name in given else F.lit(None).cast("string")
+        default = F.col("s.instance_fqn") if name == "instance_name" else F.lit(REGISTRY_DEFAULTS.get(name))
+        return F.coalesce(value, default)
 
+    insert = {"instance_id": base + F.col("s._r"), "instance_fqn": F.col("s.instance_fqn"), "registered_at": as_of_col(as_of),
+              **{n: attribute(n) for n in ("instance_name", "platform", "connect_target", "auth_mode", "environment", "status")}}
+    update = {"connect_target": F.coalesce(F.col("s.connect_target"), F.col("t.connect_target")), "updated_at": as_of_col(as_of)}
+    return J.upsert(registry, source, "instance_fqn", insert, update)
 
-def retention(spark: SparkSession, path: str, schema: T.StructType, partitions: list[str], cutoff,
-              out_path: str) -> str:
-    """Keep rows with ``collected_at >= cutoff`` in a new version of the table.
 
-    The derived ``year/month/day`` bound lets Spark skip whole expired folders;
-    only the boundary partition is filtered row by row.
+class Registry:
+    """T10 as a table: versions in a ledger, ids stable under concurrent runs.
+
+    A run reads the newest version, mints ids on it and commits the next one only if no other run has committed in
+    between; otherwise it starts again from the other's result, whose ids it keeps.
     """
-    from fleetpulse.plans.scoring import as_of_col
 
-    c = as_of_col(cutoff)
-    df = read_lake_table(spark, path, schema)
-    kept = df.filter(
-        (F.make_date(F.col("year").cast("int"), F.col("month").cast("int"), F.col("day").cast("int"))
-         >= F.to_date(c))
-        & (F.col("collected_at") >= c)
-    )
-    kept.write.mode("overwrite").option("compression", "zstd") \
-        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(*partitions).parquet(out_path)
-    return out_path
+    def __init__(self, spark: SparkSession, root: str):
+        from fleetpulse.sources.ledger import Ledger
+
+        self.spark, self.ledger = spark, Ledger(spark, root)
+
+    def read(self, record=None) -> DataFrame:
+        record = record or self.ledger.newest()
+        if record is None:
+            return self.spark.createDataFrame([], S.REGISTRY)
+        return self.ledger.read_one("registry", record, S.REGISTRY)
+
+    def get_or_create(self, labels: DataFrame, as_of) -> None:
+        from fleetpulse.sources.ledger import Conflict
+
+        while True:
+            seen = self.ledger.newest()
+            made = self.ledger.write("registry", get_or_create_ids(self.read(seen), labels, as_of))
+            try:
+                return self.ledger.commit(uuid.uuid4().hex, {"registry": made}, after=seen.seq if seen else -1)
+            except Conflict:
+                continue
+
+
+def new_labels(registry: DataFrame, generated: DataFrame) -> DataFrame:
+    """Generated labels that the registry does not have yet, as rows with the default attributes (each label once);
+    the ids come with ``get_or_create_ids``."""
+    rows = J.anti(generated.select("instance_fqn", "connect_target").dropDuplicates(["instance_fqn"]), registry, ["instance_fqn"])
+    return rows.select("instance_fqn", F.col("instance_fqn").alias("instance_name"), "connect_target",
+                       *(F.lit(v).alias(k) for k, v in REGISTRY_DEFAULTS.items()))
 
 
 # ------------------------------------------------------------------ S7 / S10 / S11

@@ -51,6 +51,12 @@ INSTANCES = _s(
     ("engine_version", STR), ("is_clustered", BOOL), ("dmz", BOOL), ("domain", STR),
     ("auth_mode", STR, False), ("registered_at", TS, False), ("updated_at", TS),
 )
+# The operational registry: ids are minted here, and ``connect_target`` (which may repeat) is what is dialled.
+REGISTRY = _s(
+    ("instance_id", INT, False), ("instance_fqn", STR, False), ("instance_name", STR), ("platform", STR, False),
+    ("connect_target", STR, False), ("auth_mode", STR, False), ("environment", STR), ("status", STR),
+    ("registered_at", TS, False), ("updated_at", TS),
+)
 DATABASES = _s(
     ("instance_id", INT, False), ("database_id", INT, False), ("platform", STR, False),
     ("database_name", STR, False), ("create_date", TS), ("compatibility_level", SMALLINT),

@@ -182,6 +182,13 @@ class DerivedLake:
         )
         return _conform(df, S.INSTANCES)
 
+    @cached_property
+    def registry(self) -> DataFrame:
+        """The operational registry: many instances share a dial target."""
+        i = self.instances
+        host = F.concat(F.lit("host"), (F.col("instance_id") % 7).cast("string"), F.lit(",1433"))
+        return _conform(i.withColumn("connect_target", host), S.REGISTRY)
+
     @cached_property
     def databases(self) -> DataFrame:
         keys = self.ev.select("instance_id", "database_id").distinct()

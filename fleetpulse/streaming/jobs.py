@@ -5,18 +5,24 @@ Sources are lake folders read with ``readStream`` and a declared schema; event
 time is ``collected_at`` cast to TIMESTAMP (watermarks need the zoned type; the
 session zone is UTC so wall-clock values are unchanged). Sinks are file sinks
 or ``foreachBatch`` with checkpoints in the shared checkpoint folder, so a
-restarted query resumes exactly where it stopped.
+restarted query resumes exactly where it stopped. ``foreachBatch`` sinks commit
+each batch once (``sources.ledger``); a sink's ledger and its stream's
+checkpoint belong together.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetpulse import schemas as S
+from fleetpulse.operators import joins as J
 from fleetpulse.plans import scoring as V
+from fleetpulse.sources.ledger import Ledger
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -30,12 +36,27 @@ def with_event_time(df: DataFrame, delay: str, col: str = "collected_at") -> Dat
     return df.withColumn("_t", F.col(col).cast("timestamp")).withWatermark("_t", delay)
 
 
-def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet") -> None:
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession, n: int | None):
+    """Number of state partitions of the queries started inside.
+
+    The first run of a stream fixes it in the checkpoint, so it is sized for the stream's life (about the executors'
+    cores), not taken from whatever the session's batch shuffles use.
+    """
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    if n:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet", partitions: int | None = None) -> None:
     """Process everything available, then stop (append mode, file sink)."""
-    q = (
-        df.writeStream.format(fmt).outputMode("append")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink_path)
-    )
+    w = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
+    with state_partitions(df.sparkSession, partitions):
+        q = w.trigger(availableNow=True).start(sink_path)
     q.awaitTermination()
 
 
@@ -55,11 +76,45 @@ def hourly_cpu_stream(stream: DataFrame, delay: str = "10 minutes") -> DataFrame
 
 # ----------------------------------------------------------------- T7
 def dedup_stream(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
-    """Drop re-delivered rows with the same key within the watermark delay."""
+    """Drop re-delivered rows with the same key within the watermark delay; the state holds ``delay`` of keys."""
     s = with_event_time(stream, delay)
     return s.dropDuplicatesWithinWatermark(keys + ["_t"]).drop("_t")
 
 
+class DedupSink:
+    """T7 without state (``foreachBatch``): a batch adds the rows whose key the sink does not hold yet.
+
+    The sink itself is what is known, however late a row is delivered again: J8 reads only the folders that the batch
+    touches and shuffles only the rows that pass the batch's key filter.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], partitions: list[str]):
+        self.schema, self.keys, self.partitions = schema, keys, partitions
+        self.ledger = Ledger(spark, root)
+
+    def rows(self) -> DataFrame:
+        return self.ledger.read("rows", self.schema)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        run = f"batch-{batch_id}"
+        if self.ledger.has(run):
+            return
+        batch = batch.persist()  # read for folders, key filter and rows
+        try:
+            new = J.insert_if_absent(batch, self.rows(), self.keys, self.partitions)
+            self.ledger.commit(run, {"rows": self.ledger.write("rows", new, self.partitions)})
+        finally:
+            batch.unpersist()
+
+
+def run_sink(stream: DataFrame, sink, checkpoint: str, partitions: int | None = None) -> None:
+    """Run a ``foreachBatch`` sink over everything available, then stop."""
+    w = stream.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    with state_partitions(stream.sparkSession, partitions):
+        q = w.trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 # ----------------------------------------------------------------- T8
 def io_buckets_stream(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """T8 step 1: restart-hour filter and closed hourly counter averages (append mode)."""
@@ -71,88 +126,51 @@ def io_buckets_stream(stream: DataFrame, delay: str = "10 minutes") -> DataFrame
                       *V.IO_NAMES)
 
 
+LATENCY = T.StructType([
+    T.StructField("instance_id", S.INT), T.StructField("database_id", S.INT), T.StructField("coll_hr", S.TS),
+    T.StructField("read_latency_ms", S.BIGINT), T.StructField("write_latency_ms", S.BIGINT),
+])
+BUCKET = T.StructType([*LATENCY.fields[:3], *(T.StructField(n, S.DOUBLE) for n in V.IO_NAMES)])
+
+
 class CounterDeltaSink:
-    """T8 step 2 (``foreachBatch``): lag across micro-batches via a state table.
-
-    The state holds the newest closed bucket per (instance, database): its size
-    is bounded by the number of keys, not by time. Each batch unions its new
-    buckets with the state, applies the same lag/guard/latency rules as the
-    batch view, appends the rows of this batch, and writes the next state as a
-    new version named by the batch id (a replayed batch rewrites the same
-    version, so the sink is idempotent).
+    """T8 step 2 (``foreachBatch``): the batch view's lag rule (``io_latency_seeded``) across micro-batches.
+
+    The state is the newest closed bucket per (instance, database): one row per key, and only of keys heard of within
+    ``keep_days`` of the newest bucket (None: all), so its size is bounded by the keys in use. A key that returns after
+    longer starts anew, as if first seen. Latencies and next state of a batch are committed together; a replayed batch
+    adds nothing, and a state version goes as soon as the next one is committed.
     """
 
-    def __init__(self, spark: SparkSession, out_path: str, state_root: str):
-        self.spark = spark
-        self.out_path = out_path
-        self.state_root = state_root
-
-    def _state_path(self, batch_id: int) -> str:
-        return os.path.join(self.state_root, f"v{batch_id:09d}")
-
-    def _latest_state(self, batch_id: int):
-        """Newest committed state version below ``batch_id`` (listed through the
-        Hadoop FileSystem, so it works on any shared store)."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.state_root)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return None
-        best = None
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if not name.startswith("v") or int(name[1:]) >= batch_id:
-                continue
-            if not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                continue
-            if best is None or name > best:
-                best = name
-        return os.path.join(self.state_root, best) if best else None
+    def __init__(self, spark: SparkSession, root: str, keep_days: int | None = None):
+        self.keep_days = keep_days
+        self.ledger = Ledger(spark, root)
+
+    def latencies(self) -> DataFrame:
+        return self.ledger.read("latency", LATENCY)
+
+    def state(self) -> DataFrame | None:
+        last = self.ledger.newest()
+        return self.ledger.read_one("state", last, BUCKET) if last else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # written to two places below; computed once
+        run = f"batch-{batch_id}"
+        if self.ledger.has(run):
+            return
+        batch = batch.persist()  # written to two places; computed once
         try:
-            self._apply(batch, batch_id)
+            latency, state = V.io_latency_seeded(batch, self.state())
+            if self.keep_days is not None:
+                newest = state.select(F.max("coll_hr")).scalar()
+                state = state.filter(F.col("coll_hr") >= newest - F.make_dt_interval(F.lit(self.keep_days)))
+            self.ledger.commit(run, {"latency": self.ledger.write("latency", latency), "state": self.ledger.write("state", state)})
         finally:
             batch.unpersist()
+        self.ledger.remove_dead(newest_only=("state",))
 
-    def _apply(self, batch: DataFrame, batch_id: int) -> None:
-        cur = batch.withColumn("_new", F.lit(True))
-        prev_path = self._latest_state(batch_id)
-        if prev_path:
-            prev = self.spark.read.parquet(prev_path).withColumn("_new", F.lit(False))
-            both = cur.unionByName(prev)
-        else:
-            both = cur
-        w = Window.partitionBy("instance_id", "database_id").orderBy("coll_hr")
-        lagged = both.select("*", *[F.lag(c, 1, 0).over(w).alias(f"lag_{c}") for c in V.IO_NAMES])
-        from fleetpulse.operators.windows import all_nonzero, reset_guarded_delta
-
-        deltas = lagged.filter(F.col("_new") & all_nonzero([f"lag_{c}" for c in V.IO_NAMES])).select(
-            "instance_id", "database_id", "coll_hr",
-            *[reset_guarded_delta(c, f"lag_{c}").alias(c) for c in V.IO_NAMES],
-        )
-        out = deltas.filter((F.col("num_of_reads") != 0) & (F.col("num_of_writes") != 0)).select(
-            "instance_id", "database_id", "coll_hr",
-            F.floor(F.col("io_wait_read_ms") / F.nullif(F.col("num_of_reads"), F.lit(0))).alias("read_latency_ms"),
-            F.floor(F.col("io_wait_write_ms") / F.nullif(F.col("num_of_writes"), F.lit(0))).alias("write_latency_ms"),
-            F.lit(batch_id).cast("long").alias("batch_id"),
-        )
-        # Idempotent per batch: the rows of batch ``batch_id`` live in their own folder.
-        out.write.mode("overwrite").parquet(os.path.join(self.out_path, f"batch_id={batch_id}"))
-        state = both.drop("_new").withColumn(
-            "_rn", F.row_number().over(Window.partitionBy("instance_id", "database_id").orderBy(F.col("coll_hr").desc()))
-        ).filter("_rn = 1").drop("_rn")
-        state.write.mode("overwrite").parquet(self._state_path(batch_id))
-
-
-def counter_delta_stream(spark: SparkSession, stream: DataFrame, out_path: str, work_dir: str,
-                         delay: str = "10 minutes") -> None:
-    buckets = io_buckets_stream(stream, delay)
-    sink = CounterDeltaSink(spark, out_path, os.path.join(work_dir, "state"))
-    q = (
-        buckets.writeStream.outputMode("append").foreachBatch(sink)
-        .option("checkpointLocation", os.path.join(work_dir, "checkpoint"))
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+
+def counter_delta_stream(spark: SparkSession, stream: DataFrame, root: str, delay: str = "10 minutes",
+                         keep_days: int | None = None, partitions: int | None = None) -> CounterDeltaSink:
+    sink = CounterDeltaSink(spark, root, keep_days)
+    run_sink(io_buckets_stream(stream, delay), sink, os.path.join(root, "checkpoint"), partitions)
+    return sink

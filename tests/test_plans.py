@@ -10,7 +10,9 @@ SF = "/root/testdata/sf0.001"
 WRITES = {
     "collector_ingest", "partitioned_append", "lake_scan", "collection_log", "fleet_csv", "raw_stage",
     "file_stats", "sync_dimension", "compact_partitions", "retention", "materialize_scores", "hourly_stream",
-    "dedup_stream", "counter_delta_stream", "scorecard_csv",
+    "dedup_stream", "counter_delta_stream", "scorecard_csv", "materialize_scores_incremental", "high_irc_from_state",
+    "problematic_from_state", "instance_detail_from_state", "collector_ingest_stream", "rejected_error_rows",
+    "cadence_tier_streams", "get_or_create_ids",
 }
 
 
