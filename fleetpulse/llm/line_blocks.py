@@ -1,27 +1,36 @@
 """HTML extraction by line-block distribution (operator 2).
 
-Markup is stripped to lines: one line per block element. Text under containers that never hold an article (by element,
-role, or a whole class or id name) leaves an empty line, as scripts and styles do; a name alone never drops an article or
-what holds one. Where only a part of a name hints at boilerplate (``has-sidebar``), text counts by a share. Text lengths, links counted out, are summed
-over sliding windows of ``WINDOW`` lines that hold text. A stretch begins at the surge, where a window's sum rises to the
-threshold, and ends at the dive, which is the next container of boilerplate; the text of the lines between is kept, but
-for lines half in links. Of the others those are kept that belong to kept lines (``_between``). What is lost: linked lines
-before the first and after the last kept line or in a container of their own, and blocks below the threshold that have a
-container of their own and precede the surge or stand between containers of boilerplate. The threshold is a share
-of the page's fullest window, at most ``SURGE`` characters. Where the page names its article (``article``, ``main``,
-``role=main`` or ``itemprop=articleBody``) and no window outside is fuller than the fullest inside, the lines inside are
-the text; a named element that is only a teaser is a line block like others.
+Markup is stripped to lines: one line per block element. Tags are read as HTML5 reads them, attributes by their exact names,
+in one pass. Text of elements that never hold an article (by element or role, hidden, or a container of reader comments,
+articles inside it included) leaves an empty line, as scripts and styles do. Text lengths, links counted out, are summed over
+sliding windows of ``WINDOW`` lines that hold text. A stretch begins at the surge, where a window's sum rises to the
+threshold, and ends at the dive, which is the next container of boilerplate; the text of the lines between is kept, but for
+lines half in links. Of the others those are kept that belong to kept lines (``_between``). What is lost: linked lines before
+the first and after the last kept line or in a container of their own, and blocks below the threshold that have a container
+of their own and precede the surge or stand between containers of boilerplate. The threshold is a share of the page's
+fullest window, at most ``SURGE`` characters.
+
+Forms and blocks with a whole class or id name that hints at boilerplate (teasers, side bars, adverts, ...) go with what they
+hold, articles included, unless the page's text is there: a block that holds the fullest window is the text, where no article
+outside such blocks has a full window (adverts and notices only where there is no other text). Where a part of a name hints at
+boilerplate (``has-sidebar``), text counts by a share. Where the page names its article (``article``, ``main``, ``role=main`` or
+``itemprop=articleBody``) and no window outside is fuller than the fullest inside, the lines inside are the text; a named
+element that is only a teaser is a line block like others.
 
 Defined cases: null or empty html gives an empty text; unclosed elements end where HTML has
-their kind end (at the next of their kind, a block after ``p``), with an element around them, or with the page; character references are decoded as HTML5 has it; white space (as HTML has it, and no-break spaces) becomes one space.
+their kind end (at the next of their kind, a block after ``p``), with an element around them, or with the page; a tag without
+an end runs to the page's end; character references are decoded as HTML5 has it; white space (as HTML has it, and no-break
+spaces) becomes one space. The time is linear in the page's length.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -37,14 +46,14 @@ LINK_SHARE = 0.5
 WEAK_SHARE = 0.5
 
 #: Element names of HTML by their role here.
-RAW_TEXT = "script|style|textarea|title|xmp|iframe|noembed|noframes|template|noscript"
+RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr img picture source svg path math".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset(
-    "head nav header footer aside form menu button select option svg math object audio video canvas dialog figure".split()
+    "head nav header footer aside menu button select option svg math object audio video canvas dialog template noscript".split()
 )
 #: Elements whose text belongs to the container around them.
 TRANSPARENT = frozenset(
@@ -61,68 +70,143 @@ ENDS = {
 }
 ENDS_P = ({"p"}, {"button", "object", "table", "td", "th"})
 INSIDE_P = (INLINE | VOID | set("button select option optgroup svg math object audio video canvas".split())) - {"hr"}
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side-bar aside nav navbar "
-    "navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal newsletter "
-    "subscribe share sharing social related recommended widget comment comments respond disqus toolbar pagination pager".split()
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert".split())
+#: Whole class and id names. Reader comments are never text; adverts and notices only where there is nothing else; blocks
+#: are judged by their windows (on containers only, not on a paragraph or list item).
+COMMENTS = re.compile(
+    r"(?:comments?|commentlist|respond|disqus(?:_thread)?)"
+    r"|comments?[-_](?:area|block|body|box|container|content|entry|form|item|list|respond|section|text|thread|wrap|wrapper)"
 )
-
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TEXT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)",
-    re.S | re.I,
+ADVERTS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
+    "breadcrumbs footer cookie cookies consent notice notices popup modal newsletter subscribe pagination pager".split()
 )
-_ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+BLOCKS = frozenset("banner sidebar side-bar aside header masthead share sharing social related recommended widget toolbar".split())
+HINTS = ADVERTS | BLOCKS
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTR = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_VALUE = re.compile(r"[^\s>]*")
 _HINT = re.compile(r"[a-z]+(?:-bar)?")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
-def _verdict(name: str, attrs: str) -> str:
-    """'out' for a container of boilerplate, 'main' for the article's, 'hint' and 'weak' for what a whole class or id name
-    and a part of one say, '' for others."""
-    said: dict[str, str] = {}
-    if attrs.strip():
-        for m in _ATTR.finditer(attrs):
-            said.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
-    role = said.get("role", "")
-    if name in BOILERPLATE or role in ROLES or "hidden" in said or said.get("aria-hidden") == "true":
+_NONE: dict[str, str] = {}
+
+
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
+
+
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """(attributes, place behind the tag) from behind the tag's name; of one name the first counts."""
+    out: dict[str, str] = {}
+    n = len(page)
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= n or page[at] == ">":
+            return out, min(at + 1, n)
+        name = _ATTR.match(page, at)
+        at = name.end()
+        value, equals = "", _EQUALS.match(page, at)
+        if equals:
+            at = equals.end()
+            if page[at : at + 1] in ('"', "'"):
+                end = page.find(page[at], at + 1)
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:  # a quote without an end: the tag ends at the next >
+                    end = page.find(">", at)
+                    at = end if end >= 0 else n
+            else:
+                m = _VALUE.match(page, at)
+                value, at = m[0], m.end()
+        out.setdefault(name[0].lower(), value)
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, dict[str, str]]]:
+    """(start, end, name, whether it is an end tag, attributes) of the page's tags, in order; comments and declarations have
+    no name, nor have elements of raw text, which end behind their end tag."""
+    at, n = 0, len(page)
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        closes = page.startswith("/", at)
+        name = _NAME.match(page, at + closes)
+        if name:
+            at = name.end()
+            attrs, at = (_NONE, at + 1) if page.startswith(">", at) else _attributes(page, at)
+            low = name[0].lower()
+            if low in RAW_TEXT and not closes:
+                close = _raw_end(low).search(page, at)
+                at = (page.find(">", close.end()) + 1 or n) if close else n
+                low = ""
+            yield start, at, low, closes, attrs
+        elif closes or page.startswith(("!", "?"), at):
+            mark = "-->" if page.startswith("!--", at) else ">"
+            end = page.find(mark, at + 1)
+            at = end + len(mark) if end >= 0 else n
+            yield start, at, "", False, _NONE
+
+
+def _verdict(name: str, attrs: dict[str, str]) -> str:
+    """'out' for what is never text, 'advert' and 'block' for what is only under conditions, 'main' for the article,
+    'weak' where a part of a class or id name hints at boilerplate, '' for others."""
+    if not attrs:
+        return "out" if name in BOILERPLATE else "main" if name in ("article", "main") else "block" if name == "form" else ""
+    role = attrs.get("role", "").strip().lower()
+    if name in BOILERPLATE or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return "out"
-    if "display:none" in said.get("style", "").replace(" ", ""):
+    if "display:none" in attrs.get("style", "").lower().replace(" ", ""):
         return "out"
-    if name in ("article", "main") or role == "main" or said.get("itemprop") == "articlebody":
-        return "main"
-    marks = {x for k in ("class", "id") for x in said.get(k, "").split()}
-    if name in ("html", "body") or not marks:
+    marks = {x for k in ("class", "id") for x in attrs.get(k, "").lower().split()}
+    if name in ("html", "body"):
         return ""
-    if marks & HINTS:
-        return "hint"
-    return "weak" if any(w in HINTS for x in marks for w in _HINT.findall(x)) else ""
+    if any(map(COMMENTS.fullmatch, marks)):
+        return "out"
+    if marks & ADVERTS:
+        return "advert"
+    if name == "form" or role == "form" or (marks & BLOCKS and name not in TRANSPARENT):
+        return "block"
+    if name in ("article", "main") or role == "main" or attrs.get("itemprop", "").lower() == "articlebody":
+        return "main"
+    return "weak" if any(w in HINTS or COMMENTS.fullmatch(w) for x in marks for w in _HINT.findall(x)) else ""
 
 
 class _Open:
-    """Stack of the open elements' names."""
+    """Stack of the open elements' names, with the places of every name."""
 
     def __init__(self):
         self.names: list[str] = []
-        self.held: Counter[str] = Counter()
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
 
     def push(self, name: str) -> None:
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        self.places[name].append(len(self.names))
         self.names.append(name)
-        self.held[name] += 1
 
     def cut(self, at: int) -> None:
         for name in self.names[at:]:
-            self.held[name] -= 1
+            self.places[name].pop()
         del self.names[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+
+    def _highest(self, names) -> int:
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=-1)
 
     def _lowest(self, ends: set[str], stops: set[str], at: int) -> int:
-        if any(map(self.held.get, ends)):
-            for i in range(len(self.names) - 1, -1, -1):
-                if self.names[i] in ends:
-                    at = min(at, i)
-                elif self.names[i] in stops:
-                    break
+        """Lowest open element of ``ends`` above the highest of ``stops``."""
+        open_ = [own for x in ends if (own := self.places.get(x))]
+        if open_:
+            floor = self._highest(stops)
+            for own in open_:
+                if own[-1] > floor:
+                    at = min(at, own[bisect_right(own, floor)])
         return at
 
     def ended_by(self, name: str) -> int:
@@ -137,17 +221,14 @@ class _Open:
     def closed_by(self, name: str, skip: int) -> int:
         """Height of the stack that an end tag leaves; ``skip`` is the place of the skipped element, or -1."""
         n = len(self.names)
-        if not self.held[name]:
+        if not self.places.get(name):
             return n
-        stops = ENDS[name][1] if name in ENDS else ()
-        for i in range(n - 1, -1, -1):
-            if self.names[i] == name:
-                return i
-            if name in INLINE and self.names[i] not in INLINE:  # does not close the block it stands in
-                return skip if skip >= 0 and self.names[skip] == name else n
-            if self.names[i] in stops:
-                return n
-        return n
+        at = self.places[name][-1]
+        if name in INLINE and self.blocks and self.blocks[-1] > at:  # does not close the block it stands in
+            return skip if skip >= 0 and self.names[skip] == name else n
+        if name in ENDS and self._highest(ENDS[name][1]) > at:
+            return n
+        return at
 
 
 class Line(NamedTuple):
@@ -156,56 +237,65 @@ class Line(NamedTuple):
     inside: bool  # inside the article
     weak: bool  # a part of a class or id name around it hints at boilerplate
     parent: int  # number of the container around it, 0 for the page
+    block: int = 0  # number of the innermost block that may be boilerplate, 0 for none
     broken: bool = False  # stands for a container of boilerplate
 
 
-def lines(page: str) -> list[Line]:
-    """Every line of the page; a container of boilerplate gives an empty one."""
+class Block(NamedTuple):
+    """A form, teaser, advert, ...: text or boilerplate, by the page's windows."""
+
+    around: int  # the next one around it
+    advert: bool  # an advert or the like, or in one
+
+
+def lines(page: str) -> tuple[list[Line], list[Block]]:
+    """Every line of the page, and the blocks that lines refer to; a container of boilerplate gives an empty line."""
     out: list[Line] = []
+    blocks = [Block(0, False)]
     text: list[str] = []
     linked, in_link = 0, 0
     stack, skip = _Open(), -1
-    open_main: list[str] = []
-    hinted: list[tuple[int, int, int]] = []  # (place in the stack, first line, in a link) of containers without an article yet
+    mains: list[int] = []  # places in the stack
     weak: list[int] = []
+    judged: list[tuple[int, int, int]] = []  # (place in the stack, block, in a link before it)
     parents: list[tuple[int, int]] = []  # (place in the stack, number)
     containers = at = 0
 
     def flush() -> None:
         nonlocal linked
+        if not text:
+            return
         line = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
-        out.append(Line(line, min(linked, len(line)), bool(open_main), bool(weak), parents[-1][1] if parents else 0))
+        if line:
+            out.append(Line(line, min(linked, len(line)), bool(mains), bool(weak), parents[-1][1] if parents else 0, judged[-1][1] if judged else 0))
         text.clear()
         linked = 0
 
     def boilerplate() -> None:
-        out.append(Line("", 0, bool(open_main), False, 0, True))
+        out.append(Line("", 0, bool(mains), False, 0, judged[-1][1] if judged else 0, True))
 
     def close(height: int) -> None:
         nonlocal in_link
+        for own in (weak, mains):
+            while own and own[-1] >= height:
+                own.pop()
         while parents and parents[-1][0] >= height:
             parents.pop()
-        while weak and weak[-1] >= height:
-            weak.pop()
-        while hinted and hinted[-1][0] >= height:
-            _, first, in_link = hinted.pop()
-            del out[first:]
-            boilerplate()
+        while judged and judged[-1][0] >= height:
+            _, _, in_link = judged.pop()
 
-    for m in _TOKEN.finditer(page):
-        if skip < 0 and m.start() > at:
-            part = page[at : m.start()]
+    for start, end, name, closes, attrs in tags(page):
+        if skip < 0 and start > at:
+            part = page[at:start]
             text.append(part)
             if in_link:
                 linked += len(part.strip())
-        at = m.end()
-        name = (m["name"] or "").lower()
+        at = end
         if not name:
             continue
-        closes = bool(m["close"])
-        opens = not closes and name not in VOID and not m["attrs"].endswith("/")
+        opens = not closes and name not in VOID and not page.endswith("/", 0, at - 1)
         height = stack.closed_by(name, skip) if closes else stack.ended_by(name)
-        if skip < 0 and (name not in INLINE or (hinted and hinted[-1][0] >= height)):
+        if skip < 0 and (name not in INLINE or (judged and judged[-1][0] >= height)):
             flush()
         if height <= skip:
             skip = -1
@@ -219,21 +309,21 @@ def lines(page: str) -> list[Line]:
             continue
         if name == "a":
             in_link = 0 if closes else 1
-        if closes and name in open_main:
-            while open_main and open_main.pop() != name:
-                pass
         if not opens:
             continue
-        verdict = _verdict(name, m["attrs"])
-        if verdict in ("out", "hint") and name in INLINE:
+        verdict = _verdict(name, attrs)
+        if verdict in ("out", "advert", "block") and name in INLINE:
             flush()
         if verdict == "out":
             skip = len(stack.names)
         elif verdict == "main":
-            open_main.append(name)
-            hinted.clear()  # a hint never drops what holds an article
-        elif verdict == "hint":
-            hinted.append((len(stack.names), len(out), in_link))
+            mains.append(len(stack.names))
+        elif verdict in ("advert", "block"):
+            if name in ("article", "main"):
+                mains.append(len(stack.names))
+            around = judged[-1][1] if judged else 0
+            blocks.append(Block(around, verdict == "advert" or blocks[around].advert))
+            judged.append((len(stack.names), len(blocks) - 1, in_link))
         elif verdict == "weak" and name not in INLINE:
             weak.append(len(stack.names))
         if name not in INLINE and name not in TRANSPARENT:
@@ -243,8 +333,7 @@ def lines(page: str) -> list[Line]:
     if skip < 0 and at < len(page):
         text.append(page[at:])
     flush()
-    close(0)
-    return out
+    return out, blocks
 
 
 def _windows(sizes: list[float]) -> np.ndarray:
@@ -258,11 +347,40 @@ def _size(x: Line) -> float:
     return 0 if x.linked >= LINK_SHARE * max(1, len(x.text)) else len(x.text) * (WEAK_SHARE if x.weak else 1)
 
 
+def _judged(found: list[Line], blocks: list[Block]) -> list[Line]:
+    """The lines with blocks of boilerplate turned into empty ones (one for each run)."""
+    if len(blocks) == 1 or not any(x.text for x in found):
+        return found
+    own: dict[int, list[Line]] = defaultdict(list)
+    for x in found:
+        if x.text:
+            own[x.block].append(x)
+    full = {b: float(_windows([_size(x) for x in rows]).max()) for b, rows in own.items()}
+    most = full.get(0, 0.0)
+    article = max(_windows([_size(x) if x.inside else 0 for x in own[0]]), default=0) if own[0] else 0
+    text = {0}
+    for b in sorted(full, key=lambda b: (-full[b], b)):
+        if full[b] <= most:
+            break
+        if (most == 0) if blocks[b].advert else (article < SURGE):
+            while b:
+                text.add(b)
+                b = blocks[b].around
+            break
+    out: list[Line] = []
+    for x in found:
+        if x.block in text:
+            out.append(x)
+        elif not (out and out[-1].broken):
+            out.append(Line("", 0, False, False, 0, 0, True))
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
-    found = [x for x in lines(page or "") if x.text or x.broken]
-    article = [len(x.text) if x.inside else 0 for x in found]
-    if any(article) and _windows(article).max() >= _windows([0 if x.inside else _size(x) for x in found]).max():
+    found = _judged(*lines(page or ""))
+    article = [len(x.text) if x.inside else 0 for x in found if x.text]
+    if any(article) and _windows(article).max() >= _windows([0 if x.inside else _size(x) for x in found if x.text]).max():
         return " ".join(x.text for x in found if x.inside and x.text)
     blocks: list[list[Line]] = [[]]
     for x in found:

@@ -129,6 +129,53 @@ def test_line_blocks_keeps_short_and_linked_lines_between():
     assert extract(f"<h1>Title</h1><div class=ad>Buy</div><p>{a}</p><nav>x</nav><p>Sh is.</p><nav>x</nav><p>{b}</p>") == f"Title {a} Sh is. {b}"
 
 
+def test_line_blocks_without_articles_equal_brute_force():
+    import duckdb
+
+    pages = duckdb.sql("select page_id, html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    for around in ("div", "form id=aspnetForm", "div class='widget x'", "section"):
+        name = around.split()[0]
+        for page_id, html in pages:
+            body = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+            parts = [line_blocks.entities.unescape(re.sub("<[^>]*>", "", b)) for b in re.split(r"</?(?:p|h1|br)>", body)]
+            want = " ".join(" ".join(p.split()) for p in parts if p.strip())
+            page = html.replace("<article>", f"<{around}>").replace("</article>", f"</{name}>")
+            assert line_blocks.extract(page) == want, (page_id, around)
+
+
+def test_line_blocks_comments_teasers_and_odd_markup():
+    extract = line_blocks.extract
+    long, talk = " ".join(["word"] * 60), " ".join(["talk"] * 80)
+    art = f"<article><p>{long}</p></article>"
+    for page in (
+        f'{art}<div id="comments" class="comments-area"><ol><li><article class="comment-body"><p>{talk}</p></article></ol></div>',
+        f'<article><p>{long}</p><section class="comments"><article class="comment"><p>{talk}</p></article></section></article>',
+        f'{art}<div class="related"><article><h3>T</h3><p>{talk}</p></article></div>',
+        f'<div title="The hidden city">{art}</div>', f'<article data-hidden="false"><p>{long}</article>',
+        f'<article data-role="navigation"><p>{long}</article>', f'{art}<div width=5 id="sidebar"><p>{talk}',
+        f'<form id="aspnetForm"><div><p>{long}</p></div></form>', f'<form id="aspnetForm"><nav>m</nav>{art}<footer>f</footer></form>',
+        f'<div class="widget"><p>{long}</p></div><nav>{talk}</nav>', f"<title-card>x</title-card>{art}", f"<p title=it's>{long}</p>",
+        f'<div id="a" class="x" id="sidebar"><p>{long}</p></div><p>Sh.', f"<div class=comments-open><p>{long}</p></div>",
+        f'<p title="a>b">{long}</p>', f"<p class=x hidden>{talk}</p>{art}", f"<div class=notice>{talk}</div><div><p>{long}</p></div>",
+    ):
+        assert extract(page).replace(" Sh.", "").replace("x " + long, long) == long, page
+    assert extract(f"<article><p>{long}</p><figure><figcaption>Cap.</figcaption><pre>a = 1</pre></figure><p class=social>Soc.</p></article>") == f"{long} Cap. a = 1 Soc."
+    assert extract("<div class=notice><p>Only this.</p></div>") == "Only this." and extract("<div id=comments><p>Only this.</p></div>") == ""
+    assert extract("a < b <p>c <3 d</p></><!-- x --!>") == "a < b c <3 d"
+
+
+@pytest.mark.parametrize("part", ["<a '", "<p><div>", "<li>", "<div class=ad>a ", "<form>a ", "<a b='x>", " <p>x", "<b></i>", "<table><tr><td>x", "<article class=related>x y"])
+def test_line_blocks_time_is_linear(part):
+    import time
+
+    took = []
+    for chars in (100_000, 400_000):
+        began = time.process_time()
+        line_blocks.extract(part * (chars // len(part)))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5 and took[1] < 6
+
+
 def test_hilbert_curve_steps_by_one_cell():
     grid = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     keys = hilbert_pack.hilbert(grid, 3)
