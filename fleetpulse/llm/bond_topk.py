@@ -8,8 +8,11 @@ goes on with the compacted rest. Every task keeps its running k-th best per quer
 Queries are cut into blocks too, and every pair (query block, slot) meets the candidate blocks of that slot, by an
 equality join. Nothing is broadcast, and a task holds one query block and one candidate block at a time.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without id or with
-scaled components of 2**28 or more (their sums could pass a long); shorter vectors count as zero in the missing
+Vectors with components so large that their sums could pass a long skip the bounds: their scores are summed in Python
+integers.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without id; a score
+beyond a long counts as the nearest long; shorter vectors count as zero in the missing
 dimensions; rows with the query's own id are no candidates of it; a repeated query id is asked once, by its smallest
 vector; ties go to the smaller id; fewer candidates than k give shorter lists; an empty table gives no rows.
 """
@@ -23,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetpulse.llm.vector_blocks import TOP, grown, largest, sound, whole
+
 SCALE = 1024
-LIMIT = 1 << 28
 DIM_BLOCK = 16
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
@@ -32,14 +36,11 @@ CANDIDATE_BLOCK = 4096
 _BLOCK = "ids binary, dims int, cells binary"
 
 
-def scaled(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v): array of floor(1024 * x) of the vectors that take part."""
-    x = F.transform(embedding, lambda e: F.floor(F.lit(SCALE) * e.cast("double")))
-    sound = F.forall(
-        embedding, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(LIMIT / SCALE)), F.lit(False))
-    )
-    held = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & sound)
-    return held.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("v"))
+def held(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(vec_id, v): components as doubles of the vectors that take part, dealt by what they hold and sorted, so that a lost
+    task makes the same blocks again."""
+    rows = sound(vectors, vec_id, embedding).select("vec_id", "v")
+    return rows.repartition(F.xxhash64("vec_id", "v")).sortWithinPartitions("vec_id", "v")
 
 
 def _blocks(size: int):
@@ -51,7 +52,7 @@ def _blocks(size: int):
                 part = batch.slice(i, size)
                 lists = part.column(1).to_pylist()
                 dims = max(map(len, lists))
-                cells = np.zeros((dims, len(lists)), np.int64)
+                cells = np.zeros((dims, len(lists)))
                 for k, v in enumerate(lists):
                     cells[: len(v), k] = v
                 ids = part.column(0).to_numpy().astype(np.int64)
@@ -71,29 +72,47 @@ def _rest_norms(x: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """Running top k of a block of queries."""
+    """Running top k of a block of queries (columns of ``cells``, components as doubles)."""
 
     def __init__(self, ids: np.ndarray, cells: np.ndarray, k: int):
-        self.ids, self.cells, self.k = ids, cells, k
+        self.ids, self.cells, self.k = ids, whole(cells, SCALE), k
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
 
     def add(self, ids: np.ndarray, cells: np.ndarray) -> None:
-        dims = max(len(self.cells), len(cells))
-        q = np.pad(self.cells, ((0, dims - len(self.cells)), (0, 0)))
-        x = np.pad(cells, ((0, dims - len(cells)), (0, 0)))
+        x = whole(cells, SCALE)
+        dims = max(len(self.cells), len(x))
+        q, x = grown(self.cells, dims, self.cells.shape[1]), grown(x, dims, x.shape[1])
+        limit = (2**62 / max(dims, 1)) ** 0.5
+        big_q, big_x = largest(q.T) >= limit, largest(x.T) >= limit
+        fine_q, fine_x = np.flatnonzero(~big_q), np.flatnonzero(~big_x)
+        if len(fine_q) and len(fine_x):
+            self._bounded(fine_q, q[:, fine_q].astype(np.int64), ids[fine_x], x[:, fine_x].astype(np.int64))
+        for r in range(len(self.ids)):
+            at = np.flatnonzero((ids != self.ids[r]) & (big_x | big_q[r]))
+            if len(at):
+                score = q[:, r].astype(object) @ x[:, at].astype(object)
+                self._merge(r, np.clip(score, -TOP, TOP).astype(np.int64), ids[at])
+
+    def _merge(self, r: int, score: np.ndarray, ids: np.ndarray) -> None:
+        scores, names = np.concatenate((self.best[r][0], score)), np.concatenate((self.best[r][1], ids))
+        order = np.lexsort((names, -scores))[: self.k]
+        self.best[r] = scores[order], names[order]
+
+    def _bounded(self, rows: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        dims = len(q)
         peak = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(dims, 1)
         kind = np.float64 if peak < 2**52 else np.int64  # both exact
         q, x = q.astype(kind), x.astype(kind)
         q_rest, x_rest = _rest_norms(q), _rest_norms(x)
         first = q[:DIM_BLOCK].T @ x[:DIM_BLOCK]
         slack = 1 + 1e-9
-        for r in range(len(self.ids)):
+        for c, r in enumerate(rows.tolist()):
             at = np.flatnonzero(ids != self.ids[r])
-            score, d, step = first[r, at], DIM_BLOCK, 1
-            held = self.best[r][0]
+            score, d, step = first[c, at], DIM_BLOCK, 1
+            best = self.best[r][0]
             while True:
-                more = q_rest[step, r] * x_rest[step, at] * slack if d < dims else 0
-                floor = held[-1] if len(held) >= self.k else -np.inf
+                more = q_rest[step, c] * x_rest[step, at] * slack if d < dims else 0
+                floor = best[-1] if len(best) >= self.k else -np.inf
                 if len(at) > self.k:
                     low = score - more
                     floor = max(floor, np.partition(low, len(low) - self.k)[len(low) - self.k])
@@ -101,12 +120,9 @@ class Search:
                 at, score = at[live], score[live]
                 if d >= dims or not len(at):
                     break
-                score = score + q[d : d + DIM_BLOCK, r] @ x[d : d + DIM_BLOCK, at]
+                score = score + q[d : d + DIM_BLOCK, c] @ x[d : d + DIM_BLOCK, at]
                 d, step = d + DIM_BLOCK, step + 1
-            scores = np.concatenate((held, score.astype(np.int64)))
-            names = np.concatenate((self.best[r][1], ids[at]))
-            order = np.lexsort((names, -scores))[: self.k]
-            self.best[r] = scores[order], names[order]
+            self._merge(r, score.astype(np.int64), ids[at])
 
 
 def top_k(
@@ -115,14 +131,14 @@ def top_k(
     """(query_id, rank, vec_id, score) of the k best candidates of every row for which ``asked(id column)`` holds."""
     spark = vectors.sparkSession
     slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = scaled(vectors, vec_id, embedding)
-    asked_rows = rows.where(asked(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = held(vectors, vec_id, embedding)
+    asked_rows = rows.where(asked(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v")).sortWithinPartitions("vec_id")
     queries = asked_rows.mapInArrow(_blocks(QUERY_BLOCK), _BLOCK).select(
         F.xxhash64("ids").alias("block"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "cells"))
     )
     spread = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    held = rows.mapInArrow(_blocks(CANDIDATE_BLOCK), _BLOCK).select("*", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int").alias("slot"))
-    met = spread.join(held, "slot").select("block", "q_ids", "q_dims", "q_cells", "ids", "dims", "cells")
+    dealt = rows.mapInArrow(_blocks(CANDIDATE_BLOCK), _BLOCK).select("*", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int").alias("slot"))
+    met = spread.join(dealt, "slot").select("block", "q_ids", "q_dims", "q_cells", "ids", "dims", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         going: Search | None = None
@@ -147,9 +163,9 @@ def top_k(
                     if going is not None:
                         yield result()
                     own = np.frombuffer(q_ids, np.int64)
-                    going, now = Search(own, np.frombuffer(q_cells, np.int64).reshape(q_dims, len(own)), k), block
+                    going, now = Search(own, np.frombuffer(q_cells).reshape(q_dims, len(own)), k), block
                 own = np.frombuffer(ids, np.int64)
-                going.add(own, np.frombuffer(cells, np.int64).reshape(dims, len(own)))
+                going.add(own, np.frombuffer(cells).reshape(dims, len(own)))
         if going is not None:
             yield result()
 

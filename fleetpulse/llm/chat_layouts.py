@@ -2,10 +2,13 @@
 
 A record arrives as JSON text of any known layout. The paths of its nested fields that a layout could use are hashed to a
 fingerprint; the fingerprint selects a declarative mapping, and the mapping turns the record into canonical turns
-(role, text). The template then marks every turn and escapes control strings reversibly, and notes the character spans
+(role, text). A fingerprint that no mapping has (fields of two layouts side by side) takes the mapping most of whose required
+paths it holds, all of them; the choice is kept per fingerprint. ``layout_counts`` tells what stayed unknown. The template then marks every turn and escapes control strings reversibly, and notes the character spans
 of assistant texts (the loss mask). ``read_back`` parses the formatted text again.
 
-Defined cases: a record that is null, no JSON object, or of an unknown fingerprint gives no turns and layout null; null
+Defined cases: a record that is null, no JSON object, or that holds no mapping's required paths gives no turns and layout
+null (an empty list of messages holds none); a text that is a list of parts is its parts' texts one after
+the other; null
 texts count as empty; null roles are empty; fields that no mapping names are ignored, also when their names clash with
 template words; turns keep the record's order (rows: by turn, role, text, null turns first).
 """
@@ -78,7 +81,7 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def _registry(layouts) -> tuple[dict[str, Mapping], frozenset[str]]:
+def _registry(layouts) -> tuple[dict[str, Mapping], frozenset[str], tuple[Mapping, ...]]:
     by, known = {}, set()
     for m in layouts:
         must = m.paths() - set(m.optional)
@@ -86,7 +89,14 @@ def _registry(layouts) -> tuple[dict[str, Mapping], frozenset[str]]:
         for bits in range(1 << len(m.optional)):
             some = {p for k, p in enumerate(m.optional) if bits >> k & 1}
             by.setdefault(fingerprint(must | some), m)
-    return by, frozenset(known)
+    return by, frozenset(known), tuple(layouts)
+
+
+def _best(paths: frozenset[str], layouts) -> Mapping | None:
+    """The mapping with the most required paths of those whose required paths all occur, then with the most optional ones;
+    the first of equals."""
+    fits = [m for m in layouts if m.paths() - set(m.optional) <= paths]
+    return max(fits, key=lambda m: (len(m.paths() - set(m.optional)), len(m.paths() & paths)), default=None)
 
 
 def field_paths(value, at: str = "", deep: int = 3) -> set[str]:
@@ -99,17 +109,25 @@ def field_paths(value, at: str = "", deep: int = 3) -> set[str]:
 
 
 def _text(value) -> str:
+    if isinstance(value, list) and all(isinstance(p, str) or (isinstance(p, dict) and isinstance(p.get("text"), str)) for p in value):
+        return "".join(p if isinstance(p, str) else p["text"] for p in value)
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
 def canonical(record: str | None, registry=None) -> tuple[str | None, list[tuple[str, str]]]:
     """(layout, turns) of one JSON record."""
-    by, known = registry or REGISTRY
+    by, known, layouts = registry or REGISTRY
     try:
         value = json.loads(record or "null")
     except ValueError:
         return None, []
-    mapping = by.get(fingerprint(field_paths(value) & known)) if isinstance(value, dict) else None
+    if not isinstance(value, dict):
+        return None, []
+    found = frozenset(field_paths(value)) & known
+    mark = fingerprint(found)
+    if mark not in by:
+        by[mark] = _best(found, layouts)
+    mapping = by[mark]
     if mapping is None:
         return None, []
     turns: list[tuple[str, str]] = []
@@ -188,6 +206,11 @@ def format_records(records: DataFrame, *, record: str = "record") -> DataFrame:
     return records.select(*rest, record).mapInArrow(run, schema)
 
 
+def layout_counts(formatted: DataFrame) -> DataFrame:
+    """(layout, n): how many records each layout took; null: those that none did."""
+    return formatted.groupBy("layout").agg(F.count("*").alias("n"))
+
+
 def rows_to_records(rows: DataFrame, *, key: str = "conv_id", turn: str = "turn") -> DataFrame:
     """One JSON record of layout ``rows`` per conversation from a table with a row per turn."""
     item = F.struct(

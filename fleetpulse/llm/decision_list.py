@@ -38,16 +38,29 @@ FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_
 _WHITE = r"[\x20\x09-\x0D]+"
 #: Words in windows of three that occur twice or more, from the word array ``w``. A window's hash gives up as many low
 #: bits as its place needs, so one sort of longs brings equal windows together; the places of those with an equal
-#: neighbour, sorted again, tell how many words they cover.
-_REPEAT_WORDS = """
+#: neighbour, sorted again, tell how many words they cover. Should two neighbours of equal hash differ in their words, the
+#: windows are sorted by their words instead.
+_COVERED = "aggregate(transform({p}, (x, i) -> least(3L, coalesce(get({p}, i + 1) - x, 3L))), 0L, (a, x) -> a + x)"
+_BY_WORDS = f"""
+get(transform(array(sort_array(transform(sequence(0, size(w) - 3), i ->
+      struct(get(w, i) as a, get(w, i + 1) as b, get(w, i + 2) as c, cast(i as bigint) as i)))), s ->
+  get(transform(array(sort_array(transform(
+        filter(s, (x, i) -> (x.a <=> get(s, i - 1).a and x.b <=> get(s, i - 1).b and x.c <=> get(s, i - 1).c)
+                         or (x.a <=> get(s, i + 1).a and x.b <=> get(s, i + 1).b and x.c <=> get(s, i + 1).c)), x -> x.i))), p ->
+    {_COVERED.format(p="p")}), 0)), 0)
+"""
+_REPEAT_WORDS = f"""
 if(size(w) < 3, 0L,
   get(transform(array(length(bin(size(w)))), b ->
     get(transform(array(sort_array(transform(sequence(0, size(w) - 3), i ->
           shiftleft(shiftright(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), b), b) | cast(i as bigint)))), s ->
-      get(transform(array(sort_array(transform(
+      if(size(filter(s, (x, i) -> if(shiftright(x, b) <=> shiftright(get(s, i - 1), b),
+            get(transform(array(struct(cast(x & (shiftleft(1L, b) - 1L) as int) as p, cast(get(s, i - 1) & (shiftleft(1L, b) - 1L) as int) as q)), k ->
+              get(w, k.p) != get(w, k.q) or get(w, k.p + 1) != get(w, k.q + 1) or get(w, k.p + 2) != get(w, k.q + 2)), 0), false))) > 0,
+        {_BY_WORDS},
+        get(transform(array(sort_array(transform(
             filter(s, (x, i) -> shiftright(x, b) <=> shiftright(get(s, i - 1), b) or shiftright(x, b) <=> shiftright(get(s, i + 1), b)),
-            x -> x & (shiftleft(1L, b) - 1L)))), p ->
-        aggregate(transform(p, (x, i) -> least(3L, coalesce(get(p, i + 1) - x, 3L))), 0L, (a, x) -> a + x)), 0)), 0)), 0))
+            x -> x & (shiftleft(1L, b) - 1L)))), p -> {_COVERED.format(p="p")}), 0))), 0)), 0))
 """
 
 
@@ -56,24 +69,26 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """Rows with the columns of BASE and FEATURES (long and double); the text is dropped."""
+    """Rows with the columns of BASE and FEATURES (long and double); the text, and columns of these names, are dropped."""
     rest = [c for c in docs.columns if c not in (text, *BASE, *FEATURES)]
     t = F.coalesce(F.col(text), F.lit(""))
-    words = F.array_remove(F.split("_t", _WHITE), "")
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    words = F.array_remove(F.split("t", _WHITE), "")
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = F.struct(
         F.size("w").cast("long").alias("n_words"),
-        _without(F.col("_t"), " \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
-        (F.col("_chars") - _without(F.col("_t"), "#*$%&|<>")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        _without(F.col("t"), " \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
+        (F.col("chars") - _without(F.col("t"), "#*$%&|<>")).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(_REPEAT_WORDS).alias("n_repeat_words"),
-        F.size("_lines").alias("_n_lines"),
-        (F.col("_chars") - _without(F.col("_t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("_upper"),
-        (F.col("_chars") - _without(F.col("_t"), ".,;:!?")).alias("_marks"),
+        F.size("lines").alias("n_lines"),
+        (F.col("chars") - _without(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("upper"),
+        (F.col("chars") - _without(F.col("t"), ".,;:!?")).alias("marks"),
     )
-    split = docs.select(*rest, t.alias("_t")).withColumns({"w": words, "_lines": lines, "_chars": F.length("_t")})
+    # the row's own columns travel as one struct, so that no name of theirs meets one of these
+    row = F.struct(F.lit(0).alias("row"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)))
+    split = docs.select(row.alias("row"), t.alias("t")).withColumns({"w": words, "lines": lines, "chars": F.length("t")})
     # A generator keeps later filters from being pushed below, where they would compute the statistics once more.
-    counted = split.select(*rest, F.inline(F.array(counts)))
+    counted = split.select("row", F.inline(F.array(counts)))
 
     def share(a: str, b: str) -> Column:
         return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
@@ -81,12 +96,13 @@ def statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
     shares = {
         "word_length": share("word_chars", "n_words"),
         "symbol_share": share("n_symbols", "word_chars"),
-        "dup_line_share": share("n_dup_lines", "_n_lines"),
+        "dup_line_share": share("n_dup_lines", "n_lines"),
         "repeat_share": share("n_repeat_words", "n_words"),
-        "upper_share": share("_upper", "word_chars"),
-        "mark_share": share("_marks", "word_chars"),
+        "upper_share": share("upper", "word_chars"),
+        "mark_share": share("marks", "word_chars"),
     }
-    return counted.withColumns(shares).drop("_n_lines", "_upper", "_marks")
+    own = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(rest)]
+    return counted.select(*own, *BASE, *(v.alias(k) for k, v in shares.items()))
 
 
 def base_failed() -> Column:

@@ -30,6 +30,7 @@ from fleetpulse.llm.common import row_blocks, utf8
 UND = "und"
 BUCKETS = 1 << 15
 FIT_ROWS = 6_000
+MOST_CLASSES = 256
 #: Neighbouring trigrams repeat each other's evidence; long texts say no more than this many letters.
 OVERLAP, MOST_LETTERS = 3.0, 600
 PRIOR_UND = 0.02
@@ -67,15 +68,26 @@ def trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(rows: DataFrame, *, key: str, text: str, declared: str, fit_rows: int = FIT_ROWS) -> Model:
-    """Trigram models from at most ``fit_rows`` declared rows, those whose key hashes lowest."""
-    some = rows.where(F.col(declared).isNotNull() & F.col(text).isNotNull())
-    picked = some.select(F.col(key).alias("k")).orderBy(F.xxhash64(key), key).limit(fit_rows).distinct()
-    sample = some.join(F.broadcast(picked), some[key].eqNullSafe(picked["k"])).select(F.col(declared).alias("l"), F.col(text).alias("t"))
+    """Trigram models from at most ``fit_rows`` declared rows, those whose key hashes lowest; rows of one key, declaration
+    and text count once.
+
+    Declared values of less than a ``MOST_CLASSES``-th of the sample are no classes of their own, so there are at most
+    ``MOST_CLASSES`` languages, whatever rows declare.
+    """
+    some = rows.select(F.col(key).alias("k"), F.col(declared).alias("l"), F.col(text).alias("t")).where("l IS NOT NULL AND t IS NOT NULL")
+    some = some.withColumn("h", F.xxhash64("k", "l", "t"))
+    picked = some.select("k", "h").orderBy(F.xxhash64("k"), "k", "h").limit(fit_rows).distinct()
+    picked = picked.select(F.col("k").alias("pk"), F.col("h").alias("ph"))
+    met = some.join(F.broadcast(picked), F.col("k").eqNullSafe(F.col("pk")) & (F.col("h") == F.col("ph")))
+    sample = met.dropDuplicates(["k", "h"]).select("l", "t").persist()  # at most fit_rows texts, read three times
+    common = sample.groupBy("l").agg(F.count("*").alias("n"))
+    common = common.where(F.col("n") * MOST_CLASSES >= sample.select(F.count("*")).scalar()).select("l")
+    chosen = sample.join(common, "l", "left_semi")
 
     def run(batches):
         for batch in batches:
             data, off = utf8(batch.column(1))
-            names = np.array(batch.column(0).to_pylist())
+            names = np.array(batch.column(0).to_pylist(), object)
             for i, j in row_blocks(off):
                 code, first = trigrams(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 for name in np.unique(names[i:j]):
@@ -86,7 +98,8 @@ def fit(rows: DataFrame, *, key: str, text: str, declared: str, fit_rows: int =
                         [pa.array([name] * len(hit)), pa.array(hit), pa.array(n[hit])], names=["l", "bucket", "n"]
                     )
 
-    counts = sample.mapInArrow(run, "l string, bucket long, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = chosen.mapInArrow(run, "l string, bucket long, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sample.unpersist()
     languages = tuple(sorted(counts["l"].unique()))
     table = np.full((len(languages), BUCKETS), SMOOTH)
     for i, name in enumerate(languages):
@@ -185,32 +198,30 @@ def identify(
     nothing = F.lit(None).cast("string")
     model = model or fit(rows, key=key, text=text, declared=training)
     own = {"declared": declared, "suffix": suffix, "domain": domain, "host": host}
-    marks = {f"_{k}": nothing if v is None else v.cast("string") for k, v in own.items()}
-    scored = rows.withColumns({"_ll": text_evidence(model, F.col(text)), **marks})
-    named = scored.select(F.col("_ll").alias("ll"), *(F.col(f"_{k}").alias(k) for k in own))
-    priors = learn_priors(named, model)
+    added = ("language", "probability", "language_kept")
+    rest = [c for c in rows.columns if c not in added]
+    # the row's own columns travel as one struct, so that no name of theirs meets one of these
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)))
+    marks = (F.coalesce(nothing if v is None else v.cast("string"), nothing).alias(k) for k, v in own.items())
+    scored = rows.select(row.alias("row"), text_evidence(model, F.col(text)).alias("ll"), *marks)
+    priors = learn_priors(scored, model)
     met = (
-        scored.join(priors.declared, F.col("_declared") == F.col("declared_key"), "left")
-        .join(priors.suffix, F.col("_suffix") == F.col("suffix_key"), "left")
-        .join(
-            priors.host,
-            (F.col("_host") == F.col("host_key")) & (F.coalesce("_domain", F.lit("")) == F.col("domain_key")),
-            "left",
-        )
+        scored.join(priors.declared, F.col("declared") == F.col("declared_key"), "left")
+        .join(priors.suffix, F.col("suffix") == F.col("suffix_key"), "left")
+        .join(priors.host, (F.col("host") == F.col("host_key")) & (F.coalesce("domain", F.lit("")) == F.col("domain_key")), "left")
     )
     n = len(model.classes)
     zero = F.array(*[F.lit(0.0)] * n)
     prior = F.coalesce("host_log", F.array(*(F.lit(x) for x in priors.corpus)))
-    logs = F.col("_ll")
+    logs = F.col("ll")
     for more in (prior, F.coalesce("declared_log", zero), F.coalesce("suffix_log", zero)):
         logs = F.zip_with(logs, more, lambda a, b: a + b)
-    met = met.withColumn("_log", logs).withColumn("_top", F.array_max("_log"))
-    mass = F.aggregate("_log", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_top")))
+    met = met.withColumn("log", logs).withColumn("top", F.array_max("log"))
+    mass = F.aggregate("log", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
     names = F.array(*(F.lit(c) for c in model.classes))
-    at = F.array_position("_log", F.col("_top"))
-    language = F.coalesce(F.when(F.size("_ll") > 0, F.get(names, (at - 1).cast("int"))), F.lit(UND))
-    probability = F.when(F.size("_ll") > 0, F.lit(1.0) / mass).otherwise(F.lit(1.0))
-    added = ("language", "probability", "language_kept")
+    at = F.array_position("log", F.col("top"))
+    language = F.coalesce(F.when(F.size("ll") > 0, F.get(names, (at - 1).cast("int"))), F.lit(UND))
+    probability = F.when(F.size("ll") > 0, F.lit(1.0) / mass).otherwise(F.lit(1.0))
     kept = (F.col("language") != UND) & (F.col("probability") >= least)
-    out = met.withColumns({"language": language, "probability": probability}).withColumn("language_kept", kept)
-    return out.select(*(c for c in rows.columns if c not in added), *added)
+    out = met.select("row", language.alias("language"), probability.alias("probability")).withColumn("language_kept", kept)
+    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(rest)), *added)

@@ -179,12 +179,12 @@ def page_entries(captures: DataFrame) -> DataFrame:
 OP9_SQL = rf"""
 WITH c AS (
   SELECT page_id, url, ((((page_id % {_YEAR} + {_YEAR}) % {_YEAR}) * 7919) % {_YEAR} + {_START}) AS s,
-         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
-         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS segment FROM pages),
+         lower(rtrim(regexp_extract(ltrim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.')) AS host,
+         regexp_extract(ltrim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS segment FROM pages),
 t AS (SELECT *, make_timestamp(s * 1000000) AS fetched_at, string_split(host, '.') AS l FROM c),
 e AS (
-  SELECT lower(CASE WHEN contains(url, 'utm_') THEN host WHEN contains(url, '#') THEN regexp_extract(host, '([^.]+\.[^.]+)$', 1)
-              WHEN contains(url, 'page=') THEN host || '/' || segment ELSE host END) AS pattern,
+  SELECT CASE WHEN contains(url, 'utm_') THEN host WHEN contains(url, '#') THEN regexp_extract(host, '([^.]+\.[^.]+)$', 1)
+              WHEN contains(url, 'page=') THEN host || '/' || segment ELSE host END AS pattern,
          CASE WHEN contains(url, 'utm_') OR contains(url, '#') THEN true ELSE false END AS blocked,
          date_trunc('day', fetched_at) + INTERVAL 1 DAY AS valid_from FROM t WHERE url IS NOT NULL),
 d AS (SELECT pattern, valid_from, bool_or(blocked) AS blocked FROM e GROUP BY 1, 2),

@@ -3,7 +3,8 @@
 The vocabulary becomes a trie over bytes and an end-of-word symbol. Where greedy longest match would stop at a node, its
 failure link names the node of what is still unmatched, and its pop count says how many tokens were emitted on the way,
 both precomputed; so a word is counted in one pass over its symbols without building pieces. The distinct words of a
-block of texts run through the automaton side by side, a symbol at a time, and each text sums its words' counts.
+block of texts run through the automaton side by side, a symbol at a time (words of more than ``LONG`` bytes singly), and each
+text sums its words' counts.
 
 Words are runs outside space, tab, LF, VT, FF and CR, with A-Z lower-cased. A word that greedy longest match cannot
 cover counts as one unknown token.
@@ -15,6 +16,7 @@ an empty one.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 from collections import deque
 from collections.abc import Iterator
@@ -30,6 +32,8 @@ from fleetpulse.llm.common import LOWER, row_blocks, utf8, word_hashes, words
 END = 256
 SYMBOLS = 257
 NONE = -1
+#: Words of more bytes than this are counted one at a time, a dictionary step per byte.
+LONG = 256
 
 
 def read_vocabulary(path: str, suffix: str = "</w>") -> list[tuple[bytes, bool]]:
@@ -80,6 +84,7 @@ class Automaton:
         self.keys = np.array([k for k, _ in edges], np.int64)
         self.to = np.array([v for _, v in edges], np.int64)
         self.fail, self.pops = np.array(fail, np.int64), np.array(pops, np.int64)
+        self.edges, self.fails, self.popped = dict(edges), fail, pops
 
     def _step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         key = node * SYMBOLS + symbol
@@ -98,6 +103,21 @@ class Automaton:
             node[todo] = self.fail[node[todo]]
             todo = todo[node[todo] != NONE]
 
+    def count_one(self, word: bytes) -> int:
+        """Tokens of one word."""
+        node, count, edges = 0, 0, self.edges
+        for symbol in itertools.chain(word, (END,)):
+            nxt = edges.get(node * SYMBOLS + symbol)
+            while nxt is None:
+                count, node = count + self.popped[node], self.fails[node]
+                if node == NONE:
+                    return 1
+                nxt = edges.get(node * SYMBOLS + symbol)
+            node = nxt
+        while node > 0:
+            count, node = count + self.popped[node], self.fails[node]
+        return count if node == 0 else 1
+
     def counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of every word (byte spans, none empty)."""
         n = len(start)
@@ -107,10 +127,13 @@ class Automaton:
         size = end - start
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
-        for d in range(int(size[0])):
+        long = int(np.searchsorted(-size, -LONG, "left"))
+        singly = [self.count_one(data[a : a + k].tobytes()) for a, k in zip(start[:long].tolist(), size[:long].tolist())]
+        start, size, node, count = start[long:], size[long:], node[long:], count[long:]
+        for d in range(int(size.max(initial=0))):
             live = int(np.searchsorted(-size, -d, "left"))  # words longer than d lead
             self._advance(node[:live], count[:live], data[start[:live] + d].astype(np.int64))
-        self._advance(node, count, np.full(n, END, np.int64))
+        self._advance(node, count, np.full(len(node), END, np.int64))
         while True:  # pop what is left; the word is covered if that ends at the root
             left = np.flatnonzero((node != NONE) & (node != 0))
             if not len(left):
@@ -118,7 +141,7 @@ class Automaton:
             count[left] += self.pops[node[left]]
             node[left] = self.fail[node[left]]
         out = np.empty(n, np.int64)
-        out[order] = np.where(node == NONE, 1, count)
+        out[order] = np.concatenate((np.array(singly, np.int64), np.where(node == NONE, 1, count)))
         return out
 
 

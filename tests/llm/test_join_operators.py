@@ -2,6 +2,7 @@
 
 import collections
 import datetime as dt
+import math
 import random
 import re
 
@@ -108,6 +109,62 @@ def test_top_k_equals_brute_force(spark):
     assert bond_topk.top_k(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    top = 2**63 - 1
+    rnd = random.Random(5)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(20)]) for i in range(60)]
+    rows += [(100, [300000.0] + [0.5] * 19), (101, [3e38] + [0.0] * 19), (200, [2e38, -1.0] + [0.25] * 18), (201, [-3e38] + [1.0] * 19), (202, [2.0**31] * 20), (300, [2.0**30] * 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    held = {i: [int(x) * 1024 if abs(x) > 2**60 else math.floor(1024 * x) for x in v] for i, v in rows}
+    got = [tuple(r) for r in bond_topk.top_k(df, lambda i: i % 100 == 0, k=10, slots=3).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in (0, 100, 200, 300):
+        scored = sorted((-max(-top, min(top, sum(a * b for a, b in zip(held[q], v)))), i) for i, v in held.items() if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert got == want
+
+
+def test_url_filters_odd_times_hosts_and_names(spark):
+    at = lambda y, d=1: dt.datetime(y, 1, d)
+    captures = spark.createDataFrame(
+        [(1, " http://X.com./a", at(1970)), (2, "http://x.com/a", at(2024, 5)), (3, "http://x.com/a", at(9000)), (4, "http://a.x.com", at(2024, 2)), (5, "http://y.com", at(2030))],
+        "page_id long, url string, fetched_at timestamp",
+    ).withColumns({"hit": F.lit(7), "u": F.lit(8), "t": F.lit(9), "row": F.lit(10), "e": F.lit(11), "bucket": F.lit(12)})
+    entries = spark.createDataFrame(
+        [("x.com", "block", at(2023)), ("x.com.", "allow", at(2024, 3)), ("x.com", "block", at(2025)), ("a.x.com", "allow", at(2024, 1)), ("a.x.com", "block", at(2024, 2)),
+         *((f"z{i}.com", "block", at(2000 + i)) for i in range(20))], "pattern string, action string, listed_at timestamp",
+    )
+    out = url_asof.decide(captures, entries)
+    assert {r.page_id: (r.pattern, r.blocked, r.hit, r.e) for r in out.collect()} == {
+        1: (None, False, 7, 11), 2: ("x.com", False, 7, 11), 3: ("x.com", True, 7, 11), 4: ("a.x.com", True, 7, 11), 5: (None, False, 7, 11)}
+    assert url_asof.kept(captures, entries).columns == captures.columns
+
+
+def test_url_filters_equal_brute_force(spark):
+    rnd = random.Random(9)
+    hosts = ["a.com", "b.a.com", "c.b.a.com", "d.org", "e.d.org"]
+    start = dt.datetime(2020, 1, 1)
+    when = lambda: start + dt.timedelta(days=rnd.choice([rnd.randrange(30), rnd.randrange(1500)]), hours=rnd.randrange(24))
+    caps = [(i, f"http://{rnd.choice(hosts)}/{rnd.choice(['s', 't'])}/x", when()) for i in range(300)]
+    ents = [(rnd.choice([*hosts, "a.com/s", "d.org/t"]), rnd.choice(["block", "allow"]), when()) for _ in range(150)]
+    got = {r.page_id: (r.pattern, r.valid_from, r.blocked) for r in url_asof.decide(
+        spark.createDataFrame(caps, "page_id long, url string, fetched_at timestamp"),
+        spark.createDataFrame(ents, "pattern string, action string, listed_at timestamp")).collect()}
+    for i, url, t in caps:
+        name, segment = url.split("/")[2:4]
+        labels = name.split(".")
+        asked = {".".join(labels[k:]) for k in range(len(labels) - 1)} | {f"{name}/{segment}"}
+        active = {}
+        for p, _, at in ents:
+            if p in asked and at <= t:
+                active[p] = max(active.get(p, at), at)
+        want = (None, None, False)
+        if active:
+            p = max(active, key=lambda x: (len(x), x))
+            want = (p, active[p], any(a == "block" for q, a, at in ents if q == p and at == active[p]))
+        assert got[i] == want, (url, t)
+
+
 def test_url_filters(spark):
     day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
     captures = spark.createDataFrame(
@@ -162,6 +219,62 @@ def test_language_odd_rows(spark):
     assert queries.identify_documents(docs.limit(0)).count() == 0
 
 
+def test_language_names_keys_and_many_declarations(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    own = ("declared_key", "host_log", "row", "ll", "declared", "log", "top", "suffix", "domain", "_ll", "k", "h", "l")
+    some = docs.limit(200).withColumns({c: F.lit(i) for i, c in enumerate(own)})
+    got = language_fusion.identify(some, declared=F.col("lang"), host=F.col("source")).first()
+    assert [got[c] for c in own] == list(range(len(own)))
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    model = language_fusion.fit(nulls.union(nulls), key="doc_id", text="text", declared="lang", fit_rows=100)
+    assert model.languages == tuple(sorted(r[0] for r in docs.select("lang").distinct().collect()))
+    free = docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(F.col("lang")).alias("lang"))
+    assert language_fusion.fit(free, key="doc_id", text="text", declared="lang").languages == model.languages
+
+
+def test_fusion_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    model = language_fusion.fit(docs, key="doc_id", text="text", declared="lang")
+    rows = docs.select("doc_id", "lang", "source", language_fusion.text_evidence(model, F.col("text")).alias("ll")).collect()
+    n = len(model.classes)
+    best = {r.doc_id: r.ll.index(max(r.ll)) if r.ll else n - 1 for r in rows}
+    whole = [sum(b == c for b in best.values()) for c in range(n)]
+    share = [(w + 1) / (len(rows) + n) for w in whole]
+
+    def told(of, value, c):
+        own = [r for r in rows if of(r) == value]
+        return math.log((sum(best[r.doc_id] == c for r in own) + 1) / (whole[c] + 2)) if value is not None and own else 0.0
+
+    shrink = language_fusion.SHRINK
+    for r in rows[:60]:
+        host = [best[x.doc_id] for x in rows if x.source == r.source]
+        logs = []
+        for c in range(n):
+            domain = (whole[c] + shrink * share[c]) / (len(rows) + shrink)
+            prior = (host.count(c) + shrink * domain) / (len(host) + shrink)
+            logs.append((r.ll[c] if r.ll else 0) + math.log(prior) + told(lambda x: x.lang, r.lang, c))
+        mass = sum(math.exp(x - max(logs)) for x in logs)
+        want = (model.classes[logs.index(max(logs))], 1 / mass) if r.ll else ("und", 1.0)
+        held = fused(spark, docs, model)[r.doc_id]
+        assert held[0] == want[0] and abs(held[1] - want[1]) < 1e-6
+
+
+_fused = {}
+
+
+def fused(spark, docs, model):
+    if not _fused:
+        out = language_fusion.identify(docs, model=model, declared=F.col("lang"), host=F.col("source"))
+        _fused.update({r.doc_id: (r.language, r.probability) for r in out.collect()})
+    return _fused
+
+
+def test_page_languages(spark):
+    got = queries.QUERIES["page_languages"](spark, "/root/testdata/sf0.01").collect()
+    told = [r for r in got if r.declared]
+    assert len(got) == 250 and sum(r.language == r.declared for r in told) >= 0.9 * len(told) > 0
+
+
 def test_stages(spark):
     import corpus_pipeline as cp
 

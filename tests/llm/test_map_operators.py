@@ -285,6 +285,42 @@ def greedy(word, vocabulary):
     return n
 
 
+def test_chat_layouts_of_mixed_records(spark):
+    import json
+
+    say = chat_layouts.canonical
+    two = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    for _ in range(2):  # a fingerprint's choice is kept
+        assert say(json.dumps({"prompt": "q", "prompt_id": "7", "messages": two})) == ("messages", [("user", "q"), ("assistant", "a")])
+        assert say(json.dumps({"instruction": "i", "response": "r", "output": "o"})) == ("instruction", [("user", "i"), ("assistant", "o")])
+        assert say(json.dumps({"messages": [], "prompt": "q", "response": "a"})) == ("prompt_response", [("user", "q"), ("assistant", "a")])
+        assert say(json.dumps({"text": "x"})) == (None, []) == say("[1]") == say("{")
+    parts = [{"type": "text", "text": "a "}, "b"]
+    assert say(json.dumps({"messages": [{"role": "user", "content": parts}]})) == ("messages", [("user", "a b")])
+    picture = [{"type": "image", "url": "u"}]
+    assert say(json.dumps({"messages": [{"role": "user", "content": picture}]}))[1] == [("user", json.dumps(picture))]
+    rows = spark.createDataFrame([(1, json.dumps({"messages": two})), (2, "{}"), (3, None)], "id long, record string")
+    counts = {r.layout: r.n for r in chat_layouts.layout_counts(chat_layouts.format_records(rows)).collect()}
+    assert counts == {"messages": 1, None: 2}
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    vocabulary = [(b"a", False), (b"aa", False), (b"aaa", True), (b"b", True), (b"ab", False), (b"c", False), (b"c", True)]
+    auto = wordpiece_counts.Automaton(vocabulary)
+    rnd = random.Random(3)
+    some = ["".join(rnd.choice("abc") for _ in range(n)) for n in (1, 5, 200, 256, 257, 300, 1000) for _ in range(20)] + ["a" * 400, "b" * 400, "x" * 300]
+    data, off = np.frombuffer("".join(some).encode(), np.uint8), np.cumsum([0, *map(len, some)])
+    got = auto.counts(data, off[:-1], off[1:])
+    assert got.tolist() == [auto.count_one(w.encode()) for w in some]
+    one = wordpiece_counts.Automaton([(bytes([b]), e) for b in range(33, 127) for e in (False, True)])
+    big = np.full(10_000_000, 65, np.uint8)
+    began = time.process_time()
+    assert one.counts(big, np.array([0]), np.array([len(big)])).tolist() == [len(big)]
+    assert time.process_time() - began < 20
+
+
 def test_automaton_equals_greedy():
     rnd = random.Random(5)
     for _ in range(200):
@@ -327,6 +363,29 @@ def test_statistics_equal_brute_force(docs, spark):
         assert r.base_failed == (own[0] < 50 or 100 * own[4] > 50 * own[0]) and r.kept == (not r.base_failed)
 
 
+def test_statistics_keep_columns_of_any_name(spark):
+    names = ("w", "_t", "t", "_lines", "lines", "_chars", "chars", "row", "upper", "marks", "n_lines", "_row", "a b")
+    df = spark.createDataFrame([(5, "one two three one two three")], "doc_id long, text string")
+    df = df.withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    got = decision_list.judge(df, decision_list.DecisionList(())).first()
+    assert [got[c] for c in names] == list(range(len(names))) and (got.doc_id, got.n_words, got.n_repeat_words) == (5, 6, 6)
+    kept = decision_list.keep(df.withColumn("text", F.repeat(F.col("text"), 1)), decision_list.DecisionList(()))
+    assert kept.columns == df.columns
+
+
+def test_repeat_words_of_colliding_hashes(spark, monkeypatch):
+    """With a hash of one value all windows are neighbours, and the words decide."""
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 30))) for _ in range(60)] + [" ".join(str(i) for i in range(40))]
+    monkeypatch.setattr(decision_list, "_REPEAT_WORDS", decision_list._REPEAT_WORDS.replace(
+        "xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))", "pmod(xxhash64(get(w, i)), 2L)"))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in decision_list.statistics(df).collect():
+        w = texts[r.doc_id].split()
+        wins = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        assert r.n_repeat_words == len({k + d for k, x in enumerate(wins) if wins.count(x) > 1 for d in range(3)}), w
+
+
 def test_decision_list_learns_and_handles_missing_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
