@@ -18,14 +18,30 @@ from fleetpulse.llm.queries import identify_documents
 from fleetpulse.session import checkpoint_dir
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that none of the columns has, in whatever case."""
+    held = {c.lower() for c in columns}
+    while name in held:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language."""
+    """Documents in a known language, with their columns as they came.
+
+    Null and empty texts, and texts without letters, have no language and go; repeated rows are judged alike; an empty
+    table stays empty.
+    """
     prepare(spark)
     return identify_documents(docs).where("language_kept").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned decision list keep."""
+    """Documents that the base rules and the learned decision list keep, with their columns as they came.
+
+    Null and empty texts have fewer than 50 words and go; repeated rows are judged alike; without labelled documents no rule
+    is learned and the base rules stand alone; an empty table stays empty.
+    """
     prepare(spark)
     return decision_list.keep(docs, decision_list.learn(docs, read(spark, sf_dir, "labels")))
 
@@ -42,7 +58,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if odd.isEmpty():
         dropped = circulant_minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
         return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    key, tie = "near_dedup_key", "near_dedup_tie"  # places in the order of rows; equal rows are spread over tasks
+    # places in the order of rows; equal rows are spread over tasks
+    key, tie = (unused(c, docs.columns) for c in ("near_dedup_key", "near_dedup_tie"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     order = [F.col("doc_id").asc_nulls_last(), F.col("text"), F.to_json(F.struct(F.lit(0).alias(key), *rest)), F.col(tie)]
     spread = docs.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -54,7 +71,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens: doc_id, start, length and so on, not the documents' columns.
+
+    A null text is empty and has one token, the closing id; repeated rows are documents of their own; an empty table gives
+    no pieces.
+    """
     prepare(spark)
     model = hilbert_pack.read_model(public_tokenizers.path("byte_bpe_50k.json"))
     return hilbert_pack.pack(docs, model, public_tokenizers.PATTERN, added=True)
@@ -72,7 +93,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``."""
+    """All stages applied to ``documents``; each stage's rows are Parquet in the shared checkpoint folder."""
     prepare(spark)
     folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")

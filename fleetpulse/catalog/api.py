@@ -141,14 +141,17 @@ def q_label_lookup_join(spark, sf_dir):
 @register("run_query", RUN_QUERY_SQL)
 def q_run_query(spark, sf_dir):
     """Bounded read-only SQL over the registered lake views (limit 5000)."""
-    lk = lake(spark, sf_dir)
-    Q.register_views(spark, lk, ["pings"])
-    return Q.run_query(spark, RUN_QUERY_SQL + ";", 5000)
+    with Q.views(spark, lake(spark, sf_dir), ["pings"]):
+        return Q.run_query(spark, RUN_QUERY_SQL + ";", 5000)
 
 
-@register("json_rows")
+@register("json_rows", """
+SELECT '{"instance_id":' || instance_id || ',"collected_at":"' || strftime(collected_at, '%Y-%m-%dT%H:%M:%S.%g') || '","big_bytes":'
+       || CASE WHEN num_of_bytes_read + 9007199254740992 > 9007199254740991 THEN '"' || (num_of_bytes_read + 9007199254740992) || '"'
+               ELSE coalesce(CAST(num_of_bytes_read + 9007199254740992 AS VARCHAR), 'null') END
+       || ',"num_of_reads":' || coalesce(CAST(num_of_reads AS VARCHAR), 'null') || '}' AS json FROM metric_database_io""")
 def q_json_rows(spark, sf_dir):
-    """Rows rendered as JSON text (no SQL oracle for the text form)."""
+    """Rows rendered as JSON text."""
     lk = lake(spark, sf_dir)
     df = lk.metric_database_io.select(
         "instance_id", "collected_at", (F.col("num_of_bytes_read") + F.lit(1 << 53)).alias("big_bytes"),

@@ -311,6 +311,12 @@ def q_rejected_error_rows(spark, sf_dir):
     return _ingested(spark, sf_dir).errors().drop("error_message")
 
 
+@register("quarantined_records", f"SELECT instance_id, collected_at, 'metric_cpu' AS collector_name FROM {_TYPED_5M} t WHERE rejected")
+def q_quarantined_records(spark, sf_dir):
+    """The stored quarantine of the stream, a row per rejected record (whose text it keeps)."""
+    return _ingested(spark, sf_dir).quarantine().drop(SI.REJECTED)
+
+
 @register("file_stats")
 def q_file_stats(spark, sf_dir):
     """Object count and total bytes under a written table (no SQL oracle: sizes depend on the writer)."""

@@ -52,24 +52,20 @@ def q_config_settings(spark, sf_dir):
     return K.config_settings(raw(spark, sf_dir))
 
 
-@register("databases_snapshot", f"""
-SELECT d.instance_id, d.database_id, 'sqlserver' AS platform, d.name AS database_name, d.create_date,
-       CAST(d.compatibility_level AS SMALLINT) AS compatibility_level, d.collation_name,
-       d.recovery_model_desc AS recovery_model, d.state_desc AS state, d.user_access_desc AS user_access,
-       d.is_read_only, (m.instance_id IS NOT NULL) AS is_mirrored, (d.group_database_id IS NOT NULL) AS is_alwayson,
-       l.login_name AS owner_name,
-       CAST(trunc(coalesce(f.data_mb, 0)) AS INTEGER) AS data_file_size_mb,
-       CAST(trunc(coalesce(f.log_mb, 0)) AS INTEGER) AS log_file_size_mb,
-       d.collected_at
-FROM raw_sysdb d
-LEFT JOIN (SELECT instance_id, database_id,
-                  sum(CASE WHEN type = 0 THEN CAST(size AS DOUBLE) * 8.0 / 1024 END) AS data_mb,
-                  sum(CASE WHEN type = 1 THEN CAST(size AS DOUBLE) * 8.0 / 1024 END) AS log_mb
-           FROM raw_files GROUP BY ALL) f ON f.instance_id = d.instance_id AND f.database_id = d.database_id
-LEFT JOIN (SELECT DISTINCT instance_id, database_id FROM raw_mirroring WHERE mirroring_guid IS NOT NULL) m
-       ON m.instance_id = d.instance_id AND m.database_id = d.database_id
-LEFT JOIN raw_logins l ON l.sid = d.owner_sid
-WHERE d.source_database_id IS NULL""")
+@register("databases_snapshot", """
+WITH megabytes AS (
+  SELECT instance_id, database_id, trunc(coalesce(sum(size::DOUBLE * 8.0 / 1024) FILTER (type = 0), 0))::INTEGER AS data_file_size_mb,
+         trunc(coalesce(sum(size::DOUBLE * 8.0 / 1024) FILTER (type = 1), 0))::INTEGER AS log_file_size_mb
+  FROM raw_files GROUP BY instance_id, database_id),
+base AS (SELECT * FROM raw_sysdb d WHERE source_database_id IS NULL)
+SELECT collected_at, instance_id, database_id, name AS database_name, create_date, state_desc AS state, user_access_desc AS user_access,
+       recovery_model_desc AS recovery_model, collation_name, is_read_only, compatibility_level::SMALLINT AS compatibility_level,
+       group_database_id IS NOT NULL AS is_alwayson,
+       EXISTS (FROM raw_mirroring m WHERE m.mirroring_guid IS NOT NULL AND m.instance_id = base.instance_id
+               AND m.database_id = base.database_id) AS is_mirrored,
+       (SELECT max(login_name) FROM raw_logins WHERE sid = owner_sid) AS owner_name,
+       coalesce(data_file_size_mb, 0) AS data_file_size_mb, coalesce(log_file_size_mb, 0) AS log_file_size_mb, 'sqlserver' AS platform
+FROM base LEFT JOIN megabytes USING (instance_id, database_id)""")
 def q_databases_snapshot(spark, sf_dir):
     return K.databases_snapshot(raw(spark, sf_dir))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import fleetpulse.checks.oracle_scoring  # noqa: F401  (registers oracle CTEs)
+from fleetpulse import schemas as S
 from fleetpulse.catalog import register
 from fleetpulse.plans import scoring as V
 from fleetpulse.sources.derived import AS_OF, DerivedLake
@@ -119,9 +120,22 @@ def q_union_distinct_keys(spark, sf_dir):
     return u.union(h).distinct()
 
 
-@register("threshold_pivot", "SELECT * FROM o_th")
+_RULES = "(VALUES " + ", ".join(f"('{n}', '{d}', {w}::DOUBLE, {c}::DOUBLE)" for n, d, w, c in S.THRESHOLD_SEED) + ") r(index_name, direction, warn, crit)"
+_PIVOT = ", ".join(f"max({col}) FILTER (index_name = '{n}') AS {n}_{out}" for n in V.INDEXES for col, out in (("direction", "dir"), ("warn", "warn"), ("crit", "crit")))
+
+
+@register("threshold_pivot", f"""
+SELECT instance_id, {_PIVOT} FROM (
+  SELECT instance_id, index_name, direction, warn * (1 + instance_id % 5) AS warn, crit * (1 + instance_id % 5) AS crit
+  FROM instances, {_RULES}) x GROUP BY instance_id""")
 def q_threshold_pivot(spark, sf_dir):
-    return V.threshold_pivot(lake(spark, sf_dir).score_thresholds)
+    """A4: every instance's own rules (the seed, scaled by instance) pivoted to one row."""
+    rules = F.explode(F.array(*(F.struct(F.lit(n).alias("index_name"), F.lit(d).alias("direction"), F.lit(w).alias("w"), F.lit(c).alias("c"))
+                                for n, d, w, c in S.THRESHOLD_SEED)))
+    own = lake(spark, sf_dir).instances.select("instance_id", (1 + F.col("instance_id") % 5).alias("scale"), rules.alias("r"))
+    scaled = own.select("instance_id", "r.index_name", "r.direction", (F.col("r.w") * F.col("scale")).alias("warn_threshold"),
+                        (F.col("r.c") * F.col("scale")).alias("crit_threshold"))
+    return V.threshold_pivot(scaled, ("instance_id",))
 
 
 @register("last_success", "SELECT * FROM o_last_success")

@@ -14,6 +14,8 @@ from fleetpulse.sources.derived import DerivedLake
 from fleetpulse.streaming import jobs as J
 
 DELAY = "10 minutes"
+#: Of the registered streams; a stream keeps the number of its first run.
+STATE_PARTITIONS = 8
 
 
 def lake(spark, sf_dir) -> DerivedLake:
@@ -29,7 +31,7 @@ def q_hourly_stream(spark, sf_dir):
     I.partitioned_append(lake(spark, sf_dir).metric_cpu, src, S.HOT_PARTITIONS)
     work = I.scratch_path(spark, "cpu_stream")
     out = J.hourly_cpu_stream(J.read_stream(spark, src, S.METRIC_CPU, files_per_trigger=16), DELAY)
-    J.run_available_now(out, os.path.join(work, "out"), os.path.join(work, "checkpoint"))
+    J.run_available_now(out, os.path.join(work, "out"), os.path.join(work, "checkpoint"), partitions=STATE_PARTITIONS)
     return spark.read.parquet(os.path.join(work, "out"))
 
 
@@ -54,4 +56,4 @@ def q_counter_delta_stream(spark, sf_dir):
     src = I.scratch_path(spark, "io_src")
     I.partitioned_append(lake(spark, sf_dir).metric_database_io, src, S.HOT_PARTITIONS)
     stream = J.read_stream(spark, src, S.METRIC_DATABASE_IO, files_per_trigger=8)
-    return J.counter_delta_stream(spark, stream, I.scratch_path(spark, "io_stream"), DELAY).latencies()
+    return J.counter_delta_stream(spark, stream, I.scratch_path(spark, "io_stream"), DELAY, partitions=STATE_PARTITIONS).latencies()

@@ -6,6 +6,7 @@ window (that would put all rows in one task).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,54 +84,93 @@ def all_nonzero(columns: Sequence[str]) -> Column:
     return cond
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint rows whose partition ids/positions two later passes must agree on.
-
-    Writes to the shared ``spark.checkpoint.dir`` (reliable across executor
-    loss); never a local checkpoint.
-    """
-    from fleetpulse.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+# --------------------------------------------------------------------------
+# Ordinals: positions in a global or per-key order without one task that sees all.
+#
+# The order's leading column is cut into cells at bounds that are taken once (a
+# quantile sketch, one number per cell) and are constants of the plan from then
+# on. Every pass, and every task that is run again, puts a row into the same
+# cell, so no copy of the input has to hold the passes together.
+
+
+def _position(df: DataFrame, name: str) -> Column:
+    """A double that never falls when the column rises (nulls lowest); rows that it does not tell apart share a cell."""
+    kind, c = df.schema[name].dataType.typeName(), F.col(name)
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif kind == "string":
+        # the six bytes behind what all values share
+        ends = df.select(F.min(name), F.max(name)).first()
+        low, high = ((x or "").encode() for x in ends)
+        shared = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+        padded = F.rpad(F.hex(F.substring(c.cast("binary"), shared + 1, 6)), 12, "0")
+        c = F.conv(padded, 16, 10)
+    elif kind == "boolean":
+        c = c.cast("int")
+    return F.coalesce(c.cast("double"), F.lit(float("-inf")))
+
+
+def _bounds(values: DataFrame, n: int) -> tuple[list[float], list[float]]:
+    """(inner bounds of about ``n`` cells of equal size, values that fill a cell or more) of the column ``x``."""
+    marks = [i / n for i in range(1, n)]
+    found = values.approxQuantile("x", marks, 1 / (4 * n)) if marks else []
+    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    alone = [e for v in heavy for e in (v, math.nextafter(v, math.inf))]
+    return sorted({v for v in (*found, *alone) if -math.inf < v < math.inf}), heavy
+
+
+def _cell(df: DataFrame, position: Column, bounds: list[float], out: str) -> DataFrame:
+    """``df`` with the number of the cell that ``position`` falls into."""
+    if not bounds:
+        return df.withColumn(out, F.lit(0.0))
+    from pyspark.ml.feature import Bucketizer
+
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=f"{out}_x", outputCol=out, handleInvalid="keep")
+    return cut.transform(df.withColumn(f"{out}_x", position)).drop(f"{out}_x")
+
+
+def _cells_wanted(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_cells(df: DataFrame, order: Sequence[str], out: str = "_cell", cells: int | None = None) -> DataFrame:
+    """``df`` with a cell number that rises with ``order``. A leading value that would fill cells by itself (one collection
+    cycle, say) is cut by the second column."""
+    n = cells or _cells_wanted(df)
+    first = _position(df, order[0])
+    bounds, heavy = _bounds(df.select(first.alias("x")), n)
+    cut = _cell(df, first, bounds, out)
+    if not heavy or len(order) == 1:
+        return cut.withColumn(out, F.col(out).cast("long"))
+    second = _position(df, order[1])
+    parts = -(-n // len(heavy))
+    inner, _ = _bounds(df.filter(first.isin(*heavy)).select(second.alias("x")), parts)
+    both = _cell(cut, second, inner, f"{out}_2")
+    fine = F.when(first.isin(*heavy), F.col(f"{out}_2")).otherwise(F.lit(0.0))
+    return both.withColumn(out, (F.col(out) * (len(inner) + 2) + fine).cast("long")).drop(f"{out}_2")
 
 
 def chunk_ids(df: DataFrame, order: Sequence[str], size: int, out: str = "chunk_id") -> DataFrame:
-    """Split rows ordered by ``order`` into chunks of ``size`` (last may be short).
-
-    Global ranks come from a two-pass scheme: sort by range (distributed), count
-    rows per partition, turn the counts into per-partition start offsets (one
-    tiny row per partition), then number rows inside each partition. No
-    unpartitioned window is used.
-    """
+    """Split rows ordered by ``order`` into chunks of ``size`` (last may be short)."""
     ranked = dense_rank_global(df, order, "_pos")
     return ranked.withColumn(out, F.floor((F.col("_pos") - 1) / F.lit(size)).cast("long")).drop("_pos")
 
 
-def dense_rank_global(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataFrame:
-    """1-based global row position by ``order`` using per-partition offsets.
+def dense_rank_global(df: DataFrame, order: Sequence[str], out: str = "rank", cells: int | None = None) -> DataFrame:
+    """1-based global row position by ``order``: rows counted per cell, counts summed over the cells before (one row
+    per cell), rows numbered inside their cell.
 
     ``order`` must be a total order (append a unique tiebreak if needed).
     """
-    sorted_df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    pid = F.spark_partition_id()
-    # Position inside the partition: the monotonic id is (partition index << 33)
-    # + row index. The annotated rows are checkpointed once so both passes see
-    # the same range bounds (each exchange would otherwise sample its own).
-    local = _materialize(sorted_df.select(
-        "*", pid.alias("_pid"),
-        (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33) + 1).alias("_local"),
-    ))
-    # Per-partition counts -> exclusive running offsets (one row per partition).
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-    ).fillna(0, subset=["_off"])
+    order = list(order)
+    cut = with_cells(df, order, cells=cells)
+    counts = cut.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # over at most three rows per wanted cell
+    offsets = counts.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
     return (
-        local.join(F.broadcast(offsets), "_pid")
-        .withColumn(out, (F.col("_off") + F.col("_local")).cast("long"))
-        .drop("_pid", "_local", "_off")
+        cut.withColumn("_local", local).join(F.broadcast(offsets), "_cell")
+        .withColumn(out, (F.col("_off") + F.col("_local")).cast("long")).drop("_cell", "_local", "_off")
     )
 
 
@@ -138,31 +178,30 @@ def dense_rank_global(df: DataFrame, order: Sequence[str], out: str = "rank") ->
 # Windows whose groups stay bounded when one key holds a large share of rows.
 #
 # A plain ``Window.partitionBy(key)`` puts every row of a key into one task.
-# Here each key's rows get a global ordinal (range partitioning + per-partition
-# offsets), are cut into blocks of ``block`` rows, and each block also receives
+# Here each key's rows get an ordinal (counted per key and cell of the order),
+# are cut into blocks of ``block`` rows, and each block also receives
 # the few rows of the previous block its frame needs (a halo). Windows then run
 # per (key, block): no task holds more than ``block + halo`` rows of a key.
 
 DEFAULT_BLOCK = 1 << 16
 
 
-def key_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_ord") -> DataFrame:
-    """1-based position of each row within its key by ``order`` (must be a total order)."""
+def key_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_ord", cells: int | None = None) -> DataFrame:
+    """1-based position of each row within its key by ``order`` (must be a total order).
+
+    The cells are those of the whole table's order, where a key that holds much of the table is spread over many of them.
+    """
     keys, order = list(keys), list(order)
-    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    pid = F.spark_partition_id()
-    pos = _materialize(ranged.select(
-        "*", pid.alias("_pid"),
-        (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_pos"),
-    ))
-    # Per (partition, key): first position and row count -> rows of the key in earlier partitions.
-    spans = pos.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select("_pid", *keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    n = cells or _cells_wanted(df)
+    first = _position(df, order[0])
+    cut = _cell(df, first, _bounds(df.select(first.alias("x")), n)[0], "_cell")
+    spans = cut.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*keys, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = cut.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(*order)))
     return (
-        null_safe_join(pos, spans, ["_pid", *keys])
-        .withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("long"))
-        .drop("_pid", "_pos", "_first", "_off")
+        null_safe_join(local, spans, [*keys, "_cell"])
+        .withColumn(out, (F.col("_off") + F.col("_pos")).cast("long")).drop("_cell", "_pos", "_off")
     )
 
 

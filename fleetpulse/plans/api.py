@@ -8,6 +8,9 @@ instances as well).
 
 from __future__ import annotations
 
+import contextlib
+import itertools
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -159,10 +162,16 @@ def run_query(spark: SparkSession, sql: str, limit: int = DEFAULT_ROWS) -> DataF
     return spark.sql(f"SELECT * FROM (\n{check_query_text(sql)}\n) AS q LIMIT {int(limit)}")
 
 
-def register_views(spark: SparkSession, lake, names) -> None:
-    """Expose lake tables to ``run_query`` as session views."""
+@contextlib.contextmanager
+def views(spark: SparkSession, lake, names):
+    """Lake tables as session views for the queries analysed inside; they are gone afterwards (a plan keeps its tables)."""
     for n in names:
         getattr(lake, n).createOrReplaceTempView(n)
+    try:
+        yield
+    finally:
+        for n in names:
+            spark.catalog.dropTempView(n)
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -170,17 +179,16 @@ def json_rows(df: DataFrame) -> DataFrame:
     numbers lose precision there); timestamps are rendered as strings; NULL stays null.
     """
     limit = 2**53 - 1
-    parts = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if f.dataType.typeName() == "long":
-            val = (
-                F.when(c.isNull(), F.lit("null"))
-                .when((c > F.lit(limit)) | (c < F.lit(-limit)), F.concat(F.lit('"'), c.cast("string"), F.lit('"')))
-                .otherwise(c.cast("string"))
-            )
-            parts.append(F.concat(F.lit(f'"{f.name}":'), val))
-        else:
-            one = F.to_json(F.struct(c.alias(f.name)), {"ignoreNullFields": "false"})
-            parts.append(F.regexp_extract(one, r"^\{(.*)\}$", 1))
+    parts: list = []
+    for is_long, fields in itertools.groupby(df.schema.fields, key=lambda f: f.dataType.typeName() == "long"):
+        if is_long:
+            for f in fields:
+                c = F.col(f.name)
+                text = c.cast("string")
+                wide = (c > F.lit(limit)) | (c < F.lit(-limit))
+                value = F.when(wide, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+                parts.append(F.concat(F.lit(f"{json.dumps(f.name)}:"), F.coalesce(value, F.lit("null"))))
+        else:  # neighbouring columns of other kinds in one piece, without its braces
+            one = F.to_json(F.struct(*(F.col(f.name) for f in fields)), {"ignoreNullFields": "false"})
+            parts.append(F.substring(one, F.lit(2), F.length(one) - 2))
     return df.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))

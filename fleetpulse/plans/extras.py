@@ -26,16 +26,19 @@ def _guarded(cur: str, prev: str, same_restart) -> F.Column:
     return F.when(same_restart & (p <= c), c - p).otherwise(F.lit(0)).cast("long")
 
 
-def wait_deltas(waits: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
+def wait_deltas(waits: DataFrame) -> DataFrame:
     """G1: per (instance, wait type) deltas between snapshots, reset-guarded by the counter
-    and by a changed restart time; average wait per task and share of the snapshot's waits."""
-    base = waits.select("instance_id", "wait_type", "collected_at", "last_restart_at", "wait_time_ms",
-                        "waiting_tasks_count")
-    lagged = lag_bounded(base, ["instance_id", "wait_type"], ["collected_at"],
-                         ["wait_time_ms", "waiting_tasks_count", "last_restart_at"], block=block)
-    lagged = lagged.withColumnsRenamed({"prev_wait_time_ms": "prev_wait", "prev_waiting_tasks_count": "prev_tasks",
-                                        "prev_last_restart_at": "prev_restart"}) \
-        .filter(F.col("prev_wait").isNotNull())
+    and by a changed restart time; average wait per task and share of the snapshot's waits.
+
+    A wait type has one row per snapshot of its instance, so a plain window per series holds as many rows as there were
+    snapshots, whatever an instance's share of the table.
+    """
+    series = Window.partitionBy("instance_id", "wait_type").orderBy("collected_at")
+    lagged = waits.select(
+        "instance_id", "wait_type", "collected_at", "last_restart_at", "wait_time_ms", "waiting_tasks_count",
+        F.lag("wait_time_ms").over(series).alias("prev_wait"), F.lag("waiting_tasks_count").over(series).alias("prev_tasks"),
+        F.lag("last_restart_at").over(series).alias("prev_restart"),
+    ).filter(F.col("prev_wait").isNotNull())
     same = F.col("prev_restart").eqNullSafe(F.col("last_restart_at"))
     d = lagged.select(
         "instance_id", "wait_type", "collected_at",

@@ -47,16 +47,16 @@ def read_lake_table(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
+def by_folder(df: DataFrame, partitions: list[str]) -> DataFrame:
+    """Rows rebalanced by folder before a partitioned write: a task writes few folders, so a batch leaves about one file per
+    folder instead of one per folder and task; adaptive execution splits a hot folder over many tasks and joins small ones."""
+    return df.hint("rebalance", *(F.col(p) for p in partitions)) if partitions else df
+
+
 def partitioned_append(df: DataFrame, path: str, partitions: list[str],
                        max_records_per_file: int = MAX_RECORDS_PER_FILE) -> None:
-    """S3: append ZSTD Parquet partitioned by ``partitions``, bounded file size.
-
-    No shuffle: each task writes its own rows into the folders they belong to
-    (the writer sorts by folder columns inside the task), so a hot folder, such
-    as one collection cycle, is spread over all input tasks. File count is
-    folders x tasks per batch; compaction (T11) merges them later.
-    """
-    w = df.write.mode("append").option("compression", "zstd")
+    """S3: append ZSTD Parquet partitioned by ``partitions``, bounded file size."""
+    w = by_folder(df, partitions).write.mode("append").option("compression", "zstd")
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
     if partitions:
@@ -67,7 +67,7 @@ def partitioned_append(df: DataFrame, path: str, partitions: list[str],
 def overwrite_partitions(df: DataFrame, path: str, partitions: list[str]) -> None:
     """Dynamic partition overwrite (only partitions present in ``df`` are replaced)."""
     (
-        df.write.mode("overwrite")
+        by_folder(df, partitions).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(*partitions).parquet(path)

@@ -222,8 +222,9 @@ def blocking_hourly(metric_blocking: DataFrame, as_of=None) -> DataFrame:
 
 
 # ------------------------------------------------------------------- V10
-def threshold_pivot(score_thresholds: DataFrame) -> DataFrame:
-    """A4: the rule table as one row of 15 scalars (direction, warn, crit per index)."""
+def threshold_pivot(score_thresholds: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A4: the rule table as one row of 15 scalars (direction, warn, crit per index), or one row per ``keys`` where rules
+    differ (by instance, say)."""
     aggs = []
     for name in INDEXES:
         hit = F.col("index_name") == name
@@ -232,7 +233,7 @@ def threshold_pivot(score_thresholds: DataFrame) -> DataFrame:
             F.max(F.when(hit, F.col("warn_threshold"))).alias(f"{name}_warn"),
             F.max(F.when(hit, F.col("crit_threshold"))).alias(f"{name}_crit"),
         ]
-    return score_thresholds.agg(*aggs)
+    return score_thresholds.groupBy(*keys).agg(*aggs)
 
 
 def threshold_scalars(score_thresholds: DataFrame) -> Column:

@@ -35,6 +35,8 @@ SCALE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    # A reliable checkpoint is deleted once nothing refers to it any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -59,7 +59,9 @@ class Ledger:
     def write(self, part: str, df: DataFrame, partitions: list[str] | tuple = ()) -> str:
         """Write one part of a run into a folder of its own; returns the folder's name (not yet visible)."""
         name = "r" + uuid.uuid4().hex
-        w = df.write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        # by folder, so that a run leaves few files; adaptive execution splits a hot folder over many tasks
+        dealt = df.hint("rebalance", *(F.col(p) for p in partitions)) if partitions else df
+        w = dealt.write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         if partitions:
             w = w.partitionBy(*partitions)
         w.parquet(self.folder(part, name))

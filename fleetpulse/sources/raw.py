@@ -19,29 +19,88 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 # The benign wait types excluded from the top-waits collection (80 names).
-BENIGN_WAITS = (
-    "SLEEP_TASK SLEEP_SYSTEMTASK SLEEP_BPOOL_FLUSH SLEEP_DBSTARTUP SLEEP_DCOMSTARTUP "
-    "SLEEP_MASTERDBREADY SLEEP_MASTERMDREADY SLEEP_MASTERUPGRADED SLEEP_MSDBSTARTUP "
-    "SLEEP_TEMPDBSTARTUP LAZYWRITER_SLEEP WAITFOR WAITFOR_TASKSHUTDOWN WAIT_FOR_RESULTS "
-    "SERVER_IDLE_CHECK KSOURCE_WAKEUP CHECKPOINT_QUEUE CHKPT LOGMGR_QUEUE DIRTY_PAGE_POLL "
-    "REDO_THREAD_PENDING_WORK BROKER_EVENTHANDLER BROKER_RECEIVE_WAITFOR BROKER_TASK_STOP "
-    "BROKER_TO_FLUSH BROKER_TRANSMITTER CLR_AUTO_EVENT CLR_MANUAL_EVENT CLR_SEMAPHORE "
-    "DISPATCHER_QUEUE_SEMAPHORE ONDEMAND_TASK_QUEUE SOS_WORK_DISPATCHER XE_DISPATCHER_JOIN "
-    "XE_DISPATCHER_WAIT XE_TIMER_EVENT XE_BUFFERMGR_ALLPROCESSED_EVENT XE_LIVE_TARGET_TVF "
-    "FT_IFTS_SCHEDULER_IDLE_WAIT FT_IFTSHC_MUTEX FSAGENT DBMIRROR_DBM_EVENT "
-    "DBMIRROR_EVENTS_QUEUE DBMIRROR_WORKER_QUEUE DBMIRRORING_CMD HADR_CLUSAPI_CALL "
-    "HADR_FILESTREAM_IOMGR_IOCOMPLETION HADR_LOGCAPTURE_WAIT HADR_NOTIFICATION_DEQUEUE "
-    "HADR_TIMER_TASK HADR_WORK_QUEUE PARALLEL_REDO_DRAIN_WORKER PARALLEL_REDO_LOG_CACHE "
-    "PARALLEL_REDO_TRAN_LIST PARALLEL_REDO_WORKER_SYNC PARALLEL_REDO_WORKER_WAIT_WORK "
-    "QDS_PERSIST_TASK_MAIN_LOOP_SLEEP QDS_ASYNC_QUEUE QDS_CLEANUP_STALE_QUERIES_TASK_MAIN_LOOP_SLEEP "
-    "QDS_SHUTDOWN_QUEUE WAIT_XTP_CKPT_CLOSE WAIT_XTP_HOST_WAIT WAIT_XTP_OFFLINE_CKPT_NEW_LOG "
-    "WAIT_XTP_RECOVERY SP_SERVER_DIAGNOSTICS_SLEEP SQLTRACE_BUFFER_FLUSH "
-    "SQLTRACE_INCREMENTAL_FLUSH_SLEEP SQLTRACE_WAIT_ENTRIES REQUEST_FOR_DEADLOCK_SEARCH "
-    "RESOURCE_QUEUE EXECSYNC SNI_HTTP_ACCEPT PWAIT_ALL_COMPONENTS_INITIALIZED "
-    "PWAIT_DIRECTLOGCONSUMER_GETNEXT VDI_CLIENT_OTHER MEMORY_ALLOCATION_EXT PVS_PREALLOCATE "
-    "PREEMPTIVE_XE_GETTARGETSTATE PREEMPTIVE_OS_FLUSHFILEBUFFERS PREEMPTIVE_OS_AUTHENTICATIONOPS "
-    "PREEMPTIVE_OS_GETPROCADDRESS"
-).split()
+BENIGN_WAITS = [
+    "SLEEP_TASK",
+    "SLEEP_SYSTEMTASK",
+    "SLEEP_BPOOL_FLUSH",
+    "SLEEP_DBSTARTUP",
+    "SLEEP_DCOMSTARTUP",
+    "SLEEP_MASTERDBREADY",
+    "SLEEP_MASTERMDREADY",
+    "SLEEP_MASTERUPGRADED",
+    "SLEEP_MSDBSTARTUP",
+    "SLEEP_TEMPDBSTARTUP",
+    "LAZYWRITER_SLEEP",
+    "WAITFOR",
+    "WAITFOR_TASKSHUTDOWN",
+    "WAIT_FOR_RESULTS",
+    "SERVER_IDLE_CHECK",
+    "KSOURCE_WAKEUP",
+    "CHECKPOINT_QUEUE",
+    "CHKPT",
+    "LOGMGR_QUEUE",
+    "DIRTY_PAGE_POLL",
+    "REDO_THREAD_PENDING_WORK",
+    "BROKER_EVENTHANDLER",
+    "BROKER_RECEIVE_WAITFOR",
+    "BROKER_TASK_STOP",
+    "BROKER_TO_FLUSH",
+    "BROKER_TRANSMITTER",
+    "CLR_AUTO_EVENT",
+    "CLR_MANUAL_EVENT",
+    "CLR_SEMAPHORE",
+    "DISPATCHER_QUEUE_SEMAPHORE",
+    "ONDEMAND_TASK_QUEUE",
+    "SOS_WORK_DISPATCHER",
+    "XE_DISPATCHER_JOIN",
+    "XE_DISPATCHER_WAIT",
+    "XE_TIMER_EVENT",
+    "XE_BUFFERMGR_ALLPROCESSED_EVENT",
+    "XE_LIVE_TARGET_TVF",
+    "FT_IFTS_SCHEDULER_IDLE_WAIT",
+    "FT_IFTSHC_MUTEX",
+    "FSAGENT",
+    "DBMIRROR_DBM_EVENT",
+    "DBMIRROR_EVENTS_QUEUE",
+    "DBMIRROR_WORKER_QUEUE",
+    "DBMIRRORING_CMD",
+    "HADR_CLUSAPI_CALL",
+    "HADR_FILESTREAM_IOMGR_IOCOMPLETION",
+    "HADR_LOGCAPTURE_WAIT",
+    "HADR_NOTIFICATION_DEQUEUE",
+    "HADR_TIMER_TASK",
+    "HADR_WORK_QUEUE",
+    "PARALLEL_REDO_DRAIN_WORKER",
+    "PARALLEL_REDO_LOG_CACHE",
+    "PARALLEL_REDO_TRAN_LIST",
+    "PARALLEL_REDO_WORKER_SYNC",
+    "PARALLEL_REDO_WORKER_WAIT_WORK",
+    "QDS_PERSIST_TASK_MAIN_LOOP_SLEEP",
+    "QDS_ASYNC_QUEUE",
+    "QDS_CLEANUP_STALE_QUERIES_TASK_MAIN_LOOP_SLEEP",
+    "QDS_SHUTDOWN_QUEUE",
+    "WAIT_XTP_CKPT_CLOSE",
+    "WAIT_XTP_HOST_WAIT",
+    "WAIT_XTP_OFFLINE_CKPT_NEW_LOG",
+    "WAIT_XTP_RECOVERY",
+    "SP_SERVER_DIAGNOSTICS_SLEEP",
+    "SQLTRACE_BUFFER_FLUSH",
+    "SQLTRACE_INCREMENTAL_FLUSH_SLEEP",
+    "SQLTRACE_WAIT_ENTRIES",
+    "REQUEST_FOR_DEADLOCK_SEARCH",
+    "RESOURCE_QUEUE",
+    "EXECSYNC",
+    "SNI_HTTP_ACCEPT",
+    "PWAIT_ALL_COMPONENTS_INITIALIZED",
+    "PWAIT_DIRECTLOGCONSUMER_GETNEXT",
+    "VDI_CLIENT_OTHER",
+    "MEMORY_ALLOCATION_EXT",
+    "PVS_PREALLOCATE",
+    "PREEMPTIVE_XE_GETTARGETSTATE",
+    "PREEMPTIVE_OS_FLUSHFILEBUFFERS",
+    "PREEMPTIVE_OS_AUTHENTICATIONOPS",
+    "PREEMPTIVE_OS_GETPROCADDRESS",
+]
 
 # The 12 curated configuration settings.
 CURATED_SETTINGS = (

@@ -58,22 +58,40 @@ def test_run_length_carries_across_blocks(spark):
 
 
 def test_hot_key_is_split_across_tasks(spark):
-    """One key with a third of all rows: its ordinals come from several range
-    partitions and each window block holds at most ``block`` of its rows."""
-    from fleetpulse.operators.windows import with_blocks
+    """One key with a third of all rows: its rows lie in many cells, the ordinals are exact, and each window block holds
+    at most ``block`` of its rows."""
+    from fleetpulse.operators.windows import with_blocks, with_cells
 
     n = 30000
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("k"),
         F.col("id").alias("t"),
     )
-    # premise: range partitioning spreads the hot key over several tasks
-    ranged = df.repartitionByRange(8, "k", "t").filter("k = 0")
-    assert ranged.select(F.spark_partition_id()).distinct().count() > 1
+    cells = with_cells(df, ["t"], cells=20).filter("k = 0").groupBy("_cell").count()
+    assert cells.count() >= 15 and cells.agg(F.max("count")).first()[0] <= n // 3 // 10
     o = key_ordinal(df, ["k"], ["t"])
     hot = o.filter("k = 0")
-    # ordinals stitched across those tasks are exactly 1..n/3, in time order
+    # ordinals stitched across those cells are exactly 1..n/3, in time order
     assert hot.agg(F.min("_ord"), F.max("_ord"), F.countDistinct("_ord")).first() == (1, n // 3, n // 3)
     assert hot.filter(F.col("_ord") != F.col("t") / 3 + 1).count() == 0
     blocks = with_blocks(hot, 1, 1000).groupBy("_blk").count()
     assert blocks.agg(F.max("count")).first()[0] <= 1001
+    assert "Checkpoint" not in o._jdf.queryExecution().toString() and "RDDScan" not in o._jdf.queryExecution().toString()
+
+
+def test_cells_rise_with_the_order(spark):
+    """Positions of every kind of leading column, with nulls, shared beginnings and one value that holds most rows."""
+    import datetime as dt
+
+    from fleetpulse.operators.windows import dense_rank_global, with_cells
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 50 == 0 else f"customer#{i % 700:06d}", at if i % 4 else at + dt.timedelta(hours=i), i % 2 == 0, float(i % 9)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, s string, t timestamp_ntz, b boolean, d double").repartition(5)
+    for order in (["s", "i"], ["t", "i"], ["b", "t", "i"], ["d", "s", "i"], ["i"]):
+        want = [r.i for r in df.orderBy(*order).collect()]
+        ranked = dense_rank_global(df, order, cells=16).collect()
+        assert [r.i for r in sorted(ranked, key=lambda r: r.rank)] == want and {r.rank for r in ranked} == set(range(1, 2001))
+        if order[0] != "b":  # two columns that tell few rows apart
+            assert with_cells(df, order, cells=16).groupBy("_cell").count().agg(F.max("count")).first()[0] <= 2000 * 3 // 16, order
+    assert dense_rank_global(df.limit(0), ["i"]).count() == 0 and key_ordinal(df.limit(0), ["s"], ["i"]).count() == 0

@@ -3,7 +3,7 @@
 import datetime as dt
 
 from fleetpulse.plans import scoring as V
-from fleetpulse.sources.fixture import golden_lake
+from golden_fixture import golden_lake
 
 AS_OF = "2026-05-27 13:05:00"
 R = dt.datetime(2026, 5, 27, 3, 0)

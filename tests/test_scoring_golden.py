@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from fleetpulse.plans import scoring as V
-from fleetpulse.sources.fixture import golden_lake
+from golden_fixture import golden_lake
 
 AS_OF = "2026-05-27 13:05:00"
 
@@ -72,7 +72,7 @@ def test_flipped_direction(spark):
 
 
 def test_restart_hour_and_null_restart_dropped(spark):
-    from fleetpulse.sources import fixture as fx
+    import golden_fixture as fx
 
     io = []
     for h, (r, sr, w, sw) in fx.IO.items():
@@ -136,7 +136,7 @@ def test_empty_inputs(spark):
 
 
 def test_half_even_rounding_of_averages(spark):
-    from fleetpulse.sources import fixture as fx
+    import golden_fixture as fx
 
     cpu = [
         (1000, "sqlserver", dt.datetime(2026, 5, 27, 10, m), 2026, 5, 27, e, 0, 0)
