@@ -145,6 +145,23 @@ def q_run_query(spark, sf_dir):
         return Q.run_query(spark, RUN_QUERY_SQL + ";", 5000)
 
 
+LAKE_QUERY_SQL = (
+    "SELECT i.instance_fqn, count(*) AS pings, max(p.response_time_ms) AS slowest FROM common.pings p "
+    "JOIN common.instances i ON i.instance_id = p.instance_id WHERE p.day >= 10 GROUP BY i.instance_fqn"
+)
+
+
+@register("run_query_lake", LAKE_QUERY_SQL.replace("common.", ""))
+def q_run_query_lake(spark, sf_dir):
+    """Q5 / P12 over the stored lake, tables named by their namespaces as readers know them."""
+    from fleetpulse.plans.ingest import scratch_path
+    from fleetpulse.sources.lake import catalog_tables, materialize
+
+    names = ("pings", "instances")
+    with catalog_tables(materialize(lake(spark, sf_dir), scratch_path(spark, "lake_sql"), names), names):
+        return Q.run_query(spark, LAKE_QUERY_SQL, 5000)
+
+
 @register("json_rows", """
 SELECT '{"instance_id":' || instance_id || ',"collected_at":"' || strftime(collected_at, '%Y-%m-%dT%H:%M:%S.%g') || '","big_bytes":'
        || CASE WHEN num_of_bytes_read + 9007199254740992 > 9007199254740991 THEN '"' || (num_of_bytes_read + 9007199254740992) || '"'

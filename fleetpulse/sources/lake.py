@@ -9,6 +9,7 @@ TINYINT types; no inference), and expose the same table attributes as
 
 from __future__ import annotations
 
+import contextlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,3 +70,34 @@ def materialize(source, root: str, tables=SCORING_TABLES) -> Lake:
         partitions = S.TABLES[(ns, name)][1]
         partitioned_append(getattr(source, name), table_path(root, name), partitions)
     return Lake(source.spark, root)
+
+
+@contextlib.contextmanager
+def catalog_tables(lake: Lake, names):
+    """Stored tables under their namespaces (``common.pings``) in the session's catalog, for SQL text analysed inside.
+
+    They are external tables with the declared schemas, whose folders are listed when a query is analysed and pruned by its
+    predicates. Only tables that were not there before are made, and these are dropped afterwards (files stay; a plan that was
+    analysed keeps its tables).
+    """
+    spark, made = lake.spark, []
+    tracked = "spark.sql.hive.manageFilesourcePartitions"  # else a plan asks the catalog for partitions when it runs
+    old = spark.conf.get(tracked)
+    spark.conf.set(tracked, "false")
+    for ns in {_namespace(n) for n in names}:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {ns} LOCATION '{os.path.join(lake.root, '_catalog', ns)}'")
+    try:
+        for n in names:
+            ns, path = _namespace(n), table_path(lake.root, n)
+            if spark.catalog.tableExists(f"{ns}.{n}"):
+                raise ValueError(f"{ns}.{n} is a table of this session already")
+            partitions = S.TABLES[(ns, n)][1]
+            fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.schema_of(n, ns).fields)
+            by = f"PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
+            spark.sql(f"CREATE TABLE {ns}.{n} ({fields}) USING parquet {by} LOCATION '{path}'")
+            made.append(f"{ns}.{n}")
+        yield
+    finally:
+        spark.conf.set(tracked, old)
+        for name in made:
+            spark.sql(f"DROP TABLE {name}")

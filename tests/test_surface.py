@@ -33,6 +33,24 @@ def test_run_query_cannot_write(spark):
         Q.run_query(spark, "WITH s AS (SELECT 7 AS a) INSERT INTO tgt SELECT a FROM s")
 
 
+def test_queries_name_lake_tables_by_namespace(spark, scratch):
+    from fleetpulse.sources.lake import catalog_tables, materialize
+
+    stored = materialize(DerivedLake(spark, SF), scratch, ("pings", "instances"))
+    with catalog_tables(stored, ("pings", "instances")):
+        df = Q.run_query(spark, "SELECT count(*) AS n FROM common.pings WHERE day = 3", 10)
+        with pytest.raises(ValueError):
+            with catalog_tables(stored, ("pings",)):
+                pass
+        assert spark.catalog.tableExists("common.pings")
+    assert df.first().n == DerivedLake(spark, SF).pings.filter("day = 3").count()
+    assert "PartitionCount: 1" in df._jdf.queryExecution().toString() or "day" in df._jdf.queryExecution().executedPlan().toString()
+    assert not spark.catalog.tableExists("common.pings")
+    with Q.views(spark, DerivedLake(spark, SF), ["pings"]):
+        assert Q.run_query(spark, "SELECT * FROM pings", 3).count() == 3
+    assert "pings" not in {t.name for t in spark.catalog.listTables() if t.isTemporary}
+
+
 def test_json_rows_of_extreme_longs(spark):
     df = spark.createDataFrame([(-(2**63),), (2**53 - 1,), (2**53,), (None,)], "x long")
     assert [r.json for r in Q.json_rows(df).collect()] == [
