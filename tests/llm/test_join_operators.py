@@ -311,6 +311,27 @@ def test_near_dedup_of_repeated_and_null_ids(spark):
     assert {r.doc_id for r in cp.near_dedup(spark, plain, SF).collect()} == {1, 3}
 
 
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    import corpus_pipeline as cp
+
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    for rows in ([(3, a, 7, 8), (3, b, 9, 10)], [(3, a, 7, 8), (4, b, 9, 10)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, near_dedup_key int, Near_Dedup_Tie int")
+        docs = docs.withColumns({"n_shingles": F.lit(1), "component_id": F.lit(2), "kept": F.lit(3)})
+        got = cp.near_dedup(spark, docs, SF)
+        assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == sorted((*r, 1, 2, 3) for r in rows)
+
+
+def test_stages_of_an_empty_table(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name
+        assert name == "packing" or out.columns == docs.columns
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, name):
     from fleetpulse.checks.compare import compare, duck_connect
