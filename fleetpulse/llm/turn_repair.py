@@ -207,53 +207,65 @@ def said(conv: Column, role: Column, text: Column) -> Column:
     return F.unhex(F.sha2(F.concat(*measured(conv), *measured(role), text).cast("binary"), 256))
 
 
-def kinds_of(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(conv, place, node, kind, said, role) of every row (conv, turn, role, text): ``place`` orders all rows, ``node``
-    numbers the segments, ``kind`` is the row's letter; checkpointed, since places must not change between passes."""
+def segments(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(conv, node, kinds, saids, roles): at most ``segment`` rows (conv, turn, role, text) of a conversation, in their order,
+    with a letter (blank, truncated or no fault), a digest and a role for each; ``node`` numbers the segments.
+
+    Checkpointed, since places in the range-sorted rows must not change between passes.
+    """
     trimmed = F.rtrim("text", F.lit(_BLANKS))
     fault = F.when(trimmed == "", 3).when(~F.substring(trimmed, -1, 1).isin(".", "!", "?"), 1).otherwise(0)
+    found = F.instr(F.lit(INITIALS[:3]), F.substring("role", 1, 1))
+    initial = F.when((found == 0) | (F.col("role") == ""), 3).otherwise(found - 1)
     slim = rows.select(
-        "conv", "turn", "role", said(F.col("conv"), F.col("role"), F.col("text")).alias("said"), fault.alias("fault"),
+        "conv", "turn", "role", said(F.col("conv"), F.col("role"), F.col("text")).alias("said"),
+        F.substring(F.lit(KINDS), (initial * 4 + fault + 1).cast("int"), F.lit(1)).alias("kind"),
         F.monotonically_increasing_id().alias("tie"),
     )
     order = [F.asc("conv"), F.asc_nulls_first("turn"), F.asc("role"), F.asc("said"), F.asc("tie")]
     ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ordered.drop("turn", "tie").withColumn("place", F.monotonically_increasing_id()).checkpoint()
-    first = placed.groupBy("said").agg(F.min("place").alias("first"))
-    found = F.instr(F.lit(INITIALS[:3]), F.substring("role", 1, 1))
-    initial = F.when((found == 0) | (F.col("role") == ""), 3).otherwise(found - 1)
-    fault = F.when(F.col("fault") == 3, 3).when(F.col("place") > F.col("first"), 2).otherwise(F.col("fault"))
-    kind = F.substring(F.lit(KINDS), (initial * 4 + fault + 1).cast("int"), F.lit(1))
-    part, row = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    each = (placed.agg(F.max(row)).first()[0] or 0) // segment + 1  # segments of a partition; they are counted on
-    node = part * each + F.floor(row / segment)
-    return placed.join(first, "said").select("conv", "place", node.alias("node"), kind.alias("kind"), "said", "role")
-
-
-def segments(kinds: DataFrame) -> DataFrame:
-    """(conv, node, kinds, places) per conversation and node: a letter and a place for each of its rows, at most
-    ``SEGMENT``."""
-    listed = F.sort_array(F.collect_list(F.struct("place", "kind")))
-    held = kinds.groupBy("conv", "node").agg(listed.alias("l"))
-    return held.select("conv", "node", F.array_join(F.col("l.kind"), "").alias("kinds"), F.col("l.place").alias("places"))
+    placed = ordered.select("conv", "kind", "said", "role", F.monotonically_increasing_id().alias("place"))
+    # the place's upper bits are the partition, the lower ones the row in it
+    node = F.col("place") - F.pmod(F.col("place").bitwiseAND((1 << 33) - 1), F.lit(segment))
+    listed = F.sort_array(F.collect_list(F.struct("place", "kind", "said", "role"))).alias("l")
+    held = placed.groupBy("conv", node.alias("first")).agg(listed).select(
+        "conv", "first", F.array_join("l.kind", "").alias("kinds"), F.col("l.said").alias("saids"), F.col("l.role").alias("roles")
+    ).checkpoint()
+    # segments of a partition are counted on from those of the partitions before
+    low = (1 << 33) - 1
+    each = (held.agg(F.max(F.col("first").bitwiseAND(low))).first()[0] or 0) // segment + 1
+    number = F.shiftright("first", 33) * each + F.floor(F.col("first").bitwiseAND(low) / segment)
+    return held.select("conv", number.alias("node"), "kinds", "saids", "roles")
+
+
+def _marked(kinds: str, saids: list[bytes], known) -> str:
+    """The letters with rows marked as duplicates whose digest came earlier (``known``: in earlier segments)."""
+    seen, out = set(known if known is not None else ()), []
+    for kind, digest in zip(kinds, saids):
+        k = KINDS.index(kind)
+        out.append(KINDS[k - k % 4 + 2] if digest in seen and k % 4 != 3 else kind)
+        seen.add(digest)
+    return "".join(out)
 
 
 def illegal(initials: str) -> int:
     return sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
 
 
-_NODE = "conv string, node long, costs array<long>, places array<int>, ends string, illegal long"
+def _initials(kinds: str) -> str:
+    return "".join(INITIALS[KINDS.index(k) // 4] for k in kinds)
+
+
+_NODE = "conv string, node long, costs array<long>, places array<int>"
 
 
 def _leaves(parts: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            tables = [whole_table([row_table(k) for k in kinds]) for kinds in f["kinds"]]
-            names = ["".join(INITIALS[KINDS.index(k) // 4] for k in kinds) for kinds in f["kinds"]]
-            yield pd.DataFrame({"conv": f["conv"], "node": f["node"], "costs": [list(t[0]) for t in tables], "places": [list(t[1]) for t in tables],
-                                "ends": [n[0] + n[-1] for n in names], "illegal": [illegal(n) for n in names]})
+            tables = [whole_table([row_table(k) for k in _marked(*row)]) for row in zip(f["kinds"], f["saids"], f["known"])]
+            yield pd.DataFrame({"conv": f["conv"], "node": f["node"], "costs": [list(t[0]) for t in tables], "places": [list(t[1]) for t in tables]})
 
-    return parts.select("conv", "node", "kinds").mapInPandas(run, _NODE)
+    return parts.select("conv", "node", "kinds", "saids", "known").mapInPandas(run, _NODE)
 
 
 def _tables(f: pd.DataFrame) -> list[Table]:
@@ -264,10 +276,7 @@ def _parent(f: pd.DataFrame, fan: int) -> pd.DataFrame:
     """Children of one node, joined."""
     f = f.sort_values("node")
     cost, place = whole_table(_tables(f))
-    ends = f["ends"].tolist()
-    between = sum(illegal(a[1] + b[0]) for a, b in zip(ends, ends[1:]))
-    return pd.DataFrame({"conv": [f["conv"].iloc[0]], "node": [int(f["node"].iloc[0]) // fan], "costs": [list(cost)], "places": [list(place)],
-                         "ends": [ends[0][0] + ends[-1][1]], "illegal": [int(f["illegal"].sum()) + between]})
+    return pd.DataFrame({"conv": [f["conv"].iloc[0]], "node": [int(f["node"].iloc[0]) // fan], "costs": [list(cost)], "places": [list(place)]})
 
 
 def _children(f: pd.DataFrame) -> pd.DataFrame:
@@ -279,47 +288,61 @@ def _children(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"conv": f["conv"], "node": f["node"], "start": states[:-1], "end": ends})
 
 
-def solve(parts: DataFrame, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
-    """(segments with ``start`` and ``end`` states, (conv, illegal) per conversation)."""
-    leaves = _leaves(parts).checkpoint()
-    several = leaves.groupBy("conv").agg(F.count("*").alias("n"), F.max("node").alias("last")).where("n > 1").checkpoint()
-    alone = leaves.join(several, "conv", "left_anti")
-    open_ = lambda nodes: nodes.select("conv", "node", F.lit(START).alias("start"), F.lit(-1).alias("end"))
-    states, bad = open_(alone), alone.select("conv", "illegal")
+def solve(parts: DataFrame, fan: int = FAN) -> DataFrame:
+    """Segments with ``start`` and ``end`` states (end -1: where the conversation may end) and ``known``, the digests of
+    theirs that earlier segments of the conversation hold. Conversations of one segment are solved as they are."""
+    several = parts.groupBy("conv").agg(F.count("*").alias("n"), F.max("node").alias("last")).where("n > 1").checkpoint()
+    alone = parts.join(several, "conv", "left_anti").withColumns(
+        {"known": F.lit(None).cast("array<binary>"), "start": F.lit(START), "end": F.lit(-1)}
+    )
     last = several.agg(F.max("last")).first()[0]
-    if last is not None:
-        levels = [leaves.join(several, "conv", "left_semi")]
-        while last:
-            groups = levels[-1].groupBy("conv", F.floor(F.col("node") / fan))
-            levels.append(groups.applyInPandas(lambda f: _parent(f, fan), _NODE).checkpoint())
-            last //= fan
-        known, bad = open_(levels[-1]), bad.union(levels[-1].select("conv", "illegal"))
-        for level in reversed(levels[:-1]):
-            above = known.withColumnRenamed("node", "parent")
-            met = level.withColumn("parent", F.floor(F.col("node") / fan)).join(above, ["conv", "parent"])
-            known = met.groupBy("conv", "parent").applyInPandas(_children, "conv string, node long, start int, end int").checkpoint()
-        states = states.union(known)
-    return parts.join(states, ["conv", "node"]), bad
+    if last is None:
+        return alone
+    long = parts.join(several.select("conv"), "conv", "left_semi")
+    each = long.select("conv", "node", F.explode("saids").alias("said")).distinct()
+    first = each.groupBy("conv", "said").agg(F.min("node").alias("first"))
+    again = each.join(first, ["conv", "said"]).where("node > first").groupBy("conv", "node").agg(F.collect_set("said").alias("known"))
+    long = long.join(again, ["conv", "node"], "left").checkpoint()
+    levels = [_leaves(long).checkpoint()]
+    while last:
+        groups = levels[-1].groupBy("conv", F.floor(F.col("node") / fan))
+        levels.append(groups.applyInPandas(lambda f: _parent(f, fan), _NODE).checkpoint())
+        last //= fan
+    known = levels[-1].select("conv", "node", F.lit(START).alias("start"), F.lit(-1).alias("end"))
+    for level in reversed(levels[:-1]):
+        above = known.withColumnRenamed("node", "parent")
+        met = level.withColumn("parent", F.floor(F.col("node") / fan)).join(above, ["conv", "parent"])
+        known = met.groupBy("conv", "parent").applyInPandas(_children, "conv string, node long, start int, end int").checkpoint()
+    return alone.unionByName(long.join(known, ["conv", "node"]))
 
 
 def audits(solved: DataFrame) -> DataFrame:
-    """(conv, node, audit, cost, edits, edit_places) of every segment; edits are its letters but D, with their rows'
-    places (inserts at a conversation's end: the last row's)."""
+    """(conv, node, audit, cost, blank, duplicate, truncated, illegal, ends, edits, edit_saids, edit_roles) of every segment:
+    edits are its letters but D, with their rows' digests and roles (null for inserts)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for kinds, places, start, end in zip(f["kinds"], f["places"], f["start"], f["end"]):
+            for conv, node, kinds, saids, roles, known, start, end in zip(*(f[c] for c in columns)):
+                kinds = _marked(kinds, saids, known)
                 own, states = letters(kinds, int(start), None if end < 0 else int(end))
                 more, close = CLOSE[states[-1]] if end < 0 else (0, "")
                 cost = sum(moves(k)[s, t][0] for k, s, t in zip(kinds, states, states[1:])) + more
-                edits = [(x, p) for p, xs in zip([*places, places[-1]], [*own, close]) for x in xs if x != "D"]
-                rows.append(("".join(own) + close, cost, [x for x, _ in edits], [p for _, p in edits]))
-            done = pd.DataFrame(rows, columns=["audit", "cost", "edits", "edit_places"])
-            yield pd.concat([f[["conv", "node", "kinds"]], done], axis=1)
-
-    schema = "conv string, node long, kinds string, audit string, cost long, edits array<string>, edit_places array<long>"
-    return solved.select("conv", "node", "kinds", "places", "start", "end").mapInPandas(run, schema)
+                edits = [(x, *((d, r) if x in "KR" else (None, None))) for xs, d, r in zip(own, saids, roles) for x in xs if x != "D"]
+                edits += [("I", None, None)] * len(close)
+                faults = [FAULTS[KINDS.index(k) % 4] for k in kinds]
+                initials = _initials(kinds)
+                rows.append((conv, node, "".join(own) + close, cost, *(faults.count(x) for x in ("blank", "duplicate", "truncated")),
+                             illegal(initials), initials[0] + initials[-1], *([e[i] for e in edits] for i in range(3))))
+            yield pd.DataFrame(rows, columns=names)
+
+    columns = ["conv", "node", "kinds", "saids", "roles", "known", "start", "end"]
+    schema = (
+        "conv string, node long, audit string, cost long, blank long, duplicate long, truncated long, illegal long, ends string, "
+        "edits array<string>, edit_saids array<binary>, edit_roles array<string>"
+    )
+    names = [x.split()[0] for x in schema.split(", ")]
+    return solved.select(*columns).mapInPandas(run, schema)
 
 
 def repair(rows: DataFrame, *, segment: int = SEGMENT, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
@@ -328,35 +351,32 @@ def repair(rows: DataFrame, *, segment: int = SEGMENT, fan: int = FAN) -> tuple[
     Conversations: conv, blank, duplicate, truncated, illegal, cost, audit. Repaired rows: conv, number (from 0), role,
     text.
     """
-    kinds = kinds_of(rows, segment)
-    solved, bad = solve(segments(kinds), fan)
-    done = audits(solved).checkpoint()
-    count = lambda fault: F.sum(F.length(F.regexp_replace("kinds", f"[^{KINDS[FAULTS.index(fault) :: 4]}]", "")))
+    # per segment: the pair it forms with the one before, and the turns before it and in all of its conversation
+    of, size = Window.partitionBy("conv"), F.size("edits")
+    pair = F.concat(F.substring(F.lag("ends").over(of.orderBy("node")), 2, 1), F.substring("ends", 1, 1))
+    done = audits(solve(segments(rows, segment), fan)).checkpoint().select(
+        "*", (F.col("illegal") + F.coalesce((~pair.isin("su", "ua", "au")).cast("long"), F.lit(0))).alias("pairs"),
+        F.sum(size).over(of).alias("turns"), (F.sum(size).over(of.orderBy("node")) - size).alias("before"),
+    )
     pieces = F.sort_array(F.collect_list(F.struct("node", "audit")))
     whole = done.groupBy("conv").agg(
-        *(count(fault).cast("long").alias(fault) for fault in ("blank", "duplicate", "truncated")),
-        F.sum("cost").cast("long").alias("cost"),
+        *(F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated")), F.sum("pairs").alias("illegal"), F.sum("cost").alias("cost"),
         F.array_join(F.transform(pieces, lambda p: p["audit"]), "").alias("audit"),
-    )
-    return whole.join(bad, "conv"), _written(done, kinds, rows)
+    )
+    return whole, _written(done, rows)
 
 
-def _written(done: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
-    # a conversation's turns are numbered through its segments; an odd number of turns starts with a (kept) system turn
-    of = Window.partitionBy("conv")
-    numbered = done.select(
-        "conv", "edits", "edit_places", F.sum(F.size("edits")).over(of).alias("turns"),
-        (F.sum(F.size("edits")).over(of.orderBy("node")) - F.size("edits")).alias("before"),
-    )
-    step = numbered.select("conv", "turns", "before", F.posexplode(F.arrays_zip("edits", "edit_places")).alias("at", "e"))
+def _written(done: DataFrame, rows: DataFrame) -> DataFrame:
+    # an odd number of turns starts with a (kept) system turn
+    step = done.select("conv", "turns", "before", F.posexplode(F.arrays_zip("edits", "edit_saids", "edit_roles")).alias("at", "e"))
     number = F.col("before") + F.col("at")
     given = F.when(number % 2 == F.col("turns") % 2, F.lit(ROLES["u"])).otherwise(F.lit(ROLES["a"]))
-    steps = step.select("conv", number.alias("number"), given.alias("given"), F.col("e.edits").alias("edit"), F.col("e.edit_places").alias("place"))
-    inserts = steps.where(F.col("edit") == "I").select("conv", "number", F.col("given").alias("role"), F.lit("").alias("text"))
+    role = F.when(F.col("e.edits") == "K", F.col("e.edit_roles")).otherwise(given)
+    steps = step.select("conv", number.alias("number"), role.alias("role"), F.col("e.edit_saids").alias("said"))
+    inserts = steps.where("said IS NULL").select("conv", "number", "role", F.lit("").alias("text"))
     texts = rows.groupBy(said(F.col("conv"), F.col("role"), F.col("text")).alias("said")).agg(F.min("text").alias("text"))
-    kept = steps.where(F.col("edit") != "I").join(kinds.select("place", "said", F.col("role").alias("own")), "place").join(texts, "said")
-    role = F.when(F.col("edit") == "K", F.col("own")).otherwise(F.col("given"))
-    return inserts.union(kept.select("conv", "number", role.alias("role"), "text"))
+    kept = steps.where("said IS NOT NULL").join(texts, "said")
+    return inserts.union(kept.select("conv", "number", "role", "text"))
 
 
 def digests(repaired: DataFrame) -> DataFrame:
