@@ -22,7 +22,7 @@ from fleetpulse.session import session_key
 from fleetpulse.sources import manifest as M
 from fleetpulse.sources.derived import AS_OF, DerivedLake
 from fleetpulse.sources.raw import RawSnapshots
-from fleetpulse.sources.snapshots import SnapshotTable
+from fleetpulse.sources.snapshots import SnapshotTable, snapshot
 from fleetpulse.streaming import ingest as SI
 
 STAMP_SQL = ("'sqlserver' AS platform, CAST(year(collected_at) AS SMALLINT) AS year, "
@@ -325,6 +325,19 @@ def q_file_stats(spark, sf_dir):
     return I.file_stats(spark, path)
 
 
+@register("file_counts", "SELECT count(DISTINCT day) AS objects, count(DISTINCT day) AS folders, true AS sizes_agree, count(*) AS n_rows FROM pings")
+def q_file_counts(spark, sf_dir):
+    """S10 with what SQL can tell: a batch leaves one file per folder, and the sizes that the rows' files report are those
+    of the listing."""
+    path = I.scratch_path(spark, "pings_counts")
+    I.partitioned_append(lake(spark, sf_dir).pings, path, S.HOT_PARTITIONS)
+    listed = snapshot(spark, path).agg(F.countDistinct("folder").alias("folders"), F.sum("length").alias("bytes"))
+    rows = I.read_lake_table(spark, path, S.PINGS).agg(F.count(F.lit(1)).alias("n_rows"))
+    one = F.lit(1).alias("_one")
+    both = I.file_stats(spark, path).select("*", one).join(listed.select("*", one), "_one").join(rows.select("*", one), "_one")
+    return both.select("objects", "folders", (F.col("total_bytes") == F.col("bytes")).alias("sizes_agree"), "n_rows")
+
+
 @register("series_rows", f"""
 SELECT l AS instance_fqn, l AS instance_name, 'localhost' AS connect_target, 'sqlserver' AS platform, 'integrated' AS auth_mode,
        'P' AS environment, 'a' AS status

@@ -12,7 +12,7 @@ WRITES = {
     "file_stats", "sync_dimension", "compact_partitions", "retention", "materialize_scores", "hourly_stream",
     "dedup_stream", "counter_delta_stream", "scorecard_csv", "materialize_scores_incremental", "high_irc_from_state",
     "problematic_from_state", "instance_detail_from_state", "collector_ingest_stream", "rejected_error_rows",
-    "cadence_tier_streams", "get_or_create_ids", "quarantined_records", "run_query_lake",
+    "cadence_tier_streams", "get_or_create_ids", "quarantined_records", "run_query_lake", "file_counts",
 }
 
 
