@@ -216,8 +216,8 @@ def test_compaction_leaves_large_files(spark, scratch):
     lk, path = DerivedLake(spark, SF), os.path.join(scratch, "pings")
     p = lk.pings.filter("day <= 3")
     I.partitioned_append(p.coalesce(1), path, S.HOT_PARTITIONS)
-    for _ in range(2):
-        I.partitioned_append(p.filter("instance_id < 1020").repartition(3), path, S.HOT_PARTITIONS)
+    for k in range(6):
+        I.partitioned_append(p.filter(f"instance_id < 1020 and instance_id % 6 = {k}"), path, S.HOT_PARTITIONS)
     table = SN.SnapshotTable(spark, os.path.join(scratch, "list"), S.PINGS, S.HOT_PARTITIONS)
     table.adopt(path)
     rows, before = table.read().collect(), paths(table)
