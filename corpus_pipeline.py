@@ -18,6 +18,18 @@ from fleetpulse.llm.queries import identify_documents
 from fleetpulse.session import checkpoint_dir
 
 
+#: Rows and bytes of the Arrow batches between executors and Python workers: four stages share the workers' memory, and
+#: texts may be long.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """What every stage needs of a session."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """A column name that none of the columns has, in whatever case."""
     held = {c.lower() for c in columns}
@@ -32,7 +44,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and texts without letters, have no language and go; repeated rows are judged alike; an empty
     table stays empty.
     """
-    prepare(spark)
+    ready(spark)
     return identify_documents(docs).where("language_kept").select(*docs.columns)
 
 
@@ -42,7 +54,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have fewer than 50 words and go; repeated rows are judged alike; without labelled documents no rule
     is learned and the base rules stand alone; an empty table stays empty.
     """
-    prepare(spark)
+    ready(spark)
     return decision_list.keep(docs, decision_list.learn(docs, read(spark, sf_dir, "labels")))
 
 
@@ -53,7 +65,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     different texts under one id each is judged by itself. Texts without words link with nothing; of such rows equal in id
     and text one stays. Between rows of one id and text the other columns decide.
     """
-    prepare(spark)
+    ready(spark)
     odd = docs.groupBy("doc_id").count().where(F.col("doc_id").isNull() | (F.col("count") > 1))
     if odd.isEmpty():
         dropped = circulant_minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
@@ -76,7 +88,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is empty and has one token, the closing id; repeated rows are documents of their own; an empty table gives
     no pieces.
     """
-    prepare(spark)
+    ready(spark)
     model = hilbert_pack.read_model(public_tokenizers.path("byte_bpe_50k.json"))
     return hilbert_pack.pack(docs, model, public_tokenizers.PATTERN, added=True)
 
@@ -94,7 +106,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``; each stage's rows are Parquet in the shared checkpoint folder."""
-    prepare(spark)
+    ready(spark)
     folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
