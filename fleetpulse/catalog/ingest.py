@@ -507,12 +507,18 @@ _STORES: dict = {}
 
 
 def _store(spark, sf_dir) -> ScoreStore:
-    """Three runs over the derived lake, the middle one repeated; built once per session and folder."""
+    """Three runs over the stored lake, the middle one repeated; built once per session and folder.
+
+    The lake is derived and stored once, so a run reads the folders of its window and no run derives history again.
+    """
+    from fleetpulse.sources.lake import materialize
+
     key = (session_key(spark), sf_dir)
     if key not in _STORES:
+        stored = materialize(lake(spark, sf_dir), I.scratch_path(spark, "store_lake"), state.READS)
         store = ScoreStore(spark, I.scratch_path(spark, "score_store"))
         for start, end in (*zip(INCREMENT_CUTS, INCREMENT_CUTS[1:]), INCREMENT_CUTS[1:3]):
-            store.run(lake(spark, sf_dir), start, end)
+            store.run(stored, start, end)
         store.remove_dead()
         _STORES[key] = store
     return _STORES[key]

@@ -28,6 +28,9 @@ NEWEST: dict[str, tuple[str, list[str], str | None]] = {
     "sessions": ("metric_sessions", ["active_sessions"], None),
 }
 DATABASE = ["database_name", "platform"]
+#: Lake tables that a run reads.
+READS = ("instances", "databases", "metric_cpu", "metric_memory", "metric_sessions", "metric_database_io", "metric_blocking",
+         "instance_details", "score_thresholds")
 IO_STATE = T.StructType(
     [T.StructField("instance_id", S.INT), T.StructField("database_id", S.INT), T.StructField("coll_hr", S.TS)]
     + [T.StructField(n, S.DOUBLE) for n in V.IO_NAMES]

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,24 @@ def test_empty_store(spark, scratch):
     assert state.instance_detail(out, lk.instances).count() == lk.instances.count()
 
 
+def test_registered_store_derives_the_lake_once(spark, monkeypatch):
+    from fleetpulse.catalog import ingest
+
+    plans, run = [], state.ScoreStore.run
+
+    def spy(self, lake, start, end):
+        plans.append({t: getattr(lake, t)._jdf.queryExecution().executedPlan().toString() for t in state.READS})
+        run(self, lake, start, end)
+
+    monkeypatch.setattr(ingest, "_STORES", {})
+    monkeypatch.setattr(state.ScoreStore, "run", spy)
+    store = ingest._store(spark, SF)
+    assert len(plans) == 4  # three runs, one of them twice
+    for plan in plans:  # a scan of stored rows, nothing derived from the inputs again
+        assert not [t for t, p in plan.items() if re.search(r"events\.parquet|supplier\.parquet|Window|Exchange|Aggregate|Join", p)]
+    assert same(store.scores(), V.health_scores(DerivedLake(spark, SF), AS_OF))
+
+
 # ------------------------------------------------------------ T1, S8, T3
 def land(path, name, rows):
     os.makedirs(path, exist_ok=True)
