@@ -67,6 +67,20 @@ def max_merge(parts: list[DataFrame], keys: list[str], schema: T.StructType) ->
     return rows.groupBy(*keys).agg(*[F.max(v).alias(v) for v in values])
 
 
+def newest_scored(scores: DataFrame, seq: int) -> DataFrame:
+    """The newest scored hour per database and its index, as ``SCORED`` of run ``seq``.
+
+    Hour and index are one long until they are grouped, so the scores are hashed and not sorted.
+    """
+    bits = V.IRC_SLOTS.bit_length() - 1
+    packed = F.shiftleft(F.unix_micros(F.col("coll_hr").cast("timestamp")), bits).bitwiseOR(F.col("irc_index").cast("long"))
+    hour = F.timestamp_micros(F.shiftright("_p", bits)).cast("timestamp_ntz")
+    irc = F.col("_p").bitwiseAND(F.lit(V.IRC_SLOTS - 1).cast("long")).cast("tinyint")
+    best = scores.groupBy("instance_id", "database_id").agg(F.max(packed).alias("_p"))
+    return best.select("instance_id", "database_id", F.struct(
+        hour.alias("coll_hr"), F.lit(seq).cast("long").alias("seq"), irc.alias("irc_index")).alias("scored"))
+
+
 class ScoreStore:
     """Scores and state at ``root``."""
 
@@ -105,8 +119,7 @@ class ScoreStore:
         written = self.spark.read.schema(S.HEALTH_SCORES).parquet(self.ledger.folder("scores", folders["scores"]))
         databases = [
             window(lake.databases).groupBy("instance_id", "database_id").agg(F.max(F.struct("collected_at", *DATABASE)).alias("named")),
-            written.groupBy("instance_id", "database_id").agg(
-                F.max(F.struct("coll_hr", F.lit(seq).cast("long").alias("seq"), "irc_index")).alias("scored")),
+            newest_scored(written, seq),
         ]
         if last is not None:
             newest.append(self.ledger.read_one("by_instance", last, BY_INSTANCE))

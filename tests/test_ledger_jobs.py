@@ -120,6 +120,18 @@ def test_registered_store_derives_the_lake_once(spark, monkeypatch):
     assert same(store.scores(), V.health_scores(DerivedLake(spark, SF), AS_OF))
 
 
+def test_newest_scored_hashes_its_rows(spark):
+    rows = [(1, 5, dt.datetime(2024, 1, 2, h), i) for h, i in ((3, 9), (4, 2), (4, 10), (1, 0))]
+    rows += [(1, None, dt.datetime(1969, 12, 31, 22), 10), (1, None, dt.datetime(1969, 12, 31, 23), 1)]
+    scores = spark.createDataFrame(rows, "instance_id int, database_id int, coll_hr timestamp_ntz, irc_index tinyint")
+    out = state.newest_scored(scores, 7)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.schema["scored"].dataType.simpleString() == state.SCORED.simpleString()
+    got = {(r.instance_id, r.database_id): tuple(r.scored) for r in out.collect()}
+    assert got[1, 5] == (dt.datetime(2024, 1, 2, 4), 7, 10)
+    assert got[1, None] == (dt.datetime(1969, 12, 31, 23), 7, 1)
+
+
 # ------------------------------------------------------------ T1, S8, T3
 def land(path, name, rows):
     os.makedirs(path, exist_ok=True)
