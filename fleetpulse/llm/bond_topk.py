@@ -2,11 +2,14 @@
 
 Vectors are held in blocks, one column of a block per vector and one row per dimension. Scores are accumulated over
 blocks of dimensions; what the rest of a vector can still add lies within the product of the two remaining norms, so
-after every block of dimensions each query drops the candidates whose upper bound is below its k-th best lower bound and
-goes on with the compacted rest. Every task keeps its running k-th best per query, and the tasks' lists of k are merged.
+after a block of dimensions the queries drop the candidates whose upper bound is below their k-th best lower bound and
+go on with the compacted rest. This is done for a tile of queries and candidates at once: queries without any candidate
+left and candidates without any query left leave the tile, and where few pairs are left, only those are summed on. The
+first bounds are tried later where they dropped little. Every task keeps its running k best per query, and the tasks'
+lists of k are merged.
 
-Queries are cut into blocks too, and every pair (query block, slot) meets the candidate blocks of that slot, by an
-equality join. Nothing is broadcast, and a task holds one query block and one candidate block at a time.
+A task holds the candidates of a slot, ordered by the signs of their first components so that tiles are alike, and takes
+one block of queries after the other (``vector_blocks.meet``). Nothing is broadcast, and no pair of blocks is written out.
 
 Vectors with components so large that their sums could pass a long skip the bounds: their scores are summed in Python
 integers.
@@ -19,157 +22,224 @@ vector; ties go to the smaller id; fewer candidates than k give shorter lists; a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.vector_blocks import TOP, grown, largest, sound, whole
+from fleetpulse.llm.vector_blocks import TOP, Block, largest, meet, padded, slots_of, sound, whole
 
 SCALE = 1024
 DIM_BLOCK = 16
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
+#: Queries and candidates of a tile, whose scores stay in a core's cache.
+TILE = (256, 1024)
+#: Pairs are summed on singly where fewer than one in so many is left.
+FEW = 200
+#: Of a lower bound's place in a list of k that is not full.
+LOW = -TOP
 
-_BLOCK = "ids binary, dims int, cells binary"
 
+def _rest_norms(x: np.ndarray) -> np.ndarray:
+    """Norm of what comes from each block of dimensions on; row b belongs to dimension b * DIM_BLOCK."""
+    starts = range(0, len(x), DIM_BLOCK)
+    with np.errstate(over="ignore"):
+        square = [np.square(x[s : s + DIM_BLOCK].astype(np.float64)).sum(axis=0) for s in starts]
+        return np.sqrt(np.cumsum([np.zeros(x.shape[1]), *square[::-1]], axis=0)[::-1])
 
-def held(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v): components as doubles of the vectors that take part, dealt by what they hold and sorted, so that a lost
-    task makes the same blocks again."""
-    rows = sound(vectors, vec_id, embedding).select("vec_id", "v")
-    return rows.repartition(F.xxhash64("vec_id", "v")).sortWithinPartitions("vec_id", "v")
 
+def _slim(x: np.ndarray) -> np.ndarray:
+    """Integers in the smallest kind that holds them."""
+    peak = np.abs(x).max(initial=0)
+    return x.astype(np.float32) if peak < 2**24 else x.astype(np.float64) if peak < 2**53 else x
 
-def _blocks(size: int):
-    """Rows -> blocks of at most ``size`` vectors, dimension by dimension."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, size):
-                part = batch.slice(i, size)
-                lists = part.column(1).to_pylist()
-                dims = max(map(len, lists))
-                cells = np.zeros((dims, len(lists)))
-                for k, v in enumerate(lists):
-                    cells[: len(v), k] = v
-                ids = part.column(0).to_numpy().astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids.tobytes()]), pa.array([dims], pa.int32()), pa.array([cells.tobytes()])],
-                    names=["ids", "dims", "cells"],
-                )
+class Vectors(NamedTuple):
+    """Vectors, a column each, with the norms of what is left and the largest components."""
 
-    return run
+    ids: np.ndarray
+    cells: np.ndarray
+    rest: np.ndarray
+    largest: np.ndarray
 
 
-def _rest_norms(x: np.ndarray) -> np.ndarray:
-    """Norm of what comes from each block of dimensions on; row b belongs to dimension b * DIM_BLOCK."""
-    square = x.astype(np.float64) ** 2
-    starts = range(0, len(x), DIM_BLOCK)
-    return np.sqrt(np.array([square[s:].sum(axis=0) for s in starts] + [np.zeros(x.shape[1])]))
+def _vectors(ids: np.ndarray, x: np.ndarray) -> Vectors:
+    cells = np.ascontiguousarray(_slim(x).T)
+    return Vectors(ids, cells, _rest_norms(cells), largest(x))
 
 
-class Search:
-    """Running top k of a block of queries (columns of ``cells``, components as doubles)."""
+def _order(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every row, its length without zeros at the end, and the signs of its first components as bits."""
+    if not cells.shape[1]:
+        return np.zeros(len(cells), np.int64), np.zeros(len(cells), np.int64)
+    held = cells != 0
+    length = np.where(held.any(axis=1), cells.shape[1] - held[:, ::-1].argmax(axis=1), 0)
+    bits = cells[:, :DIM_BLOCK] < 0
+    return length, bits @ (1 << np.arange(bits.shape[1])[::-1])
+
+
+def ready(blocks: list[Block]) -> list[Vectors]:
+    """The candidates of a slot by length (a power of two) and the signs of their first components, cut again."""
+    made = []
+    if not blocks:
+        return made
+    length, signs = map(np.concatenate, zip(*(_order(b.cells) for b in blocks)))
+    order = np.lexsort((signs, np.frexp(length)[1]))
+    first = np.cumsum([0, *(len(b.ids) for b in blocks)])
+    for low in range(0, len(order), CANDIDATE_BLOCK):
+        part = order[low : low + CANDIDATE_BLOCK]
+        of = np.searchsorted(first, part, "right") - 1
+        wide = int(length[part].max())
+        ids, cells = np.empty(len(part), np.int64), np.zeros((len(part), wide), np.result_type(*(b.cells for b in blocks)))
+        for n in np.unique(of).tolist():
+            to, at, block = of == n, part[of == n] - first[n], blocks[n]
+            ids[to] = block.ids[at]
+            cells[to, : block.cells.shape[1]] = block.cells[at, :wide]
+        made.append(_vectors(ids, whole(cells, SCALE)))
+    return made
 
-    def __init__(self, ids: np.ndarray, cells: np.ndarray, k: int):
-        self.ids, self.cells, self.k = ids, whole(cells, SCALE), k
-        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
 
-    def add(self, ids: np.ndarray, cells: np.ndarray) -> None:
-        x = whole(cells, SCALE)
-        dims = max(len(self.cells), len(x))
-        q, x = grown(self.cells, dims, self.cells.shape[1]), grown(x, dims, x.shape[1])
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of what is true (numpy finds it much faster in one dimension)."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
+class Search:
+    """Running top k of a block of queries (a row each)."""
+
+    def __init__(self, queries: Block, k: int):
+        self.ids, self.k = queries.ids, k
+        self.x = whole(queries.cells, SCALE)
+        self.rest, self.largest = _rest_norms(self.x.T), largest(self.x)
+        self.count = np.zeros(len(self.ids), np.int64)
+        self.scores, self.names = np.full((len(self.ids), k), LOW), np.full((len(self.ids), k), TOP)
+        self.tiles, self.reach = 0, DIM_BLOCK
+
+    def add(self, block: Vectors) -> None:
+        dims = max(self.x.shape[1], len(block.cells))
         limit = (2**62 / max(dims, 1)) ** 0.5
-        big_q, big_x = largest(q.T) >= limit, largest(x.T) >= limit
+        big_q, big_x = self.largest >= limit, block.largest >= limit
         fine_q, fine_x = np.flatnonzero(~big_q), np.flatnonzero(~big_x)
         if len(fine_q) and len(fine_x):
-            self._bounded(fine_q, q[:, fine_q].astype(np.int64), ids[fine_x], x[:, fine_x].astype(np.int64))
+            self._bounded(fine_q, block if len(fine_x) == len(block.ids) else _vectors(block.ids[fine_x], block.cells.T[fine_x]))
+        if not (big_q.any() or big_x.any()):
+            return
+        q, x = padded(self.x.astype(object), whole_numbers(block.cells.T))
         for r in range(len(self.ids)):
-            at = np.flatnonzero((ids != self.ids[r]) & (big_x | big_q[r]))
+            at = np.flatnonzero((block.ids != self.ids[r]) & (big_x | big_q[r]))
             if len(at):
-                score = q[:, r].astype(object) @ x[:, at].astype(object)
-                self._merge(r, np.clip(score, -TOP, TOP).astype(np.int64), ids[at])
-
-    def _merge(self, r: int, score: np.ndarray, ids: np.ndarray) -> None:
-        scores, names = np.concatenate((self.best[r][0], score)), np.concatenate((self.best[r][1], ids))
-        order = np.lexsort((names, -scores))[: self.k]
-        self.best[r] = scores[order], names[order]
-
-    def _bounded(self, rows: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        dims = len(q)
-        peak = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(dims, 1)
-        kind = np.float64 if peak < 2**52 else np.int64  # both exact
-        q, x = q.astype(kind), x.astype(kind)
-        q_rest, x_rest = _rest_norms(q), _rest_norms(x)
-        first = q[:DIM_BLOCK].T @ x[:DIM_BLOCK]
-        slack = 1 + 1e-9
-        for c, r in enumerate(rows.tolist()):
-            at = np.flatnonzero(ids != self.ids[r])
-            score, d, step = first[c, at], DIM_BLOCK, 1
-            best = self.best[r][0]
-            while True:
-                more = q_rest[step, c] * x_rest[step, at] * slack if d < dims else 0
-                floor = best[-1] if len(best) >= self.k else -np.inf
-                if len(at) > self.k:
-                    low = score - more
-                    floor = max(floor, np.partition(low, len(low) - self.k)[len(low) - self.k])
-                live = score + more >= floor
-                at, score = at[live], score[live]
-                if d >= dims or not len(at):
-                    break
-                score = score + q[d : d + DIM_BLOCK, c] @ x[d : d + DIM_BLOCK, at]
-                d, step = d + DIM_BLOCK, step + 1
-            self._merge(r, score.astype(np.int64), ids[at])
+                score = np.clip(x[at] @ q[r], -TOP, TOP).astype(np.int64)
+                self._merge(np.full(len(at), r), score, block.ids[at])
+
+    def _merge(self, r: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Takes scores of the queries r (ascending)."""
+        if not len(r):
+            return
+        own, first, count = np.unique(r, return_index=True, return_counts=True)
+        shape = (len(own), self.k + int(count.max()))
+        scores, names = np.full(shape, LOW), np.full(shape, TOP)
+        scores[:, : self.k], names[:, : self.k] = self.scores[own], self.names[own]
+        row, place = np.repeat(np.arange(len(own)), count), np.arange(len(r)) - np.repeat(first, count)
+        scores[row, self.k + place], names[row, self.k + place] = score, ids
+        order = np.lexsort((names, -scores), axis=1)[:, : self.k]
+        self.scores[own], self.names[own] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+        self.count[own] = np.minimum(self.k, self.count[own] + count)
+
+    def _bounded(self, rows: np.ndarray, block: Vectors) -> None:
+        dims = min(self.x.shape[1], len(block.cells))  # the others are zero on one side
+        q_rest, x_rest = self.rest[:, rows], block.rest
+        peak = q_rest[0].max() * x_rest[0].max()
+        kind = np.float32 if peak < 2**23 else np.float64 if peak < 2**51 else np.int64  # all exact
+        q, x = self.x[rows, :dims].astype(kind), block.cells[:dims].astype(kind, copy=False)
+        same = np.flatnonzero(np.isin(block.ids, self.ids[rows]))
+        for low in range(0, len(rows), TILE[0]):
+            part = slice(low, low + TILE[0])
+            for left in range(0, len(block.ids), TILE[1]):
+                at = slice(left, left + TILE[1])
+                mine = block.ids[same[(same >= left) & (same < left + TILE[1])]]
+                self._tile(rows[part], q[part], q_rest[:, part], block.ids[at], x[:, at], x_rest[:, at], mine)
+
+    def _tile(self, rows, q, q_rest, ids, x, x_rest, mine) -> None:
+        dims, k = len(x), self.k
+        # what rounding can take from a bound: scores of floats are whole numbers in their exact range
+        no, slack = (-np.inf, 2) if x.dtype.kind == "f" else (-(2**62), 2**12)
+        floor = np.where(self.count[rows] >= k, self.scores[rows, -1], no).astype(x.dtype)
+        self.tiles += 1
+        d = min(dims, self.reach if self.tiles % 16 else DIM_BLOCK)
+        score = q[:, :d] @ x[:d]
+        for i in mine:  # a query is no candidate of itself
+            score[np.ix_(self.ids[rows] == i, ids == i)] = no
+        step = DIM_BLOCK
+        while d < dims:
+            b = d // DIM_BLOCK
+            more_q, more_x = q_rest[b] * (1 + 1e-5), x_rest[b]
+            live = score.max(axis=1) + more_q * more_x.max() + slack >= floor
+            kept = live.sum()
+            if not kept:
+                self.reach = DIM_BLOCK
+                return None
+            if kept < 0.75 * len(live):
+                rows, q, score, floor, q_rest, more_q = rows[live], q[live], score[live], floor[live], q_rest[:, live], more_q[live]
+                step, self.reach = DIM_BLOCK, DIM_BLOCK
+            else:
+                step = min(2 * step, dims - d)
+                self.reach = min(2 * d, dims)
+            if dims - d >= 2 * DIM_BLOCK:
+                some = slice(None, None, max(1, len(rows) // 8))
+                bound = lambda s: score[s] + np.outer(more_q[s], more_x).astype(x_rest.dtype if slack > 2 else np.float32) + slack >= floor[s, None]  # noqa: E731, B023
+                if bound(some).mean() * FEW < 1:
+                    return self._pairs(rows, q, q_rest, ids, x, x_rest, score, floor, slack, d, *_places(bound(slice(None))))
+                live = score.max(axis=0) + more_x * more_q.max() + slack >= floor.min()
+                if live.sum() < 0.75 * len(live):
+                    ids, x, score, x_rest = ids[live], x[:, live], score[:, live], x_rest[:, live]
+            score += q[:, d : d + step] @ x[d : d + step]
+            d += step
+        if (self.count[rows] < k).any() and score.shape[1] > k:
+            floor = np.maximum(floor, np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k])
+        live = np.flatnonzero(score.max(axis=1) >= floor)
+        r, c = _places(score[live] >= floor[live, None])
+        self._merge_of(rows, live[r], score[live[r], c], ids[c])
+
+    def _pairs(self, rows, q, q_rest, ids, x, x_rest, score, floor, slack, d, r, c) -> None:
+        score = score[r, c]
+        while d < len(x) and len(r):
+            score = score + np.einsum("ij,ji->i", q[r, d : d + DIM_BLOCK], x[d : d + DIM_BLOCK, c])
+            d += DIM_BLOCK
+            if d < len(x):
+                b = d // DIM_BLOCK
+                live = score + q_rest[b, r] * x_rest[b, c] * (1 + 1e-5) + slack >= floor[r]
+                r, c, score = r[live], c[live], score[live]
+        live = score >= floor[r]
+        self._merge_of(rows, r[live], score[live], ids[c[live]])
+
+    def _merge_of(self, rows, r, score, ids) -> None:
+        r, score = rows[r], score.astype(np.int64)
+        last, name = self.scores[r, -1], self.names[r, -1]
+        new = (ids != self.ids[r]) & ((score > last) | (score == last) & (ids < name) | (self.count[r] < self.k))
+        self._merge(r[new], score[new], ids[new])
+
+    def result(self) -> list[np.ndarray]:
+        held = np.arange(self.k) < self.count[:, None]
+        return [np.repeat(self.ids, self.count), self.names[held], self.scores[held]]
+
+
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """Python integers of whole numbers."""
+    return np.array([int(v) for v in x.ravel().tolist()], dtype=object).reshape(x.shape)
 
 
 def top_k(
     vectors: DataFrame, asked, *, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", slots: int | None = None
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of every row for which ``asked(id column)`` holds."""
-    spark = vectors.sparkSession
-    slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = held(vectors, vec_id, embedding)
-    asked_rows = rows.where(asked(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v")).sortWithinPartitions("vec_id")
-    queries = asked_rows.mapInArrow(_blocks(QUERY_BLOCK), _BLOCK).select(
-        F.xxhash64("ids").alias("block"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "cells"))
-    )
-    spread = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    dealt = rows.mapInArrow(_blocks(CANDIDATE_BLOCK), _BLOCK).select("*", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int").alias("slot"))
-    met = spread.join(dealt, "slot").select("block", "q_ids", "q_dims", "q_cells", "ids", "dims", "cells")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        going: Search | None = None
-        now = None
-
-        def result() -> pa.RecordBatch:
-            best = going.best
-            sizes = [len(s) for s, _ in best]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(going.ids, sizes)),
-                    pa.array(np.concatenate([n for _, n in best])),
-                    pa.array(np.concatenate([s for s, _ in best])),
-                ],
-                names=["query_id", "vec_id", "score"],
-            )
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block, q_ids, q_dims, q_cells, ids, dims, cells = (c[row].as_py() for c in batch.columns)
-                if block != now:
-                    if going is not None:
-                        yield result()
-                    own = np.frombuffer(q_ids, np.int64)
-                    going, now = Search(own, np.frombuffer(q_cells).reshape(q_dims, len(own)), k), block
-                own = np.frombuffer(ids, np.int64)
-                going.add(own, np.frombuffer(cells).reshape(dims, len(own)))
-        if going is not None:
-            yield result()
-
-    lists = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    rows = sound(vectors, vec_id, embedding)
+    queries = rows.where(asked(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
+    lists = meet(
+        queries.withColumn("marks", F.array().cast("array<long>")), rows, lambda b: Search(b, k), "query_id long, vec_id long, score long",
+        query_block=QUERY_BLOCK, held_block=CANDIDATE_BLOCK, slots=slots or slots_of(vectors, embedding), ready=ready,
+    )
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lists.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.vector_blocks import Block, best, meet, padded, sound
+from fleetpulse.llm.vector_blocks import Block, best, meet, padded, slots_of, sound
 
 PROJECTIONS = 128
 WIDTH = 1.2
@@ -90,7 +90,7 @@ class Search:
 
     def add(self, block: Block) -> None:
         with np.errstate(over="ignore", invalid="ignore"):
-            asked, cells = padded(self.queries.cells, block.cells)
+            asked, cells = padded(self.queries.cells.astype(np.float64), block.cells.astype(np.float64))
             index = Index(cells)
             heights = asked @ lines(asked.shape[1])
             for r, own in enumerate(self.queries.ids):
@@ -144,7 +144,7 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found, by Euclidean distance, of every row for which
     ``asked(id column)`` holds."""
-    slots = slots or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = slots or slots_of(vectors, embedding)
     rows = sound(vectors, vec_id, embedding).where(F.exists("v", lambda x: x != 0))
     queries = rows.where(asked(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"), F.first("marks").alias("marks"))
     found = meet(

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.vector_blocks import TOP, Block, best, grown, largest, meet, padded, sound, whole
+from fleetpulse.llm.vector_blocks import TOP, Block, best, grown, largest, meet, padded, slots_of, sound, whole
 
 SCALE = 256
 ANCHOR_BLOCK = 256
@@ -151,7 +151,7 @@ def mine(
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score): for every row for which
     ``asked(id column)`` holds and each of its best ``positives`` of the same label, the best ``negatives`` of another
     label whose score is ``low`` to 100 percent of the positive's."""
-    slots = slots or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = slots or slots_of(vectors, embedding)
     rows = sound(vectors, vec_id, embedding, F.col("label") if label is None else label)
     smallest = F.min(F.struct("marks", "v"))
     anchors = rows.where(asked(F.col("vec_id"))).groupBy("vec_id").agg(smallest.alias("s")).select("vec_id", "s.v", "s.marks")

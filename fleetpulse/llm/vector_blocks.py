@@ -1,12 +1,15 @@
 """Vectors in blocks: what the searches over whole vector tables share.
 
 A table's vectors are dealt by a hash of their id and components into partitions, sorted there, and cut into blocks of
-bounded size; a lost task rebuilds the same blocks. Blocks of queries are copied to every slot, every candidate block
-belongs to one slot, and an equality join of the two lets each pair of blocks meet once, in tasks that hold one of each.
+bounded size; a lost task rebuilds the same blocks. Every candidate block belongs to one slot, and blocks of queries are
+copied to every slot, one copy at a time. A task holds the candidates of a slot, as many as ``SLOT_CELLS`` components on
+average, while the query blocks pass by: pairs of blocks are never written out.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -19,10 +22,18 @@ from pyspark.sql import functions as F
 TOP = (1 << 63) - 1
 FIELDS = ("ids", "marks", "dims", "cells")
 _BLOCK = "number int, ids binary, marks binary, dims int, cells binary"
+_SENT = "slot int, asked boolean, block long, ids binary, marks binary, dims int, cells binary"
+#: Components a slot has on average, at most and (as long as there are enough tasks) at least.
+SLOT_CELLS = 1 << 24
+LEAST_CELLS = 1 << 18
+#: Bytes of an Arrow batch of copies of query blocks, and of the blocks that a task takes at once.
+COPIES = 1 << 22
+BATCH = 1 << 24
 
 
 class Block(NamedTuple):
-    """Vectors as rows of ``cells`` (float64, shorter ones padded with zeros), with ids and ``width`` longs of marks each."""
+    """Vectors as rows of ``cells`` (float32 if that is exact, else float64; shorter ones padded with zeros), with ids and
+    ``width`` longs of marks each."""
 
     ids: np.ndarray
     marks: np.ndarray
@@ -53,6 +64,9 @@ def _cut(size: int):
             dims = int(sizes.max(initial=0))
             cells = np.zeros((len(ids), dims))
             cells[np.arange(dims) < sizes[:, None]] = flat
+            with np.errstate(over="ignore"):
+                half = cells.astype(np.float32)
+            cells = half if (half == cells).all() else cells
             marks = rows.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([marks.tobytes()], pa.binary()), pa.array([dims], pa.int32()),
@@ -73,17 +87,37 @@ def _cut(size: int):
     return run
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most ``size`` of the rows (vec_id, v, marks)."""
+def _copied(size: int, slots: int):
+    """Rows -> blocks, each copied for every slot in batches of a few, so that not all copies are in memory at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in _cut(size)(batches):
+            number, ids = (c[0].as_py() for c in one.columns[:2])
+            block = int.from_bytes(hashlib.blake2b(ids + number.to_bytes(4, "big"), digest_size=8).digest(), "big", signed=True)
+            step = max(1, COPIES // max(1, one.nbytes))
+            for low in range(0, slots, step):
+                some = np.arange(low, min(low + step, slots), dtype=np.int32)
+                copies = one.take(pa.array(np.zeros(len(some), np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some), pa.array(np.ones(len(some), bool)), pa.array(np.full(len(some), block)), *copies.columns[1:]],
+                    names=["slot", "asked", "block", *FIELDS],
+                )
+
+    return run
+
+
+def blocks(rows: DataFrame, size: int, slots: int = 0) -> DataFrame:
+    """Blocks of at most ``size`` of the rows (vec_id, v, marks); of each a copy for every slot if ``slots`` are given."""
     key = ("vec_id", "v", "marks")
-    dealt = rows.repartition(F.xxhash64(*key)).sortWithinPartitions(*key)
-    return dealt.select(*key).mapInArrow(_cut(size), _BLOCK)
+    dealt = rows.repartition(F.xxhash64(*key)).sortWithinPartitions(*key).select(*key)
+    return dealt.mapInArrow(_copied(size, slots), _SENT) if slots else dealt.mapInArrow(_cut(size), _BLOCK)
 
 
 def _unpack(values) -> Block:
     ids, marks, dims, cells = values
     ids = np.frombuffer(ids, np.int64)
-    return Block(ids, np.frombuffer(marks, np.int64).reshape(len(ids), -1), np.frombuffer(cells).reshape(len(ids), dims))
+    kind = np.float32 if len(cells) == 4 * len(ids) * dims else np.float64
+    return Block(ids, np.frombuffer(marks, np.int64).reshape(len(ids), -1), np.frombuffer(cells, kind).reshape(len(ids), dims))
 
 
 def grown(x: np.ndarray, rows: int, columns: int) -> np.ndarray:
@@ -101,29 +135,48 @@ def padded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grown(a, len(a), wide), grown(b, len(b), wide)
 
 
+def slots_of(vectors: DataFrame, embedding: str) -> int:
+    """Slots for the vectors of a table: few, since queries are copied to each and each adds its lists of k."""
+    size = F.greatest(F.size(embedding), F.lit(0)).cast("long")
+    cells = vectors.agg(F.sum(size)).first()[0] or 0
+    tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(cells / SLOT_CELLS), min(tasks, math.ceil(cells / LEAST_CELLS)))
+
+
 def meet(
-    queries: DataFrame, held: DataFrame, search: Callable[[Block], object], schema: str, *, query_block: int, held_block: int, slots: int
-) -> DataFrame:
+    queries: DataFrame, held: DataFrame, search: Callable[[Block], object], schema: str, *, query_block: int, held_block: int, slots: int,
+    ready: Callable[[list[Block]], list] = list,
+) -> DataFrame:
     """What ``search`` finds: for every block of queries a task makes ``search(block)``, calls its ``add(block)`` with each
-    block of ``held`` in the task's slot, and emits the rows of its ``result()`` (a list of arrays, as in ``schema``)."""
-    asked = blocks(queries, query_block).select(F.xxhash64("ids", "number").alias("block"), *(F.col(c).alias(f"q_{c}") for c in FIELDS))
-    spread = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    dealt = blocks(held, held_block).select("*", F.pmod(F.xxhash64("ids", "number"), F.lit(slots)).cast("int").alias("slot"))
-    met = spread.join(dealt, "slot").select("slot", "block", *(f"q_{c}" for c in FIELDS), *FIELDS).sortWithinPartitions("slot", "block")
+    block of ``held`` in the task's slot (in the form ``ready`` gives the slot's blocks, once), and emits the rows of its
+    ``result()`` (a list of arrays, as in ``schema``)."""
+    queries.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    number = F.xxhash64("ids", "number")
+    slot = F.pmod(number, F.lit(slots)).cast("int").alias("slot")
+    dealt = blocks(held, held_block).select(slot, F.lit(False).alias("asked"), number.alias("block"), *FIELDS)
+    asked = blocks(queries, query_block, slots)
+    # more partitions than slots, so that few slots share one
+    met = dealt.union(asked).repartition(4 * slots, "slot").sortWithinPartitions("slot", "asked", "block", "ids")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        going, now = None, None
+        now, own, made = None, [], None
         for batch in batches:
             for row in range(batch.num_rows):
-                slot, block, *cells = (c[row].as_py() for c in batch.columns)
-                if (slot, block) != now:
-                    if going is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in going.result()], names=names)
-                    going, now = search(_unpack(cells[:4])), (slot, block)
-                going.add(_unpack(cells[4:]))
-        if going is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in going.result()], names=names)
+                slot, query, _, *cells = (c[row].as_py() for c in batch.columns)
+                if slot != now:
+                    now, own, made = slot, [], None
+                if not query:
+                    own.append(_unpack(cells))
+                    continue
+                if made is None:
+                    made, own = ready(own), []
+                    pa.default_memory_pool().release_unused()
+                if made:
+                    going = search(_unpack(cells))
+                    for block in made:
+                        going.add(block)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in going.result()], names=names)
 
     return met.mapInArrow(run, schema)
 

@@ -7,10 +7,11 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import collision_knn, strassen_negatives, turn_repair, vector_blocks
+from fleetpulse.llm import bond_topk, collision_knn, strassen_negatives, turn_repair, vector_blocks
 from fleetpulse.llm.common import prepare
 
 SF = "/root/testdata/sf0.01"
@@ -239,3 +240,51 @@ def test_repair_equals_brute_force(spark, segment, fan):
         want[1004] = (vector_blocks.TOP, *want[1004][1:])
     assert got == want
     assert turn_repair.report(df.limit(0)).count() == 0
+
+
+# --- blocks that meet ---------------------------------------------------------------------------------------------------
+
+
+def test_pairs_of_blocks_are_not_written(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    for found in (bond_topk.top_k(table, lambda i: i % 100 == 0), collision_knn.nearest(table, lambda i: i % 100 == 0)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
+    rows = pa.RecordBatch.from_pydict({"vec_id": [*range(1000)], "v": [[0.1] * 128] * 1000, "marks": [[]] * 1000}, pa.schema({"vec_id": pa.int64(), "v": pa.list_(pa.float64()), "marks": pa.list_(pa.int64())}))
+    copies = list(vector_blocks._copied(1024, 50)(iter([rows])))  # of a MB each
+    assert max(c.num_rows for c in copies) <= 4 and [s for c in copies for s in c.column(0).to_pylist()] == [*range(50)]
+
+
+def test_slots_grow_with_the_table(spark, monkeypatch):
+    table = spark.range(1000).select(F.array_repeat(F.lit(0.5), 64).alias("embedding"))
+    assert vector_blocks.slots_of(table, "embedding") == 1 and vector_blocks.slots_of(table.limit(0), "embedding") == 1
+    monkeypatch.setattr(vector_blocks, "LEAST_CELLS", 8000)
+    assert vector_blocks.slots_of(table, "embedding") == 8
+    monkeypatch.setattr(vector_blocks, "SLOT_CELLS", 640)
+    assert vector_blocks.slots_of(table, "embedding") == 100
+
+
+@pytest.mark.parametrize("size", [1.0, 3000.0, 2.0**17])
+@pytest.mark.parametrize("kind", ["spread", "clusters", "copies"])
+def test_bounds_keep_the_best(monkeypatch, size, kind):
+    monkeypatch.setattr(bond_topk, "TILE", (7, 90))
+    monkeypatch.setattr(bond_topk, "CANDIDATE_BLOCK", 300)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 70))
+    if kind != "spread":
+        x = x[:6][rng.integers(0, 6, 1500)] + (kind == "clusters") * rng.normal(0, 0.03, x.shape)
+    x *= size / np.abs(x).max()
+    x[3, 40:], x[5] = 0, 0
+    ids = rng.integers(0, 1400, 1500)
+    part = [vector_blocks.Block(ids[i : i + 400], np.zeros((len(ids[i : i + 400]), 0), np.int64), x[i : i + 400]) for i in range(0, 1500, 400)]
+    own = np.unique(ids, return_index=True)[1][:30]
+    search = bond_topk.Search(vector_blocks.Block(ids[own], np.zeros((30, 0), np.int64), x[own]), 10)
+    for block in bond_topk.ready(part):
+        search.add(block)
+    exact = vector_blocks.whole(x, 1024).astype(object)
+    got = sorted(zip(*(a.tolist() for a in search.result())))
+    want = []
+    for q in own.tolist():
+        score = (exact @ exact[q]).tolist()
+        want += [(int(ids[q]), i, -s) for s, i in sorted((-s, i) for s, i in zip(score, ids.tolist()) if i != ids[q])[:10]]
+    assert got == sorted(want)
