@@ -288,3 +288,32 @@ def test_bounds_keep_the_best(monkeypatch, size, kind):
         score = (exact @ exact[q]).tolist()
         want += [(int(ids[q]), i, -s) for s, i in sorted((-s, i) for s, i in zip(score, ids.tolist()) if i != ids[q])[:10]]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1.0, 1e-20, 1e30, 1e-150, 1e150])
+def test_collisions_on_ranks(monkeypatch, size):
+    monkeypatch.setattr(collision_knn, "FIRST", 100)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 24)) * size
+    x[300:340] = x[7]  # copies
+    x[900:1100] *= 1e-3
+    ids = np.arange(2000)
+    x, ids = np.concatenate((x, x[:20])), np.concatenate((ids, ids[:20]))
+    x = x.astype(np.float32) if 1e-30 < size < 1e31 else x
+    part = [vector_blocks.Block(ids[i : i + 700], np.zeros((len(ids[i : i + 700]), 0), np.int64), x[i : i + 700]) for i in range(0, len(ids), 700)]
+    made = collision_knn.ready(part)
+    assert [m.codes is None for m in made] == [True, False, False, False] and sum(len(m.ids) for m in made) == len(ids)
+    search = collision_knn.Search(vector_blocks.Block(ids[:60], np.zeros((60, 0), np.int64), x[:60]), 10)
+    for m in made:
+        search.add(m)
+    got = {}
+    for q, i, d in zip(*(a.tolist() for a in search.result())):
+        got.setdefault(q, []).append((d, i))
+    hits = 0
+    for q in range(60):
+        true = sorted(zip(np.sqrt(np.square(x.astype(float) - x[q]).sum(axis=1)).tolist(), ids.tolist()))
+        true = [t for t in true if t[1] != q]
+        assert got[q] == sorted(got[q]) and len(got[q]) == 10 and set(got[q]) <= set(true)
+        hits += len(set(got[q]) & set(true[:10]))
+    assert hits >= 0.97 * 600 and got[7] == [(0.0, 300 + i) for i in range(10)]
+    assert collision_knn.ready([]) == []
