@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.vector_blocks import TOP, Block, largest, meet, padded, slots_of, sound, whole
+from fleetpulse.llm.vector_blocks import TOP, Block, Lists, largest, meet, padded, places, recut, slim, slots_of, sound, whole, whole_numbers
 
 SCALE = 1024
 DIM_BLOCK = 16
@@ -38,8 +38,6 @@ CANDIDATE_BLOCK = 4096
 TILE = (256, 1024)
 #: Pairs are summed on singly where fewer than one in so many is left.
 FEW = 200
-#: Of a lower bound's place in a list of k that is not full.
-LOW = -TOP
 
 
 def _rest_norms(x: np.ndarray) -> np.ndarray:
@@ -50,12 +48,6 @@ def _rest_norms(x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.cumsum([np.zeros(x.shape[1]), *square[::-1]], axis=0)[::-1])
 
 
-def _slim(x: np.ndarray) -> np.ndarray:
-    """Integers in the smallest kind that holds them."""
-    peak = np.abs(x).max(initial=0)
-    return x.astype(np.float32) if peak < 2**24 else x.astype(np.float64) if peak < 2**53 else x
-
-
 class Vectors(NamedTuple):
     """Vectors, a column each, with the norms of what is left and the largest components."""
 
@@ -66,44 +58,19 @@ class Vectors(NamedTuple):
 
 
 def _vectors(ids: np.ndarray, x: np.ndarray) -> Vectors:
-    cells = np.ascontiguousarray(_slim(x).T)
+    cells = np.ascontiguousarray(slim(x).T)
     return Vectors(ids, cells, _rest_norms(cells), largest(x))
 
 
-def _order(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every row, its length without zeros at the end, and the signs of its first components as bits."""
-    if not cells.shape[1]:
-        return np.zeros(len(cells), np.int64), np.zeros(len(cells), np.int64)
-    held = cells != 0
-    length = np.where(held.any(axis=1), cells.shape[1] - held[:, ::-1].argmax(axis=1), 0)
-    bits = cells[:, :DIM_BLOCK] < 0
-    return length, bits @ (1 << np.arange(bits.shape[1])[::-1])
+def _signs(block: Block) -> np.ndarray:
+    """The signs of the first components as bits."""
+    bits = block.cells[:, :DIM_BLOCK] < 0
+    return bits @ (1 << np.arange(bits.shape[1])[::-1]) if bits.shape[1] else np.zeros(len(bits), np.int64)
 
 
 def ready(blocks: list[Block]) -> list[Vectors]:
-    """The candidates of a slot by length (a power of two) and the signs of their first components, cut again."""
-    made = []
-    if not blocks:
-        return made
-    length, signs = map(np.concatenate, zip(*(_order(b.cells) for b in blocks)))
-    order = np.lexsort((signs, np.frexp(length)[1]))
-    first = np.cumsum([0, *(len(b.ids) for b in blocks)])
-    for low in range(0, len(order), CANDIDATE_BLOCK):
-        part = order[low : low + CANDIDATE_BLOCK]
-        of = np.searchsorted(first, part, "right") - 1
-        wide = int(length[part].max())
-        ids, cells = np.empty(len(part), np.int64), np.zeros((len(part), wide), np.result_type(*(b.cells for b in blocks)))
-        for n in np.unique(of).tolist():
-            to, at, block = of == n, part[of == n] - first[n], blocks[n]
-            ids[to] = block.ids[at]
-            cells[to, : block.cells.shape[1]] = block.cells[at, :wide]
-        made.append(_vectors(ids, whole(cells, SCALE)))
-    return made
-
-
-def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of what is true (numpy finds it much faster in one dimension)."""
-    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+    """The candidates of a slot by the signs of their first components, cut again."""
+    return [_vectors(b.ids, whole(b.cells, SCALE)) for b in recut(blocks, _signs, CANDIDATE_BLOCK)]
 
 
 class Search:
@@ -113,8 +80,7 @@ class Search:
         self.ids, self.k = queries.ids, k
         self.x = whole(queries.cells, SCALE)
         self.rest, self.largest = _rest_norms(self.x.T), largest(self.x)
-        self.count = np.zeros(len(self.ids), np.int64)
-        self.scores, self.names = np.full((len(self.ids), k), LOW), np.full((len(self.ids), k), TOP)
+        self.best = Lists(len(self.ids), k)
         self.tiles, self.reach = 0, DIM_BLOCK
 
     def add(self, block: Vectors) -> None:
@@ -131,21 +97,7 @@ class Search:
             at = np.flatnonzero((block.ids != self.ids[r]) & (big_x | big_q[r]))
             if len(at):
                 score = np.clip(x[at] @ q[r], -TOP, TOP).astype(np.int64)
-                self._merge(np.full(len(at), r), score, block.ids[at])
-
-    def _merge(self, r: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """Takes scores of the queries r (ascending)."""
-        if not len(r):
-            return
-        own, first, count = np.unique(r, return_index=True, return_counts=True)
-        shape = (len(own), self.k + int(count.max()))
-        scores, names = np.full(shape, LOW), np.full(shape, TOP)
-        scores[:, : self.k], names[:, : self.k] = self.scores[own], self.names[own]
-        row, place = np.repeat(np.arange(len(own)), count), np.arange(len(r)) - np.repeat(first, count)
-        scores[row, self.k + place], names[row, self.k + place] = score, ids
-        order = np.lexsort((names, -scores), axis=1)[:, : self.k]
-        self.scores[own], self.names[own] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
-        self.count[own] = np.minimum(self.k, self.count[own] + count)
+                self.best.add(np.full(len(at), r), score, block.ids[at])
 
     def _bounded(self, rows: np.ndarray, block: Vectors) -> None:
         dims = min(self.x.shape[1], len(block.cells))  # the others are zero on one side
@@ -165,7 +117,7 @@ class Search:
         dims, k = len(x), self.k
         # what rounding can take from a bound: scores of floats are whole numbers in their exact range
         no, slack = (-np.inf, 2) if x.dtype.kind == "f" else (-(2**62), 2**12)
-        floor = np.where(self.count[rows] >= k, self.scores[rows, -1], no).astype(x.dtype)
+        floor = np.where(self.best.full(rows), self.best.scores[rows, -1], no).astype(x.dtype)
         self.tiles += 1
         d = min(dims, self.reach if self.tiles % 16 else DIM_BLOCK)
         score = q[:, :d] @ x[:d]
@@ -190,16 +142,16 @@ class Search:
                 some = slice(None, None, max(1, len(rows) // 8))
                 bound = lambda s: score[s] + np.outer(more_q[s], more_x).astype(x_rest.dtype if slack > 2 else np.float32) + slack >= floor[s, None]  # noqa: E731, B023
                 if bound(some).mean() * FEW < 1:
-                    return self._pairs(rows, q, q_rest, ids, x, x_rest, score, floor, slack, d, *_places(bound(slice(None))))
+                    return self._pairs(rows, q, q_rest, ids, x, x_rest, score, floor, slack, d, *places(bound(slice(None))))
                 live = score.max(axis=0) + more_x * more_q.max() + slack >= floor.min()
                 if live.sum() < 0.75 * len(live):
                     ids, x, score, x_rest = ids[live], x[:, live], score[:, live], x_rest[:, live]
             score += q[:, d : d + step] @ x[d : d + step]
             d += step
-        if (self.count[rows] < k).any() and score.shape[1] > k:
+        if not self.best.full(rows).all() and score.shape[1] > k:
             floor = np.maximum(floor, np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k])
         live = np.flatnonzero(score.max(axis=1) >= floor)
-        r, c = _places(score[live] >= floor[live, None])
+        r, c = places(score[live] >= floor[live, None])
         self._merge_of(rows, live[r], score[live[r], c], ids[c])
 
     def _pairs(self, rows, q, q_rest, ids, x, x_rest, score, floor, slack, d, r, c) -> None:
@@ -215,19 +167,13 @@ class Search:
         self._merge_of(rows, r[live], score[live], ids[c[live]])
 
     def _merge_of(self, rows, r, score, ids) -> None:
-        r, score = rows[r], score.astype(np.int64)
-        last, name = self.scores[r, -1], self.names[r, -1]
-        new = (ids != self.ids[r]) & ((score > last) | (score == last) & (ids < name) | (self.count[r] < self.k))
-        self._merge(r[new], score[new], ids[new])
+        r = rows[r]
+        other = ids != self.ids[r]
+        self.best.add(r[other], score[other].astype(np.int64), ids[other])
 
     def result(self) -> list[np.ndarray]:
-        held = np.arange(self.k) < self.count[:, None]
-        return [np.repeat(self.ids, self.count), self.names[held], self.scores[held]]
-
-
-def whole_numbers(x: np.ndarray) -> np.ndarray:
-    """Python integers of whole numbers."""
-    return np.array([int(v) for v in x.ravel().tolist()], dtype=object).reshape(x.shape)
+        key, score, ids = self.best.flat()
+        return [self.ids[key], ids, score]
 
 
 def top_k(

@@ -41,13 +41,13 @@ class Block(NamedTuple):
 
 
 def sound(vectors: DataFrame, vec_id: str, embedding: str, *marks: Column) -> DataFrame:
-    """(vec_id, v, marks) of the rows with an id, no null mark, and only finite components; components as doubles."""
+    """(vec_id, v, marks) of the rows with an id, no null mark, and only finite components; components as floats or doubles."""
     finite = F.forall(embedding, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf"))), F.lit(False)))
     held = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & finite)
     longs = F.array(*(m.cast("long") for m in marks)) if marks else F.array().cast("array<long>")
-    rows = held.select(
-        F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda e: e.cast("double")).alias("v"), longs.alias("marks")
-    )
+    single = held.select(embedding).schema[0].dataType.simpleString() == "array<float>"  # half the bytes, and the same numbers
+    v = F.col(embedding) if single else F.transform(embedding, lambda e: e.cast("double"))
+    rows = held.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), longs.alias("marks"))
     return rows.where(F.forall("marks", lambda m: m.isNotNull()))
 
 
@@ -203,3 +203,87 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     if len(scores) > k:
         at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
+
+
+class Lists:
+    """The k best (score, id) of each of some keys, best first, ties to the smaller id; places not taken hold the lowest score."""
+
+    def __init__(self, keys: int, k: int):
+        self.k, self.count = k, np.zeros(keys, np.int64)
+        self.scores, self.names = np.full((keys, k), -TOP), np.full((keys, k), TOP)
+
+    def full(self, keys: np.ndarray) -> np.ndarray:
+        return self.count[keys] >= self.k
+
+    def add(self, keys: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Takes scores (longs) of the keys."""
+        last, name = self.scores[keys, -1], self.names[keys, -1]
+        new = (scores > last) | (scores == last) & (ids < name) | ~self.full(keys)
+        if not new.any():
+            return
+        order = np.flatnonzero(new)
+        order = order[np.argsort(keys[order], kind="stable")]
+        keys, scores, ids = keys[order], scores[order], ids[order]
+        own, first, count = np.unique(keys, return_index=True, return_counts=True)
+        if count.max() > 8 * self.k:  # few of them can stay
+            order = np.lexsort((ids, -scores, keys))
+            order = order[np.arange(len(keys)) - np.repeat(first, count) < self.k]
+            keys, scores, ids = keys[order], scores[order], ids[order]
+            own, first, count = np.unique(keys, return_index=True, return_counts=True)
+        shape = (len(own), self.k + int(count.max()))
+        all_scores, all_names = np.full(shape, -TOP), np.full(shape, TOP)
+        all_scores[:, : self.k], all_names[:, : self.k] = self.scores[own], self.names[own]
+        row, place = np.repeat(np.arange(len(own)), count), np.arange(len(keys)) - np.repeat(first, count)
+        all_scores[row, self.k + place], all_names[row, self.k + place] = scores, ids
+        order = np.lexsort((all_names, -all_scores), axis=1)[:, : self.k]
+        self.scores[own], self.names[own] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_names, order, 1)
+        self.count[own] = np.minimum(self.k, self.count[own] + count)
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, score, id) of all that is held."""
+        held = np.arange(self.k) < self.count[:, None]
+        return np.repeat(np.arange(len(self.count)), self.count), self.scores[held], self.names[held]
+
+
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of what is true (numpy finds it much faster in one dimension)."""
+    return np.divmod(np.flatnonzero(mask), max(1, mask.shape[1]))
+
+
+def recut(blocks: list[Block], key: Callable[[Block], np.ndarray], size: int) -> list[Block]:
+    """The rows of the blocks by length without zeros at the end (a power of two), then by key, in blocks of ``size`` rows."""
+    if not blocks:
+        return []
+    keys, length = np.concatenate([key(b) for b in blocks]), np.concatenate([_lengths(b.cells) for b in blocks])
+    order = np.lexsort((keys, np.frexp(length)[1]))
+    first = np.cumsum([0, *(len(b.ids) for b in blocks)])
+    made = []
+    for low in range(0, len(order), size):
+        part = order[low : low + size]
+        of = np.searchsorted(first, part, "right") - 1
+        wide, kind = int(length[part].max()), np.result_type(*(b.cells for b in blocks))
+        ids, marks, cells = np.empty(len(part), np.int64), np.empty((len(part), blocks[0].marks.shape[1]), np.int64), np.zeros((len(part), wide), kind)
+        for n in np.unique(of).tolist():
+            to, at, block = of == n, part[of == n] - first[n], blocks[n]
+            ids[to], marks[to] = block.ids[at], block.marks[at]
+            cells[to, : block.cells.shape[1]] = block.cells[at, :wide]
+        made.append(Block(ids, marks, cells))
+    return made
+
+
+def _lengths(cells: np.ndarray) -> np.ndarray:
+    if not cells.shape[1]:
+        return np.zeros(len(cells), np.int64)
+    held = cells != 0
+    return np.where(held.any(axis=1), cells.shape[1] - held[:, ::-1].argmax(axis=1), 0)
+
+
+def slim(x: np.ndarray) -> np.ndarray:
+    """Integers in the smallest kind that holds them."""
+    peak = np.abs(x).max(initial=0)
+    return x.astype(np.float32) if peak < 2**24 else x.astype(np.float64) if peak < 2**53 else x
+
+
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """Python integers of whole numbers."""
+    return np.array([int(v) for v in x.ravel().tolist()], dtype=object).reshape(x.shape)

@@ -317,3 +317,43 @@ def test_collisions_on_ranks(monkeypatch, size):
         hits += len(set(got[q]) & set(true[:10]))
     assert hits >= 0.97 * 600 and got[7] == [(0.0, 300 + i) for i in range(10)]
     assert collision_knn.ready([]) == []
+
+
+def test_tiles_of_negatives_are_not_written(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    plan = strassen_negatives.mine(table, lambda i: i % 100 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "slot" not in "".join(x for x in plan.split("\n") if "Join" in x)
+
+
+@pytest.mark.parametrize("size", [1.0, 3000.0, 2.0**17, 2.0**40])
+def test_tiles_keep_the_best(monkeypatch, size):
+    monkeypatch.setattr(strassen_negatives, "TILE", 130)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 40)) + 2 * rng.normal(size=(8, 40))[rng.integers(0, 8, 1200)]
+    x *= size / np.abs(x).max()
+    x[50:60], x[4, 20:] = x[3], 0
+    ids, labels = rng.integers(0, 1100, 1200), rng.integers(0, 4, 1200)
+    block = lambda at, marks: vector_blocks.Block(ids[at], marks[at], x[at])
+    tiles = strassen_negatives.ready([block(slice(i, i + 500), labels[:, None]) for i in range(0, 1200, 500)])
+    assert strassen_negatives.ready([]) == [] and {t.label for t in tiles} >= {0, 1, 2, 3}
+    own = np.unique(ids, return_index=True)[1][:70]
+    first = strassen_negatives.Positives(block(own, labels[:, None]), 3)
+    for t in tiles:
+        first.add(t)
+    top = vector_blocks.TOP
+    exact = vector_blocks.whole(x, 256).astype(object)
+    marks, want, got = np.zeros((1200, 10), np.int64), [], {}
+    for q, i, s in sorted(zip(*(a.tolist() for a in first.result())), key=lambda z: (z[0], -z[2], z[1])):
+        got.setdefault(q, []).append((-s, i))
+    for q in own.tolist():
+        scored = sorted((-max(-top, min(top, s)), i, c) for s, i, c in zip((exact @ exact[q]).tolist(), ids.tolist(), labels.tolist()) if i != ids[q])
+        best = [(s, i) for s, i, c in scored if c == labels[q]][:3]
+        assert got.get(int(ids[q]), []) == best
+        marks[q] = [labels[q], *(v for n, (s, i) in enumerate(best) for v in (n + 1, i, -s)), *[0] * (9 - 3 * len(best))]
+        for n, (s, i) in enumerate(best):
+            inside = [(t, j) for t, j, c in scored if c != labels[q] and 80 * -s <= 100 * -t <= 100 * -s][:3]
+            want += [(int(ids[q]), n + 1, i, -s, j, -t) for t, j in inside]
+    second = strassen_negatives.Negatives(block(own, marks), 3, 80)
+    for t in tiles:
+        second.add(t)
+    assert sorted(zip(*(a.tolist() for a in second.result()))) == sorted(want) and want
