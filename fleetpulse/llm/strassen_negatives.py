@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.vector_blocks import TOP, Block, Lists, grown, largest, meet, places, recut, slim, slots_of, sound, whole, whole_numbers
+from fleetpulse.llm.vector_blocks import TOP, Block, Lists, grown, largest, meet, places, recut, shuffles_removed, slim, slots_of, sound, whole, whole_numbers
 
 SCALE = 256
 ANCHOR_BLOCK = 256
@@ -236,7 +236,10 @@ def mine(
     listed = F.sort_array(F.collect_list(F.struct(F.col("place").cast("long").alias("place"), "positive_id", "score")))
     triples = F.flatten(F.transform(listed, lambda g: F.array(g["place"], g["positive_id"], g["score"])))
     filled = F.slice(F.concat(triples, F.array_repeat(F.lit(0).cast("long"), 3 * positives)), 1, 3 * positives)
-    opened = anchors.join(goals.groupBy("vec_id").agg(filled.alias("goals")), "vec_id").select("vec_id", "v", F.concat("marks", "goals").alias("marks"))
+    # checkpointed, so that the first pass leaves its shuffles before the second makes as large ones
+    with shuffles_removed(vectors.sparkSession):
+        opened = anchors.join(goals.groupBy("vec_id").agg(filled.alias("goals")), "vec_id").select("vec_id", "v", F.concat("marks", "goals").alias("marks"))
+        opened = opened.checkpoint()
 
     found = meet(
         opened, rows, lambda b: Negatives(b, negatives, low),

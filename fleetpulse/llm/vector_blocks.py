@@ -8,6 +8,8 @@ average, while the query blocks pass by: pairs of blocks are never written out.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -15,7 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest size of an integer score; a larger one counts as this.
@@ -143,6 +145,13 @@ def slots_of(vectors: DataFrame, embedding: str) -> int:
     return max(1, math.ceil(cells / SLOT_CELLS), min(tasks, math.ceil(cells / LEAST_CELLS)))
 
 
+def _give_back() -> None:
+    """Memory that the worker has freed goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def meet(
     queries: DataFrame, held: DataFrame, search: Callable[[Block], object], schema: str, *, query_block: int, held_block: int, slots: int,
     ready: Callable[[list[Block]], list] = list,
@@ -171,7 +180,7 @@ def meet(
                     continue
                 if made is None:
                     made, own = ready(own), []
-                    pa.default_memory_pool().release_unused()
+                    _give_back()
                 if made:
                     going = search(_unpack(cells))
                     for block in made:
@@ -181,6 +190,18 @@ def meet(
     return met.mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is built and checkpointed inside leaves no shuffle files behind."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def whole(cells: np.ndarray, scale: int) -> np.ndarray:
     """floor(scale * x) of every component, ``scale`` a power of two: int64, or Python integers where one is too large."""
     peak = np.abs(cells).max(initial=0)
